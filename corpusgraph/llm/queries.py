@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, mixing, quality, simhash, token_counts, token_ids
+from . import chat, decontaminate, html_extract, mixing, quality, simhash, substrings, token_counts, token_ids
 from .common import stored, table
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.main_texts(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -52,6 +56,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_ids, op4_chat, op5_simhash, op7_html, op8_quality, op9_mix, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
