@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, mixing, quality, simhash, substrings, token_counts, token_ids
+from . import chat, decontaminate, html_extract, line_dedup, mixing, quality, simhash, substrings, token_counts, token_ids
 from .common import stored, table
 
 
@@ -14,6 +14,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "edits")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different line of the documents at its first place, with its class and number of links."""
+    found = line_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line", F.col("copies").alias("n_copies"), F.col("class_id").alias("class_doc_id"), "class_line", F.col("links").alias("n_links"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -56,6 +62,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
