@@ -1,5 +1,6 @@
 """All query modules; importing this fills the registry."""
 
+from . import text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
