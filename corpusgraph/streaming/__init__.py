@@ -1 +1 @@
-
+"""Incremental runs: landing, the paper pipeline and conversation history as Structured Streaming."""
