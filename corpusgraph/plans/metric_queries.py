@@ -245,14 +245,14 @@ def _runs(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("budget"), F.col("o_totalprice").alias("tokens"), (1000 + F.col("o_custkey")).alias("params"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 100000).alias("val_bpb"))
 
 
-@query(f"WITH {_RUNS} SELECT run, budget, round(tokens / params, 6) AS ratio, round(val_bpb, 4) AS val_bpb FROM runs WHERE val_bpb > 0")
+@query(f"WITH {_RUNS} SELECT run, budget, round(tokens / params, 6) AS ratio, val_bpb FROM runs WHERE val_bpb > 0")
 def runs_derived(spark, sf_dir):
-    return _runs(spark, sf_dir).where("val_bpb > 0").select("run", "budget", _r(F.col("tokens") / F.col("params")).alias("ratio"), _r("val_bpb", 4).alias("val_bpb"))
+    return _runs(spark, sf_dir).where("val_bpb > 0").select("run", "budget", _r(F.col("tokens") / F.col("params")).alias("ratio"), "val_bpb")
 
 
-@query(f"WITH {_RUNS} SELECT budget, arg_min(run, val_bpb) AS run, round(min(val_bpb), 6) AS val_bpb FROM runs WHERE val_bpb > 0 GROUP BY 1")
+@query(f"WITH {_RUNS} SELECT budget, arg_min(run, val_bpb) AS run, min(val_bpb) AS val_bpb FROM runs WHERE val_bpb > 0 GROUP BY 1")
 def best_per_group(spark, sf_dir):
-    return _runs(spark, sf_dir).where("val_bpb > 0").groupBy("budget").agg(F.min_by("run", "val_bpb").alias("run"), _r(F.min("val_bpb")).alias("val_bpb"))
+    return _runs(spark, sf_dir).where("val_bpb > 0").groupBy("budget").agg(F.min_by("run", "val_bpb").alias("run"), F.min("val_bpb").alias("val_bpb"))
 
 
 @query("SELECT l_returnflag AS flag, round(regr_slope(log10(l_extendedprice), log10(l_quantity)), 6) AS slope, round(regr_intercept(log10(l_extendedprice), log10(l_quantity)), 6) AS intercept, round(regr_r2(log10(l_extendedprice), log10(l_quantity)), 6) AS r2 FROM lineitem GROUP BY 1")
