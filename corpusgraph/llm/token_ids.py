@@ -8,9 +8,13 @@ the documents' ids.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import shared_dir, texts
 
@@ -33,32 +38,69 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library. Byte-level BPE never joins over a lone space between two words, so
-    a piece between such spaces has the same ids wherever it stands; ids of pieces already seen are kept."""
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str, keep: int = 400_000):
-        import os
+    Byte-level BPE never joins over a lone space or line feed between two words, nor between a letter and the marks that
+    end a word, so such parts have the same ids wherever they stand. Ids of parts already seen are kept, in two
+    generations: when the younger is full it becomes the older, so frequent parts stay.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    MARKS = ".,;:!?*#$%&|"
+    _SPACE = re.compile(r"[^\S \n]")
 
+    def __init__(self, path: str, keep: int = 700_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen, self.keep = {}, keep
+        self.young, self.old, self.keep = {}, {}, keep
+        self.line_feed = self._ids(["\n"])[0]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of all parts, of which those not seen are encoded; the younger generation then holds them all."""
+        young, old = self.young, self.old
+        new = parts.difference(young)
+        if len(young) + len(new) > self.keep:
+            self.old, self.young = young, {}
+            young, old, new = self.young, self.old, parts
+        fresh, split = [], []
+        for p in new:
+            got = old.get(p)
+            if got is not None:
+                young[p] = got
+                continue
+            core = p.rstrip(self.MARKS)
+            if core != p and core and core[-1] <= "\u024f" and core[-1].isalpha():
+                split.append((p, core))
+            else:
+                fresh.append(p)
+        cores = {x for p, core in split for x in (core, p[len(core) :])}
+        fresh += [x for x in cores if x not in young and x not in new]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            young.update(zip(some, self._ids(some)))
+        for p, core in split:
+            young[p] = self._known(core) + self._known(p[len(core) :])
+        return young
+
+    def _known(self, part: str) -> bytes:
+        got = self.young.get(part)
+        if got is None:
+            got = self.old.get(part)
+        return self._ids([part])[0] if got is None else got
+
+    def plain(self, text: str) -> bool:
+        """Whether lone spaces and line feeds, each between two words, are all the white space."""
+        return bool(text) and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[0] not in " \n" and text[-1] not in " \n" and not self._SPACE.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [pieces(x) for x in texts]
-        new = list({p for ps in split for p in ps if p not in self.seen})
-        if len(self.seen) + len(new) > self.keep:
-            self.seen = {}
-            new = list({p for ps in split for p in ps})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.seen[p] = np.array(e.ids, "<u4").tobytes()
-        seen = self.seen
-        return [b"".join([seen[p] for p in ps]) for ps in split]
+        # a line's first word has no space before it; the others get theirs from the marked split
+        split = [[line.replace(" ", "\0 ").split("\0") for line in x.split("\n")] if "\0" not in x and self.plain(x) else [pieces(x)] for x in texts]
+        known = self._learn(set(chain.from_iterable(line for lines in split for line in lines)))
+        get = known.__getitem__
+        return [self.line_feed.join([b"".join(map(get, line)) for line in lines]) for lines in split]
 
 
 def pieces(text: str) -> list[str]:
