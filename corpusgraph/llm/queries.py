@@ -64,4 +64,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+#: Escaping of control strings, as in chat.escape, and the length that the template adds to a turn.
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '(\\*)(" + chat.CONTROL + r")', '\1\1\\\2', 'g')"
+_FRAME = "CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 WHEN 'system' THEN 14 ELSE 17 + length(regexp_replace(role, '([\\]\\\\])', '\\\\\\1', 'g')) END"
+
+_OP4 = f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length({_ESCAPED}) + {_FRAME} AS n FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 24 + 16 UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 24 + 12)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(4 + sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY 1"""
+
+#: The pages' own marks; character references are those that the table holds.
+_OP7 = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS h FROM pages),
+p AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(h, '</?(b|i|em|strong|a)( [^>]*)?>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1|h2|h3|div|ul|li)>') AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM p)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t"""
+
+ORACLES = {"op4_chat": _OP4, "op7_html": _OP7}
