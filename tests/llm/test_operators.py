@@ -199,7 +199,10 @@ def test_line_kernels():
             assert set(line_dedup.index_keys(s)) & line_dedup.probe_keys(long)
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("hot, block", [(64, 512), (0, 2), (1, 1)])
+def test_lines(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(6)
     lines = ["".join(rng.choices("abcd ", k=rng.randint(3, 40))) for _ in range(40)]
     for x in lines[:25]:
