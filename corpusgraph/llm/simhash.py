@@ -110,7 +110,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     distinct = stored(distinct, "distinct")
-    root = components(stored(links(distinct.select("fp"), bits), "links"))
+    return grouped(each, distinct, stored(links(distinct.select("fp"), bits), "links"))
+
+
+def grouped(each: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, fp, component) of each(id, fp), from distinct(fp, least id, n rows) and links (u, v) between its fps."""
+    root = components(pairs)
     joined = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     least = joined.where("linked").groupBy("root").agg(F.min("least").alias("component"))
     classes = joined.where("linked").join(least, "root").select("fp", "component").unionByName(joined.where("not linked and n > 1").select("fp", F.col("least").alias("component")))
@@ -120,7 +125,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
     """docs with one document of each near-duplicate group left, the one with the smallest id; equal rows count as
     copies, so one of them stays. Columns and their order stay."""
-    found = near_duplicates(docs, id_col, text_col, words, bits)
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, words, bits), id_col)
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is the component that found(id, component) gives it, equal rows once."""
     drop = found.where("id <> component").select(F.col("id").alias("__drop")).distinct()
     again = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select(F.col("id").alias("__again"))
     kept = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")

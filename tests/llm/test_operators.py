@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import chat, decontaminate, html_extract, line_dedup, mixing, quality, simhash, substrings, token_counts, token_ids
+from corpusgraph.llm import chat, decontaminate, html_extract, jaccard, line_dedup, mixing, quality, simhash, substrings, token_counts, token_ids
 from corpusgraph.llm.common import ship
 from corpusgraph.llm.components import components
 
@@ -106,6 +106,47 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sample", [1, 8])
+def test_near_copies_by_shingles(spark, monkeypatch, sample):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    passage = rng.choices(vocab, k=60)
+    rows = corpus(5)
+    for g in range(12):
+        base = rng.choices(vocab, k=rng.randint(60, 300)) + passage * (g % 2)
+        for edits in (0, 1, 1, 2, 3, 4, 6, 8):
+            w = list(base)
+            for _ in range(edits):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 2)] = rng.choices(vocab, k=rng.randint(0, 2))
+            rows.append((200 + len(rows), " ".join(w), "s"))
+    low = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+
+    def shingles(text):
+        w = WORDS.findall((text or "").encode().translate(low))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    nodes = [(i, shingles(t)) for i, t, _ in rows]
+    links = [(a, b) for a, (_, x) in enumerate(nodes) for b, (_, y) in enumerate(nodes[:a]) if 5 * len(x & y) >= 4 * len(x | y)]
+    far = sum((brute_fp(rows[a][1], 5) ^ brute_fp(rows[b][1], 5)).bit_count() > 4 for a, b in links)
+    assert far > 40
+    root = list(range(len(nodes)))
+    for _ in nodes:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    least = {}
+    for k, (i, _) in enumerate(nodes):
+        least[root[k]] = min(least.get(root[k], i), i)
+    docs = frame(spark, rows)
+    assert {(r["id"], r["component"]) for r in jaccard.near_duplicates(docs).collect()} == {(i, least[root[k]]) for k, (i, _) in enumerate(nodes)}
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+    assert jaccard.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)]
