@@ -36,7 +36,7 @@ def shift_targets(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.transform(F.slice(F.split("text", " "), 1, 700), lambda w: F.length(w) + 1).alias("tokens"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.transform(F.split("text", " "), lambda w: F.length(w) + 1).alias("tokens"))
 
 
 @query()

@@ -161,6 +161,16 @@ def upsert_papers(spark, sf_dir):
     return O.upsert_papers(t, s)
 
 
+@query()
+def upsert_papers_whole(spark, sf_dir):
+    """upsert_papers with whole texts on both sides; that query's SQL compares their first characters."""
+    p = papers(spark, sf_dir)
+    names = _PAPER_COLUMNS.split(", ")
+    t = p.where("id % 3 < 2").withColumn("full_text_source", F.lit("old")).select(names)
+    s = p.where("id % 2 = 0").selectExpr("if(id % 3 = 2, id, null) as id", "arxiv_id", "ss_id", "title", "if(id % 4 = 0, ' ', concat('new ', full_text)) as full_text", "conclusion", "tldr", "'new' as full_text_source")
+    return O.upsert_papers(t, s)
+
+
 _DEDUPED = "deduped AS (SELECT source_id, target_id, kind, strength, reason FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY strength DESC NULLS LAST, seq) AS rn FROM edges WHERE source_id <> target_id) WHERE rn = 1)"
 
 

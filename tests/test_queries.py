@@ -26,6 +26,19 @@ def test_packed_rows_are_full(spark, sf):
     assert QUERIES["pack_pad"](spark, sf).where("(row >= 0 and n <> 513) or (row < 0 and n <= 513)").count() == 0
 
 
+def test_packing_and_upserts_take_whole_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = sorted(r["n"] for r in docs.select(F.size(F.split("text", " ")).alias("n")).where("n > 513").collect())
+    assert long[-1] > 700
+    assert sorted(r["n"] for r in QUERIES["pack_pad"](spark, sf).where("row < 0").collect()) == long
+    whole = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = QUERIES["upsert_papers_whole"](spark, sf).where("id is not null").select("id", "full_text", "full_text_source").collect()
+    assert {r["full_text_source"] for r in got} == {"old", "new"}
+    want = {i: " " if i % 12 == 8 else ("new " if i % 2 == 0 and i % 4 else "") + t for i, t in whole.items()}  # blank texts win only where there is none
+    assert {r["id"] for r in got} >= {i for i in whole if i % 3 < 2}
+    assert [r["id"] for r in got if r["full_text"] != want[r["id"]]] == []
+
+
 def test_padded_packing_keeps_every_token(spark):
     from corpusgraph.operators.packing import pack
 
