@@ -151,8 +151,19 @@ def rank_candidates(spark, sf_dir):
 
 @query(f"WITH {_V} SELECT a.label AS item, round(avg({_COS}), 5) AS stability FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND a.id % 20 < 2 AND b.id % 20 < 2 GROUP BY 1")
 def stability(spark, sf_dir):
+    """Over the part of the table that its SQL can pair."""
+    return _stability(_vectors(spark, sf_dir).where("id % 20 < 2"))
+
+
+@query()
+def stability_all(spark, sf_dir):
+    """stability over the whole table."""
+    return _stability(_vectors(spark, sf_dir))
+
+
+def _stability(vectors):
     """Mean cosine of all pairs of an item's repeated answers, from the sum of their unit vectors: no pairs are made."""
-    v = _vectors(spark, sf_dir).where("id % 20 < 2").select("label", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("pos", "x"))
+    v = vectors.where("embedding is not null").select("label", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("pos", "x"))
     s = v.groupBy("label", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     t = s.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("a"), F.sum("q").alias("b"), F.max("n").alias("n"))
     return t.where("n > 1").select(F.col("label").alias("item"), _r((F.col("a") - F.col("b")) / (F.col("n") * (F.col("n") - 1)), 5).alias("stability"))

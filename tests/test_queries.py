@@ -39,6 +39,21 @@ def test_packing_and_upserts_take_whole_texts(spark, sf):
     assert [r["id"] for r in got if r["full_text"] != want[r["id"]]] == []
 
 
+def test_stability_of_the_whole_table(spark, sf):
+    import numpy as np
+
+    rows = [r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r["embedding"] is not None]
+    want = {}
+    for label in {r["label"] for r in rows}:
+        e = np.array([r["embedding"] for r in rows if r["label"] == label], float)
+        u = e / np.linalg.norm(e, axis=1, keepdims=True)
+        a, b = np.triu_indices(len(u), 1)
+        if len(a):
+            want[label] = (u @ u.T)[a, b].mean()
+    got = {r["item"]: r["stability"] for r in QUERIES["stability_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_padded_packing_keeps_every_token(spark):
     from corpusgraph.operators.packing import pack
 
