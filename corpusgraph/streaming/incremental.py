@@ -15,17 +15,16 @@ from ..sources.landing import land
 RAW = "entry_id string, title string, abstract string, full_text string, conclusion string, id long, at timestamp"
 
 
-def stream_land(spark: SparkSession, source: str, bronze: str, checkpoint: str, key: str = "entry_id", late: str = "1 hour") -> StreamingQuery:
-    """Lands JSON files: repeats within `late` go in the stream's state, older ones by a join with what is there. Each
-    batch writes its own folder, so a replayed batch overwrites itself."""
+def stream_land(spark: SparkSession, source: str, bronze: str, checkpoint: str, key: str = "entry_id") -> StreamingQuery:
+    """Lands JSON files: repeats within a batch go there, others by a join with what is there; no record is too old.
+    Each batch writes its own folder, so a replayed batch overwrites itself."""
     raw = spark.readStream.schema(RAW).json(source)
-    once = raw.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, n: int) -> None:
         others = batch.sparkSession.read.schema(RAW + ", batch int").parquet(bronze).where(F.col("batch") != n) if _exists(batch.sparkSession, bronze) else batch.limit(0)
         land(batch, others, key).write.mode("overwrite").parquet(f"{bronze}/batch={n}")
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -73,6 +73,17 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "chunks")).select("chunk_id").distinct().exceptAll(once).count() == 0
 
 
+def test_stream_lands_late_records(spark, tmp_path):
+    raw = tmp_path / "raw"
+    run = lambda: I.stream_land(spark, str(raw), str(tmp_path / "bronze"), str(tmp_path / "cp")).awaitTermination()
+    _records(raw, "a.json", [1, 2])
+    run()
+    _records(raw, "b.json", [2, 3, 3])
+    (raw / "b.json").write_text((raw / "b.json").read_text().replace("2024-01-01", "2020-01-01"))
+    run()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "bronze")).collect()) == [1, 2, 3]
+
+
 def test_stream_history(spark, tmp_path):
     src = tmp_path / "turns"
     src.mkdir()
