@@ -20,7 +20,7 @@ from .common import texts
 Q = 8
 #: Edits allowed for each character of an item.
 RATE = 0.1
-#: Shorter items say too little to be found by: they are left out.
+#: Items of fewer normal bytes are found without edits alone, as whole words; under Q bytes, as a whole document.
 MIN_CHARS = 24
 #: Characters of benchmark that are sent to the executors at once; a larger benchmark goes block by block.
 BLOCK_CHARS = 8_000_000
@@ -110,6 +110,29 @@ def search(index: Index, docs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return [(d, i, start, edits) for (d, i), (edits, start) in sorted(found.items())]
 
 
+class Short:
+    """Items under MIN_CHARS, by their number of words."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.whole: dict[bytes, list[int]] = {}
+        self.words: dict[int, dict[bytes, list[int]]] = {}
+        for i, x in items:
+            (self.whole if len(x) < Q else self.words.setdefault(x.count(b" ") + 1, {})).setdefault(x, []).append(i)
+
+    def search(self, doc: bytes) -> list[tuple[int, int]]:
+        """(item, start in the normal text) of each item in a document: its first place."""
+        out = [(i, 0) for i in self.whole.get(doc, ())]
+        words = doc.split(b" ") if self.words else []
+        for n, items in self.words.items():
+            start, seen = 0, set()
+            for a in range(len(words) - n + 1):
+                if (x := b" ".join(words[a : a + n])) in items and x not in seen:
+                    seen.add(x)
+                    out += [(i, start) for i in items[x]]
+                start += len(words[a]) + 1
+        return out
+
+
 def _search(index: Index, parts: list[tuple[int, int, bytes]]):
     gap = b"\0" * Q
     buffer = np.frombuffer(gap.join(x for *_, x in parts), np.uint8)
@@ -170,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, start, edits): each document with each item that stands in it with at most RATE edits a character,
     and the best place, in the normal text.
 
-    Null texts and items hold nothing; items under MIN_CHARS normal characters are left out; equal rows give equal
+    Null texts and items hold nothing; items under MIN_CHARS normal bytes have to stand there as
+    whole words without an edit, those under Q bytes as the whole document; equal rows give equal
     rows; an empty side gives none. The benchmark is searched for in blocks of about BLOCK_CHARS characters, so what an
     executor is sent doesn't grow with it; the documents are read once for each block and never shuffled.
     """
@@ -181,8 +205,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for b in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        block = [(r["item"], x) for r in some.toLocalIterator() if len(x := normal(r["text"])) >= MIN_CHARS]
-        mine = _one_block(rows, sc.broadcast(Index(block)))
+        block = [(r["item"], x) for r in some.toLocalIterator() if (x := normal(r["text"]))]
+        index, short = Index([x for x in block if len(x[1]) >= MIN_CHARS]), Short([x for x in block if len(x[1]) < MIN_CHARS])
+        mine = _one_block(rows, sc.broadcast((index, short)))
         found = mine if found is None else found.unionByName(mine)
     return found
 
@@ -194,10 +219,13 @@ def _one_block(rows: DataFrame, index) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                got = search(index.value, [normal(x) for x in part.column(1).to_pylist()])
+                found, short = index.value
+                raw = [normal(x) for x in part.column(1).to_pylist()]
+                got = [(d, found.ids[i], start, edits) for d, i, start, edits in search(found, raw)]
+                got += [(d, i, start, 0) for d, x in enumerate(raw) for i, start in short.search(x)]
                 if got:
                     ids = part.column(0).to_pylist()
-                    columns = ([ids[d] for d, *_ in got], [index.value.ids[i] for _, i, *_ in got], [s for *_, s, _ in got], [e for *_, e in got])
+                    columns = ([ids[d] for d, *_ in got], [i for _, i, *_ in got], [s for *_, s, _ in got], [e for *_, e in got])
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
 
     return rows.mapInArrow(run, "id long, item long, start long, edits int")

@@ -319,6 +319,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    items = [(1, "What is love?"), (2, "Yes."), (3, "photosynthesis"), (4, "?!"), (5, "what is LOVE")]
+    rows = [(0, "So, what  is love - what is love, I ask", "s"), (1, "somewhat is love", "s"), (2, "YES!", "s"), (3, "yes and no", "s"), (4, "photosynthesis", "s"), (5, "a photosynthesis-like act", "s"), (6, "photosynthesiss", "s"), (7, "", "s"), (8, None, "s"), (9, "what is lov", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(frame(spark, rows), bench).collect()))
+    assert got == [(0, 1, 3, 0), (0, 5, 3, 0), (2, 2, 0, 0), (4, 3, 0, 0), (5, 3, 2, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(frame(spark, rows), bench).collect()) == [1, 3, 6, 7, 8, 9]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontaminate.contaminated(docs, bench)
