@@ -5,9 +5,11 @@ Every function takes and gives columns, so whole tables stay inside generated co
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fixed
+
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
@@ -54,46 +56,47 @@ def is_reference_paragraph(c: Column) -> Column:
     return F.lower(c).rlike(r"^\s*(\[\d+\]|\d+\.\s)|doi:|arxiv:")
 
 
-#: Headings that open a conclusion, in order of preference, and those that close it.
-CONCLUSION_HEADINGS = (r"(?im)^\s*(?:\d+\.?\s*)?conclusions?\s*$", r"(?im)^\s*(?:\d+\.?\s*)?conclusions? and future work\s*$", r"(?im)^\s*(?:\d+\.?\s*)?discussion and conclusions?\s*$")
-STOP_HEADINGS = r"(?im)^\s*(?:references|bibliography|acknowledge?ments?|appendix|appendices)\b"
+def _cut_at_stop(c: Column, stops: list[str]) -> Column:
+    """c up to the earliest of the stops' first matches that begin over 50 characters in; formulas dropped."""
+    places = [F.regexp_instr(c, F.lit("(?i)" + p)) for p in stops]
+    end = F.least(*[F.when(at > 51, at - 1) for at in places], F.length(c))
+    return F.regexp_replace(F.substr(c, F.lit(1), end), r"(?d)\$.*?\$", "")
 
 
 def extract_conclusion(c: Column) -> Column:
-    """The part below the first heading pattern found, up to a stop heading that starts over 50 characters in; formulas
-    dropped; paragraphs of 60 characters and 10 words that aren't references, up to 6 and 500 words; if none is left,
-    all of them cut at 1800 characters; empty without a heading."""
-    after = F.lit(None).cast("string")
-    for pattern in reversed(CONCLUSION_HEADINGS):
-        at = F.regexp_instr(c, F.lit(pattern))
-        after = F.when(at > 0, F.regexp_replace(F.substr(c, at), F.lit(r"(?s)\A" + pattern), F.lit(""))).otherwise(after)
-    stop = F.regexp_instr(F.substr(after, F.lit(51)), F.lit(STOP_HEADINGS))
-    body = F.when(stop > 0, F.substr(after, F.lit(1), stop + 49)).otherwise(after)
-    found = paragraphs(F.regexp_replace(body, r"\$[^$]*\$", " "))
+    """What follows the first heading found, of the headings in their order, up to a stop heading over 50 characters in;
+    formulas dropped; paragraphs of 60 characters and 10 words that aren't references, up to 6 and 500 words; if none is
+    left, all of them as one line cut at 1800 characters; empty without a heading."""
+    after = F.coalesce(*[F.when(c.rlike("(?i)" + p), F.regexp_extract(c, f"(?is){p}(.*)", 1)) for p in fixed.CONCLUSION_HEADINGS])
+    found = paragraphs(_cut_at_stop(after, fixed.CONCLUSION_STOPS))
     good = F.filter(found, lambda p: (F.length(p) >= 60) & (F.size(words(p)) >= 10) & ~is_reference_paragraph(p))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def step(acc, p):
         n = F.size(words(p))
-        full = acc["done"] | (acc["n"] + n > 500) | (F.size(acc["kept"]) >= 6)
+        full = acc["done"] | (acc["n"] + n > fixed.CONCLUSION_WORDS) | (F.size(acc["kept"]) >= fixed.CONCLUSION_PARAGRAPHS)
         return F.when(full, F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(acc["kept"], F.array(p)).alias("kept"), (acc["n"] + n).alias("n"), F.lit(False).alias("done")))
 
     kept = F.aggregate(good, start, step)["kept"]
-    return F.when(after.isNull(), "").when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(truncate_chars(F.array_join(found, "\n\n"), 1800))
+    return F.when(after.isNull(), "").when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(truncate_chars(F.array_join(found, " "), fixed.CONCLUSION_CHARS))
 
 
 def extract_conclusion_simple(c: Column) -> Column:
-    """From the word Conclusion to a closing heading, white space flattened; null without it."""
-    at = F.regexp_instr(c, F.lit(r"(?i)\bconclusion"))
-    body = F.split(F.substr(c, at), r"(?i)\b(?:references|acknowledg|appendix)", 2)[0]
+    """From the word Conclusion, else another heading, itself included, to a closing heading over 50 characters in;
+    formulas dropped, white space flattened; null without one."""
+    at = F.coalesce(*[F.when(c.rlike("(?i)" + p), F.regexp_instr(c, F.lit("(?i)" + p))) for p in fixed.SIMPLE_CONCLUSIONS])
+    body = _cut_at_stop(F.substr(c, at), fixed.SIMPLE_STOPS)
     return F.when(at > 0, strip(F.regexp_replace(body, r"\s+", " ")))
 
 
 def split_references(c: Column) -> Column:
-    """Entries [n] after the last part that the word References opens, over 15 characters each."""
-    body = F.coalesce(F.split(c, "References", 2)[1], c)
-    flat = F.regexp_replace(body, r"\s+", " ")
-    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"\[\d+\][^\[]*"), F.lit(0)), strip), lambda e: F.length(e) > 15)
+    """Entries "[n] text" after the first word References in any case (from the start without one), white space
+    flattened, over 15 characters each."""
+    at = F.regexp_instr(c, F.lit("(?i)References"))
+    flat = F.regexp_replace(F.substr(c, F.greatest(at, F.lit(1))), r"\s+", " ")
+    cut = F.split(F.regexp_replace(flat, r"(\[\d+\])", "\u0001$1\u0002"), "\u0001")
+    entries = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda e: F.concat(F.split(e, "\u0002")[0], F.lit(" "), strip(F.split(e, "\u0002")[1])))
+    return F.filter(entries, lambda e: F.length(e) > 15)
 
 
 def split_references_block(c: Column, most: int) -> Column:
@@ -216,35 +219,70 @@ def valid_citations(cited: Column, retrieved: Column) -> Column:
     return F.filter(F.transform(cited, lambda x: x.try_cast("long")), lambda x: x.isNotNull() & F.array_contains(retrieved, x))
 
 
-#: Words that make a question depend on what was said before, and topics that no paper answers.
-PRONOUNS = ["it", "this", "that", "they", "them", "these", "those", "he", "she", "its", "their"]
-UNRELATED = ["weather", "stock price", "recipe", "movie", "football", "restaurant", "lottery", "horoscope", "celebrity", "vacation"]
+def contains_any(c: Column, of: list[str]) -> Column:
+    """Whether c holds one of the strings."""
+    out = F.contains(c, F.lit(of[0]))
+    for x in of[1:]:
+        out = out | F.contains(c, F.lit(x))
+    return out
 
 
 def ambiguous_question(c: Column) -> Column:
-    tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9']+"), F.lit(0))
-    return (F.size(words(c)) <= 8) | F.arrays_overlap(tokens, F.array(*map(F.lit, PRONOUNS)))
+    """Up to eight words, or a pronoun among them; an empty question is not ambiguous."""
+    said = F.lower(strip(F.coalesce(c, F.lit(""))))
+    return (said != "") & ((F.size(words(said)) <= 8) | F.arrays_overlap(words(said), F.array(*map(F.lit, fixed.PRONOUNS))))
 
 
 def unrelated_question(c: Column) -> Column:
-    return F.lower(c).rlike("|".join(UNRELATED))
-
-
-#: Sentences that a model gives when it has nothing to say, and words that show a paper is about machine learning.
-BOILERPLATE = ["not enough information", "no summary available", "the paper does not", "as an ai language model"]
-ML_HINTS = ["machine learning", "neural", "deep learning", "model", "training", "dataset", "learning"]
-
-
-def low_quality_summary(summary: Column, about: Column) -> Column:
-    """Empty, boilerplate, or " ml " twice or more about a paper that has none of the hints."""
-    s, a = F.lower(F.coalesce(summary, F.lit(""))), F.lower(F.coalesce(about, F.lit("")))
-    mentions = (F.length(s) - F.length(F.replace(s, F.lit(" ml "), F.lit("")))) / 4
-    return (strip(s) == "") | s.rlike("|".join(BOILERPLATE)) | ((mentions >= 2) & ~a.rlike("|".join(ML_HINTS)))
-
-
-def fallback_answer(text: Column) -> Column:
-    """The first two sentences, or a fixed message without text."""
-    return F.when(strip(F.coalesce(text, F.lit(""))) == "", "No supporting text was found.").otherwise(F.array_join(F.slice(sentences(text), 1, 2), " "))
+    return contains_any(F.lower(F.coalesce(c, F.lit(""))), fixed.UNRELATED)
+
+
+def low_quality_summary(summary: Column, title: Column, abstract: Column) -> Column:
+    """Whether a summary's fields, joined by spaces, are empty, boilerplate, or speak twice or more of " ml " (or begin or
+    end with it) about a paper whose title and abstract hold none of the hints."""
+    none = F.lit("")
+    s = F.lower(strip(F.coalesce(summary, none)))
+    about = F.lower(F.concat(F.coalesce(title, none), F.lit(" "), F.coalesce(abstract, none)))
+    mentions = (F.length(s) - F.length(F.replace(s, F.lit(" ml "), none))) / 4 + F.startswith(s, F.lit("ml ")).cast("int") + F.endswith(s, F.lit(" ml")).cast("int")
+    return (s == "") | contains_any(s, fixed.BOILERPLATE) | ((mentions >= 2) & ~contains_any(about, fixed.ML_HINTS))
+
+
+def derive_summary(df: DataFrame, key: str = "id") -> DataFrame:
+    """df(key, abstract, conclusion, tldr) -> (key, research_question, methods, key_findings, conclusion): sentences with
+    certain words from what there is of abstract, tldr and conclusion, lists of one or none, null where nothing is."""
+    a, t, c = (strip(F.coalesce(x, F.lit(""))) for x in ("abstract", "tldr", "conclusion"))
+    rows = df.select(key, a.alias("a"), t.alias("t"), c.alias("c"))
+    rows = rows.withColumn("all", F.array_join(F.filter(F.array("a", "t", "c"), lambda x: x != ""), "\n"))
+    one = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
+    question = F.coalesce(sentence_with(F.col("all"), fixed.QUESTION_WORDS), first_sentence(F.col("a")))
+    findings = F.coalesce(sentence_with(F.col("all"), fixed.FINDING_WORDS), first_sentence(F.col("t")))
+    said = F.coalesce(F.nullif("t", F.lit("")), F.nullif("c", F.lit("")), last_sentence(F.col("a")))
+    return rows.select(key, question.alias("research_question"), one(sentence_with(F.col("all"), fixed.METHOD_WORDS)).alias("methods"), one(findings).alias("key_findings"), said.alias("conclusion"))
+
+
+def fallback_answer(chunks: Column) -> Column:
+    """The first two sentences of chunks (array<string>, in order) after a fixed opening, or a fixed message without
+    text."""
+    text = strip(F.array_join(F.transform(chunks, lambda x: strip(F.coalesce(x, F.lit("")))), " "))
+    return F.when(F.coalesce(text, F.lit("")) == "", fixed.NO_CONTEXT).otherwise(F.concat(F.lit(fixed.FROM_TEXT), F.array_join(F.slice(sentences(text), 1, 2), " ")))
+
+
+def assemble_pages(pages: DataFrame, key: str = "id", page: str = "page", text: str = "text") -> DataFrame:
+    """pages(key, page, text) -> (key, full_text, source, truncated, pages_processed): the first 80 pages cleaned and
+    joined by blank lines, as long as all characters, two for each gap, stay within the limit; of the page that passes it
+    what fits, cut at a word, if that is over 200 characters. Blank pages count as processed."""
+    w = Window.partitionBy(key).orderBy(page)
+    clean = normalize_text(F.coalesce(F.col(text), F.lit("")))
+    rows = pages.select(key, page, clean.alias("t")).withColumn("i", F.row_number().over(w)).where(F.col("i") <= fixed.PAGE_LIMIT)
+    size = F.when(F.col("t") != "", F.length("t") + 2).otherwise(0)
+    rows = rows.withColumn("size", size).withColumn("upto", F.sum("size").over(w)).withColumn("over", (F.col("upto") > fixed.TEXT_CHARS) & (F.col("size") > 0))
+    rows = rows.withColumn("past", F.sum(F.col("over").cast("int")).over(w))
+    rest = fixed.TEXT_CHARS - (F.col("upto") - F.col("size"))
+    cut = F.when(F.col("past") == 0, F.col("t")).when(F.col("over") & (F.col("past") == 1) & (rest > fixed.LEAST_REST), F.when(F.length("t") <= rest, F.col("t")).otherwise(F.regexp_replace(F.substr(F.col("t"), F.lit(1), rest.cast("int")), r" [^ ]*$", "")))
+    parts = rows.withColumn("kept", F.nullif(strip(cut), F.lit("")))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("i", "kept")))), lambda x: x["kept"]), "\n\n")
+    out = parts.groupBy(key).agg(strip(joined).alias("full_text"), F.bool_or("over").alias("truncated"), F.count_if(F.col("past") == 0).alias("pages_processed"))
+    return out.select(key, "full_text", F.when(F.col("full_text") != "", "pdf").otherwise("empty_pdf").alias("source"), "truncated", "pages_processed")
 
 
 def extract_answer(c: Column, mode: str = "strict") -> Column:
@@ -286,14 +324,11 @@ def extract_imports(c: Column) -> Column:
     return F.array_join(state["got"], "\n")
 
 
-#: Rules for a question's category, the first that fits.
-CATEGORIES = [("money", "dollar|\\$|cost|price|pay"), ("percentage", "percent|%"), ("time", "hour|minute|day|week|year"), ("distance", "mile|meter|kilometer|distance"), ("age", "\\bage\\b|years old|older|younger"), ("fraction", "half|third|quarter|fraction"), ("rate", "per |speed|rate"), ("geometry", "area|perimeter|length|width"), ("counting", "how many|total|number of")]
-
-
 def categorize(c: Column) -> Column:
+    """A question's category by the words it holds."""
     out = F.lit("multi_step")
-    for name, pattern in reversed(CATEGORIES):
-        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
+    for name, some in reversed(fixed.CATEGORIES):
+        out = F.when(contains_any(F.lower(c), some), name).otherwise(out)
     return out
 
 

@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, truncate_words, word_count, words
+from ..functions import fixed
+from ..functions.text import normalize_text, strip, truncate_words, word_count, words
 
-#: Names that open a section, alone on a line.
-SECTION_NAMES = "abstract|introduction|background|related work|method|methods|methodology|approach|experiments|results|evaluation|discussion|limitations|conclusion|conclusions|future work|references|appendix"
-HEADER = rf"(?im)^[ \t]*(?:\d+(?:\.\d+)*\.?[ \t]+)?({SECTION_NAMES})[ \t]*:?[ \t]*$"
-ALIASES = {"abstract": "abstract", "method": "methods", "methods": "methods", "methodology": "methods", "approach": "methods", "experiments": "results", "results": "results", "evaluation": "results", "conclusion": "conclusion", "conclusions": "conclusion", "limitations": "limitations", "introduction": "introduction", "background": "background", "related work": "related work"}
-MAX_SECTION_WORDS, MAX_BODY_WORDS = 25_000, 30_000
+HEADER = rf"(?imd)^(?:\d+(?:\.\d+)*)?\s*({'|'.join(fixed.SECTION_NAMES)})\s*$"
 
 
 def canonical_section(name: Column) -> Column:
-    out = F.lit("body")
-    for alias, to in ALIASES.items():
-        out = F.when(F.lower(strip(name)) == alias, to).otherwise(out)
-    return out
+    """The name that a section goes by; unknown ones are body."""
+    said = F.lower(strip(F.coalesce(name, F.lit(""))))
+    out = F.when(F.startswith(said, F.lit("limitation")), "limitations").otherwise("body")
+    for to, names in fixed.SECTION_ALIASES.items():
+        out = F.when(said.isin(names), to).otherwise(out)
+    return F.when(F.startswith(said, F.lit("abstract")), "abstract").otherwise(out)
 
 
 def sections(text: Column) -> Column:
     """array<struct<name, content>>: what stands under each header line; text before the first is dropped, empty
-    sections too; without a section one "body"."""
-    marked = F.regexp_replace(text, HEADER, "\u0001$1\u0002")
-    parts = F.slice(F.split(marked, "\u0001"), 2, 1 << 30)
-    found = F.transform(parts, lambda p: F.struct(canonical_section(F.split(p, "\u0002")[0]).alias("name"), strip(F.split(p, "\u0002")[1]).alias("content")))
-    found = F.filter(found, lambda s: s["content"] != "")
-    body = F.array(F.struct(F.lit("body").alias("name"), truncate_words(text, MAX_BODY_WORDS).alias("content")))
-    some = F.transform(found, lambda s: F.struct(s["name"].alias("name"), truncate_words(s["content"], MAX_SECTION_WORDS).alias("content")))
-    return F.when(strip(F.coalesce(text, F.lit(""))) == "", F.slice(body, 1, 0)).when(F.size(found) > 0, some).otherwise(body)
+    sections too; without a header one "body"."""
+    clean = normalize_text(F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(clean, HEADER, "\u0001$1\u0002")
+    cut = F.split(marked, "\u0001")
+    found = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda p: F.struct(canonical_section(F.split(p, "\u0002")[0]).alias("name"), truncate_words(normalize_text(F.split(p, "\u0002")[1]), fixed.MAX_SECTION_WORDS).alias("content")))
+    body = F.array(F.struct(F.lit("body").alias("name"), truncate_words(clean, fixed.MAX_TEXT_WORDS).alias("content")))
+    return F.when(clean == "", F.slice(body, 1, 0)).when(F.size(cut) > 1, F.filter(found, lambda s: s["content"] != "")).otherwise(body)
+
+
+def _once(found: Column) -> Column:
+    """The sections whose name and first 200 characters no earlier one has."""
+    key = lambda x: F.struct(x["name"].alias("name"), F.substring(x["content"], 1, 200).alias("head"))
+    keys = F.transform(found, key)
+    return F.filter(found, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
 def build_sections(papers: DataFrame) -> DataFrame:
-    """papers(id, full_text, abstract, conclusion) -> (id, section_order, name, content): the abstract, the sections of
-    the text and the conclusion, each once for its name and first 200 characters."""
-    one = lambda name, c, place: F.when(strip(F.coalesce(c, F.lit(""))) != "", F.array(F.struct(F.lit(place).alias("place"), F.lit(name).alias("name"), strip(c).alias("content")))).otherwise(F.expr("cast(array() as array<struct<place:int,name:string,content:string>>)"))
-    middle = F.transform(sections(F.coalesce("full_text", F.lit(""))), lambda s: F.struct(F.lit(1).alias("place"), s["name"].alias("name"), s["content"].alias("content")))
-    rows = papers.select("id", F.posexplode(F.concat(one("abstract", F.col("abstract"), 0), middle, one("conclusion", F.col("conclusion"), 2))).alias("pos", "s")).select("id", "pos", "s.name", "s.content")
-    same = Window.partitionBy("id", "name", F.substring("content", 1, 200)).orderBy("pos")
-    first = rows.withColumn("seen", F.row_number().over(same)).where("seen = 1")
-    return first.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).alias("section_order"), "name", "content")
+    """papers(id, full_text, abstract, conclusion) -> (id, section_order, name, content): the sections of the text, the
+    abstract before and the conclusion after them, each once for its name and first 200 characters; those of the text
+    count first. A paper's sections are one array, so nothing is shuffled."""
+    whole = truncate_words(normalize_text(F.coalesce("full_text", F.lit(""))), fixed.MAX_TEXT_WORDS)
+    part = lambda name: normalize_text(F.coalesce(name, F.lit("")))
+    rows = papers.select("id", sections(whole).alias("s"), part("abstract").alias("a"), part("conclusion").alias("c"))
+    rows = rows.select("id", _once(F.col("s")).alias("s"), "a", "c")
+
+    def missing(name: str, c: str) -> Column:
+        known = F.exists("s", lambda x: (x["name"] == name) & (F.substring(x["content"], 1, 200) == F.substring(c, 1, 200)))
+        made = F.array(F.struct(F.lit(name).alias("name"), truncate_words(F.col(c), fixed.MAX_SECTION_WORDS).alias("content")))
+        return F.when((F.col(c) != "") & ~known, made).otherwise(F.slice(made, 1, 0))
+
+    every = F.concat(missing("abstract", "a"), F.col("s"), missing("conclusion", "c"))
+    return rows.select("id", F.posexplode(every).alias("section_order", "s")).select("id", "section_order", "s.name", "s.content")
 
 
 def chunks(text: Column, size: int = 500, overlap: int = 40) -> Column:
@@ -58,7 +70,13 @@ def chunks(text: Column, size: int = 500, overlap: int = 40) -> Column:
 
 def chunk_corpus(papers: DataFrame, size: int = 500, overlap: int = 40) -> DataFrame:
     """(paper_id, section_id, chunk_id, section_order, chunk_index, chunk_type, token_estimate, chunk_text) of all
-    papers; sections over the limit of words are skipped. Ids are hashes of the places, so a rerun gives the same."""
-    s = build_sections(papers).where(word_count(F.col("content")) <= MAX_BODY_WORDS)
+    papers; sections over the limit of words are skipped (oversize() counts them). Ids are hashes of the places, so a
+    rerun gives the same."""
+    s = build_sections(papers).where(word_count(F.col("content")) <= fixed.MAX_SECTION_WORDS)
     rows = s.select("id", "section_order", "name", F.posexplode(chunks(F.col("content"), size, overlap)).alias("chunk_index", "chunk_text"))
     return rows.select(F.col("id").alias("paper_id"), F.xxhash64("id", "section_order").alias("section_id"), F.xxhash64("id", "section_order", "chunk_index").alias("chunk_id"), "section_order", "chunk_index", F.col("name").alias("chunk_type"), word_count(F.col("chunk_text")).alias("token_estimate"), "chunk_text")
+
+
+def oversize(papers: DataFrame) -> DataFrame:
+    """(id, oversize): how many sections of each paper chunk_corpus() skips for their length."""
+    return build_sections(papers).groupBy("id").agg(F.count_if(word_count(F.col("content")) > fixed.MAX_SECTION_WORDS).alias("oversize"))

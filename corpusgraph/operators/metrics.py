@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.text import categorize
+
 
 def run_stats(status: DataFrame) -> DataFrame:
     """status(status, sections, chunks, error) -> one row of counters with the first ten errors."""
@@ -88,15 +91,24 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where(F.length("word") > 1).select(F.explode(F.slice(pairs, F.lit(1), F.length("word") - 1)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def reward(text: Column, correct: Column) -> Column:
-    """Correctness, format and reasoning of an answer: 1 if correct; 0.4 with ####, less 0.2 under 50 characters; 0.04
-    for each operator sign up to 0.2, 0.05 for each marker word up to 0.1, 0.05 for three line feeds."""
-    count = lambda x: (F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))) / len(x)
-    signs = sum((count(x) for x in "+-*/="), F.lit(0.0))
-    markers = sum((count(x) for x in ("first", "then", "so")), F.lit(0.0))
-    form = F.when(F.contains(text, F.lit("####")), 0.4).otherwise(0.0) - F.when(F.length(text) < 50, 0.2).otherwise(0.0)
-    thought = F.least(0.04 * signs, F.lit(0.2)) + F.least(0.05 * markers, F.lit(0.1)) + F.when(count("\n") >= 3, 0.05).otherwise(0.0)
-    return correct.cast("double") + form + thought
+def category_accuracy(answers: DataFrame) -> DataFrame:
+    """answers(question, is_correct) -> (category, correct, total, accuracy) by the category of the question."""
+    return answers.groupBy(categorize(F.col("question")).alias("category")).agg(F.count_if("is_correct").alias("correct"), F.count("*").alias("total"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"))
+
+
+def reward(text: Column, correct: Column, mode: str = "combined") -> Column:
+    """1 for a correct answer; with format or combined 0.4 more with ####, and 0.2 less under 50 characters; with
+    reasoning or combined 0.04 for each operator sign up to 0.2, 0.05 for each marker word it holds up to 0.1, and 0.05
+    for three line feeds. Other modes: correctness alone."""
+    count = lambda x: F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))
+    out = correct.cast("double")
+    if mode in ("format", "combined"):
+        out = out + F.when(F.contains(text, F.lit("####")), 0.4).otherwise(0.0) - F.when(F.length(text) < 50, 0.2).otherwise(0.0)
+    if mode in ("reasoning", "combined"):
+        signs = sum((count(x) for x in "+-*/="), F.lit(0))
+        markers = sum((F.contains(text, F.lit(x)).cast("int") for x in fixed.MARKERS), F.lit(0))
+        out = out + F.least(0.04 * signs, F.lit(0.2)) + F.least(0.05 * markers, F.lit(0.1)) + F.when(count("\n") >= 3, 0.05).otherwise(0.0)
+    return out
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: str) -> DataFrame:

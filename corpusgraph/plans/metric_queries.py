@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators import metrics as M
 from ..operators import ranking as K
 from .fixtures import EDGES_SQL, PAPERS, edges, papers
 from .registry import query, table
-from .text_queries import _QUESTIONS, _CASES
+from .text_queries import _ASKED, _CASES, _asked
 
 
 def _r(c, n=6):
@@ -148,10 +146,10 @@ def pass_at_k(spark, sf_dir):
     return M.pass_at_k(s, 7).withColumn("rate", _r("rate"))
 
 
-@query(f"SELECT CASE {_CASES} ELSE 'multi_step' END AS category, count(*) FILTER (user_id % 2 = 0) AS correct, count(*) AS total, round(avg(CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0 END), 6) AS accuracy FROM (SELECT {_QUESTIONS} AS t, user_id FROM events) GROUP BY 1")
+@query(f"SELECT {_CASES.format('lower(t)')} AS category, count(*) FILTER (length(t) % 2 = 0) AS correct, count(*) AS total, round(avg(CASE WHEN length(t) % 2 = 0 THEN 1.0 ELSE 0 END), 6) AS accuracy FROM ({_ASKED}) GROUP BY 1")
 def category_accuracy(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(T.categorize(F.expr(_QUESTIONS)).alias("category"), (F.col("user_id") % 2 == 0).alias("ok"))
-    return e.groupBy("category").agg(F.count_if("ok").alias("correct"), F.count("*").alias("total"), _r(F.avg(F.col("ok").cast("double"))).alias("accuracy"))
+    asked = _asked(spark, sf_dir).select(F.col("t").alias("question"), (F.length("t") % 2 == 0).alias("is_correct"))
+    return M.category_accuracy(asked).withColumn("accuracy", _r("accuracy"))
 
 
 @query("SELECT l_suppkey AS grp, round(sum(l_discount + 1) / (ln(2.0) * sum(p_size % 4)), 6) AS bpb FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 4 > 0 AND l_partkey % 10 > 0 GROUP BY 1")
@@ -214,14 +212,16 @@ def pair_counts(spark, sf_dir):
     return M.pair_counts(word_counts(spark, sf_dir))
 
 
-_TEXT = "concat('first ', event_type, ' 1+2=3', CASE WHEN event_id % 2 = 0 THEN ' so then that is what we get in the end #### 3' ELSE '' END)"
+_SAID = "concat(CASE doc_id % 3 WHEN 0 THEN 'First, ' WHEN 1 THEN 'step first, Step ' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END, CASE doc_id % 4 WHEN 0 THEN ' Therefore 1+2=3, Because #### 3' WHEN 1 THEN ' 4*5' ELSE '' END)"
+_COUNT = "(length(t) - length(replace(t, '{}', '')))"
+_FORM = "CASE WHEN contains(t, '####') THEN 0.4 ELSE 0 END - CASE WHEN length(t) < 50 THEN 0.2 ELSE 0 END"
+_THOUGHT = "least(0.2, 0.04 * (" + " + ".join(_COUNT.format(x) for x in "+-*/=") + ")) + least(0.1, 0.05 * (" + " + ".join(f"CAST(contains(t, '{x}') AS INT)" for x in ("Step", "First", "Then", "Finally", "Therefore", "Because")) + ")) + CASE WHEN length(t) - length(replace(t, chr(10), '')) >= 3 THEN 0.05 ELSE 0 END"
 
 
-@query(f"""SELECT event_id, round(CAST(CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN event_id % 2 = 0 THEN 0.4 ELSE 0 END - CASE WHEN length({_TEXT}) < 50 THEN 0.2 ELSE 0 END + 0.08 + least(0.1, CASE WHEN event_id % 2 = 0 THEN 0.15 ELSE 0.05 END) AS DOUBLE), 6) AS reward FROM events""")
+@query(f"SELECT doc_id, round(CAST(c AS DOUBLE), 6) AS plain, round(CAST(c + {_FORM} AS DOUBLE), 6) AS format, round(CAST(c + {_THOUGHT} AS DOUBLE), 6) AS reasoning, round(CAST(c + {_FORM} + {_THOUGHT} AS DOUBLE), 6) AS combined FROM (SELECT doc_id, {_SAID} AS t, CASE WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0.0 END AS c FROM documents)")
 def reward(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    text = F.concat(F.lit("first "), "event_type", F.lit(" 1+2=3"), F.when(F.col("event_id") % 2 == 0, " so then that is what we get in the end #### 3").otherwise(""))
-    return e.select("event_id", _r(M.reward(text, F.col("user_id") % 2 == 0)).alias("reward"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *[_r(M.reward(F.expr(_SAID), F.col("n_chars") % 2 == 0, mode)).alias(mode) for mode in ("plain", "format", "reasoning", "combined")])
 
 
 @query("SELECT step, round(avg(r), 6) AS mean_reward, round(avg(l), 6) AS mean_length FROM (SELECT l_suppkey AS step, l_orderkey, avg(l_discount) AS r, avg(l_quantity) AS l FROM lineitem GROUP BY 1, 2) GROUP BY 1")

@@ -56,35 +56,76 @@ def paragraphs(spark, sf_dir):
     return p.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.get("p", F.lit(0)).alias("first_paragraph"), F.size(F.filter("p", T.is_reference_paragraph)).cast("long").alias("n_references"))
 
 
-def _with_headings(spark, sf_dir):
-    body = F.concat(F.lit("1. Introduction\n"), F.substring("text", 1, 400), F.when(F.col("doc_id") % 3 == 0, "\n5. Conclusion\n").otherwise("\nOutlook\n"), F.col("text"), F.lit("\nReferences\n[1] Some cited work of a length that counts, 2019. [2] Short. [3] Another cited work, doi:10.1/x, 2020.\n\nAppendix\nmore"))
-    return _docs(spark, sf_dir).select("doc_id", body.alias("body"))
+#: A document with headings of all kinds around its whole text, as SQL of both engines.
+_HEADED = """concat('1. Introduction', {nl}, text, CASE doc_id % 6 WHEN 0 THEN concat({nl}, '5. Conclusion', {nl}) WHEN 1 THEN concat({nl}, '2.1 concluding remarks ', {nl}) WHEN 2 THEN concat({nl}, 'Summary and Discussion', {nl}) WHEN 3 THEN concat({nl}, 'Outlook', {nl})
+ WHEN 4 THEN concat({nl}, 'Summary and Discussion', {nl}, lang, {nl}, 'CONCLUSION', {nl}) ELSE concat({nl}, 'Conclusion', {nl}, 'References', {nl}) END, replace(text, {nl}, concat({nl}, {nl})), ' $x', lang, '$', {nl}, {nl}, '[7] A reference, doi:10.1/', source, ', that is long enough to be kept otherwise, as it has over ten words.', {nl}, {nl}, text, {nl},
+ CASE doc_id % 4 WHEN 0 THEN 'Acknowledgments' WHEN 1 THEN '7 Supplementary Material' WHEN 2 THEN 'appendix' ELSE 'References' END, {nl}, 'nothing of this belongs to it, whatever its length may be, and so on and on', {nl})"""
 
 
-@query()
-def extract_conclusion(spark, sf_dir):
-    return _with_headings(spark, sf_dir).select("doc_id", T.extract_conclusion(F.col("body")).alias("conclusion"))
+def _headed(spark, sf_dir):
+    return spark.sql(f"SELECT doc_id, {_HEADED.format(nl="'\\n'")} AS body FROM {{docs}}", docs=_docs(spark, sf_dir))
+
+
+def _heading_sql(*patterns: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(body, '(?i){p}') THEN regexp_extract(body, '(?is){p}(.*)', 1)" for p in patterns) + " END"
+
+
+_H = r"\n(?:[0-9.]*\s*)?"
 
 
-_LINES = "concat('Introduction ', replace(text, 'onclusion', 'onclude'), CASE WHEN doc_id % 2 = 0 THEN ' Conclusion: ' ELSE ' End: ' END, lang, '  was   used. References [1]')"
+def _stop_sql(*stops: str) -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches(after, '(?i){_H}{p}') AND length(regexp_extract(after, '(?is)^(.*?){_H}{p}', 1)) > 50 THEN length(regexp_extract(after, '(?is)^(.*?){_H}{p}', 1)) END" for p in stops)
+    return f"regexp_replace(substr(after, 1, least({found}, length(after))), '\\$[^\\n]*?\\$', '', 'g')"
 
 
-@query(rf"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Conclusion: ', lang, ' was used.') END AS conclusion FROM documents")
+_CONCLUSION = rf"""WITH d AS (SELECT doc_id, {_HEADED.format(nl="chr(10)")} AS body FROM documents),
+h AS (SELECT doc_id, {_heading_sql(_H + 'Conclusion\\b', _H + 'Concluding Remarks\\b', _H + 'Summary and Discussion\\b')} AS after FROM d),
+b AS (SELECT doc_id, after, list_filter(list_transform(string_split_regex(regexp_replace({_stop_sql('References\\b', 'Bibliography\\b', 'Appendix\\b', 'Acknowledg?ments?\\b', 'Supplementary Material\\b')}, '\r\n?', chr(10), 'g'), '\n\s*\n'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS ps FROM h),
+u AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM b),
+g AS (SELECT doc_id, i, p, len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> '')) AS n FROM u WHERE length(p) >= 60 AND NOT regexp_matches(lower(p), '^(\[\d+\]|\d+\.\s)|doi:|arxiv:')),
+r AS (SELECT *, row_number() OVER w AS rn, sum(n) OVER w AS run FROM g WHERE n >= 10 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY i) AS kept FROM r WHERE rn <= 6 AND run <= 500 GROUP BY 1),
+f AS (SELECT doc_id, after, kept, array_to_string(ps, ' ') AS flat FROM b LEFT JOIN k USING (doc_id))
+SELECT doc_id, CASE WHEN after IS NULL THEN '' WHEN kept IS NOT NULL THEN kept WHEN length(flat) <= 1800 THEN flat ELSE trim(regexp_replace(substr(flat, 1, 1800), ' [^ ]*$', '')) END AS conclusion FROM f"""
+
+
+@query(_CONCLUSION)
+def extract_conclusion(spark, sf_dir):
+    return _headed(spark, sf_dir).select("doc_id", T.extract_conclusion(F.col("body")).alias("conclusion"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, replace(replace({_HEADED.format(nl="chr(10)")}, 'onclusion', CASE WHEN doc_id % 2 = 0 THEN 'onclusion' ELSE 'onclude' END), 'ONCLUSION', 'ONCLUDE') AS body FROM documents),
+h AS (SELECT doc_id, CASE WHEN regexp_matches(body, '(?i)Conclusion') THEN regexp_extract(body, '(?is)Conclusion.*') WHEN regexp_matches(body, '(?i){_H}Concluding Remarks') THEN regexp_extract(body, '(?is){_H}Concluding Remarks.*') WHEN regexp_matches(body, '(?i){_H}Summary and Discussion') THEN regexp_extract(body, '(?is){_H}Summary and Discussion.*') END AS after FROM d)
+SELECT doc_id, CASE WHEN after IS NOT NULL THEN trim(regexp_replace({_stop_sql('References', 'Bibliography', 'Appendix', 'Acknowledgments', 'Supplementary Material')}, '\s+', ' ', 'g')) END AS conclusion FROM h""")
 def extract_conclusion_simple(spark, sf_dir):
-    body = F.concat(F.lit("Introduction "), F.replace("text", F.lit("onclusion"), F.lit("onclude")), F.when(F.col("doc_id") % 2 == 0, " Conclusion: ").otherwise(" End: "), "lang", F.lit("  was   used. References [1]"))
-    return _docs(spark, sf_dir).select("doc_id", T.extract_conclusion_simple(body).alias("conclusion"))
+    other = F.when(F.col("doc_id") % 2 == 0, "onclusion").otherwise("onclude")
+    body = F.replace(F.replace("body", F.lit("onclusion"), other), F.lit("ONCLUSION"), F.lit("ONCLUDE"))
+    return _headed(spark, sf_dir).select("doc_id", T.extract_conclusion_simple(body).alias("conclusion"))
+
 
+_LISTED = "concat(text, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat({nl}, CASE WHEN doc_id % 3 = 1 THEN 'REFERENCES' ELSE 'references' END, {nl}) END, '[1] ', source, ' wrote [sic]', {nl}, ' about ', lang, ' in 2001 [2]', source, '[3]  ', text, {nl}, '[12] doi:10.1/', doc_id, ' and so on [13]')"
 
-@query(r"""SELECT doc_id, CAST(i AS BIGINT) AS pos, e AS entry FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS e FROM (
-SELECT doc_id, list_filter(['[1] ' || source || ' wrote about ' || lang || ' in 2001', CASE WHEN length(source) > 4 THEN '[2] ' || source || ', a longer piece' ELSE '[2] ' || source END, '[3] doi:10.1/' || CAST(doc_id AS VARCHAR) || ' and so on'], lambda x: length(x) > 15) AS l FROM documents))""")
+
+@query(rf"""WITH d AS (SELECT doc_id, {_LISTED.format(nl="chr(10)")} AS body FROM documents), f AS (SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(body, '(?i)references') THEN regexp_extract(body, '(?is)references.*') ELSE body END, '\s+', ' ', 'g') AS flat FROM d),
+l AS (SELECT doc_id, list_filter(list_transform(list_zip(regexp_extract_all(flat, '\[\d+\]'), string_split_regex(flat, '\[\d+\]')[2:]), lambda z: concat(z[1], ' ', trim(z[2]))), lambda e: length(e) > 15) AS l FROM f)
+SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS entry FROM l""")
 def split_references(spark, sf_dir):
-    c = lambda *x: F.concat(*[F.lit(y[1:]) if y.startswith("=") else F.col(y) for y in x])
-    long = F.when(F.length("source") > 4, F.lit(", a longer piece")).otherwise(F.lit(""))
-    body = F.concat(F.lit("text\nReferences\n"), c("=[1] ", "source", "= wrote\n about ", "lang", "= in 2001 [2]  ", "source"), long, F.lit("\n[3] doi:10.1/"), F.col("doc_id").cast("string"), F.lit(" and so on"))
-    got = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.split_references(body)).alias("pos", "entry"))
+    body = spark.sql(f"SELECT doc_id, {_LISTED.format(nl="'\\n'")} AS body FROM {{docs}}", docs=_docs(spark, sf_dir))
+    got = body.select("doc_id", F.posexplode(T.split_references(F.col("body"))).alias("pos", "entry"))
     return got.withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(rf"""WITH p AS (SELECT doc_id AS id, i AS page, CASE WHEN i % 7 = 3 THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(concat(text, ' ', i), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) END AS t FROM documents, (SELECT unnest(range(90)) AS i) WHERE i < 80),
+s AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE length(t) + 2 END AS size, sum(CASE WHEN t = '' THEN 0 ELSE length(t) + 2 END) OVER (PARTITION BY id ORDER BY page) AS upto FROM p),
+o AS (SELECT *, min(CASE WHEN upto > 350000 AND size > 0 THEN page END) OVER (PARTITION BY id) AS stop FROM s),
+k AS (SELECT *, CASE WHEN stop IS NULL OR page < stop THEN t WHEN page = stop AND 350000 - (upto - size) > 200 THEN CASE WHEN length(t) <= 350000 - (upto - size) THEN t ELSE trim(regexp_replace(substr(t, 1, CAST(350000 - (upto - size) AS BIGINT)), ' [^ ]*$', '')) END END AS kept FROM o)
+SELECT id, md5(coalesce(string_agg(nullif(kept, ''), chr(10) || chr(10) ORDER BY page), '')) AS digest, CASE WHEN count(nullif(kept, '')) > 0 THEN 'pdf' ELSE 'empty_pdf' END AS source, any_value(stop) IS NOT NULL AS truncated, count(*) FILTER (stop IS NULL OR page < stop) AS pages_processed FROM k GROUP BY 1""")
+def assemble_pages(spark, sf_dir):
+    pages = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("page"))
+    pages = pages.select("id", "page", F.when(F.col("page") % 7 == 3, "  ").otherwise(F.concat("text", F.lit(" "), F.col("page").cast("string"))).alias("t"))
+    return T.assemble_pages(pages, "id", "page", "t").select("id", F.md5("full_text").alias("digest"), "source", "truncated", "pages_processed")
+
+
 @query(r"SELECT doc_id, 2 AS n_entries, 'Cited work number one of ' || source || ', in a journal' AS first_entry FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 0, NULL FROM documents WHERE doc_id % 2 = 1")
 def split_references_block(spark, sf_dir):
     body = F.concat(F.lit("Body\n"), F.when(F.col("doc_id") % 2 == 0, "References").otherwise("Notes"), F.lit("\n[1] Cited work number one of "), "source", F.lit(",\nin a journal\n2. A second cited work with its own long title\n3 short\nAppendix\n[4] not a reference, though it is long enough for one"))
@@ -178,33 +219,42 @@ def valid_citations(spark, sf_dir):
     return e.select("event_id", F.array_join(T.valid_citations(cited, known), ",").alias("cited"))
 
 
-_PRONOUNS = ", ".join(f"'{x}'" for x in T.PRONOUNS)
-
-
-@query(f"SELECT conv_id, turn, len({_words('text')}) <= 8 OR len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9'']+'), [{_PRONOUNS}])) > 0 AS ambiguous, regexp_matches(lower(text), '{'|'.join(T.UNRELATED)}') AS unrelated FROM conversations WHERE role = 'user'")
+@query(f"""SELECT conv_id, turn, q <> '' AND (len({_words('q')}) <= 8 OR len(list_intersect({_words('q')}, ['it', 'they', 'this', 'that', 'these', 'those', 'he', 'she'])) > 0) AS ambiguous,
+regexp_matches(q, 'weather|restaurant|movie|stock|sports|recipe|vacation|dating|politics|bitcoin') AS unrelated FROM (SELECT conv_id, turn, lower({_strip("coalesce(text, '')")}) AS q FROM conversations)""")
 def question_flags(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.ambiguous_question(F.col("text")).alias("ambiguous"), T.unrelated_question(F.col("text")).alias("unrelated"))
 
 
-@query(f"""SELECT doc_id, s = '' OR regexp_matches(lower(s), '{'|'.join(T.BOILERPLATE)}') OR ((length(lower(s)) - length(replace(lower(s), ' ml ', ''))) / 4 >= 2 AND NOT regexp_matches(lower(text), '{'|'.join(T.ML_HINTS)}')) AS low FROM
-(SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'The paper does not say' WHEN 2 THEN 'An ml method with ml and ml parts' ELSE substr(text, 1, 50) END AS s FROM documents)""")
+_SUMMARY = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN concat('So: Key contributions advance the understanding of ML. ', lang) WHEN 2 THEN concat('An ml method with ml and ml parts. ', text) WHEN 3 THEN concat('ML ', text, ' and ML') WHEN 4 THEN concat('ml ', text) WHEN 5 THEN concat(text, ' of ml ml ml ') ELSE text END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, lower({_strip(_SUMMARY)}) AS s, lower(concat(source, ' ', coalesce(text, ''))) AS about FROM documents)
+SELECT doc_id, s = '' OR contains(s, 'how can ml techniques be applied to improve state-of-the-art results?') OR contains(s, 'the paper presents novel approaches within the ml domain.') OR contains(s, 'key contributions advance the understanding of ml.') OR contains(s, 'this work provides meaningful progress in ml research.')
+OR ((length(s) - length(replace(s, ' ml ', ''))) / 4 + CAST(starts_with(s, 'ml ') AS INT) + CAST(ends_with(s, ' ml') AS INT) >= 2 AND NOT regexp_matches(about, 'machine learning|deep learning|transformer|neural|language model|llm|ml')) AS low FROM s""")
 def low_quality_summary(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    s = F.when(k == 0, "").when(k == 1, "The paper does not say").when(k == 2, "An ml method with ml and ml parts").otherwise(F.substring("text", 1, 50))
-    return _docs(spark, sf_dir).select("doc_id", T.low_quality_summary(s, F.col("text")).alias("low"))
+    return _docs(spark, sf_dir).select("doc_id", T.low_quality_summary(F.expr(_SUMMARY), F.col("source"), F.col("text")).alias("low"))
+
+
+def _first_with(words: str) -> str:
+    return f"list_filter(s, lambda x: regexp_matches(lower(x), '{words}'))[1]"
 
 
-@query(f"""WITH {PAPERS}, s AS (SELECT id, tldr, conclusion, {_SENTENCES.format("coalesce(abstract, '')")} AS s FROM papers)
-SELECT id, coalesce(list_filter(s, lambda x: contains(lower(x), 'que') OR contains(lower(x), 'why'))[1], s[1]) AS question, list_filter(s, lambda x: contains(lower(x), 'tion'))[1] AS methods, coalesce(nullif(tldr, ''), nullif(conclusion, ''), s[-1]) AS conclusion FROM s""")
+@query(f"""WITH {PAPERS}, p AS (SELECT id, {_strip("coalesce(abstract, '')")} AS a, {_strip("coalesce(tldr, '')")} AS t, {_strip("coalesce(conclusion, '')")} AS c FROM papers),
+s AS (SELECT *, {_SENTENCES.format("array_to_string(list_filter([a, t, c], lambda x: x <> ''), chr(10))")} AS s, {_SENTENCES.format('a')} AS sa, {_SENTENCES.format('t')} AS st FROM p)
+SELECT id, coalesce({_first_with('investigate|study|examine|analyze|measure|what|whether')}, sa[1]) AS research_question, coalesce({_first_with('method|approach|analysis|experiment|dataset|model|using|fit|estimate')}, '') AS methods,
+coalesce({_first_with('find|result|show|observe|improv|constrain|evidence|demonstrate')}, st[1], '') AS key_findings, coalesce(nullif(t, ''), nullif(c, ''), sa[-1]) AS conclusion FROM s""")
 def derive_summary(spark, sf_dir):
-    a = F.coalesce("abstract", F.lit(""))
-    return papers(spark, sf_dir).select("id", F.coalesce(T.sentence_with(a, ["que", "why"]), T.first_sentence(a)).alias("question"), T.sentence_with(a, ["tion"]).alias("methods"), F.coalesce(F.nullif("tldr", F.lit("")), F.nullif("conclusion", F.lit("")), T.last_sentence(a)).alias("conclusion"))
+    return T.derive_summary(papers(spark, sf_dir)).select("id", "research_question", F.array_join("methods", "|").alias("methods"), F.array_join("key_findings", "|").alias("key_findings"), "conclusion")
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'No supporting text was found.' ELSE array_to_string(({_SENTENCES.format('text')})[1:2], ' ') END AS answer FROM documents")
+@query(f"""WITH c AS (SELECT conv_id, {_strip("string_agg(" + _strip("coalesce(CASE WHEN conv_id % 5 > 0 THEN text END, '')") + ", ' ' ORDER BY turn)")} AS t FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN t = '' THEN 'I couldn''t find enough indexed context for this paper yet. Try again in a minute after chunking completes.' ELSE 'Based on the paper text I can access: ' || array_to_string(({_SENTENCES.format('t')})[1:2], ' ') END AS answer FROM c""")
 def fallback_answer(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.fallback_answer(F.when(F.col("doc_id") % 10 != 0, F.col("text"))).alias("answer"))
+    """Turns stand for a paper's chunks."""
+    said = F.struct("turn", F.when(F.col("conv_id") % 5 > 0, F.col("text")).alias("text"))
+    chunks = F.transform(F.sort_array(F.collect_list(said)), lambda x: x["text"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(chunks.alias("chunks")).select("conv_id", T.fallback_answer(F.col("chunks")).alias("answer"))
 
 
 @query(f"WITH {PAPERS} SELECT id, concat('Question: what is new?', chr(10), 'Context:', chr(10), array_to_string(list_filter(['[1] ' || abstract, '[2] ' || conclusion], lambda x: x IS NOT NULL), chr(10) || chr(10)), chr(10), 'Answer:') AS prompt FROM papers")
@@ -240,13 +290,22 @@ def extract_program(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.extract_program(c).alias("program"), T.extract_imports(i).alias("imports"))
 
 
-_CASES = " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN '{n}'" for n, p in T.CATEGORIES)
-_QUESTIONS = "CASE event_type WHEN 'click' THEN 'How many eggs?' WHEN 'view' THEN 'A walk of 3 miles per hour' WHEN 'error' THEN 'What does it cost' WHEN 'signup' THEN 'half of it' ELSE 'Then what' END"
+#: A question's category, by {0}.
+_CASES = r"""CASE WHEN regexp_matches({0}, 'dollar|money|\$|price|cost') THEN 'money' WHEN regexp_matches({0}, 'hour|minute|day|week|month|schedule|time') THEN 'time_scheduling' WHEN regexp_matches({0}, 'total|sum|together') THEN 'arithmetic'
+WHEN regexp_matches({0}, 'each|every|per') THEN 'multiplication' WHEN regexp_matches({0}, 'left|remain|after') THEN 'subtraction' WHEN regexp_matches({0}, 'split|share|divided') THEN 'division' WHEN regexp_matches({0}, 'percent|%|percentage') THEN 'percentage'
+WHEN regexp_matches({0}, 'long|short|width|height|area|perimeter|volume|meter|inch|cm') THEN 'geometry_measurement' WHEN regexp_matches({0}, 'larger|smaller|more than|less than|compare') THEN 'comparison' ELSE 'multi_step' END"""
+#: Questions of all kinds: a document's sentences, one by one.
+_ASKED = f"SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS t FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)"
+
+
+def _asked(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "t"))
 
 
-@query(f"SELECT event_id, CASE {_CASES} ELSE 'multi_step' END AS category FROM (SELECT event_id, {_QUESTIONS} AS t FROM events)")
+@query(f"SELECT doc_id, CAST(i AS INT) AS i, {_CASES.format('lower(t)')} AS category FROM ({_ASKED}) UNION ALL SELECT conv_id, -1 - CAST(turn AS INT), {_CASES.format('lower(text)')} FROM conversations")
 def categorize(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.categorize(F.expr(_QUESTIONS)).alias("category"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (-1 - F.col("turn").cast("int")).alias("i"), F.col("text").alias("t"))
+    return _asked(spark, sf_dir).unionByName(turns).select("doc_id", "i", T.categorize(F.col("t")).alias("category"))
 
 
 @query("SELECT p_partkey, concat('Multiple Choice question: Which is ', p_name, '?', chr(10), '- ', p_brand, '=A', chr(10), '- ', p_type, '=B', chr(10), chr(10), 'Respond only with the letter of the correct answer.') AS prompt FROM part")
