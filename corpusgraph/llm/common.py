@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +17,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session, which is one machine,
+    makes a folder of its own, and a cluster, whose executors don't see the driver's folders, is refused."""
     sc = spark.sparkContext
     set_to = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not set_to:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
+_stage: dict = {"id": None}
+
+
+def begin() -> None:
+    """Called first by each task that runs Python here: what tasks of another stage left in this worker is dropped, so a
+    worker that serves many stages holds the tables of one."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage["id"]:
+        _stage.clear()
+        _stage["id"] = stage
+
+
+def held(name: str, make: Callable):
+    """What make() gives, kept in this worker for the tasks of the running stage."""
+    begin()
+    if name not in _stage:
+        _stage[name] = make()
+    return _stage[name]
+
+
 def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: the lineage ends there, and a lost executor costs no
     earlier stage."""

@@ -13,14 +13,16 @@ counts at the first segment that its lines share, so none counts twice and none
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import begin, stored, texts
 from .components import components
 from .substrings import parts_of
 
@@ -47,18 +49,63 @@ def segments(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _key(text: str, length: int, number: int) -> int:
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), length * 8 + number)
-    return h - (1 << 64) if h >> 63 else h
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = 1 << 18  # characters whose powers are kept; a longer line makes its own
 
 
-def index_entries(line: str) -> list[tuple[int, int]]:
-    """(key, number) of each segment of a line."""
-    return [(_key(line[a : a + s], len(line), i), i) for i, (a, s) in enumerate(segments(len(line)))]
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_STEPS)
 
 
-def index_keys(line: str) -> list[int]:
-    return [k for k, _ in index_entries(line)]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    up, down = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class _Hashed:
+    """Lines whose substrings are hashed many at once: a polynomial's running sums give that of any substring."""
+
+    def __init__(self, lines: list[str]):
+        self.size = np.array([len(x) for x in lines], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        up, self.down = _kept_powers() if len(codes) < _STEPS else _powers(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=self.sums[1:])
+
+    def keys(self, which: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, number: int) -> np.ndarray:
+        """Keys of `size` characters from start in each of the lines `which`, as segment `number` of lines of a length."""
+        a = self.begin[which] + start
+        h = (self.sums[a + size] - self.sums[a]) * self.down[a] + (length * 8 + number).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for shift, by in ((32, 0xC2B2AE3D27D4EB4F), (29, 0x165667B19E3779F9)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _cut(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of that segment of lines of these lengths, as segments() has them."""
+    size, longer = np.divmod(length, edits + 1)
+    shorter = edits + 1 - longer
+    return number * size + np.maximum(0, number - shorter), size + (number >= shorter)
+
+
+def _allowed(length: np.ndarray) -> np.ndarray:
+    return np.minimum(EDITS, length // CHARS_AN_EDIT)
+
+
+def index_entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, number) of each segment of the lines."""
+    h, out = _Hashed(lines), []
+    t = _allowed(h.size)
+    for edits in range(1, EDITS + 1):
+        which = np.flatnonzero(t == edits)
+        for i in range(edits + 1):
+            start, size = _cut(h.size[which], edits, i)
+            out.append((which, h.keys(which, start, size, h.size[which], i), np.full(len(which), i)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _places(i: int, a: int, s: int, t: int, shorter: int, longer: int) -> tuple[int, int]:
@@ -67,22 +114,29 @@ def _places(i: int, a: int, s: int, t: int, shorter: int, longer: int) -> tuple[
     return max(0, a - i, a + apart - (t - i)), min(longer - s, a + i, a + apart + (t - i))
 
 
-def probe_entries(line: str) -> dict[int, tuple[int, bool]]:
-    """Keys under which a line of the same length or shorter, within its allowed edits, may be filed, with the segment's
-    number and whether the lengths are the same."""
-    n, out = len(line), {}
-    for shorter in range(n, max(n - EDITS, CHARS_AN_EDIT) - 1, -1):
-        t = allowed(shorter)
-        if n - shorter > t or not t:
-            continue
-        for i, (a, s) in enumerate(segments(shorter)):
-            low, high = _places(i, a, s, t, shorter, n)
-            out.update((_key(line[k : k + s], shorter, i), (i, shorter == n)) for k in range(low, high + 1))
-    return out
-
-
-def probe_keys(line: str) -> set[int]:
-    return set(probe_entries(line))
+def probe_entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, number, same): keys under which a line of the same length or shorter, within its allowed edits, may be
+    filed, with the segment's number and whether the lengths are the same; each once for a line."""
+    h, out = _Hashed(lines), []
+    for apart in range(EDITS + 1):
+        shorter = h.size - apart
+        t = np.where(shorter > 0, _allowed(shorter), 0)
+        for edits in range(max(1, apart), EDITS + 1):
+            which = np.flatnonzero(t == edits)
+            short = shorter[which]
+            for i in range(edits + 1):
+                a, s = _cut(short, edits, i)
+                low = np.maximum(np.maximum(0, a - i), a + apart - (edits - i))
+                high = np.minimum(np.minimum(h.size[which] - s, a + i), a + apart + (edits - i))
+                for k in range(int((high - low).max(initial=-1)) + 1):
+                    fits = low + k <= high
+                    w = which[fits]
+                    out.append((w, h.keys(w, low[fits] + k, s[fits], short[fits], i), np.full(len(w), i), np.full(len(w), apart == 0)))
+    line, key, number, same = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    first = np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])] if len(line) else np.empty(0, bool)
+    return line[first], key[first], number[order][first], same[order][first]
 
 
 def first_shared(shorter: str, longer: str) -> int:
@@ -95,12 +149,31 @@ def first_shared(shorter: str, longer: str) -> int:
     return -1
 
 
+def _alike(a: str, b: str) -> int:
+    """How many characters two strings begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def edits_between(a: str, b: str, most: int) -> int:
     """The edit distance of two strings, or most + 1 if it is larger. Bit k of a row's e-th word says that diagonal
     k - most is reached with e edits or fewer."""
-    m, n = len(a), len(b)
-    if abs(n - m) > most:
+    if abs(len(b) - len(a)) > most:
         return most + 1
+    # what both begin and end with costs no edit
+    same = _alike(a, b)
+    a, b = a[same:], b[same:]
+    same = _alike(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    m, n = len(a), len(b)
+    if not m or not n:
+        return max(m, n)
     place: dict[str, int] = {}
     for j, c in enumerate(b):
         place[c] = place.get(c, 0) | 1 << (j + most)
@@ -180,39 +253,35 @@ def _keys(named: DataFrame, probe: bool) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("number", pa.int32()), ("same", pa.bool_()), ("part", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for r in _rows(batches):
-            lines, keys, numbers, sames, ats = _part(r), [], [], [], []
-            for at in r["ats"]:
-                x = lines[at][2]
-                if len(x) < CHARS_AN_EDIT:
+            lines = _part(r)
+            ats = [at for at in r["ats"] if len(lines[at][2]) >= CHARS_AN_EDIT]
+            sizes = np.cumsum([len(lines[at][2]) for at in ats])
+            cuts = np.searchsorted(sizes, np.arange(1, (sizes[-1] if len(sizes) else 0) // _STEPS + 1) * _STEPS).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(ats)]):  # lines of less than _STEPS characters at once, or a longer one
+                if a == b:
                     continue
-                if probe:
-                    got = probe_entries(x)
-                    keys += got
-                    numbers += [n for n, _ in got.values()]
-                    sames += [same for _, same in got.values()]
-                else:
-                    got = index_entries(x)
-                    keys += [k for k, _ in got]
-                    numbers += [n for _, n in got]
-                    sames += [None] * len(got)
-                ats += [at] * len(got)
-                if len(keys) > 200_000:
-                    yield _batch(schema, keys, numbers, sames, [r["part"]] * len(keys), ats)
-                    keys, numbers, sames, ats = [], [], [], []
-            yield _batch(schema, keys, numbers, sames, [r["part"]] * len(keys), ats)
+                some = [lines[at][2] for at in ats[a:b]]
+                line, key, number, *same = probe_entries(some) if probe else index_entries(some)
+                same = pa.array(same[0]) if probe else pa.nulls(len(line), pa.bool_())
+                columns = pa.array(key), pa.array(number.astype(np.int32)), same, pa.array(np.full(len(line), r["part"])), pa.array(np.array(ats[a:b], np.int32)[line])
+                yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
 
     return named.mapInArrow(run, "key long, number int, same boolean, part long, at int")
 
 
-_COMPARED = pa.schema([("up", pa.int64()), ("ua", pa.int32()), ("vp", pa.int64()), ("va", pa.int32()), ("links", pa.int64())])
+_PLACE = [("id", pa.int64()), ("line", pa.int32()), ("part", pa.int64()), ("at", pa.int32())]
+_COMPARED = pa.schema([*((f"u{k}", t) for k, t in _PLACE), *((f"v{k}", t) for k, t in _PLACE), ("links", pa.int64())])
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """A block of index lines against a block of probing ones, all of one segment: a row (line, itself, links) for each
     line with links, and a row (line, line, 0) for each link of a spanning forest."""
-    rows = table.select(["number", "same", "part", "at", "text"]).to_pylist()
-    index = [((r["part"], r["at"]), r["text"]) for r in rows if r["same"] is None]
+    begin()
+    rows = table.select(["number", "same", "id", "line", "part", "at", "text"]).to_pylist()
+    name = lambda r: (r["id"], r["line"], r["part"], r["at"])
+    index = [(name(r), r["text"]) for r in rows if r["same"] is None]
     root, degree, edges = {}, {}, []
 
     def find(x):
@@ -223,9 +292,9 @@ def _compare(table: pa.Table) -> pa.Table:
     for r in rows:
         if r["same"] is None:
             continue
-        v, b, number = (r["part"], r["at"]), r["text"], r["number"]
+        v, b, number = name(r), r["text"], r["number"]
         for u, a in index:
-            if u == v or r["same"] and u > v or first_shared(a, b) != number:
+            if u == v or r["same"] and u[2:] > v[2:] or first_shared(a, b) != number:
                 continue
             most = allowed(len(a))
             if edits_between(a, b, most) <= most:
@@ -239,8 +308,8 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def links(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) that connect all different lines within the edits that the shorter one allows, and each linked
-    line's number of such lines (n, links). A line is named by struct(part, at), the place that stands for all equal
-    ones."""
+    line's number of such lines (n, links). A line's name is struct(id, line, part, at), the place that stands for all
+    equal ones, so that the least name of a class is its first line; until lines are compared, part and at alone."""
     named = stored(_with_names(parts, lines).select("part", "ats"), "names")
     named = parts.join(named, "part")
     index = stored(_keys(named, False).select("key", "number", "part", "at"), "line_index")
@@ -263,15 +332,18 @@ def links(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wanted = pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).unionByName(sides.select("w")).distinct()
     wanted = wanted.groupBy(F.col("w.part").alias("part")).agg(F.collect_list("w.at").alias("ats"))
-    schema = pa.schema([("part", pa.int64()), ("at", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([*_PLACE, ("text", pa.string())])
 
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for r in _rows(batches):
             lines = _part(r)
-            yield _batch(schema, [r["part"]] * len(r["ats"]), r["ats"], [lines[at][2] for at in r["ats"]])
+            ids, numbers, texts = zip(*(lines[at] for at in r["ats"]))
+            yield _batch(schema, list(ids), list(numbers), [r["part"]] * len(ids), r["ats"], list(texts))
 
-    text = stored(parts.join(wanted, "part").mapInArrow(said, "part long, at int, text string").select(F.struct("part", "at").alias("w"), "text"), "line_texts")
-    both = pairs.join(text.toDF("u", "a"), "u").join(text.toDF("v", "b"), "v").select("u", "v", "numbers", "a", "b")
+    text = parts.join(wanted, "part").mapInArrow(said, "id long, line int, part long, at int, text string")
+    text = stored(text.select(F.struct("part", "at").alias("w"), F.struct("id", "line", "part", "at").alias("name"), "text"), "line_texts")
+    both = pairs.join(text.toDF("u", "un", "a"), "u").join(text.toDF("v", "vn", "b"), "v").select(F.col("un").alias("u"), F.col("vn").alias("v"), "numbers", "a", "b")
 
     @F.pandas_udf("boolean")
     def linked(a, b, numbers):
@@ -284,9 +356,11 @@ def links(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pd.Series(out, dtype=bool)
 
     single = stored(both.where(linked("a", "b", "numbers")).select("u", "v"), "line_links")
-    blocks = sides.join(text, "w").select("key", "block", "other", "number", "same", "w.part", "w.at", "text")
-    blocks = blocks.groupBy("key", "block", "other").applyInArrow(_compare, "up long, ua int, vp long, va int, links long")
-    blocks = stored(blocks.select(F.struct(F.col("up").alias("part"), F.col("ua").alias("at")).alias("u"), F.struct(F.col("vp").alias("part"), F.col("va").alias("at")).alias("v"), "links"), "line_block_links")
+    blocks = sides.join(text, "w").select("key", "block", "other", "number", "same", "name.*", "text")
+    fields = ", ".join(f"{x}id long, {x}line int, {x}part long, {x}at int" for x in "uv")
+    blocks = blocks.groupBy("key", "block", "other").applyInArrow(_compare, f"{fields}, links long")
+    name = lambda x: F.struct(*[F.col(f"{x}{k}").alias(k) for k, _ in _PLACE]).alias(x)
+    blocks = stored(blocks.select(name("u"), name("v"), "links"), "line_block_links")
     one = F.lit(1).cast("long").alias("links")
     degree = single.select(F.col("u").alias("n"), one).unionByName(single.select(F.col("v").alias("n"), one)).unionByName(blocks.where("links > 0").select(F.col("u").alias("n"), "links"))
     return single.unionByName(blocks.where("links = 0").select("u", "v")), degree.groupBy("n").agg(F.sum("links").alias("links"))
@@ -306,13 +380,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = stored(distinct_lines(parts), "lines")
     edges, degree = links(parts, lines)
-    root = components(edges)
-    linked = root.join(degree, F.col("node") == F.col("n")).select("node", "root", "links")
-    rows = lines.withColumn("name", F.struct("part", "at")).join(linked, F.col("name") == F.col("node"), "left")
-    rows = stored(rows.select("h1", "h2", "id", "line", "copies", "root", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "line_rows")
-    least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "line")).alias("first"))
-    out = rows.join(least, F.col("root") == F.col("r"), "left").select("h1", "h2", "id", "line", "copies", F.coalesce("first", F.struct("id", "line")).alias("first"), "links")
-    return out.select("h1", "h2", "id", "line", "copies", F.col("first.id").alias("class_id"), F.col("first.line").alias("class_line"), "links"), lines
+    linked = components(edges).join(degree, F.col("node") == F.col("n")).select("node", "root", "links")
+    rows = lines.withColumn("name", F.struct("id", "line", "part", "at")).join(linked, F.col("name") == F.col("node"), "left")
+    first = F.coalesce("root", "name")
+    out = rows.select("h1", "h2", "id", "line", "copies", first["id"].alias("class_id"), first["line"].alias("class_line"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out, lines
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
