@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """a over its length; zeros stay zeros."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x.cast("double") / norm(a)).otherwise(0.0))
+    """a over its length, which is found once; zeros stay zeros."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
+    return F.when(a.isNotNull(), scaled[0])
 
 
 def cosine(a: Column, b: Column) -> Column:
