@@ -5,6 +5,8 @@ Every function takes and gives columns, so whole tables stay inside generated co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +216,79 @@ def summary_list(value: Column) -> Column:
     return F.filter(F.coalesce(items, F.when(strip(value) != "", F.array(strip(value))), F.expr("cast(array() as array<string>)")), lambda x: x.isNotNull() & (strip(x) != ""))
 
 
+SUMMARY_LISTS, SUMMARY_TEXTS = ("methods", "main_claims", "key_findings", "limitations"), ("research_question", "conclusion")
+
+
+def normalize_summary(df: DataFrame) -> DataFrame:
+    """df with `summary`, a struct of all fields from those columns that df has (lists as JSON): missing ones empty, texts
+    stripped; is_empty, and populated, the number of fields with something in them."""
+    none = F.lit(None).cast("string")
+    have = lambda c: F.col(c) if c in df.columns else none
+    fields = [strip(F.coalesce(have(c), F.lit(""))).alias(c) for c in SUMMARY_TEXTS] + [summary_list(have(c)).alias(c) for c in SUMMARY_LISTS]
+    out = df.withColumn("summary", F.struct(*fields))
+    n = sum([(F.col(f"summary.{c}") != "").cast("int") for c in SUMMARY_TEXTS] + [(F.size(f"summary.{c}") > 0).cast("int") for c in SUMMARY_LISTS], F.lit(0))
+    return out.withColumn("populated", n).withColumn("is_empty", F.col("populated") == 0)
+
+
+def coalesce_sources(df: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """df with origin and entries, the first of the sources (label to array column) that isn't empty, "none" and an empty
+    array without one; conclusion falls back to tldr where it is empty."""
+    none = F.expr("cast(array() as array<string>)")
+    found = F.lit(None)
+    for label, column in reversed(sources.items()):
+        found = F.when(F.size(column) > 0, F.struct(F.lit(label).alias("origin"), F.col(column).alias("entries"))).otherwise(found)
+    out = df.withColumn("__found", F.coalesce(found, F.struct(F.lit("none").alias("origin"), none.alias("entries"))))
+    return out.withColumn("origin", F.col("__found.origin")).withColumn("entries", F.col("__found.entries")).withColumn("conclusion", F.coalesce(F.nullif("conclusion", F.lit("")), "tldr")).drop("__found")
+
+
+def normalize_results(df: DataFrame) -> DataFrame:
+    """df(external_id, arxiv_id, url, title, authors, citations, year) -> the same with key, the first id there is (that
+    in the URL last); authors, JSON of names or of objects with a name, as names; numbers 0 where there is none. Rows
+    without an id are dropped."""
+    key = F.coalesce(*[F.nullif(strip(F.col(c)), F.lit("")) for c in ("external_id", "arxiv_id")], extract_paper_id(F.col("url")))
+    names = F.coalesce(F.transform(F.from_json("authors", "array<struct<name:string>>"), lambda a: a["name"]), F.from_json("authors", "array<string>"))
+    plain = F.from_json("authors", "array<string>")
+    names = F.when(F.exists(plain, lambda a: F.startswith(a, F.lit("{"))), names).otherwise(plain)
+    names = F.filter(F.coalesce(names, F.expr("cast(array() as array<string>)")), lambda a: a.isNotNull() & (a != ""))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return df.select(key.alias("key"), F.coalesce("title", F.lit("")).alias("title"), names.alias("authors"), zero("citations"), zero("year")).where("key is not null")
+
+
+def chunk_context(chunks: Column) -> Column:
+    """The blocks of chunks (array<struct<chunk_id, chunk_type, chunk_text>>) for a prompt; blank ones are left out."""
+    kept = F.filter(chunks, lambda c: strip(F.coalesce(c["chunk_text"], F.lit(""))) != "")
+    return F.array_join(F.transform(kept, lambda c: F.concat(F.lit("[Chunk ID: "), c["chunk_id"].cast("string"), F.lit(" | Type: "), F.coalesce(c["chunk_type"], F.lit("body")), F.lit("]\n"), strip(c["chunk_text"]))), "\n\n")
+
+
+def summary_context(title: Column, chunks: Column) -> Column:
+    """A title and numbered blocks of chunks, as a summary's prompt has them."""
+    blocks = F.transform(chunks, lambda c, i: F.concat(F.lit("\n[Chunk "), (i + 1).cast("string"), F.lit(" | ID: "), c["chunk_id"].cast("string"), F.lit(" | Type: "), F.coalesce(c["chunk_type"], F.lit("body")), F.lit("]:\n"), c["chunk_text"]))
+    head = F.filter(F.array(F.concat(F.lit("TITLE: "), F.nullif(title, F.lit("")))), lambda x: x.isNotNull())
+    return F.array_join(F.concat(head, F.when(F.size(chunks) > 0, F.array(F.lit("PAPER CONTENT:"))).otherwise(F.expr("cast(array() as array<string>)")), blocks), "\n\n")
+
+
+#: Prompts by kind: lines in which {column} stands for a column; a line with {?column} is left out where that is empty.
+PROMPTS = {
+    "grounded": ["Answer from these chunks alone and cite the ids that support the answer, as JSON with answer and cited_chunk_ids.", "VALID CHUNK IDS: {chunk_ids}", "{?history}RECENT CONVERSATION:\n{history}", "QUESTION:\n{question}", "RETRIEVED PAPER CHUNKS:\n{context}"],
+    "rewrite": ["Write the follow-up question so that it stands alone, from the conversation alone.", "CONVERSATION HISTORY:\n{history}", "FOLLOW-UP QUESTION:\n{question}"],
+    "abstract_only": ["Answer from the title and the abstract alone.", "TITLE:\n{title}", "ABSTRACT:\n{abstract}", "QUESTION:\n{question}"],
+    "retrieval": ["Answer from the retrieved chunks alone.", "TITLE:\n{title}", "QUESTION:\n{question}", "RETRIEVED CHUNKS:\n{context}"],
+}
+
+
+def build_prompts(df: DataFrame, kind: str, lines: list[str] | None = None) -> DataFrame:
+    """df with a column named as the kind: its prompt, from PROMPTS or from lines of one's own. The blocks of summaries
+    and chunks are made by summary_context() and chunk_context()."""
+
+    def filled(line: str) -> Column:
+        needs = re.match(r"\{\?(\w+)\}", line)
+        parts = re.split(r"\{(\w+)\}", line[needs.end() :] if needs else line)
+        said = F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x or i % 2])
+        return F.when(F.coalesce(needs[1], F.lit("")) != "", said) if needs else said
+
+    return df.withColumn(kind, F.concat_ws("\n", *map(filled, lines or PROMPTS[kind])))
+
+
 def valid_citations(cited: Column, retrieved: Column) -> Column:
     """Cited ids as whole numbers, those that were retrieved; order and repeats stay."""
     return F.filter(F.transform(cited, lambda x: x.try_cast("long")), lambda x: x.isNotNull() & F.array_contains(retrieved, x))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import similar_edges
-from .tables import dedupe_edges, resolve_citations
+from ..functions.vectors import blend
+from .metrics import graph_meta, mean_vector
+from .neighbours import topk_query
+from .ranking import recent_ids, similar_edges, with_fallback
+from .tables import dedupe_edges, edge_threshold, edges_from, keyword_filter, paper_nodes, resolve_citations
 
 _EDGE = ["source_id", "target_id", "kind", "strength", "reason", "seq"]
 
@@ -71,3 +74,47 @@ def cluster_prompts(members: DataFrame, keywords: DataFrame, titles: int = 5) ->
     first = members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= titles)
     lines = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "title"))), lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("lines"))
     return lines.join(keywords, "cluster_id").select("cluster_id", F.concat(F.lit("Name this group.\n"), "lines", F.lit("\nKeywords: "), "keywords").alias("prompt"))
+
+
+def cluster_rows(members: DataFrame, names: DataFrame) -> DataFrame:
+    """members(cluster_id, id), names(cluster_id, name, description) -> (paper_id, cluster_id, cluster_label, cluster_name,
+    cluster_description), a row for each member, to be put in place by upsert_by_key()."""
+    return members.select("id", "cluster_id").join(names, "cluster_id", "left").select(F.col("id").alias("paper_id"), "cluster_id", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")).alias("cluster_label"), F.col("name").alias("cluster_name"), F.col("description").alias("cluster_description"))
+
+
+def blend_vectors(vectors: DataFrame, references: DataFrame, papers: DataFrame, alpha: float = 0.7) -> DataFrame:
+    """vectors(id, embedding) with case and blended: alpha of a paper's vector and the rest of the mean of those it cites,
+    normalized ("blended"); its own where it cites nothing that is known ("no refs") or nothing with a vector ("no
+    vectors"). Counts of the cases are a groupBy away."""
+    refs = resolve_citations(references, papers)
+    found = refs.join(vectors.select(F.col("id").alias("target_id"), "embedding"), "target_id").select(F.col("paper_id").alias("id"), "embedding")
+    known = refs.select(F.col("paper_id").alias("id")).distinct().withColumn("known", F.lit(True))
+    j = vectors.join(mean_vector(found, "id"), "id", "left").join(known, "id", "left")
+    case = F.when(F.col("mean").isNotNull(), "blended").when(F.col("known"), "no vectors").otherwise("no refs")
+    return j.select(*vectors.columns, case.alias("case"), blend(F.col("embedding"), F.col("mean"), alpha).alias("blended"))
+
+
+def _view(ids: DataFrame, papers: DataFrame, bronze: DataFrame, clusters: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes = paper_nodes(papers, bronze, clusters, ids)
+    links = edge_threshold(edges_from(edges, ids)).select("source_id", "target_id", "kind", "strength", "reason")
+    return nodes, links, graph_meta(nodes, links)
+
+
+def graph_query(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, edges: DataFrame, query: str, vector: list[float] | None, k: int = 20, threshold: float = -1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, meta) of the k papers that answer a query: those nearest to its vector, else (no vector given or none
+    found) those whose title or abstract holds it, else the newest. papers(id, title, abstract, arxiv_id, embedding)."""
+    one = lambda ids: ids.select(F.lit(0).alias("query"), "id")
+    found = [one(keyword_filter(papers, query, k)), one(recent_ids(papers, k))]
+    if vector is not None:
+        found.insert(0, one(topk_query(papers.where("embedding is not null"), vector, k, threshold)))
+    return _view(with_fallback(*found).select("id"), papers, bronze, clusters, edges)
+
+
+def graph_expand(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, edges: DataFrame, id: int, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, meta) of the k papers nearest to one; ValueError if it is unknown, none if it has no vector."""
+    row = papers.where(F.col("id") == id).select("embedding").first()
+    if row is None:
+        raise ValueError(f"unknown id {id}")
+    others = papers.where((F.col("id") != id) & F.col("embedding").isNotNull())
+    near = topk_query(others, list(row["embedding"]), k) if row["embedding"] is not None else others.limit(0)
+    return _view(near.select("id"), papers, bronze, clusters, edges)

@@ -6,30 +6,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, l2_normalize, norm
+from .ranking import budget_prefix
+from .tables import cached_neighbours
+
+#: Bytes of vectors in a block; a task multiplies two blocks.
+BLOCK_BYTES = 16 << 20
 
 
 def topk_query(df: DataFrame, vector: list[float], k: int, threshold: float = -1.0, where: Column | None = None, key: str = "id", column: str = "embedding") -> DataFrame:
-    """The k rows nearest to a vector by cosine, with `score`; ties by key."""
+    """The k rows nearest to a vector by cosine, with `score`; ties by key. The vector's length is folded into it."""
     rows = df if where is None else df.where(where)
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    return rows.withColumn("score", cosine(F.col(column), q)).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
+    size = sum(float(x) ** 2 for x in vector) ** 0.5
+    q = F.array(*[F.lit(float(x) / size if size else 0.0) for x in vector])
+    length = norm(F.col(column))
+    score = F.when(length > 0, dot(F.col(column), q) / length).otherwise(0.0)
+    return rows.withColumn("score", score).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
 def knn(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queries: DataFrame | None = None, blocks: int | None = None, threshold: float = -1.0) -> DataFrame:
     """(key, neighbour, score, rank): the k nearest other rows of each row of queries (all by default) by cosine.
 
     Rows are cut into b blocks, and each pair of blocks meets as one matrix product in a task that keeps k for each
-    query; a window merges what the blocks found. So a task holds two blocks whatever the table's size, and b * n * k
-    rows are shuffled. Rows without a vector have and are no neighbours.
+    query and what is equal to the k-th, so that ties go by key; a window merges what the blocks found. A block has about
+    BLOCK_BYTES of vectors whatever the table's size. Rows without a vector have and are no neighbours.
     """
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("v"))
     asked = rows if queries is None else queries.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("v"))
     if blocks is None:
-        blocks = max(1, min(64, round(rows.count() / 20_000)))
+        found = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+        blocks = max(1, -(-found["n"] * (found["dim"] or 1) * 8 // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     base = rows.withColumn("b", block).withColumn("q", every)
@@ -45,9 +56,10 @@ def knn(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queri
                 own = part["id"].to_numpy()
                 score = unit(part["v"]) @ b.T
                 score[own[:, None] == ids[None, :]] = -np.inf
-                m = min(k + 8, len(ids))  # some more, as equal scores are ordered by id
-                best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                out.append(pd.DataFrame({"id": np.repeat(own, m), "neighbour": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}))
+                m = min(k, len(ids))
+                least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
+                row, best = np.nonzero(score >= least)  # with all that is equal to the k-th, as ties go by id
+                out.append(pd.DataFrame({"id": own[row], "neighbour": ids[best], "score": score[row, best]}))
         got = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "score": []})
         return got[np.isfinite(got["score"]) & (got["score"] >= threshold)]
 
@@ -68,25 +80,61 @@ def hybrid(df: DataFrame, query: str, vector: list[float], pool: int, k: int, th
     return near.withColumn("hybrid", F.when(F.size(asked) > 0, weight * F.col("score") + (1 - weight) * share).otherwise(F.col("score"))).orderBy(F.desc("hybrid"), "id").limit(k)
 
 
-def hash_embed(df: DataFrame, text: str, dim: int = 64, column: str = "embedding", encoder=None) -> DataFrame:
-    """df with a vector for its text: by an encoder (list of texts -> list of vectors), once loaded in each worker, or
-    by signed feature hashing of words, normalized, which needs no model."""
-
-    def default(texts: list[str]) -> np.ndarray:
-        import xxhash
+def related(vectors: DataFrame, cache: DataFrame, k: int, threshold: float = 0.0, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vectors(id, embedding), cache(id, neighbours) -> (rows, update): (id, neighbour, pos, origin), from the cache where
+    it has a list that isn't empty, else (or always, to refresh) by search among the vectors, and the lists, (id,
+    neighbours), that the search adds to the cache."""
+    known = cache.where(F.size("neighbours") > 0).limit(0) if refresh else cache.where(F.size("neighbours") > 0)
+    cached = cached_neighbours(known.select("id", "neighbours"), vectors, []).select("id", "neighbour", F.col("pos").cast("long").alias("pos"), F.lit("cache").alias("origin"))
+    found = knn(vectors, k, queries=vectors.join(known.select("id"), "id", "left_anti"), threshold=threshold)
+    found = found.select("id", "neighbour", (F.col("rank") - 1).cast("long").alias("pos"), F.lit("search").alias("origin"))
+    update = found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "neighbour"))), lambda x: x["neighbour"]).alias("neighbours"))
+    return cached.unionByName(found), update
+
+
+def retrieve_chunks(chunks: DataFrame, vector: list[float], k: int, scope: Column, max_chars: int, threshold: float = 0.05, text: str = "chunk_text", key: str = "id") -> DataFrame:
+    """chunks of a scope nearest to a vector, with score and rn: 3 * k are fetched, and of those with a text the first k
+    kept that fit the characters."""
+    near = topk_query(chunks, vector, 3 * k, threshold, scope & (F.trim(F.coalesce(text, F.lit(""))) != ""), key)
+    return budget_prefix(near.withColumn("__one", F.lit(1)), ["__one"], [F.desc("score"), F.col(key)], text, max_chars, k).drop("__one")
+
+
+def fallback_chunks(papers: DataFrame, retrieved: DataFrame, max_chars: int = 8000, first_id: int = 9_000_000) -> DataFrame:
+    """(id, chunk_id, chunk_type, chunk_text) for papers(id, abstract, tldr, conclusion) that retrieved(id) has nothing
+    of: those three, cut at 2000 characters, blank ones skipped, as many as fit (the first always)."""
+    names = ("abstract", "tldr", "conclusion")
+    each = F.array(*[F.struct(F.lit(n).alias("chunk_type"), F.substring(F.regexp_replace(F.coalesce(n, F.lit("")), r"^\s+|\s+$", ""), 1, 2000).alias("chunk_text")) for n in names])
+    rows = papers.join(retrieved.select("id").distinct(), "id", "left_anti").select("id", F.posexplode(each).alias("p", "c")).select("id", "p", "c.*")
+    return budget_prefix(rows, ["id"], [F.col("p")], "chunk_text", max_chars, 3).select("id", (first_id + 1 + F.col("p")).alias("chunk_id"), "chunk_type", "chunk_text")
+
+
+def rank_candidates(candidates: DataFrame, anchors: DataFrame, cited: DataFrame, k: int) -> DataFrame:
+    """candidates(composition, model, id, embedding), anchors(id), cited(anchor, candidate) -> (composition, model, anchor,
+    candidate, score, rank, is_cited): of each composition and model the k candidates nearest to each anchor, itself not
+    among them. One search for each pair of names, of which there are few."""
+    out = None
+    for c in candidates.select("composition", "model").distinct().collect():
+        rows = candidates.where(F.col("composition").eqNullSafe(F.lit(c["composition"])) & F.col("model").eqNullSafe(F.lit(c["model"])))
+        one = knn(rows, k, queries=rows.join(anchors.select("id"), "id", "left_semi"))
+        one = one.select(F.lit(c["composition"]).alias("composition"), F.lit(c["model"]).alias("model"), F.col("id").alias("anchor"), F.col("neighbour").alias("candidate"), "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no candidates")
+    marks = cited.select("anchor", "candidate").distinct().withColumn("m", F.lit(True))
+    return out.join(marks, ["anchor", "candidate"], "left").withColumn("is_cited", F.coalesce("m", F.lit(False))).drop("m")
 
-        out = np.zeros((len(texts), dim))
-        for i, x in enumerate(texts):
-            for w in (x or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                out[i, h % dim] += 1 if h >> 63 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
-    encode = encoder or default
+def hash_embed(df: DataFrame, text: str, dim: int = 64, column: str = "embedding", encoder=None) -> DataFrame:
+    """df with a vector for its text: by an encoder (list of texts -> list of vectors), once loaded in each worker, or
+    without one by feature hashing of words, normalized, in generated code alone."""
+    if encoder is None:
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+        hashed = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__counts").transform(df.withColumn("__words", words))
+        return hashed.withColumn(column, l2_normalize(vector_to_array("__counts"))).drop("__words", "__counts")
 
     @F.pandas_udf("array<float>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series(list(np.asarray(encode(x.tolist()), dtype=np.float32)))
+            yield pd.Series(list(np.asarray(encoder(x.tolist()), dtype=np.float32)))
 
     return df.withColumn(column, udf(F.col(text)))

@@ -32,6 +32,29 @@ def priority(name: Column) -> Column:
     return out
 
 
+def prioritized_chunks(chunks: DataFrame, by: list[str], limit: int, max_chars: int | None = None) -> DataFrame:
+    """chunks(by, name, token_estimate, section_id, chunk_index, chunk_text) with rn: the first 3 * limit of each group by
+    section, the longer before the shorter; with max_chars, as many of those, up to the limit, as fit."""
+    order = [priority(F.col("name")), F.desc("token_estimate"), F.col("section_id"), F.col("chunk_index")]
+    rows = chunks.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= 3 * limit)
+    return rows if max_chars is None else budget_prefix(rows.drop("rn"), by, order, "chunk_text", max_chars, limit)
+
+
+#: Fields of a summary that need evidence.
+FIELDS = ["research_question", "methods", "main_claims", "key_findings", "limitations", "conclusion"]
+
+
+def evidence_rows(chunks: DataFrame, by: str, chunk: str, order: list) -> DataFrame:
+    """(by, field, chunk, rank): each field of a group's summary with each of its chunks, in their order."""
+    rows = chunks.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return rows.select(by, F.explode(F.array(*map(F.lit, FIELDS))).alias("field"), chunk, "rank")
+
+
+def recent_ids(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The n largest ids."""
+    return df.select(key).orderBy(F.desc(key)).limit(n)
+
+
 def recent_history(turns: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """The last n messages of each group in their order, as "ROLE: message" lines."""
     w = Window.partitionBy(*by).orderBy(F.desc(order))
@@ -69,8 +92,19 @@ def ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9) -> Da
 
 
 def seeded(seed: int, *columns: str) -> Column:
-    """A hash that orders rows at random but alike in each run."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A hash, as hexadecimal digits, that orders rows at random but alike in each run."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def placed(df: DataFrame, h: str, ties: list[str], by: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """df with each row's place, from 0, in the order of a seeded() hash within its group. Rows are ranked among those
+    whose hash begins alike, and what goes before those is counted, so a hot group is spread over 4,096 tasks."""
+    rows = df.withColumn("__slot", F.substring(h, 1, 3))
+    counts = rows.groupBy(*by, "__slot").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*by, "__slot", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy(*by, "__slot").orderBy(h, *ties)) - 1
+    return rows.withColumn("__rank", rank).join(first, [*by, "__slot"]).withColumn(name, F.col("__first") + F.col("__rank")).drop("__slot", "__first", "__rank")
 
 
 def subsample(df: DataFrame, by: str, key: str, n: int, seed: int = 1337) -> DataFrame:
@@ -82,11 +116,12 @@ def subsample(df: DataFrame, by: str, key: str, n: int, seed: int = 1337) -> Dat
 def fewshot(items: DataFrame, n: int, seed: int = 1234) -> DataFrame:
     """(task, item, shot, place): n other items of the same task for each item, never itself. Items of a task stand in
     seeded order and each takes those that follow it, round the end, so nothing is joined with all others."""
-    w = Window.partitionBy("task").orderBy(seeded(seed, "item"), "item")
-    placed = items.select("task", "item").withColumn("i", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(Window.partitionBy("task")))
-    wanted = placed.select("task", F.col("item").alias("asker"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place"), "i", "size").where(F.col("place") < F.col("size"))
+    rows = placed(items.select("task", "item").withColumn("h", seeded(seed, "item")), "h", ["item"], ("task",), "i")
+    sizes = items.groupBy("task").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "task")
+    wanted = rows.select("task", F.col("item").alias("asker"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place"), "i", "size").where(F.col("place") < F.col("size"))
     wanted = wanted.select("task", "asker", "place", ((F.col("i") + F.col("place")) % F.col("size")).alias("j"))
-    shots = placed.select(F.col("task").alias("t"), F.col("i").alias("k"), F.col("item").alias("shot"))
+    shots = rows.select(F.col("task").alias("t"), F.col("i").alias("k"), F.col("item").alias("shot"))
     return wanted.join(shots, (F.col("task") == F.col("t")) & (F.col("j") == F.col("k"))).select("task", F.col("asker").alias("item"), "shot", "place")
 
 

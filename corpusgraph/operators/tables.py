@@ -29,10 +29,68 @@ def lookup(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def paper_nodes(papers: DataFrame, bronze: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Papers with the payload of their landed record and their cluster, where there are any."""
-    p = papers.withColumn("entry_id", F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"))
-    return p.join(bronze.select("entry_id", "payload"), "entry_id", "left").join(clusters, p["id"] == clusters["paper_id"], "left").drop("paper_id", "entry_id")
+def has_text(papers: DataFrame) -> DataFrame:
+    """Papers with a full text that isn't blank, or with any abstract or conclusion."""
+    return papers.where((F.length(F.trim(F.coalesce("full_text", F.lit("")))) > 0) | F.col("abstract").isNotNull() | F.col("conclusion").isNotNull())
+
+
+def pending(papers: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """Papers that wait for work, the first by id: "embedding" (no vector, but abstract or conclusion), "neighbours" (a
+    vector, but no list), "ss_id" (none, but an arxiv_id) or "tldr" (none or a blank one)."""
+    null = lambda c: F.col(c).isNull()
+    wanted = {
+        "embedding": lambda: null("embedding") & (~null("abstract") | ~null("conclusion")),
+        "neighbours": lambda: ~null("embedding") & null("neighbours"),
+        "ss_id": lambda: null("ss_id") & ~null("arxiv_id"),
+        "tldr": lambda: null("tldr") | (F.trim("tldr") == ""),
+    }
+    if kind not in wanted:
+        raise ValueError(f"unknown kind {kind}; there are {', '.join(wanted)}")
+    rows = papers.where(wanted[kind]())
+    return rows.orderBy("id").limit(limit) if limit is not None else rows
+
+
+def keyword_filter(papers: DataFrame, query: str, limit: int) -> DataFrame:
+    """The newest papers by id whose title or abstract holds the query, in any case; % and _ in it stand for anything."""
+    like = f"%{query}%"
+    return papers.where(F.col("title").ilike(like) | F.col("abstract").ilike(like)).orderBy(F.desc("id")).limit(limit)
+
+
+def edges_for_view(edges: DataFrame, mode: str) -> DataFrame:
+    """Edges of a view: "semantic" (similar and labelled) or "citations"."""
+    kinds = {"semantic": ("SIMILAR", "SUPPORT", "CONTRADICT", "NEUTRAL"), "citations": ("CITES",)}
+    if mode not in kinds:
+        raise ValueError(f"unknown view {mode}; there are {', '.join(kinds)}")
+    return edges.where(F.col("kind").isin(*kinds[mode]))
+
+
+def paper_nodes(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(id, label, short, title, authors, year, citations, cluster_id): papers with what their landed record and their
+    cluster say, where there are any; those among ids, or the first by id up to a limit (a list view takes 300 or 100).
+    papers may carry cited, the list of what cites them."""
+    from ..functions import text as T
+
+    p = lookup(ids, papers, "id") if ids is not None else papers
+    if limit is not None:
+        p = p.orderBy("id").limit(limit)
+    cited = F.size("cited") if "cited" in papers.columns else F.lit(None)
+    p = p.select("id", "title", F.coalesce(cited, F.lit(0)).cast("long").alias("citations"), F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id").alias("entry_id"))
+    record = F.from_json("payload", "authors array<string>, year string, published string")
+    c = clusters.select(F.col("paper_id").alias("id"), "cluster_id")
+    n = p.join(bronze.select("entry_id", record.alias("r")), "entry_id", "left").join(c, "id", "left")
+    return n.select("id", T.node_label(F.col("title")).alias("label"), T.short_title(F.col("title")).alias("short"), "title", F.when(F.col("r").isNotNull(), T.author_display(F.col("r.authors"))).alias("authors"), T.year_of(F.col("r.year"), F.col("r.published")).alias("year"), "citations", "cluster_id")
+
+
+def paper_detail(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, id: int) -> DataFrame:
+    """The node of one paper with its abstract, conclusion and tldr; no row for an unknown id."""
+    one = papers.where(F.col("id") == id)
+    return paper_nodes(one, bronze, clusters).join(one.select("id", "abstract", "conclusion", "tldr"), "id")
+
+
+def resolve_refs(references: DataFrame, papers: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(paper_id, target_id, embedding): the papers that references lead to, each once, that have a vector."""
+    v = vectors.where("embedding is not null").select(F.col("id").alias("target_id"), "embedding")
+    return resolve_citations(references, papers).join(v, "target_id").select("paper_id", "target_id", "embedding")
 
 
 def resolve_citations(references: DataFrame, papers: DataFrame) -> DataFrame:
@@ -98,11 +156,21 @@ def _given(c: str) -> Column:
 TEXTS = ("conclusion", "full_text", "tldr")
 
 
+def _one_each(source: DataFrame) -> DataFrame:
+    """One row for each arxiv_id (ss_id where that is null); rows without either stay."""
+    key = F.coalesce(F.concat(F.lit("a"), "arxiv_id"), F.concat(F.lit("s"), "ss_id"))
+    best = F.max_by(F.struct(*source.columns), F.struct(F.length("full_text"), F.struct(*source.columns)))
+    rows = source.withColumn("__key", key)
+    once = rows.where("__key is not null").groupBy("__key").agg(best.alias("r")).select("r.*")
+    return once.unionByName(rows.where("__key is null").drop("__key"))
+
+
 def upsert_papers(target: DataFrame, source: DataFrame) -> DataFrame:
     """target with source merged in: a row is the same by arxiv_id, else by ss_id. Ids of the target stay; given texts
     of the source replace those of the target; the source's label and time count only with new full text; the rest is
-    added. Within a source the key is assumed unique."""
+    added. Of source rows with one key the one with the longest full text counts."""
     names = target.columns
+    source = _one_each(source.select(names))
     s = source.select([F.col(c).alias(f"s_{c}") for c in names])
     by_id = target.join(s, F.col("arxiv_id") == F.col("s_arxiv_id"), "left")
     late = by_id.where("s_arxiv_id is null").select(names)
@@ -125,9 +193,11 @@ def upsert_papers(target: DataFrame, source: DataFrame) -> DataFrame:
     return merged.select([rule(c) for c in names]).unionByName(added)
 
 
-def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of source in the place of those of target with the same key, and the rest of both."""
-    return target.join(source.select(keys), keys, "left_anti").unionByName(source, allowMissingColumns=True)
+def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str], updated_at: Column | None = None) -> DataFrame:
+    """Rows of source in the place of those of target with the same key, and the rest of both; updated_at, if given, is
+    written to that column of the new rows."""
+    new = source if updated_at is None else source.withColumn("updated_at", updated_at)
+    return target.join(source.select(keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,6 +217,22 @@ def backfill(target: DataFrame, source: DataFrame, key: str, column: str, overwr
     return target.join(new, key, "left").withColumn(column, value).select(target.columns)
 
 
+def backfill_counts(target: DataFrame, source: DataFrame, key: str, column: str, overwrite: bool = False) -> DataFrame:
+    """One row on what backfill() does: candidates (rows that wait for a value), resolved (those that source has one for)
+    and updated (those whose value changes)."""
+    new = source.select(key, F.col(column).alias("__new"))
+    blank = F.col(column).isNull() | (F.trim(F.col(column)) == "")
+    waits = F.lit(True) if overwrite else blank
+    j = target.join(new, key, "left")
+    known = waits & F.col("__new").isNotNull()
+    return j.agg(F.count_if(waits).alias("candidates"), F.count_if(known).alias("resolved"), F.count_if(known & ~F.col("__new").eqNullSafe(F.col(column))).alias("updated"))
+
+
+def union_edges(*edges: DataFrame) -> DataFrame:
+    """All edges of several tables, with the columns of the first."""
+    return reduce(DataFrame.unionByName, [e.select(edges[0].columns) for e in edges])
+
+
 def dedupe_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, kind), the strongest, of equals the first by seq; self loops are dropped."""
     best = F.max_by(F.struct("strength", "reason"), F.struct("strength", (-F.col("seq")).alias("s")))
@@ -155,8 +241,10 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
 
 def mixture(tasks: list[DataFrame], seed: int = 42) -> DataFrame:
     """(place, task, idx, ...): the rows of all tasks in one seeded order; a task listed twice counts twice."""
+    from .ranking import placed, seeded
+
     rows = reduce(DataFrame.unionByName, [t.withColumn("task", F.lit(n)) for n, t in enumerate(tasks)])
-    return rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "task", "idx"))
+    return placed(rows.withColumn("shuffle_key", seeded(seed, "task", "idx")), "shuffle_key", ["task", "idx"])
 
 
 def sequence_tasks(tasks: list[DataFrame]) -> DataFrame:

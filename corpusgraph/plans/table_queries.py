@@ -70,15 +70,25 @@ def lookup(spark, sf_dir):
     return O.lookup(ids, papers(spark, sf_dir).select("id", "title"), "id")
 
 
-@query(f"""WITH {PAPERS} SELECT p.id, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 40) AS label, CASE WHEN p.id % 2 = 0 THEN lang END AS authors, CASE WHEN p.id % 2 = 0 THEN 1990 + CAST(p.id % 30 AS INT) ELSE 0 END AS year, l.quality AS cluster_id FROM papers p LEFT JOIN labels l ON p.id = l.doc_id""")
+@query(f"""WITH {PAPERS} SELECT p.id, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 40) AS label, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 20) AS short, CASE WHEN p.id % 2 = 0 THEN lang END AS authors, CASE WHEN p.id % 2 = 0 THEN 1990 + CAST(p.id % 30 AS INT) ELSE 0 END AS year, CAST(p.id % 3 AS BIGINT) AS citations, l.quality AS cluster_id FROM papers p LEFT JOIN labels l ON p.id = l.doc_id""")
 def paper_nodes(spark, sf_dir):
-    from ..functions import text as T
+    return O.paper_nodes(*_node_tables(spark, sf_dir)).drop("title")
 
-    p = papers(spark, sf_dir)
+
+@query(f"WITH {PAPERS} SELECT 'list' AS view, id, CAST(NULL AS VARCHAR) AS abstract FROM (SELECT id FROM papers ORDER BY id LIMIT 300) UNION ALL SELECT 'ids', id, NULL FROM papers WHERE id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'detail', id, abstract FROM papers WHERE id = 7")
+def node_views(spark, sf_dir):
+    """The list of the first papers, those of a list of ids, and one in detail."""
+    tables = _node_tables(spark, sf_dir)
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    none = F.lit(None).cast("string").alias("abstract")
+    views = [O.paper_nodes(*tables, limit=300).select(F.lit("list").alias("view"), "id", none), O.paper_nodes(*tables, ids=ids).select(F.lit("ids").alias("view"), "id", none), O.paper_detail(*tables, 7).select(F.lit("detail").alias("view"), "id", "abstract")]
+    return O.union_edges(*views)
+
+
+def _node_tables(spark, sf_dir):
+    p = papers(spark, sf_dir).withColumn("cited", F.slice(F.array("id", "id"), F.lit(1), (F.col("id") % 3).cast("int")))
     bronze = p.where("id % 2 = 0").select(F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id").alias("entry_id"), L.payload(authors=F.array("lang"), year=1990 + F.col("id") % 30).alias("payload"))
-    clusters = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("cluster_id"))
-    n = O.paper_nodes(p, bronze, clusters).withColumn("r", F.from_json("payload", "authors array<string>, year string, published string"))
-    return n.select("id", F.substring(F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled")), 1, 40).alias("label"), F.when(F.col("r").isNotNull(), T.author_display(F.col("r.authors"))).alias("authors"), T.year_of(F.col("r.year"), F.col("r.published")).alias("year"), "cluster_id")
+    return p, bronze, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("cluster_id"))
 
 
 _RESOLVED = """resolved AS (SELECT DISTINCT r.paper_id, p.id AS target_id FROM refs r JOIN papers p ON r.ss_paper_id = p.ss_id OR r.arxiv_id = p.arxiv_id OR lower(r.doi) = lower(p.doi))"""
@@ -90,11 +100,11 @@ def resolve_citations(spark, sf_dir):
     return O.resolve_citations(references(p), p)
 
 
-@query(f"WITH {PAPERS}, {REFS}, {_RESOLVED} SELECT DISTINCT r.target_id, e.label FROM resolved r JOIN embeddings e ON r.target_id = e.vec_id WHERE e.embedding IS NOT NULL")
+@query(f"WITH {PAPERS}, {REFS}, {_RESOLVED} SELECT r.paper_id, r.target_id, round(e.embedding[1], 5) AS first FROM resolved r JOIN embeddings e ON r.target_id = e.vec_id WHERE e.embedding IS NOT NULL")
 def resolve_refs(spark, sf_dir):
     p = papers(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("target_id"), "label")
-    return O.resolve_citations(references(p), p).select("target_id").distinct().join(v, "target_id")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return O.resolve_refs(references(p), p, v).select("paper_id", "target_id", F.round(F.col("embedding")[0], 5).alias("first"))
 
 
 @query(f"WITH {PAPERS}, c AS (SELECT id, CAST(unnest([0, 1, 2]) AS INT) AS pos, unnest([(id * 3) % 1500, (id * 7) % 1500, id + 1]) AS neighbour FROM papers) SELECT c.id, c.pos, c.neighbour, p.title FROM c JOIN papers p ON c.neighbour = p.id")
@@ -110,16 +120,15 @@ def edges_from(spark, sf_dir):
     return O.edge_threshold(e).select("source_id", "target_id", "kind", F.round("strength", 6).alias("strength"), "seq")
 
 
-@query(f"WITH {EDGES_SQL} SELECT coalesce(kind, 'SIMILAR') AS kind, count(*) AS n, round(sum(coalesce(strength, 0.5)), 4) AS total FROM edges WHERE coalesce(kind, 'SIMILAR') <> 'SIMILAR' OR coalesce(strength, 0.5) >= 0.8 GROUP BY 1")
+@query(f"WITH {EDGES_SQL} SELECT seq, source_id, target_id, coalesce(kind, 'SIMILAR') AS kind, round(coalesce(strength, 0.5), 6) AS strength FROM edges WHERE coalesce(kind, 'SIMILAR') <> 'SIMILAR' OR coalesce(strength, 0.5) >= 0.8")
 def edge_threshold(spark, sf_dir):
-    return O.edge_threshold(edges(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 4).alias("total"))
+    return O.edge_threshold(edges(spark, sf_dir)).select("seq", "source_id", "target_id", "kind", F.round("strength", 6).alias("strength"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT 'semantic' AS mode, source_id, target_id, seq FROM edges WHERE kind IN ('SIMILAR', {_KINDS}) UNION ALL SELECT 'citations', source_id, target_id, seq FROM edges WHERE kind = 'CITES'")
 def edges_for_view(spark, sf_dir):
     e = edges(spark, sf_dir)
-    mode = F.when(F.col("kind").isin("SIMILAR", "SUPPORT", "CONTRADICT", "NEUTRAL"), "semantic").when(F.col("kind") == "CITES", "citations")
-    return e.select(mode.alias("mode"), "source_id", "target_id", "seq").where("mode is not null")
+    return O.union_edges(*[O.edges_for_view(e, m).select(F.lit(m).alias("mode"), "source_id", "target_id", "seq") for m in ("semantic", "citations")])
 
 
 @query(f"WITH {EDGES_SQL}, n AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), m AS (SELECT * FROM n UNION SELECT a, a FROM n) SELECT a AS id, count(*) AS n_neighbours, CAST(sum(b) AS BIGINT) AS total FROM m GROUP BY 1")
@@ -148,22 +157,22 @@ def match_bronze(spark, sf_dir):
 _PAPER_COLUMNS = "id, arxiv_id, ss_id, title, full_text, conclusion, tldr, full_text_source"
 
 
-@query(f"""WITH {PAPERS}, t AS (SELECT id, arxiv_id, ss_id, title, substring(full_text, 1, 50) AS full_text, conclusion, tldr, 'old' AS full_text_source FROM papers WHERE id % 3 < 2),
-s AS (SELECT CASE WHEN id % 3 = 2 THEN id END AS id, CASE WHEN id % 7 = 0 THEN concat('new', CAST(id AS VARCHAR)) ELSE arxiv_id END AS arxiv_id, ss_id, concat('new ', title) AS title, CASE WHEN id % 4 = 0 THEN ' ' ELSE lang END AS full_text, CASE WHEN id % 5 = 1 THEN lang END AS conclusion, '' AS tldr, 'new' AS full_text_source FROM papers WHERE id % 2 = 0),
+@query(f"""WITH {PAPERS}, t AS (SELECT id, arxiv_id, ss_id, title, full_text, conclusion, tldr, 'old' AS full_text_source FROM papers WHERE id % 3 < 2),
+s AS (SELECT CASE WHEN id % 3 = 2 THEN id END AS id, CASE WHEN id % 7 = 0 THEN concat('new', CAST(id AS VARCHAR)) ELSE arxiv_id END AS arxiv_id, ss_id, concat('new ', title) AS title, CASE WHEN id % 4 = 0 THEN ' ' ELSE concat('new ', full_text) END AS full_text, CASE WHEN id % 5 = 1 THEN lang END AS conclusion, '' AS tldr, 'new' AS full_text_source FROM papers WHERE id % 2 = 0),
 m AS (SELECT t.*, coalesce(a.arxiv_id, b.arxiv_id) AS key FROM t LEFT JOIN s a ON t.arxiv_id = a.arxiv_id LEFT JOIN s b ON a.arxiv_id IS NULL AND t.ss_id = b.ss_id AND b.arxiv_id NOT IN (SELECT arxiv_id FROM t))
 SELECT m.id, m.arxiv_id, coalesce(m.ss_id, s.ss_id) AS ss_id, coalesce(s.title, m.title) AS title, CASE WHEN trim(s.full_text) <> '' THEN s.full_text ELSE m.full_text END AS full_text, CASE WHEN trim(s.conclusion) <> '' THEN s.conclusion ELSE m.conclusion END AS conclusion, m.tldr, CASE WHEN trim(s.full_text) <> '' THEN 'new' ELSE m.full_text_source END AS full_text_source FROM m LEFT JOIN s ON s.arxiv_id = m.key
 UNION ALL SELECT {_PAPER_COLUMNS} FROM s WHERE arxiv_id NOT IN (SELECT key FROM m WHERE key IS NOT NULL)""")
 def upsert_papers(spark, sf_dir):
     p = papers(spark, sf_dir)
     names = _PAPER_COLUMNS.split(", ")
-    t = p.where("id % 3 < 2").withColumn("full_text", F.substring("full_text", 1, 50)).withColumn("full_text_source", F.lit("old")).select(names)
-    s = p.where("id % 2 = 0").selectExpr("if(id % 3 = 2, id, null) as id", "if(id % 7 = 0, concat('new', string(id)), arxiv_id) as arxiv_id", "ss_id", "concat('new ', title) as title", "if(id % 4 = 0, ' ', lang) as full_text", "if(id % 5 = 1, lang, null) as conclusion", "'' as tldr", "'new' as full_text_source")
+    t = p.where("id % 3 < 2").withColumn("full_text_source", F.lit("old")).select(names)
+    s = p.where("id % 2 = 0").selectExpr("if(id % 3 = 2, id, null) as id", "if(id % 7 = 0, concat('new', string(id)), arxiv_id) as arxiv_id", "ss_id", "concat('new ', title) as title", "if(id % 4 = 0, ' ', concat('new ', full_text)) as full_text", "if(id % 5 = 1, lang, null) as conclusion", "'' as tldr", "'new' as full_text_source")
     return O.upsert_papers(t, s)
 
 
 @query()
 def upsert_papers_whole(spark, sf_dir):
-    """upsert_papers with whole texts on both sides; that query's SQL compares their first characters."""
+    """upsert_papers with other texts alone: ids, titles and conclusions are alike on both sides."""
     p = papers(spark, sf_dir)
     names = _PAPER_COLUMNS.split(", ")
     t = p.where("id % 3 < 2").withColumn("full_text_source", F.lit("old")).select(names)
@@ -207,11 +216,11 @@ def replace_group(spark, sf_dir):
     return O.replace_group(*_two(spark, sf_dir), "source_id").withColumn("strength", F.round("strength", 6))
 
 
-@query(f"WITH {PAPERS} SELECT doc_id AS paper_id, 'new' AS name, 2 AS version FROM labels UNION ALL SELECT id, 'old', 1 FROM papers WHERE id % 3 = 0 AND id NOT IN (SELECT doc_id FROM labels)")
+@query(f"WITH {PAPERS} SELECT doc_id AS paper_id, 'new' AS name, 2 AS version, 20 AS updated_at FROM labels UNION ALL SELECT id, 'old', 1, 10 FROM papers WHERE id % 3 = 0 AND id NOT IN (SELECT doc_id FROM labels)")
 def upsert_by_key(spark, sf_dir):
-    old = papers(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("paper_id"), F.lit("old").alias("name"), F.lit(1).alias("version"))
+    old = papers(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("paper_id"), F.lit("old").alias("name"), F.lit(1).alias("version"), F.lit(10).alias("updated_at"))
     new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.lit("new").alias("name"), F.lit(2).alias("version"))
-    return O.upsert_by_key(old, new, ["paper_id"])
+    return O.upsert_by_key(old, new, ["paper_id"], F.lit(20))
 
 
 @query(f"WITH {PAPERS} SELECT id, CASE WHEN ss_id IS NULL AND id % 8 = 0 THEN concat('new', CAST(id AS VARCHAR)) ELSE ss_id END AS ss_id, CASE WHEN id % 8 = 0 AND (tldr IS NULL OR trim(tldr) = '') THEN lang ELSE tldr END AS tldr, CASE WHEN id % 8 = 0 THEN lang ELSE tldr END AS forced FROM papers")
@@ -222,11 +231,18 @@ def backfill(spark, sf_dir):
     return O.backfill(out, new, "id", "forced", overwrite=True).drop("lang")
 
 
-@query(f"WITH {EDGES_SQL} SELECT kind, count(*) AS n FROM (SELECT kind FROM edges WHERE kind = 'CITES' UNION ALL SELECT kind FROM edges WHERE kind = 'SIMILAR' UNION ALL SELECT kind FROM edges WHERE kind IN ({_KINDS})) GROUP BY 1")
+@query(f"""WITH {PAPERS}, p AS (SELECT id, tldr, lang, tldr IS NULL OR trim(tldr) = '' AS blank, id % 8 = 0 AS known FROM papers) SELECT 'blank' AS mode, count(*) FILTER (blank) AS candidates, count(*) FILTER (blank AND known) AS resolved, count(*) FILTER (blank AND known AND lang IS DISTINCT FROM tldr) AS updated FROM p
+UNION ALL SELECT 'all', count(*), count(*) FILTER (known), count(*) FILTER (known AND lang IS DISTINCT FROM tldr) FROM p""")
+def backfill_counts(spark, sf_dir):
+    p = papers(spark, sf_dir).select("id", "tldr", "lang")
+    new = p.where("id % 8 = 0").select("id", F.col("lang").alias("tldr"))
+    return O.union_edges(*[O.backfill_counts(p, new, "id", "tldr", force).withColumn("mode", F.lit(mode)) for mode, force in (("blank", False), ("all", True))])
+
+
+@query(f"WITH {EDGES_SQL} SELECT seq, source_id, target_id, kind FROM edges WHERE kind IN ('CITES', 'SIMILAR', {_KINDS})")
 def union_edges(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    some = [e.where("kind = 'CITES'"), e.where("kind = 'SIMILAR'"), e.where(f"kind in ({_KINDS})")]
-    return some[0].unionByName(some[1]).unionByName(some[2]).groupBy("kind").agg(F.count("*").alias("n"))
+    e = edges(spark, sf_dir).select("seq", "source_id", "target_id", "kind")
+    return O.union_edges(e.where("kind = 'CITES'"), e.where("kind = 'SIMILAR'"), e.where(f"kind in ({_KINDS})"))
 
 
 def _tasks(spark, sf_dir):
@@ -235,10 +251,10 @@ def _tasks(spark, sf_dir):
     return a, b
 
 
-@query("WITH m AS (SELECT 0 AS task, p_partkey - 1 AS idx, p_name AS text FROM part UNION ALL SELECT 1, n_nationkey, n_name FROM nation UNION ALL SELECT 2, n_nationkey, n_name FROM nation) SELECT task, idx, text FROM m")
+@query("WITH m AS (SELECT 0 AS task, p_partkey - 1 AS idx, p_name AS text FROM part UNION ALL SELECT 1, n_nationkey, n_name FROM nation UNION ALL SELECT 2, n_nationkey, n_name FROM nation) SELECT task, idx, text, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(task AS VARCHAR), CAST(idx AS VARCHAR))), task, idx) - 1 AS place FROM m")
 def mixture(spark, sf_dir):
     a, b = _tasks(spark, sf_dir)
-    return O.mixture([a, b, b]).orderBy("shuffle_key").select("task", "idx", "text")
+    return O.mixture([a, b, b]).select("task", "idx", "text", "place")
 
 
 @query("SELECT 0 AS task, p_partkey - 1 AS idx, p_partkey - 1 AS place FROM part UNION ALL SELECT 1, n_nationkey, n_nationkey + (SELECT count(*) FROM part) FROM nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import tables as O
 from .fixtures import PAPERS, papers
 from .registry import query, table
 
@@ -201,14 +202,14 @@ def recover_json(spark, sf_dir):
     return got.select("event_id", "o.kind", "o.user_id")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE concat_ws('|', event_type, 'x') END AS methods, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS tldr, event_id % 3 = 0 AND event_id % 4 = 0 AS is_empty, CAST((event_id % 3 <> 0) AS INT) + CAST((event_id % 4 <> 0) AS INT) AS populated FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS research_question, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE concat_ws('|', event_type, 'x') END AS methods, event_id % 3 = 0 AND event_id % 4 = 0 AS is_empty, CAST((event_id % 3 <> 0) AS INT) + CAST((event_id % 4 <> 0) AS INT) AS populated FROM events""")
 def normalize_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     k = F.col("event_id") % 3
-    methods = T.summary_list(F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.col("event_type")).otherwise(F.concat(F.lit('["'), "event_type", F.lit('", " ", "x", null]'))))
-    tldr = T.strip(F.coalesce(F.when(F.col("event_id") % 4 != 0, F.concat(F.lit(" "), "event_type", F.lit("\n"))), F.lit("")))
-    n = (F.size(methods) > 0).cast("int") + (tldr != "").cast("int")
-    return e.select("event_id", F.array_join(methods, "|").alias("methods"), tldr.alias("tldr"), (n == 0).alias("is_empty"), n.alias("populated"))
+    methods = F.when(k == 1, F.col("event_type")).when(k == 2, F.concat(F.lit('["'), "event_type", F.lit('", " ", "x", null]')))
+    asked = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit(" "), "event_type", F.lit("\n")))
+    got = T.normalize_summary(e.select("event_id", methods.alias("methods"), asked.alias("research_question"), F.lit(" ").alias("limitations"))).select("event_id", "summary.*", "is_empty", "populated")
+    return got.select("event_id", "research_question", F.array_join("methods", "|").alias("methods"), "is_empty", "populated")
 
 
 @query("SELECT event_id, concat_ws(',', CAST(user_id AS VARCHAR), CASE WHEN event_id % 2 = 0 OR event_id = user_id THEN CAST(event_id AS VARCHAR) END, CAST(user_id AS VARCHAR)) AS cited FROM events")
@@ -257,10 +258,24 @@ def fallback_answer(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(chunks.alias("chunks")).select("conv_id", T.fallback_answer(F.col("chunks")).alias("answer"))
 
 
-@query(f"WITH {PAPERS} SELECT id, concat('Question: what is new?', chr(10), 'Context:', chr(10), array_to_string(list_filter(['[1] ' || abstract, '[2] ' || conclusion], lambda x: x IS NOT NULL), chr(10) || chr(10)), chr(10), 'Answer:') AS prompt FROM papers")
+_CONTEXT = "array_to_string(list_filter([CASE WHEN a <> '' THEN '[Chunk ID: 1 | Type: abstract]' || chr(10) || a END, CASE WHEN c <> '' THEN '[Chunk ID: 2 | Type: body]' || chr(10) || c END], lambda x: x IS NOT NULL), chr(10) || chr(10))"
+
+
+@query(f"""WITH {PAPERS}, p AS (SELECT id, title, {_strip("coalesce(abstract, '')")} AS a, {_strip("coalesce(conclusion, '')")} AS c, coalesce(abstract, '') AS abstract, CASE WHEN id % 2 = 0 THEN 'USER: why' ELSE '' END AS history FROM papers)
+SELECT id, {_CONTEXT} AS context, concat('TITLE: ', title, chr(10), chr(10), 'PAPER CONTENT:', chr(10), chr(10), chr(10), '[Chunk 1 | ID: 1 | Type: abstract]:', chr(10), abstract) AS summary,
+concat('Answer from these chunks alone and cite the ids that support the answer, as JSON with answer and cited_chunk_ids.', chr(10), 'VALID CHUNK IDS: [1,2]', CASE WHEN history <> '' THEN chr(10) || 'RECENT CONVERSATION:' || chr(10) || history ELSE '' END, chr(10), 'QUESTION:', chr(10), 'what is new?', chr(10), 'RETRIEVED PAPER CHUNKS:', chr(10), {_CONTEXT}) AS grounded,
+concat('Write the follow-up question so that it stands alone, from the conversation alone.', chr(10), 'CONVERSATION HISTORY:', chr(10), history, chr(10), 'FOLLOW-UP QUESTION:', chr(10), 'what is new?') AS rewrite,
+concat('Answer from the title and the abstract alone.', chr(10), 'TITLE:', chr(10), title, chr(10), 'ABSTRACT:', chr(10), abstract, chr(10), 'QUESTION:', chr(10), 'what is new?') AS abstract_only,
+concat('Answer from the retrieved chunks alone.', chr(10), 'TITLE:', chr(10), title, chr(10), 'QUESTION:', chr(10), 'what is new?', chr(10), 'RETRIEVED CHUNKS:', chr(10), {_CONTEXT}) AS retrieval FROM p""")
 def build_prompts(spark, sf_dir):
-    blocks = F.concat_ws("\n\n", F.concat(F.lit("[1] "), "abstract"), F.concat(F.lit("[2] "), "conclusion"))
-    return papers(spark, sf_dir).select("id", F.concat(F.lit("Question: what is new?\nContext:\n"), blocks, F.lit("\nAnswer:")).alias("prompt"))
+    """A prompt of each kind for every paper."""
+    chunk = lambda i, kind, c: F.struct(F.lit(i).alias("chunk_id"), F.lit(kind).cast("string").alias("chunk_type"), F.coalesce(c, F.lit("")).alias("chunk_text"))
+    p = papers(spark, sf_dir).select("id", "title", F.coalesce("abstract", F.lit("")).alias("abstract"), F.array(chunk(1, "abstract", F.col("abstract")), chunk(2, None, F.col("conclusion"))).alias("chunks"), F.when(F.col("id") % 2 == 0, "USER: why").otherwise("").alias("history"), F.lit("what is new?").alias("question"))
+    p = p.withColumn("context", T.chunk_context(F.col("chunks"))).withColumn("chunk_ids", F.to_json(F.transform("chunks", lambda c: c["chunk_id"])))
+    p = p.withColumn("summary", T.summary_context(F.col("title"), F.slice("chunks", 1, 1)))
+    for kind in T.PROMPTS:
+        p = T.build_prompts(p, kind)
+    return p.select("id", "context", "summary", *T.PROMPTS)
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 1000 AS VARCHAR) END AS strict, CASE event_id % 3 WHEN 0 THEN CAST(event_id * 1000 AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) ELSE 'N/A' END AS lenient,
@@ -337,40 +352,39 @@ def connections(spark, sf_dir):
     return got.select("p_partkey", F.col("pos").cast("long").alias("pos"), "e.*")
 
 
-@query(f"WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'api' WHEN id % 3 = 0 THEN 'pdf' ELSE 'none' END AS origin, CASE WHEN id % 2 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS n, coalesce(nullif(conclusion, ''), tldr) AS conclusion FROM papers")
+@query(f"""WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'api' WHEN id % 3 = 0 THEN 'pdf' ELSE 'none' END AS origin, CASE WHEN id % 2 = 0 THEN concat(title, '|', lang) WHEN id % 3 = 0 THEN title ELSE '' END AS entries, coalesce(nullif(conclusion, ''), tldr) AS conclusion FROM papers""")
 def coalesce_sources(spark, sf_dir):
-    api = F.when(F.col("id") % 2 == 0, F.array("title", "lang"))
-    pdf = F.when(F.col("id") % 3 == 0, F.array("title"))
-    found = F.when(F.size(F.coalesce(api, F.expr("cast(array() as array<string>)"))) > 0, F.struct(F.lit("api").alias("origin"), api.alias("e"))).when(pdf.isNotNull(), F.struct(F.lit("pdf").alias("origin"), pdf.alias("e"))).otherwise(F.struct(F.lit("none").alias("origin"), F.expr("cast(array() as array<string>)").alias("e")))
-    return papers(spark, sf_dir).withColumn("f", found).select("id", "f.origin", F.size("f.e").alias("n"), F.coalesce(F.nullif("conclusion", F.lit("")), "tldr").alias("conclusion"))
+    none = F.expr("cast(array() as array<string>)")
+    api, pdf = F.when(F.col("id") % 2 == 0, F.array("title", "lang")).when(F.col("id") % 5 == 0, none), F.when(F.col("id") % 3 == 0, F.array("title"))
+    return T.coalesce_sources(papers(spark, sf_dir).withColumn("api", api).withColumn("pdf", pdf), {"api": "api", "pdf": "pdf"}).select("id", "origin", F.array_join("entries", "|").alias("entries"), "conclusion")
 
 
-@query(f"WITH {PAPERS} SELECT CASE id % 4 WHEN 0 THEN concat('x', CAST(id AS VARCHAR)) ELSE arxiv_id END AS key, title, coalesce(CASE WHEN id % 2 = 0 THEN n_chars END, 0) AS citations FROM papers WHERE id % 4 < 3")
+@query(f"""WITH {PAPERS} SELECT CASE id % 4 WHEN 0 THEN concat('x', CAST(id AS VARCHAR)) ELSE arxiv_id END AS key, title, CASE WHEN id % 3 = 0 THEN concat(lang, '|', source) WHEN id % 3 = 1 THEN source ELSE '' END AS authors, CAST(coalesce(CASE WHEN id % 2 = 0 THEN n_chars END, 0) AS BIGINT) AS citations, CAST(0 AS INT) AS year FROM papers WHERE id % 4 < 3""")
 def normalize_results(spark, sf_dir):
     k = F.col("id") % 4
     url = F.when(k == 2, F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id", F.lit("v1"))).otherwise("https://example.com/x")
-    key = F.coalesce(F.when(k == 0, F.concat(F.lit("x"), F.col("id").cast("string"))), F.when(k == 1, F.col("arxiv_id")), T.extract_paper_id(url))
-    return papers(spark, sf_dir).select(key.alias("key"), "title", F.coalesce(F.when(F.col("id") % 2 == 0, F.col("n_chars")), F.lit(0)).alias("citations")).where("key is not null")
-
-
-_USABLE = "length(trim(coalesce(full_text, ''))) > 0 OR abstract IS NOT NULL OR conclusion IS NOT NULL"
+    people = F.when(F.col("id") % 3 == 0, F.to_json(F.array("lang", "source"))).when(F.col("id") % 3 == 1, F.to_json(F.array(F.struct(F.col("source").alias("name")), F.struct(F.lit("").alias("name")))))
+    raw = papers(spark, sf_dir).select(F.when(k == 0, F.concat(F.lit("x"), F.col("id").cast("string"))).alias("external_id"), F.when(k == 1, F.col("arxiv_id")).alias("arxiv_id"), url.alias("url"), "title", people.alias("authors"), F.when(F.col("id") % 2 == 0, F.col("n_chars")).alias("citations"), F.lit(None).cast("int").alias("year"))
+    return T.normalize_results(raw).select("key", "title", F.array_join("authors", "|").alias("authors"), "citations", "year")
 
 
-@query(f"WITH {PAPERS} SELECT id FROM papers WHERE {_USABLE}")
+@query(f"WITH {PAPERS} SELECT id FROM papers WHERE length(trim(coalesce(full_text, ''))) > 0 OR abstract IS NOT NULL OR conclusion IS NOT NULL")
 def has_text(spark, sf_dir):
-    return papers(spark, sf_dir).where(_USABLE).select("id")
+    return O.has_text(papers(spark, sf_dir)).select("id")
 
 
-@query(f"WITH {PAPERS} SELECT id, 'tldr' AS missing FROM (SELECT id FROM papers WHERE tldr IS NULL OR trim(tldr) = '' ORDER BY id LIMIT 50) UNION ALL SELECT id, 'ss_id' FROM (SELECT id FROM papers WHERE ss_id IS NULL AND arxiv_id IS NOT NULL ORDER BY id LIMIT 50)")
+@query(f"""WITH {PAPERS}, p AS (SELECT p.*, e.embedding, CASE WHEN p.id % 2 = 0 THEN [1] END AS neighbours FROM papers p LEFT JOIN embeddings e ON e.vec_id = p.id)
+SELECT id, 'tldr' AS missing FROM (SELECT id FROM p WHERE tldr IS NULL OR trim(tldr) = '' ORDER BY id LIMIT 50) UNION ALL SELECT id, 'ss_id' FROM (SELECT id FROM p WHERE ss_id IS NULL AND arxiv_id IS NOT NULL ORDER BY id LIMIT 50)
+UNION ALL SELECT id, 'embedding' FROM (SELECT id FROM p WHERE embedding IS NULL AND (abstract IS NOT NULL OR conclusion IS NOT NULL) ORDER BY id LIMIT 50) UNION ALL SELECT id, 'neighbours' FROM (SELECT id FROM p WHERE embedding IS NOT NULL AND neighbours IS NULL ORDER BY id LIMIT 50)""")
 def pending(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    some = lambda cond, what: p.where(cond).orderBy("id").limit(50).select("id", F.lit(what).alias("missing"))
-    return some("tldr is null or trim(tldr) = ''", "tldr").unionByName(some("ss_id is null and arxiv_id is not null", "ss_id"))
+    p = papers(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left").withColumn("neighbours", F.when(F.col("id") % 2 == 0, F.array(F.lit(1))))
+    some = [O.pending(p, kind, 50).select("id", F.lit(kind).alias("missing")) for kind in ("tldr", "ss_id", "embedding", "neighbours")]
+    return O.union_edges(*some)
 
 
 @query(f"WITH {PAPERS} SELECT id, title FROM papers WHERE title ILIKE '%tion%' OR abstract ILIKE '%tion%' ORDER BY id DESC LIMIT 40")
 def keyword_filter(spark, sf_dir):
-    return papers(spark, sf_dir).where(F.col("title").ilike("%tion%") | F.col("abstract").ilike("%tion%")).orderBy(F.desc("id")).limit(40).select("id", "title")
+    return O.keyword_filter(papers(spark, sf_dir), "tion", 40).select("id", "title")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
