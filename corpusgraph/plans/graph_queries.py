@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import chunking as C
 from ..operators import graph as G
+from ..operators import metrics as M
 from ..operators import neighbours as N
-from ..operators import ranking as K
 from ..operators import tables as O
 from .fixtures import EDGES_SQL, PAPERS, REFS, edges, papers, references
 from .metric_queries import _r
@@ -29,28 +29,42 @@ def _first(spark, sf_dir):
 
 
 def _sectioned(spark, sf_dir):
+    """Papers of which two in three have headings; the last section repeats an earlier one."""
     p = papers(spark, sf_dir)
-    names = F.array(*map(F.lit, ("Introduction", "2. Methods", "Results", "Conclusion")))
-    quarter = F.floor(F.length("full_text") / 4).cast("int")
-    parts = F.transform(names, lambda n, i: F.concat(F.lit("\n"), n, F.lit("\n"), F.substr(F.col("full_text"), i * quarter + 1, quarter)))
+    names = F.array(*map(F.lit, ("Introduction", "2 Methods", "3.1  RESULTS", "Discussion", "Conclusion", "Discussion")))
+    size = F.floor(F.length("full_text") / 5).cast("int")
+    parts = F.transform(names, lambda n, i: F.concat(F.lit("\n"), n, F.lit("\n"), F.substr(F.col("full_text"), F.when(i == 5, 3).otherwise(i) * size + 1, size)))
     return p.withColumn("full_text", F.when(F.col("id") % 3 == 0, F.col("full_text")).otherwise(F.concat(F.lit("Title page"), F.array_join(parts, ""))))
 
 
-@query()
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_HEADS = "abstract|introduction|background|related work|method|methods|methodology|approach|experimental setup|experiments|evaluation|results|discussion|limitations|conclusion|concluding remarks|summary and discussion"
+#: SQL of _sectioned() and its sections: found(id, i, name, content).
+_SECTIONS = rf"""WITH {PAPERS}, raw AS (SELECT id, abstract, conclusion, {_CLEAN.format("CASE WHEN id % 3 = 0 THEN full_text ELSE concat('Title page', array_to_string(list_transform(range(6), lambda i: concat(chr(10), (['Introduction', '2 Methods', '3.1  RESULTS', 'Discussion', 'Conclusion', 'Discussion'])[i + 1], chr(10), substr(full_text, CASE WHEN i = 5 THEN 3 ELSE i END * (length(full_text) // 5) + 1, length(full_text) // 5))), '')) END")} AS t FROM papers),
+cut AS (SELECT id, abstract, conclusion, t, string_split(regexp_replace(t, '(?im)^(?:\d+(?:\.\d+)*)?\s*({_HEADS})\s*$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM raw),
+pieces AS (SELECT id, unnest(range(len(parts) - 1)) AS i, unnest(parts[2:]) AS p FROM cut WHERE len(parts) > 1),
+named AS (SELECT id, i, lower(string_split(p, chr(2))[1]) AS head, {_CLEAN.format("string_split(p, chr(2))[2]")} AS content FROM pieces),
+found AS (SELECT id, i, CASE WHEN head IN ('method', 'methods', 'methodology', 'approach', 'experimental setup', 'experiments') THEN 'methods' WHEN head IN ('results', 'evaluation', 'discussion') THEN 'results' WHEN head IN ('conclusion', 'concluding remarks', 'summary and discussion') THEN 'conclusion'
+ WHEN head IN ('introduction', 'background', 'related work', 'abstract', 'limitations') THEN head ELSE 'body' END AS name, content FROM named WHERE content <> '' UNION ALL SELECT id, 0, 'body', t FROM cut WHERE len(parts) = 1 AND t <> '')"""
+_BUILT = f"""once AS (SELECT id, i, name, content FROM (SELECT *, row_number() OVER (PARTITION BY id, name, substr(content, 1, 200) ORDER BY i) AS rn FROM found) WHERE rn = 1), ends AS (SELECT id, -1 AS i, 'abstract' AS name, {_CLEAN.format("coalesce(abstract, '')")} AS content FROM raw UNION ALL SELECT id, 1000, 'conclusion', {_CLEAN.format("coalesce(conclusion, '')")} FROM raw),
+built AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS section_order, name, content FROM (SELECT * FROM once UNION ALL SELECT * FROM ends e WHERE content <> '' AND NOT EXISTS (SELECT 1 FROM once o WHERE o.id = e.id AND o.name = e.name AND substr(o.content, 1, 200) = substr(e.content, 1, 200))))"""
+
+
+@query(_SECTIONS + " SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INT) AS pos, name, content FROM found")
 def split_sections(spark, sf_dir):
     got = _sectioned(spark, sf_dir).select("id", F.posexplode(C.sections(F.col("full_text"))).alias("pos", "s"))
-    return got.select("id", "pos", "s.name", F.length("s.content").alias("n"))
+    return got.select("id", "pos", "s.name", "s.content")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'methods' WHEN 1 THEN 'results' WHEN 2 THEN 'related work' WHEN 3 THEN 'conclusion' ELSE 'body' END AS section FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'methods' WHEN 1 THEN 'results' WHEN 2 THEN 'related work' WHEN 3 THEN 'body' WHEN 4 THEN 'body' WHEN 5 THEN 'methods' WHEN 6 THEN 'conclusion' WHEN 7 THEN 'results' WHEN 8 THEN 'abstract' WHEN 9 THEN 'limitations' WHEN 10 THEN 'methods' ELSE 'body' END AS section FROM part""")
 def canonical_section(spark, sf_dir):
-    names = F.array(*map(F.lit, ("Approach", "EVALUATION", "Related Work ", "conclusions", "Odds and ends")))
-    return table(spark, sf_dir, "part").select("p_partkey", C.canonical_section(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("section"))
+    names = F.array(*map(F.lit, ("Approach", "EVALUATION", "Related Work ", "conclusions", "Odds and ends", "Experiments", "Concluding remarks", "discussion", "Abstract of it", " Limitations and more", "Experimental Setup", "references")))
+    return table(spark, sf_dir, "part").select("p_partkey", C.canonical_section(F.element_at(names, (F.col("p_partkey") % 12 + 1).cast("int"))).alias("section"))
 
 
-@query()
+@query(_SECTIONS + ", " + _BUILT + " SELECT id, CAST(section_order AS INT) AS section_order, name, content FROM built")
 def build_sections(spark, sf_dir):
-    return C.build_sections(_sectioned(spark, sf_dir)).select("id", "section_order", "name", F.length("content").alias("n"))
+    return C.build_sections(_sectioned(spark, sf_dir))
 
 
 @query(f"""WITH w AS (SELECT doc_id, text, {_WORDS.format('text')} AS ws FROM documents), n AS (SELECT *, len(ws) AS n, (len(ws) - 100) // 90 + 1 AS k FROM w),
@@ -60,9 +74,23 @@ def chunk_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.chunks(F.col("text"), 100, 10)).alias("chunk_index", "chunk"))
 
 
-@query()
+@query(_SECTIONS + ", " + _BUILT + f""", w AS (SELECT id, section_order, name, content, {_WORDS.format("content")} AS ws FROM built), n AS (SELECT *, len(ws) AS n, (len(ws) - 500) // 460 + 1 AS k FROM w),
+c AS (SELECT id, section_order, name, CASE WHEN n <= 500 THEN [content] ELSE list_filter(list_transform(list_concat(list_transform(range(k + 1), lambda i: i * 460), CASE WHEN n - 460 * k > 40 THEN [n - 40] ELSE [] END), lambda s: array_to_string(ws[s + 1:s + 500], ' ')), lambda x: x <> '') END AS c FROM n),
+u AS (SELECT id, section_order, name, unnest(range(len(c))) AS i, unnest(c) AS t FROM c)
+SELECT id AS paper_id, CAST(section_order AS INT) AS section_order, CAST(i AS INT) AS chunk_index, name AS chunk_type, CAST(len({_WORDS.format("t")}) AS BIGINT) AS token_estimate, t AS chunk_text FROM u""")
 def chunk_corpus(spark, sf_dir):
-    return C.chunk_corpus(_sectioned(spark, sf_dir))
+    """Without the ids, which are hashes that the SQL doesn't have; a test of their own holds them."""
+    return C.chunk_corpus(_sectioned(spark, sf_dir)).drop("section_id", "chunk_id")
+
+
+@query()
+def chunk_ids(spark, sf_dir):
+    return C.chunk_corpus(_sectioned(spark, sf_dir)).select("section_id", "chunk_id")
+
+
+@query(_SECTIONS + ", " + _BUILT + f" SELECT id, count(*) FILTER (len({_WORDS.format('content')}) > 25000) AS oversize FROM built GROUP BY 1")
+def oversize(spark, sf_dir):
+    return C.oversize(_sectioned(spark, sf_dir))
 
 
 @query(f"WITH {_V} SELECT id, round(list_dot_product(e, e) / list_dot_product(e, e), 5) AS length, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first FROM v")
@@ -91,14 +119,16 @@ def knn_join(spark, sf_dir):
     return N.knn(_vectors(spark, sf_dir), 10).select("id", "neighbour", F.col("rank").cast("long").alias("rank"), _r("score", 5).alias("score"))
 
 
-@query(f"WITH {_V}, {_KNN} SELECT id, neighbour, 'cache' AS origin FROM (SELECT id, unnest([(id * 3) % 500, (id * 5) % 500]) AS neighbour FROM v WHERE id % 2 = 0) WHERE neighbour IN (SELECT id FROM v) UNION ALL SELECT id, neighbour, 'search' FROM k WHERE id % 2 = 1 AND rank <= 5 AND score >= 0.1")
+@query(f"WITH {_V}, {_KNN} SELECT id, neighbour, pos, 'cache' AS origin FROM (SELECT id, unnest([0, 1]) AS pos, unnest([(id * 3) % 500, (id * 5) % 500]) AS neighbour FROM v WHERE id % 2 = 0) WHERE neighbour IN (SELECT id FROM v) UNION ALL SELECT id, neighbour, rank - 1, 'search' FROM k WHERE id % 2 = 1 AND rank <= 5 AND score >= 0.1")
 def related(spark, sf_dir):
-    """Cached neighbours where there are any, else a search whose result would fill the cache."""
-    v = _vectors(spark, sf_dir)
-    cache = v.where("id % 2 = 0").select("id", F.array((F.col("id") * 3) % 500, (F.col("id") * 5) % 500).alias("neighbours"))
-    cached = O.cached_neighbours(cache, v, []).select("id", "neighbour", F.lit("cache").alias("origin"))
-    found = N.knn(v, 5, queries=v.join(cache, "id", "left_anti"), threshold=0.1)
-    return cached.unionByName(found.select("id", "neighbour", F.lit("search").alias("origin")))
+    """Cached neighbours where there are any, else a search."""
+    return N.related(*_cache(spark, sf_dir), 5, 0.1)[0]
+
+
+@query(f"WITH {_V}, {_KNN} SELECT id, string_agg(CAST(neighbour AS VARCHAR), ',' ORDER BY rank) AS neighbours FROM k WHERE rank <= 5 AND score >= 0.1 GROUP BY 1")
+def related_update(spark, sf_dir):
+    """The lists that a search for all of them adds to the cache."""
+    return N.related(*_cache(spark, sf_dir), 5, 0.1, refresh=True)[1].select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 _HYBRID = f"""WITH {PAPERS}, {_V}, q AS (SELECT e FROM v ORDER BY id LIMIT 1), c AS (SELECT b.id, list_cosine_similarity(q.e, b.e) AS score FROM q, v b JOIN papers USING (id) ORDER BY score DESC, b.id LIMIT 100)
@@ -114,59 +144,59 @@ def hybrid_search(spark, sf_dir):
 @query(f"""WITH {_V}, c AS (SELECT b.id, b.label, {_COS} AS score, length(d.text) AS n FROM (SELECT * FROM v ORDER BY id LIMIT 1) a, v b JOIN documents d ON d.doc_id = b.id WHERE b.label = 2 AND {_COS} >= 0.05 AND trim(d.text) <> '' ORDER BY {_COS} DESC, b.id LIMIT 15),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn, sum(n) OVER (ORDER BY score DESC, id) AS chars FROM c) SELECT id, round(score, 5) AS score, CAST(rn AS INT) AS rn FROM r WHERE (rn = 1 OR chars <= 9000) AND rn <= 5""")
 def retrieve_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    near = N.topk_query(_vectors(spark, sf_dir).join(d, "id").where("trim(text) <> ''"), _first(spark, sf_dir), 15, 0.05, F.col("label") == 2)
-    return K.budget_prefix(near, ["label"], [F.desc("score"), F.col("id")], "text", 9000, 5).select("id", _r("score", 5).alias("score"), "rn")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
+    chunks = _vectors(spark, sf_dir).join(d, "id")
+    return N.retrieve_chunks(chunks, _first(spark, sf_dir), 5, F.col("label") == 2, 9000).select("id", _r("score", 5).alias("score"), "rn")
 
 
-@query(f"""WITH {PAPERS}, f AS (SELECT id, 0 AS p, abstract AS t FROM papers UNION ALL SELECT id, 1, tldr FROM papers UNION ALL SELECT id, 2, conclusion FROM papers), g AS (SELECT id, p, substring(t, 1, 2000) AS t FROM f WHERE trim(coalesce(t, '')) <> '' AND id NOT IN (SELECT doc_id FROM labels)),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn, sum(length(t)) OVER (PARTITION BY id ORDER BY p) AS c FROM g) SELECT id, 9000001 + p AS chunk_id, t AS text FROM r WHERE rn = 1 OR c <= 450""")
+@query(rf"""WITH {PAPERS}, f AS (SELECT id, 0 AS p, 'abstract' AS kind, abstract AS t FROM papers UNION ALL SELECT id, 1, 'tldr', tldr FROM papers UNION ALL SELECT id, 2, 'conclusion', conclusion FROM papers), g AS (SELECT id, p, kind, substring(regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g'), 1, 2000) AS t FROM f WHERE id NOT IN (SELECT doc_id FROM labels)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn, sum(length(t)) OVER (PARTITION BY id ORDER BY p) AS c FROM g WHERE t <> '') SELECT id, 9000001 + p AS chunk_id, kind AS chunk_type, t AS chunk_text FROM r WHERE rn = 1 OR c <= 450""")
 def fallback_chunks(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    rows = p.select("id", F.posexplode(F.array("abstract", "tldr", "conclusion")).alias("p", "t")).where("trim(coalesce(t, '')) <> ''")
-    rows = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("t", F.substring("t", 1, 2000))
-    return K.budget_prefix(rows, ["id"], [F.col("p")], "t", 450, 3).select("id", (9000001 + F.col("p")).alias("chunk_id"), F.col("t").alias("text"))
+    return N.fallback_chunks(papers(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 450)
 
 
 @query(f"""WITH {PAPERS}, {REFS}, {_V}, x AS (SELECT DISTINCT r.paper_id, p.id AS t FROM refs r JOIN papers p ON r.ss_paper_id = p.ss_id OR r.arxiv_id = p.arxiv_id OR lower(r.doi) = lower(p.doi)),
 m AS (SELECT x.paper_id AS id, pos, avg(val) AS m FROM x JOIN (SELECT id, unnest(range(64)) AS pos, unnest(e) AS val FROM v) u ON u.id = x.t GROUP BY 1, 2), l AS (SELECT id, list(m ORDER BY pos) AS m FROM m GROUP BY 1),
 b AS (SELECT v.id, v.e, l.m, CASE WHEN l.m IS NULL THEN v.e ELSE list_transform(range(1, 65), lambda i: 0.7 * v.e[i] + 0.3 * l.m[i]) END AS w FROM v LEFT JOIN l USING (id))
-SELECT id, m IS NOT NULL AS has_refs, round(CASE WHEN m IS NULL THEN w[1] ELSE w[1] / sqrt(list_dot_product(w, w)) END, 5) AS first FROM b""")
+SELECT id, CASE WHEN m IS NOT NULL THEN 'blended' WHEN id IN (SELECT paper_id FROM x) THEN 'no vectors' ELSE 'no refs' END AS case_, array_to_string(list_transform(CASE WHEN m IS NULL THEN w ELSE list_transform(w, lambda y: y / sqrt(list_dot_product(w, w))) END, lambda y: CAST(CAST(round(y * 1000) AS BIGINT) AS VARCHAR)), ' ') AS vector FROM b""")
 def blend_vectors(spark, sf_dir):
-    p, v = papers(spark, sf_dir), _vectors(spark, sf_dir)
-    refs = O.resolve_citations(references(p), p).join(v.select(F.col("id").alias("target_id"), "embedding"), "target_id")
-    each = refs.select(F.col("paper_id").alias("id"), F.posexplode("embedding").alias("pos", "x")).groupBy("id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda y: y["m"]).alias("mean"))
-    b = v.join(mean, "id", "left").select("id", F.col("mean").isNotNull().alias("has_refs"), V.blend(F.col("embedding"), F.col("mean"), 0.7).alias("w"))
-    return b.select("id", "has_refs", _r(F.col("w")[0], 5).alias("first"))
+    """Whole vectors, in thousandths."""
+    p = papers(spark, sf_dir)
+    b = G.blend_vectors(_vectors(spark, sf_dir), references(p), p)
+    return b.select("id", F.col("case").alias("case_"), F.array_join(F.transform("blended", lambda y: F.round(y * 1000).cast("long").cast("string")), " ").alias("vector"))
+
 
+_BY_TITLE = "list_transform(range(1, 65), lambda i: CASE WHEN i <= 32 THEN v.e[i] ELSE 0 END)"
 
-@query(f"WITH {_V}, {_KNN} SELECT id AS anchor, neighbour AS candidate, rank, (id + neighbour) % 7 = 0 AS is_cited FROM k WHERE id % 50 = 0 AND rank <= 20")
+
+@query(f"""WITH {_V}, c AS (SELECT 'whole' AS composition, id, e FROM v UNION ALL SELECT 'half', id, {_BY_TITLE} FROM v),
+k AS (SELECT a.composition, a.id AS anchor, b.id AS candidate, list_cosine_similarity(a.e, b.e) AS score, row_number() OVER (PARTITION BY a.composition, a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS rank FROM c a JOIN c b ON a.composition = b.composition AND a.id <> b.id WHERE a.id % 50 = 0)
+SELECT composition, 'm' AS model, anchor, candidate, round(score, 5) AS score, rank, (anchor + candidate) % 7 = 0 AS is_cited FROM k WHERE rank <= 20""")
 def rank_candidates(spark, sf_dir):
-    """Anchors are every fiftieth vector, ranked against all others."""
-    v = _vectors(spark, sf_dir)
-    r = N.knn(v, 20, queries=v.where("id % 50 = 0"))
-    return r.select(F.col("id").alias("anchor"), F.col("neighbour").alias("candidate"), F.col("rank").cast("long").alias("rank"), ((F.col("id") + F.col("neighbour")) % 7 == 0).alias("is_cited"))
+    """Anchors are every fiftieth vector, ranked against all others, by whole vectors and by their first half."""
+    v = _vectors(spark, sf_dir).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    half = v.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < 32, x).otherwise(0.0)))
+    both = v.withColumn("composition", F.lit("whole")).unionByName(half.withColumn("composition", F.lit("half"))).withColumn("model", F.lit("m"))
+    anchors = v.where("id % 50 = 0").select("id")
+    seven = v.select(F.col("id").alias("candidate"), F.pmod(-F.col("id"), F.lit(7)).alias("r"))
+    cited = anchors.select(F.col("id").alias("anchor"), F.pmod("id", F.lit(7)).alias("r")).join(seven, "r")
+    return N.rank_candidates(both, anchors, cited, 20).select("composition", "model", "anchor", "candidate", _r("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"), "is_cited")
 
 
-@query(f"WITH {_V} SELECT a.label AS item, round(avg({_COS}), 5) AS stability FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND a.id % 20 < 2 AND b.id % 20 < 2 GROUP BY 1")
+@query(f"WITH {_V}, i AS (SELECT CASE WHEN id % 100 = 99 THEN 1000 + id ELSE label END AS item, id, e FROM v), p AS (SELECT a.item, avg({_COS}) AS s FROM i a JOIN i b ON a.item = b.item AND a.id < b.id GROUP BY 1) SELECT item, round(coalesce(s, 1), 5) AS stability FROM (SELECT DISTINCT item FROM i) LEFT JOIN p USING (item)")
 def stability(spark, sf_dir):
-    """Over the part of the table that its SQL can pair."""
-    return _stability(_vectors(spark, sf_dir).where("id % 20 < 2"))
+    """Vectors of one label are an item's repeated answers; some items have a single one."""
+    return _stability(spark, sf_dir, F.when(F.col("id") % 100 == 99, 1000 + F.col("id")).otherwise(F.col("label")))
 
 
-@query()
+@query(f"WITH {_V} SELECT a.label AS item, round(avg({_COS}), 5) AS stability FROM v a JOIN v b ON a.label = b.label AND a.id < b.id GROUP BY 1")
 def stability_all(spark, sf_dir):
-    """stability over the whole table."""
-    return _stability(_vectors(spark, sf_dir))
+    return _stability(spark, sf_dir, F.col("label"))
 
 
-def _stability(vectors):
-    """Mean cosine of all pairs of an item's repeated answers, from the sum of their unit vectors: no pairs are made."""
-    v = vectors.where("embedding is not null").select("label", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("pos", "x"))
-    s = v.groupBy("label", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    t = s.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("a"), F.sum("q").alias("b"), F.max("n").alias("n"))
-    return t.where("n > 1").select(F.col("label").alias("item"), _r((F.col("a") - F.col("b")) / (F.col("n") * (F.col("n") - 1)), 5).alias("stability"))
+def _stability(spark, sf_dir, item):
+    s = M.stability(_vectors(spark, sf_dir).select(item.cast("long").alias("item"), "embedding"))
+    return s.withColumn("stability", _r("stability", 5))
 
 
 @query()
@@ -180,6 +210,27 @@ def kmeans(spark, sf_dir):
     return G.kmeans(_vectors(spark, sf_dir), 8)
 
 
+def _cache(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    some = F.when(F.col("id") % 2 == 0, F.array((F.col("id") * 3) % 500, (F.col("id") * 5) % 500)).otherwise(F.slice(F.array("id"), 1, 0))
+    return v, v.select("id", some.alias("neighbours"))
+
+
+def _graph_tables(spark, sf_dir):
+    p = papers(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
+    none = p.limit(0)
+    return p, none.select(F.lit("").alias("entry_id"), F.lit("").alias("payload")), none.select(F.col("id").alias("paper_id"), F.lit(0).alias("cluster_id")), edges(spark, sf_dir)
+
+
+def _rows(views):
+    """The nodes, links and numbers of several views as rows of one table."""
+    null, out = F.lit(None).cast("long").alias("target_id"), []
+    for how, (nodes, links, meta) in views.items():
+        how = F.lit(how).alias("how")
+        out += [nodes.select(how, F.lit("node").alias("what"), "id", null, F.col("label").alias("said")), links.select(how, F.lit("link").alias("what"), F.col("source_id").alias("id"), "target_id", F.col("kind").alias("said")), meta.select(how, F.lit("meta").alias("what"), F.col("total_nodes").alias("id"), F.col("total_links").alias("target_id"), F.lit("").alias("said"))]
+    return O.union_edges(*out)
+
+
 def _members(spark, sf_dir):
     p = papers(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", F.col("label").alias("cluster_id")), "id")
     return p.select("cluster_id", "id", "title", F.concat_ws(" ", "title", "abstract").alias("text"))
@@ -201,10 +252,11 @@ def cluster_prompts(spark, sf_dir):
     return G.cluster_prompts(m, G.cluster_keywords(m))
 
 
-@query(f"WITH {_KEYWORDS} SELECT id AS paper_id, cluster_id, concat('cluster_', CAST(cluster_id AS VARCHAR)) AS cluster_label, keywords AS cluster_name FROM mem JOIN kw USING (cluster_id)")
+@query(f"WITH {_KEYWORDS} SELECT id AS paper_id, cluster_id, concat('cluster_', CAST(cluster_id AS VARCHAR)) AS cluster_label, keywords AS cluster_name, concat('About ', keywords) AS cluster_description FROM mem JOIN kw USING (cluster_id)")
 def cluster_rows(spark, sf_dir):
     m = _members(spark, sf_dir)
-    return m.join(G.cluster_keywords(m), "cluster_id").select(F.col("id").alias("paper_id"), "cluster_id", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")).alias("cluster_label"), F.col("keywords").alias("cluster_name"))
+    names = G.cluster_keywords(m).select("cluster_id", F.col("keywords").alias("name"), F.concat(F.lit("About "), "keywords").alias("description"))
+    return G.cluster_rows(m, names)
 
 
 _LISTS = "lists AS (SELECT vec_id AS id, unnest(range(5)) AS pos, unnest([(vec_id * 2) % 500, (vec_id * 3) % 500, (vec_id * 5) % 500, (vec_id * 7) % 500, (vec_id * 11) % 500]) AS neighbour FROM embeddings)"
@@ -234,17 +286,25 @@ def semantic_edges(spark, sf_dir):
     return G.semantic_edges(r).select("source_id", "target_id", "kind", "reason")
 
 
-@query(f"WITH {PAPERS}, {EDGES_SQL}, {_V}, q AS (SELECT b.id FROM (SELECT * FROM v ORDER BY id LIMIT 1) a, v b JOIN papers USING (id) ORDER BY {_COS} DESC, b.id LIMIT 20) SELECT p.id, p.title, count(e.seq) AS n_links FROM papers p JOIN q USING (id) LEFT JOIN edges e ON e.source_id = p.id AND (coalesce(e.kind, 'SIMILAR') <> 'SIMILAR' OR coalesce(e.strength, 0.5) >= 0.8) GROUP BY 1, 2")
+_LINKS = "l AS (SELECT source_id, target_id, coalesce(kind, 'SIMILAR') AS kind, round(coalesce(strength, 0.5), 6) AS strength FROM edges WHERE coalesce(kind, 'SIMILAR') <> 'SIMILAR' OR coalesce(strength, 0.5) >= 0.8)"
+_TOP = f"q AS (SELECT b.id FROM (SELECT * FROM v ORDER BY id LIMIT 1) a, v b JOIN papers USING (id) ORDER BY {_COS} DESC, b.id LIMIT 20)"
+
+
+@query(f"""WITH {PAPERS}, {EDGES_SQL}, {_V}, {_TOP}, w AS (SELECT id FROM papers WHERE title ILIKE '%tion%' OR abstract ILIKE '%tion%' ORDER BY id DESC LIMIT 20), n AS (SELECT id FROM papers ORDER BY id DESC LIMIT 20), a AS (SELECT 'vector' AS how, id FROM q UNION ALL SELECT 'words', id FROM w UNION ALL SELECT 'newest', id FROM n), {_LINKS},
+s AS (SELECT a.how, count(*) AS c FROM a JOIN l ON l.source_id = a.id GROUP BY 1)
+SELECT how, 'node' AS what, p.id, CAST(NULL AS BIGINT) AS target_id, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 40) AS said FROM a JOIN papers p USING (id) UNION ALL SELECT how, 'link', l.source_id, l.target_id, l.kind FROM a JOIN l ON l.source_id = a.id
+UNION ALL SELECT a.how, 'meta', count(*), coalesce(max(s.c), 0), '' FROM a LEFT JOIN s ON s.how = a.how GROUP BY 1""")
 def graph_query(spark, sf_dir):
-    """The papers nearest to a question, with the number of links that leave them."""
-    p = papers(spark, sf_dir)
-    near = N.topk_query(p.join(_vectors(spark, sf_dir), "id"), _first(spark, sf_dir), 20).select("id", "title")
-    links = O.edge_threshold(O.edges_from(edges(spark, sf_dir), near)).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
-    return near.join(links, "id", "left").select("id", "title", F.coalesce("n", F.lit(0)).alias("n_links"))
+    """Nodes, links and their numbers for a question's vector, for a word, and for a word that nothing holds."""
+    p, bronze, clusters, e = _graph_tables(spark, sf_dir)
+    asked = {"vector": ("", _first(spark, sf_dir)), "words": ("tion", None), "newest": ("no such words", None)}
+    return _rows({how: G.graph_query(p, bronze, clusters, e, q, v) for how, (q, v) in asked.items()})
 
 
-@query(f"WITH {PAPERS}, {_V}, {_KNN} SELECT k.neighbour AS id, p.title, k.rank FROM k JOIN papers p ON p.id = k.neighbour WHERE k.id = 7 AND k.rank <= 10")
+@query(f"""WITH {PAPERS}, {EDGES_SQL}, {_V}, q AS (SELECT b.id FROM (SELECT * FROM v WHERE id = 7) a, v b JOIN papers USING (id) WHERE b.id <> 7 ORDER BY {_COS} DESC, b.id LIMIT 10), {_LINKS}, s AS (SELECT count(*) AS c FROM q JOIN l ON l.source_id = q.id)
+SELECT '7' AS how, 'node' AS what, p.id, CAST(NULL AS BIGINT) AS target_id, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 40) AS said FROM q JOIN papers p USING (id) UNION ALL SELECT '7', 'link', l.source_id, l.target_id, l.kind FROM q JOIN l ON l.source_id = q.id
+UNION ALL SELECT '7', 'meta', (SELECT count(*) FROM q), (SELECT c FROM s), ''""")
 def graph_expand(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    near = N.knn(v, 10, queries=v.where("id = 7")).select(F.col("neighbour").alias("id"), F.col("rank").cast("long").alias("rank"))
-    return near.join(papers(spark, sf_dir).select("id", "title"), "id")
+    return _rows({"7": G.graph_expand(*_graph_tables(spark, sf_dir), 7)})
+
+

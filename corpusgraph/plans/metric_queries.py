@@ -338,9 +338,8 @@ _PICK = f"CASE doc_id % 6 {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i
 
 @query(f"WITH c AS (SELECT source, doc_id, {_PICK} AS name, length(text) // 4 AS tokens, doc_id % 6 AS p FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p, tokens DESC, doc_id) AS rn FROM c) SELECT source, doc_id, name, rn FROM r WHERE rn <= 15")
 def prioritized_chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("source", "doc_id", F.expr(_PICK).alias("name"), F.floor(F.length("text") / 4).alias("tokens"))
-    w = Window.partitionBy("source").orderBy(K.priority(F.col("name")), F.desc("tokens"), "doc_id")
-    return c.withColumn("rn", F.row_number().over(w).cast("long")).where("rn <= 15").select("source", "doc_id", "name", "rn")
+    c = table(spark, sf_dir, "documents").select("source", "doc_id", F.expr(_PICK).alias("name"), F.floor(F.length("text") / 4).alias("token_estimate"), F.col("doc_id").alias("section_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
+    return K.prioritized_chunks(c, ["source"], 5).select("source", "doc_id", "name", F.col("rn").cast("long").alias("rn"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, string_agg(concat(upper(role), ': ', text), chr(10) ORDER BY turn) AS history FROM r WHERE rn <= 3 GROUP BY 1")
@@ -348,11 +347,11 @@ def recent_history(spark, sf_dir):
     return K.recent_history(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", 3)
 
 
-@query("SELECT d.doc_id, f.field, row_number() OVER (PARTITION BY d.doc_id, f.field ORDER BY d.i) AS rank, d.i AS chunk FROM (SELECT doc_id, unnest(range(3)) AS i FROM documents) d, (SELECT unnest(['question', 'methods', 'findings', 'conclusion', 'limits', 'future']) AS field) f")
+@query("SELECT c.conv_id, f.field, c.turn AS chunk, c.rank FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) c, (SELECT unnest(['research_question', 'methods', 'main_claims', 'key_findings', 'limitations', 'conclusion']) AS field) f")
 def evidence_rows(spark, sf_dir):
-    fields = F.array(*map(F.lit, ("question", "methods", "findings", "conclusion", "limits", "future")))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fields).alias("field"))
-    return d.select("doc_id", "field", F.posexplode(F.sequence(F.lit(0), F.lit(2))).alias("pos", "chunk")).select("doc_id", "field", (F.col("pos") + 1).cast("long").alias("rank"), F.col("chunk").cast("long").alias("chunk"))
+    """Turns stand for a paper's chunks."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk"))
+    return K.evidence_rows(c, "conv_id", "chunk", ["chunk"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT l_orderkey AS item, l_linenumber AS idx, round(l_discount - avg(l_discount) OVER (PARTITION BY l_orderkey), 6) + 0.0 AS advantage FROM lineitem")
@@ -373,28 +372,25 @@ def ema(spark, sf_dir):
     return K.ema(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_acctbal").select(F.col("c_nationkey").alias("run"), "c_custkey", _r("ema", 4).alias("ema"))
 
 
-@query(f"WITH {PAPERS}, p AS (SELECT *, id % 7 AS n_citations, CAST(length(trim(coalesce(tldr, ''))) > 0 AS INT) + CAST(length(trim(coalesce(conclusion, ''))) > 0 AS INT) + least(5, id % 7) AS richness FROM papers WHERE length(trim(coalesce(title, ''))) > 0 AND length(trim(coalesce(abstract, ''))) > 0 AND id % 7 >= 1) SELECT richness, count(*) AS n FROM (SELECT * FROM p ORDER BY richness DESC, length(abstract) DESC LIMIT 50) GROUP BY 1")
+@query(f"WITH {PAPERS}, p AS (SELECT *, id % 7 AS n_citations, CAST(length(trim(coalesce(tldr, ''))) > 0 AS INT) + CAST(length(trim(coalesce(conclusion, ''))) > 0 AS INT) + least(5, id % 7) AS richness FROM papers WHERE length(trim(coalesce(title, ''))) > 0 AND length(trim(coalesce(abstract, ''))) > 0 AND id % 7 >= 1) SELECT id, richness FROM p ORDER BY richness DESC, length(abstract) DESC, md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id LIMIT 50")
 def select_anchors(spark, sf_dir):
-    """The hash that breaks ties isn't SQL, so the result is counted by what the order starts with."""
-    p = papers(spark, sf_dir).withColumn("n_citations", F.col("id") % 7)
-    return K.select_anchors(p, 50).groupBy("richness").agg(F.count("*").alias("n"))
+    return K.select_anchors(papers(spark, sf_dir).withColumn("n_citations", F.col("id") % 7), 50).select("id", "richness")
 
 
-@query("SELECT source, least(count(*), 10) AS n FROM documents GROUP BY 1")
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '1337', CAST(doc_id AS VARCHAR))), doc_id) AS rn FROM documents) WHERE rn <= 10")
 def subsample(spark, sf_dir):
-    return K.subsample(table(spark, sf_dir, "documents"), "source", "doc_id", 10).groupBy("source").agg(F.count("*").alias("n"))
+    return K.subsample(table(spark, sf_dir, "documents"), "source", "doc_id", 10).select("source", "doc_id")
 
 
-@query("SELECT source AS task, count(*) * least(5, count(*) - 1) AS n, 0 AS n_self, least(5, count(*) - 1) AS n_shots FROM documents GROUP BY 1")
+@query("""WITH p AS (SELECT source AS task, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '1234', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS size FROM documents),
+w AS (SELECT task, item, unnest(range(1, 6)) AS place, i, size FROM p) SELECT w.task, w.item, p.item AS shot, CAST(w.place AS INT) AS place FROM w JOIN p ON w.task IS NOT DISTINCT FROM p.task AND (w.i + w.place) % w.size = p.i WHERE w.place < w.size""")
 def fewshot(spark, sf_dir):
-    f = K.fewshot(table(spark, sf_dir, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("item")), 5)
-    each = f.groupBy("task", "item").agg(F.count_distinct("shot").alias("shots"), F.count_if(F.col("shot") == F.col("item")).alias("n_self"))
-    return each.groupBy("task").agg(F.sum("shots").alias("n"), F.sum("n_self").alias("n_self"), F.max("shots").alias("n_shots"))
+    return K.fewshot(table(spark, sf_dir, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("item")), 5)
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 20")
 def recent_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy(F.desc("doc_id")).limit(20).select("doc_id")
+    return K.recent_ids(table(spark, sf_dir, "documents"), 20, "doc_id")
 
 
 @query(f"WITH {PAPERS}, q AS (SELECT item_id AS query, substring(text, 1, 3) AS word FROM benchmark), h AS (SELECT q.query, p.id, 0 AS r FROM q JOIN papers p ON q.query % 2 = 0 AND p.id = q.query UNION ALL SELECT q.query, p.id, 1 FROM q JOIN papers p ON p.id % 200 = q.query AND q.query % 3 = 0 UNION ALL SELECT q.query, p.id, 2 FROM q, (SELECT id FROM papers ORDER BY id DESC LIMIT 3) p), b AS (SELECT *, min(r) OVER (PARTITION BY query) AS best FROM h) SELECT query, id, r AS source_rank FROM b WHERE r = best")
