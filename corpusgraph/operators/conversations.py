@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_PARTS = "array<struct<type:string,text:string>>"
+
+
 def as_arrays(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): each conversation's turns in order, as array<struct<turn, role, text>>."""
-    t = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    """(conv_id, turns): each conversation's turns in order, as array<struct<turn, role, text, parts>>; parts, if turns has
+    them, are the pieces of an answer that calls tools, as tool_calls() gives them."""
+    parts = F.col("parts") if "parts" in turns.columns else F.lit(None)
+    t = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"), parts.cast(_PARTS).alias("parts"))
     return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
 
 
@@ -24,18 +29,29 @@ def validate(turns: DataFrame) -> DataFrame:
 
 def flatten(turns: DataFrame, max_tokens: int = 2048) -> DataFrame:
     """(conv_id, tokens, mask): words as tokens with a marker before and after each turn; a leading system text joins
-    the first user text; the mask is 1 on assistant words and their end marker; cut at max_tokens."""
+    the first user text; cut at max_tokens. The mask is 1 on what the assistant says, its tool calls with their markers,
+    and its end marker; 0 on all else, the tools' output with its markers included."""
     a = as_arrays(turns)
     led = (F.col("turns")[0]["role"] == "system") & (F.size("turns") > 1)
     second = F.col("turns")[1]
-    merged = F.struct(second["turn"].alias("turn"), second["role"].alias("role"), F.concat(F.col("turns")[0]["text"], F.lit("\n\n"), second["text"]).alias("text"))
+    merged = F.struct(second["turn"].alias("turn"), second["role"].alias("role"), F.concat(F.col("turns")[0]["text"], F.lit("\n\n"), second["text"]).alias("text"), second["parts"].alias("parts"))
     a = a.withColumn("turns", F.when(led, F.concat(F.array(merged), F.slice("turns", 3, 1 << 30))).otherwise(F.col("turns")))
-    words = lambda x: F.filter(F.split(x["text"], r"\s+"), lambda w: w != "")
-    marker = lambda x, end: F.array(F.concat(F.lit("<|"), x["role"], F.lit(f"_{end}|>")))
-    tokens = F.concat(F.array(F.lit("<|bos|>")), F.flatten(F.transform("turns", lambda x: F.concat(marker(x, "start"), words(x), marker(x, "end")))))
-    ours = lambda x: (x["role"] == "assistant").cast("int")
-    mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform("turns", lambda x: F.concat(F.array(F.lit(0)), F.transform(words(x), lambda w: ours(x)), F.array(ours(x))))))
-    return a.select("conv_id", F.slice(tokens, 1, max_tokens).alias("tokens"), F.slice(mask, 1, max_tokens).alias("mask"))
+    said = lambda text, m: F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("t"), F.lit(m).alias("m")))
+    mark = lambda name, m: F.array(F.struct(name.alias("t"), F.lit(m).alias("m")))
+    framed = lambda text, name, m: F.concat(mark(F.lit(f"<|{name}_start|>"), m), said(text, m), mark(F.lit(f"<|{name}_end|>"), m))
+
+    def piece(p):
+        kind, text = p["type"], F.coalesce(p["text"], F.lit(""))
+        unknown = F.raise_error(F.concat(F.lit("unknown part type: "), kind)).cast("array<struct<t:string,m:int>>")
+        return F.when(kind == "text", said(text, 1)).when(kind == "python", framed(text, "python", 1)).when(kind == "python_output", framed(text, "output", 0)).otherwise(unknown)
+
+    def turn(x):
+        start, end = (F.concat(F.lit("<|"), x["role"], F.lit(f"_{e}|>")) for e in ("start", "end"))
+        ours = F.when(x["parts"].isNotNull(), F.flatten(F.transform(x["parts"], piece))).otherwise(said(x["text"], 1))
+        return F.when(x["role"] == "assistant", F.concat(mark(start, 0), ours, mark(end, 1))).otherwise(F.concat(mark(start, 0), said(x["text"], 0), mark(end, 0)))
+
+    every = F.slice(F.concat(mark(F.lit("<|bos|>"), 0), F.flatten(F.transform("turns", turn))), 1, max_tokens)
+    return a.select("conv_id", every.alias("e")).select("conv_id", F.transform("e", lambda x: x["t"]).alias("tokens"), F.transform("e", lambda x: x["m"]).alias("mask"))
 
 
 def for_completion(turns: DataFrame, max_tokens: int = 2048) -> DataFrame:
@@ -44,7 +60,7 @@ def for_completion(turns: DataFrame, max_tokens: int = 2048) -> DataFrame:
 
     w = Window.partitionBy("conv_id")
     last = turns.withColumn("last", F.max("turn").over(w)).withColumn("last_role", F.max_by("role", "turn").over(w))
-    kept = last.where("last_role = 'assistant' and turn < last").select("conv_id", "turn", "role", "text")
+    kept = last.where("last_role = 'assistant' and turn < last").select(turns.columns)
     return flatten(kept, max_tokens - 1).select("conv_id", F.concat("tokens", F.array(F.lit("<|assistant_start|>"))).alias("tokens"))
 
 

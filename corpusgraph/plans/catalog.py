@@ -1,6 +1,6 @@
 """All query modules; importing this fills the registry."""
 
-from . import graph_queries, metric_queries, model_queries, table_queries, text_queries  # noqa: F401
+from . import file_queries, graph_queries, metric_queries, model_queries, table_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

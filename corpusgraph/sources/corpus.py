@@ -28,19 +28,22 @@ def read_conversations_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """Rows of a CSV of questions; rows without a paper are dropped; the first `most` by paper and question."""
-    q = require_columns(spark.read.option("header", True).csv(path), ["paper_id", "question_id", "question_text"])
+    q = require_columns(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path), ["paper_id", "question_id", "question_text"])
     q = q.where(F.trim(F.coalesce("paper_id", F.lit(""))) != "")
     return q.orderBy("paper_id", "question_id").limit(most) if most is not None else q
 
 
-def parse_run_logs(spark: SparkSession, path: str, labels: dict[str, str]) -> DataFrame:
-    """(file, a column for each label): the last number that follows a label in each log, commas dropped."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+def parse_run_logs(spark: SparkSession, path: str, labels: dict[str, str], zero: tuple[str, ...] = (), done: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(file, path, a column for each label): the last number that follows a label in each log, commas dropped; those in `zero`
+    are 0 where a log lacks them. Runs whose keys are in `done` already are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n"))
     found = []
     for name, label in labels.items():
         v = F.regexp_extract("value", rf"{label}\D*?(-?[0-9][0-9,]*\.?[0-9]*(?:e[+-]?\d+)?)", 1)
-        found.append(F.max_by(F.replace(v, F.lit(","), F.lit("")).try_cast("double"), F.when(v != "", F.col("n"))).alias(name))
-    return lines.groupBy("file").agg(*found)
+        last = F.max_by(F.replace(v, F.lit(","), F.lit("")).try_cast("double"), F.when(v != "", F.col("n")))
+        found.append((F.coalesce(last, F.lit(0.0)) if name in zero else last).alias(name))
+    runs = lines.groupBy("file", "path").agg(*found)
+    return runs if done is None else runs.join(done.select(keys or ["file"]), keys or ["file"], "left_anti")
 
 
 def parse_report(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

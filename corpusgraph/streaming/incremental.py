@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk_corpus
+from ..operators.graph import build_edges
+from ..operators.tables import upsert_papers
 from ..sources.landing import land
 
 RAW = "entry_id string, title string, abstract string, full_text string, conclusion string, id long, at timestamp"
@@ -42,6 +44,45 @@ def stream_chunks(spark: SparkSession, source: str, out: str, checkpoint: str, s
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Records of the whole pipeline: papers with what they cite and their nearest neighbours.
+PAPERS = "id long, arxiv_id string, ss_id string, doi string, title string, abstract string, full_text string, conclusion string, tldr string, full_text_source string, refs array<struct<ss_paper_id:string,arxiv_id:string,doi:string>>, neighbours array<long>"
+_COLUMNS = [c.split(" ")[0] for c in PAPERS.split(", ")][:10]
+
+
+def current(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """The newest row of each key among all batches at path (those before one batch, to replay it)."""
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch").alias("r")).select(*keys, "r.*")
+
+
+def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str, stages: tuple[str, ...] = ("papers", "chunks", "edges")) -> StreamingQuery:
+    """Papers, their chunks and their edges, batch by batch, under out; stages left out are skipped. A batch writes the
+    papers it changes, merged with what was known of them, and their chunks and edges, each in a folder of its own, so a
+    replayed batch overwrites itself and no table is written anew; current() reads the newest rows."""
+    raw = spark.readStream.schema(PAPERS).json(source)
+
+    def write(batch: DataFrame, n: int) -> None:
+        session, save = batch.sparkSession, lambda df, what: df.write.mode("overwrite").parquet(f"{out}/{what}/batch={n}")
+        new, known = batch.select(_COLUMNS), None
+        if "papers" in stages:
+            if _exists(session, f"{out}/papers"):
+                old = current(session, f"{out}/papers", ["arxiv_id"], n).select(_COLUMNS)
+                by = lambda c: old.join(new.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_semi").select(_COLUMNS)
+                known = by("arxiv_id").unionByName(by("ss_id")).dropDuplicates(["arxiv_id"])
+            save(upsert_papers(known if known is not None else new.limit(0), new), "papers")
+            new = session.read.parquet(f"{out}/papers/batch={n}")
+        if "chunks" in stages:
+            save(chunk_corpus(new), "chunks")
+        if "edges" in stages:
+            every = current(session, f"{out}/papers", ["arxiv_id"]) if "papers" in stages else new
+            cited = batch.where("refs is not null").select(F.col("id").alias("paper_id"), F.inline("refs"))
+            save(build_edges(every, cited, batch.where("neighbours is not null").select("id", "neighbours")), "edges")
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_history(turns: DataFrame, n: int) -> DataFrame:
     """turns(session, at, role, text) as a stream -> (session, history) after each batch, with the last n messages of a
     session as state."""
