@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import begin
+
 #: Layouts: either `turns` with the paths of role and text in its items (and other names of roles), or `fields`, each
 #: the text of one turn of a role, in order; empty optional fields make no turn.
 MAPPINGS = [
@@ -37,17 +39,26 @@ _ESCAPE, _UNESCAPE = re.compile(rf"(\\*)({CONTROL})"), re.compile(rf"(\\+)({CONT
 _TURN = re.compile(r"(?<!\\)(?:\[INST\] (?P<user>.*?) (?<!\\)\[/INST\]|\[OUT\] (?P<assistant>.*?) (?<!\\)</s>|\[SYS\] (?P<system>.*?) (?<!\\)\[/SYS\]|\[TURN (?P<role>(?:[^\]\\]|\\.)*)\] (?P<other>.*?) (?<!\\)\[/TURN\])\n", re.S)
 
 
-def paths(value, at: str = "") -> set[str]:
-    """The nested field paths of a record; the items of an array share the path that ends in []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)} or {at}
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+def paths(value) -> set[str]:
+    """The nested field paths of a record; the items of an array share the path that ends in [], items that are no objects
+    or arrays [].*, and an empty array has the path itself. Any depth will do."""
+    out, open_ = set(), [(value, "")]
+    while open_:
+        v, at = open_.pop()
+        if isinstance(v, dict) and v:
+            open_ += [(x, f"{at}.{k}" if at else k) for k, x in v.items()]
+        elif isinstance(v, list):
+            open_ += [(x, f"{at}[]") for x in v] or [(None, f"{at}[]")]
+            if any(not isinstance(x, (dict, list)) for x in v):
+                out.add(f"{at}[].*")
+        else:
+            out.add(at)
+    return out
 
 
-def fingerprint(value) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))))
+def fingerprint(found: set[str]) -> int:
+    """The hash of a layout's paths."""
+    return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass"))
 
 
 def _needs(mapping: dict) -> set[str]:
@@ -58,18 +69,28 @@ def _needs(mapping: dict) -> set[str]:
 
 def choose(found: set[str], mappings: list[dict] = MAPPINGS) -> dict | None:
     """The mapping whose paths a layout has; of several the one that uses most of them, then the earlier. A mapping of
-    turns fits an empty list of turns too."""
-    fits = [m for m in mappings if _needs(m) <= found or "turns" in m and f"{m['turns']}[]" in found]
+    turns fits an empty list of turns too, but no list with items that aren't objects."""
+    plain = lambda m: "turns" in m and f"{m['turns']}[].*" in found
+    fits = [m for m in mappings if not plain(m) and (_needs(m) <= found or "turns" in m and f"{m['turns']}[]" in found)]
     return max(fits, key=lambda m: len(_needs(m) | {p for _, p in m.get("fields", ())} & found), default=None)
 
 
+def _held(text: str) -> str:
+    """The text as UTF-8 can hold it: halves of a surrogate pair are joined, lone ones become U+FFFD."""
+    try:
+        text.encode("utf-8")
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def canonical(value, mapping: dict) -> list[tuple[str, str]]:
     """(role, text) of each turn; a null or missing text is the empty one."""
 
     def get(v, path: str):
         for k in path.split("."):
             v = v.get(k) if isinstance(v, dict) else None
-        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+        return v if v is None else _held(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
 
     if "turns" in mapping:
         roles = mapping.get("roles", {})
@@ -118,33 +139,36 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
     """(id, layout, formatted, loss array<struct<start, end>>) of each JSON record.
 
-    A record that is null, no JSON or of no known layout has a null layout and null texts, so it can be told from an
-    empty conversation; equal rows give equal rows.
+    A record that is null, no JSON, nested deeper than the JSON reader goes or of no known layout has a null layout and
+    null texts, so it can be told from an empty conversation; lone surrogates become U+FFFD; equal rows give equal rows,
+    and no rows none. Other columns, whatever their names, play no part.
     """
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("loss", spans)])
     rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record"))
 
+    def formatted(raw: str | None, known: dict[int, dict | None]) -> tuple:
+        try:
+            value = json.loads(raw) if raw is not None else None
+            if not isinstance(value, dict):
+                return None, None, None
+            found = paths(value)
+            print_ = fingerprint(found)
+            if print_ not in known:
+                known[print_] = choose(found)
+            mapping = known[print_]
+            if mapping is None:
+                return None, None, None
+            text, loss = render(canonical(value, mapping))
+            return mapping["name"], text, [{"start": a, "end": b} for a, b in loss]
+        except (ValueError, RecursionError):
+            return None, None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         known: dict[int, dict | None] = {}
         for batch in batches:
-            out = []
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                mapping = None
-                if isinstance(value, dict):
-                    print_ = fingerprint(value)
-                    if print_ not in known:
-                        known[print_] = choose(paths(value))
-                    mapping = known[print_]
-                if mapping is None:
-                    out.append((i, None, None, None))
-                else:
-                    text, loss = render(canonical(value, mapping))
-                    out.append((i, mapping["name"], text, [{"start": a, "end": b} for a, b in loss]))
+            out = [(i, *formatted(raw, known)) for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -153,7 +177,9 @@ def format_records(records: DataFrame, id_col: str = "conv_id", json_col: str =
 
 def records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, record): the conversations of a table of turns as JSON records, each in the plainest layout that holds it:
-    a prompt and its response, the same with a system text, alternating voices, or messages."""
+    a prompt and its response, the same with a system text, alternating voices, or messages. Turns of one number stand in
+    the order of role and text; null roles and texts are empty ones; rows of a null id are one conversation; a conversation
+    is gathered in one row, so it has to fit a task."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = turns.select(F.col(id_col).alias("id"), turn.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     roles, text = F.col("t.role"), lambda i: F.col("t")[i]["text"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many pages, chosen by the hash of their id, train the model.
-MAX_TRAINING_PAGES = 200
+from .common import begin
+
+#: At most so many pages, chosen by the hash of their id, train the model, and of each so many nodes, evenly thinned out.
+MAX_TRAINING_PAGES, MAX_TRAINING_NODES = 200, 20_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,47 +44,87 @@ OTHER_PREFIXES = frozenset("ad ads advert comment comments cookie footer nav pro
 
 _MARKING = sorted(OTHER_TOKENS - {"head", "header", "text"})
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_OPEN, _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])", re.I) for t in RAW}
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str | None, str, str]]:
+    """(start, end, name, what stands in it, its first characters) of each tag; comments, declarations and the like have no
+    name. A quote that never closes is a plain character, which is found out once, so the time is linear."""
+    at, n, closes = 0, len(source), {'"': True, "'": True}
+
+    def past(mark: str, start: int) -> int:
+        found = source.find(mark, start)
+        return found + len(mark) if found >= 0 else n
+
+    while (i := source.find("<", at)) >= 0:
+        head = source[i : i + 9]
+        if head.startswith("<!--"):
+            at = past("-->", i + 4)
+            yield i, at, None, "", head
+        elif head == "<![CDATA[":
+            at = past("]]>", i + 9)
+            yield i, at, None, source[i + 9 : at - 3], head
+        elif head[1:2] in ("!", "?"):
+            at = past(">", i + 2)
+            yield i, at, None, "", head
+        elif (m := _OPEN.match(source, i)) is None:
+            at = i + 1
+        else:
+            p = m.end()
+            while (p := _PLAIN.match(source, p).end()) < n and (c := source[p]) != ">":
+                q = source.find(c, p + 1) if closes[c] else -1
+                closes[c] = q >= 0
+                p = q + 1 if q >= 0 else p + 1
+            at = min(p + 1, n)
+            yield i, at, m[2].lower(), source[m.end() : p], "</" if m[1] else "<"
 
 
 class Page:
     """A page's nodes in page order: parent, tag ("#text" for text) and, for text, what it says."""
 
-    __slots__ = ("parent", "tag", "tokens", "said", "depth")
+    __slots__ = ("parent", "tag", "tokens", "said", "depth", "open")
 
     def __init__(self, source: str):
         self.parent, self.tag, self.tokens, self.said, self.depth = [-1], ["#root"], [()], [""], [0]
         stack, at, n = [0], 0, len(source)
-        while at < n:
-            m = _TAG.search(source, at)
-            if m is None or m.start() > at:
-                self._text(stack[-1], source[at : m.start() if m else n])
-            if m is None:
-                break
-            at = m.end()
-            name = m[2]
+        self.open: Counter[str] = Counter()
+        skip = 0
+        for start, end, name, inner, head in _tags(source):
+            if start < skip:  # inside an element whose content is no markup
+                continue
+            if start > at:
+                self._text(stack[-1], source[at:start])
+            at = end
             if name is None:
-                if m[0].startswith("<![CDATA["):
-                    self._text(stack[-1], m[0][9:-3].replace("&", "&amp;"))
+                if head == "<![CDATA[":
+                    self._text(stack[-1], inner.replace("&", "&amp;"))
                 continue
-            name = name.lower()
-            if m[1]:
+            if head == "</":
                 self._close(stack, name)
                 continue
             if name in CLOSES_P:
                 self._imply(stack, {"p"}, SCOPES)
             elif name in IMPLIED:
                 self._imply(stack, IMPLIED[name], SCOPES - IMPLIED[name] if name in ("td", "th") else SCOPES - {"td", "th"} if name == "tr" else SCOPES)
-            node = self._add(stack[-1], name, self._tokens(m[3]) if m[3] else ())
+            node = self._add(stack[-1], name, self._tokens(inner) if inner else ())
             if name in RAW:
-                end = _RAW_END[name].search(source, at)
+                close = _RAW_END[name].search(source, at)
                 if name in ("textarea", "title"):
-                    self._text(node, source[at : end.start() if end else n])
-                at = end.end() if end else n
-            elif name not in VOID and not m[3].endswith("/"):
+                    self._text(node, source[at : close.start() if close else n])
+                tail = source.find(">", close.end()) if close else -1
+                at = skip = tail + 1 if tail >= 0 else n
+            elif name not in VOID and not inner.endswith("/"):
                 stack.append(node)
+                self.open[name] += 1
+        if at < n:
+            self._text(stack[-1], source[at:])
+
+    def _pop(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del stack[k:]
 
     def _add(self, parent: int, tag: str, tokens: tuple, said: str = "") -> int:
         self.parent.append(parent)
@@ -107,18 +150,22 @@ class Page:
         return tuple(out) + (("hidden",) if re.search(r"(?:^|\s)hidden(?:\s|$)", raw) or "display:none" in raw.replace(" ", "") else ())
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if name in INLINE and self.tag[stack[k]] not in INLINE:
                 return
 
     def _imply(self, stack: list[int], names: set, stops: frozenset) -> None:
+        if not any(self.open[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in names:
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if tag in stops:
                 return
@@ -242,8 +289,9 @@ def lessons(source: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     for text, hide in ((varied(source, seed, True), ""), (varied(source, seed + 1, False), "main"), (source, "other")):
         page = Page(text)
         y = weak_labels(page)
-        if y.any() and len(y) < 20_000:
-            out.append((describe([page], hide), y))
+        if y.any():
+            some = np.linspace(0, len(y) - 1, min(len(y), MAX_TRAINING_NODES)).astype(int)
+            out.append((describe([page], hide)[some], y[some]))
     return out
 
 
@@ -372,12 +420,14 @@ def main_text(source: str, model: Boosted | None) -> str:
 
 
 def extract(pages: DataFrame, model: Boosted | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) of each page. Null and empty pages have the empty text; equal rows give equal rows."""
+    """(id, url, text) of each page, of any length. Null and empty pages have the empty text; null ids and urls stay null;
+    equal rows give equal rows and no rows none; other columns, whatever their names, play no part."""
     sent = pages.sparkSession.sparkContext.broadcast(model)  # of fixed size
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         model = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 100):

@@ -28,7 +28,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
-    formatted = stored(chat.format_records(chat.records(turns.unionByName(more)), "id"), "formatted")
+    records = chat.records(turns).unionByName(chat.records(more))  # apart, so that a -1 of the table stays its own
+    formatted = stored(chat.format_records(records, "id"), "formatted")
     return chat.digests(formatted).withColumnRenamed("id", "conv_id")
 
 

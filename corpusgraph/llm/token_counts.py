@@ -8,12 +8,12 @@ encodes that region alone and updates the sums on the way to the root.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .token_ids import pieces
 
 #: Pieces (words, mostly) of a leaf.
@@ -48,9 +48,8 @@ class Counter:
         return n
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(f"counter {path}", lambda: Counter(path))
 
 
 def default_ranks() -> str:

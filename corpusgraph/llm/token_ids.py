@@ -8,12 +8,12 @@ the documents' ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, texts
+from .common import held, shared_dir, texts
 
 #: Ids of a block, and of a chunk about (a longer document has a chunk of its own).
 BLOCK, CHUNK = 16_384, 262_144
@@ -42,7 +42,8 @@ class Encoder:
 
     Byte-level BPE never joins over a lone space or line feed between two words, nor between a letter and the marks that
     end a word, so such parts have the same ids wherever they stand. Ids of parts already seen are kept, in two
-    generations: when the younger is full it becomes the older, so frequent parts stay.
+    generations of `keep` parts: when the younger is full it becomes the older, so frequent parts stay. A tokenizer of
+    another kind, and a text that holds one of its special strings, are encoded whole.
     """
 
     MARKS = ".,;:!?*#$%&|"
@@ -51,7 +52,10 @@ class Encoder:
     def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        cut = made.get("pre_tokenizer") or {}
+        self.in_parts = made["model"]["type"] == "BPE" and not made.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.special = [x["content"] for x in made.get("added_tokens", ())]
         self.young, self.old, self.keep = {}, {}, keep
         self.line_feed = self._ids(["\n"])[0]
 
@@ -96,6 +100,12 @@ class Encoder:
         return bool(text) and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[0] not in " \n" and text[-1] not in " \n" and not self._SPACE.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.in_parts:
+            return self._ids(texts)
+        if any(s in x for s in self.special for x in texts):
+            whole = [any(s in x for s in self.special) for x in texts]
+            rest = iter(self.encode([x for x, w in zip(texts, whole) if not w]))
+            return [self._ids([x])[0] if w else next(rest) for x, w in zip(texts, whole)]
         # a line's first word has no space before it; the others get theirs from the marked split
         split = [[line.replace(" ", "\0 ").split("\0") for line in x.split("\n")] if "\0" not in x and self.plain(x) else [pieces(x)] for x in texts]
         known = self._learn(set(chain.from_iterable(line for lines in split for line in lines)))
@@ -116,9 +126,8 @@ def pieces(text: str) -> list[str]:
     return [p for p in out if p]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def pack(ids: np.ndarray, block: int, bits: bool, level: int = 3) -> tuple[list[int], bytes]:

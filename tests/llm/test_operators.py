@@ -237,7 +237,7 @@ def test_line_kernels():
             assert line_dedup.edits_between(a, b, most) == min(d, most + 1)
         s, long = sorted((a, b), key=len)
         if line_dedup.allowed(len(s)) >= max(d, 1):
-            assert set(line_dedup.index_keys(s)) & line_dedup.probe_keys(long)
+            assert set(line_dedup.index_entries([s])[1].tolist()) & set(line_dedup.probe_entries([long])[1].tolist())
 
 
 @pytest.mark.parametrize("hot, block", [(64, 512), (0, 2), (1, 1)])
@@ -251,26 +251,29 @@ def test_lines(spark, monkeypatch, hot, block):
         for _ in range(rng.randint(1, 3)):
             y[rng.randrange(len(y))] = rng.choice("xyz")
         lines.append("".join(y))
-    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)) + ["", "  "]), "s") for i in range(40)] + [(90, None, "s"), (91, "", "s")]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)) + ["", "  "]), "s") for i in range(40)] + [(90, None, "s"), (91, "", "s"), (None, lines[0] + "\n" + lines[41], "s"), (92, "y" * 400_000 + "\n" + "y" * 399_999, "s"), (3, lines[1], "t")]
     first, n = {}, Counter()
+    order = lambda place: (place[0] is not None, place[0] or 0, place[1])  # a null id comes first
     for i, t, _ in rows:
         for k, x in enumerate((t or "").split("\n")):
             if x.strip(" \t\n\v\f\r"):
-                first.setdefault(x, (i, k))
+                first[x] = min(first.get(x, (i, k)), (i, k), key=order)
                 n[x] += 1
     root, links = {x: x for x in first}, Counter()
-    pairs = [(a, b) for a in first for b in first if first[a] < first[b] and distance(a, b) <= line_dedup.allowed(min(len(a), len(b)))]
+    long = ["y" * 400_000, "y" * 399_999]
+    pairs = [(a, b) for a in first for b in first if order(first[a]) < order(first[b]) and (a in long and b in long or max(len(a), len(b)) < 1000 and distance(a, b) <= line_dedup.allowed(min(len(a), len(b))))]
     for a, b in pairs:
         links[a] += 1
         links[b] += 1
     for _ in range(len(first)):
         for a, b in pairs:
-            root[a] = root[b] = min(root[a], root[b], key=first.get)
+            root[a] = root[b] = min(root[a], root[b], key=lambda x: order(first[x]))
     assert pairs
     got = {tuple(r) for r in line_dedup.classes(frame(spark, rows)).collect()}
     assert got == {(*first[x], n[x], *first[root[x]], links[x]) for x in first}
-    cut = {r["id"]: r for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
-    assert sum(r["n_removed"] for r in cut.values()) == sum(n.values()) - len(set(root.values()))
+    cut = line_dedup.deduplicated(frame(spark, rows)).collect()
+    assert sum(r["n_removed"] for r in cut) == sum(n.values()) - len(set(root.values()))
+    cut = {r["id"]: r for r in cut}
     assert cut[90]["text"] == "" and line_dedup.classes(frame(spark, [])).count() == 0
 
 
@@ -279,26 +282,29 @@ def test_lines(spark, monkeypatch, hot, block):
 
 def test_decontamination(spark):
     rng = random.Random(7)
-    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    vocab = ["".join(rng.choices("abcdefgéßжü", k=rng.randint(2, 8))) for _ in range(300)]
     say = lambda k: rng.choices(vocab, k=k)
-    items = [(i, " ".join(say(rng.randint(8, 60)))) for i in range(20)] + [(98, "too short"), (99, None)]
+    cut = lambda n: " ".join(say(n))[:n].strip().ljust(n, "z")
+    items = [(i, " ".join(say(rng.randint(8, 60)))) for i in range(14)] + [(14 + k, cut(n)) for k, n in enumerate((24, 29, 30, 31, 32, 39))] + [(97, "y" * 340_000), (98, "too short"), (99, None), (None, "another item that has no number of its own")]
     rows, want = [], set()
     for d in range(80):
-        t = say(rng.randint(5, 200))
-        if d % 4 == 0:
-            i, x = items[rng.randrange(20)]
-            w = x.split()
-            for _ in range(rng.randint(0, len(w) // 20)):
-                w[rng.randrange(len(w))] = "ab"
+        t = say(rng.randint(5, 120))
+        if d % 4 == 0 or d > 60:
+            i, x = items[rng.randrange(20) if d % 2 else 14 + d // 4 % 6]
+            w = list(x)
+            for _ in range(rng.choice((0, 1, len(w) // 10, len(w) // 10 + 1))):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 1)] = rng.choices("qжü", k=rng.randint(0, 1))
             at = rng.randint(0, len(t))
-            t[at:at] = [y.upper() if d % 8 else y + "," for y in w]
+            t[at:at] = [("".join(w)).upper() if d % 8 else "".join(w) + ","]
         rows.append((d, "  ".join(t), "s"))
-    rows += [(500, None, "s"), (501, "", "s"), (502, "x " * 600_000 + items[0][1].title(), "s"), (0, rows[0][1], "s")]
+    rows += [(500, None, "s"), (501, "", "s"), (502, "x " * 600_000 + items[0][1], "s"), (0, rows[0][1], "s"), (None, rows[4][1], "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", (t or "").lower()).strip(" ")
     for d, t, _ in rows:
-        text = decontaminate.normal(t or "").decode()
+        text = plain(t)
         for i, x in items[:20]:
-            item = decontaminate.normal(x).decode()
+            item = plain(x)
             p = [0] * (len(text) + 1)
             if d == 502:
                 p = [0 if item in text else 99]
@@ -308,15 +314,17 @@ def test_decontamination(spark):
                     for j, y in enumerate(text):
                         q.append(min(p[j] + (c != y), p[j + 1] + 1, q[j] + 1))
                     p = q
-            if min(p) <= decontaminate.budget(len(item)):
+            if min(p) <= len(item) // 10:
                 want.add((d, i, min(p)))
     found = decontaminate.contaminated(frame(spark, rows), bench).collect()
-    assert {(r["id"], r["item"], r["edits"]) for r in found} == want and any(e for *_, e in want)
+    assert {(r["id"], r["item"], r["edits"]) for r in found} == want and any(e for *_, e in want) and any(i > 13 and e == 3 for _, i, e in want)
     assert len([r for r in found if r["id"] == 0]) == 2 * len([w for w in want if w[0] == 0])
     kept = decontaminate.decontaminated(frame(spark, rows), bench)
     assert kept.columns == frame(spark, rows).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, *_ in rows if d not in {w[0] for w in want})
+    gone = {w[0] for w in want} - {None}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((d for d, *_ in rows if d not in gone), key=str)
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
 def test_short_benchmark_items(spark):
@@ -382,9 +390,9 @@ def test_token_ids(spark, bits):
 
     rows = corpus(9)
     tok = Tokenizer.from_file(token_ids.default_tokenizer())
-    tok.encode_special_tokens = True
+    rows += [(100, "a<|endoftext|> b <|endoftext|>.\nc", "s"), (None, "null id", "s")]
     at, want = 0, Counter()
-    for i, t, _ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
         want[i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
         at += len(ids)
@@ -393,6 +401,16 @@ def test_token_ids(spark, bits):
     assert token_ids.round_trip(frame(spark, [])).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, texts = Tokenizer.from_file(path), ["Two  words.", "", "a\nb", "<|endoftext|> x"]
+    got = token_ids.Encoder(path).encode(texts)
+    assert got == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_planes():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 8, 1000):
@@ -473,11 +491,17 @@ def test_layouts(spark):
         ({"messages": []}, []),
         ({"other": 1}, None),
         ([1], None),
+        ({"messages": ["a", "b"]}, None),
+        ({"prompt": "a\ud800", "response": "\ud83d\ude00"}, [("user", "a\ufffd"), ("assistant", "\U0001f600")]),
+        ({"prompt": {"x": [1]}, "response": 5}, None),
     ]
-    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)] + [(98, "{"), (99, None)]
-    got = {r["id"]: r["formatted"] for r in chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    deep = '{"prompt": ' + "[" * 100_000 + "]" * 100_000 + ', "response": "b"}'
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)] + [(97, deep), (98, "{"), (99, None), (None, None)]
+    odd = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, record string, id string, loss string")
+    got = {r["id"]: r["formatted"] for r in chat.format_records(odd).collect()}
     assert [got[i] and chat.parse(got[i]) if got[i] is not None else None for i in range(len(records))] == [t for _, t in records]
-    assert got[98] is None and got[99] is None
+    assert got[97] is None and got[98] is None and got[99] is None
+    assert chat.format_records(odd.limit(0)).count() == 0 and chat.records(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_conversations_round_trip(spark):
@@ -515,11 +539,26 @@ def test_odd_pages(spark, sf):
     page = '<body><header>Site</header><div id="cookie-notice">We use cookies</div><div class="content"><h1>Title &amp; more words</h1><p>Some long text here, with <a href="x">link</a> and more.<p>Second para. It has words, too.<ul><li>one thing<li>two things</ul><aside>side</aside><form>f<input></form><div class="comments"><p>Nice post, thanks.</p></div></div><div class="sidebar">Foo</div><footer>F</footer>'
     assert text(page).split("\n") == ["Title & more words", "Some long text here, with link and more.", "Second para. It has words, too.", "one thing", "two things"]
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<div>" * 3000 + "x"), (3, "u", "<p>")]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
-    assert len(got) == 4 and all(r["text"] is not None for r in got)
+    rows += [(None, "u", page), (5, "u", page.replace("Some long", "word " * 100_000))]
+    odd = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, id string, text string")
+    got = html_extract.extract(odd, model).collect()
+    assert len(got) == 6 and all(r["text"] is not None for r in got)
+    assert [len(r["text"].split()) > 100_000 for r in got if r["id"] == 5] == [True]
     assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    parts = ["<a href=\"x", "<a 'x", "</script", "<script>", "<!--", "<![CDATA[", "</x>", "<p>", "<b><i>", "<td>", "\"", "<div class='"]
+    for x in parts:
+        began = time.process_time()
+        html_extract.Page(x * 60_000)
+        assert time.process_time() - began < 20, x
+    page = html_extract.Page("<p>a <b title='x > y'>b</b> 3 < 4 <i title=\"z>c</i></p><script>if (a<b) '</p>'</script >d<!-- <p>x --> e<![CDATA[<f>]]>")
+    assert "".join(page.said).split() == ["a", "b", "3", "<", "4", "cd", "e<f>"]
+
+
 def test_decode_has_no_contradictions():
     rng = np.random.default_rng(0)
     for _ in range(50):
