@@ -56,7 +56,17 @@ def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> D
     path = f"{shared_dir(df.sparkSession)}/corpusgraph/{what}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables, once nothing that is still to be computed reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df._stored_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

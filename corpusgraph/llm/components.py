@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        edges = stored(_star(_star(edges, True), False), "edges")
+        old, edges = edges, stored(_star(_star(edges, True), False), "edges")
+        forget(old)
         now = _mark(edges)
         if now == mark:
             break
