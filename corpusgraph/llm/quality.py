@@ -4,16 +4,19 @@ character n-grams, trained on labelled rows and scored in Arrow batches."""
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import begin, stored, texts
+from .common import begin, forget, stored, texts
 
 #: Features of each of the two kinds, character and word n-grams. On held-out labels 4,096 to 32,768 did alike.
 BITS = 13
@@ -77,14 +80,29 @@ def ngrams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 _MIX = (np.arange(1, 257, dtype=np.uint32) * np.uint32(2654435761) ^ np.uint32(0x5BD1E995)).astype(np.uint32)
 
 
-def features(text: str) -> SparseVector:
-    """The mean count of each hashed feature, kind by kind, times SCALE."""
-    parts = {}
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, value): the mean count of each hashed feature, kind by kind, times SCALE."""
+    parts = [(np.empty(0, np.int64), np.empty(0))]
     for f in ngrams(text.encode("utf-8", "surrogatepass")):
         if len(f):
             at, n = np.unique(f, return_counts=True)
-            parts.update(zip(at.tolist(), (SCALE * n / len(f)).tolist()))
-    return SparseVector(2 * FEATURES, parts)
+            parts.append((at, SCALE * n / len(f)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+_VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label, held) -> (features, label, held), a few rows at a time; features has the fields of a sparse vector."""
+    begin()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 50):
+            part = batch.slice(at, 50)
+            made = [features(x) for x in part.column(0).to_pylist()]
+            n = len(made)
+            vector = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 2 * FEATURES, np.int32)), pa.array([i for i, _ in made], _VECTOR[2].type), pa.array([v for _, v in made], _VECTOR[3].type)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(vector, fields=list(_VECTOR)), part.column(1), part.column(2)], names=["features", "label", "held"])
 
 
 @dataclass
@@ -113,19 +131,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # at most max_labelled rows of two numbers: small enough for a broadcast by its limit
     sample = texts(docs, id_col, text_col).join(F.broadcast(picked), "id")
-    def described(text: str) -> SparseVector:
-        begin()
-        return features(text)
-
-    udf = F.udf(described, VectorUDT(), useArrow=True)
-    rows = stored(sample.select(udf("text").alias("features"), "label", (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(5)) == 0).alias("held")), "labelled").coalesce(PARTS)
+    sample = sample.select("text", "label", (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(5)) == 0).alias("held"))
+    made = stored(sample.mapInArrow(_described, "features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>, label double, held boolean"), "labelled")
+    # a sparse vector is stored as these fields, so the table is read as one of vectors
+    schema = StructType([StructField("features", VectorUDT()), *made.schema.fields[1:]])
+    rows = docs.sparkSession.read.schema(schema).parquet(made._stored_at).coalesce(PARTS)
     seen = {(r["held"], r["label"]) for r in rows.groupBy("held", "label").count().collect()}
     if not {(False, 0.0), (False, 1.0)} <= seen:
+        forget(made)
         return None
     fit = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False, tol=1e-5).fit(rows.where("not held"))
     model = Model(fit.coefficients.toArray().astype(np.float32), float(fit.intercept))
     if {(True, 0.0), (True, 1.0)} <= seen:
         model.slope, model.offset = _platt(fit, rows.where("held"))
+    forget(made)
     return model
 
 

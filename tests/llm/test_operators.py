@@ -347,26 +347,30 @@ def test_benchmark_in_blocks(spark, monkeypatch, sf):
 # Mixing
 
 
-def test_mixing(spark):
-    rows = corpus(8, 300)
-    got = mixing.mix(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    size = lambda t: len(WORDS.findall((t or "").encode()))
-    sizes = Counter()
-    for _, t, s in rows:
-        sizes[s] += size(t)
-    order = sorted((s for s in sizes if s is not None)) + [None]
+def target_of(sizes):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     total, target, open_ = sum(sizes.values()), {}, set(order)
-    while True:
+    while open_:
         left = total - sum(target.values())
         share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
         over = {s for s in open_ if share[s] > 3 * sizes[s]}
         if not over:
-            break
+            return target | share
         target |= {s: 3 * sizes[s] for s in over}
         open_ -= over
-    target |= share
+    return target
+
+
+def test_mixing(spark):
+    rows = corpus(8, 300)
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(WORDS.findall((t or "").encode()))
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    target, total = target_of(sizes), sum(sizes.values())
     taken = Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * total
@@ -449,20 +453,31 @@ def test_count_tree():
             assert (tree.text, tree.n_tokens, tree.n_chars) == (s, len(count.encode(s)), len(s))
 
 
-def test_counts_follow_edits(spark):
-    rows = [(1, "mail a.b@c.org now, or call +49 (30) 1234567 at once", "s"), (2, None, "s"), (3, "", "s"), (4, "none", "s"), (5, "x " * 50_000 + "a@b.cc", "s")]
+def test_counts_follow_edits(spark, tmp_path):
+    rows = [(1, "mail a.b@c.org now, or call +49 (30) 1234567 at once", "s"), (2, None, "s"), (3, "", "s"), (4, "none", "s"), (5, "x " * 50_000 + "a@b.cc", "s"), (None, "no id a@b.cc", "s"), (4, "none", "s")]
     docs = frame(spark, rows)
-    got = {r["id"]: r for r in token_counts.counted(docs, token_counts.scrub(F.col("text"))).collect()}
     count = token_counts.counter(token_counts.default_ranks())
-    for i, t, _ in rows:
-        after = re.sub(token_counts.SCRUB, "<private>", t or "")
-        r = got[i]
-        assert (r["n_tokens"], r["tokens_after"], r["chars_after"]) == (len(count.encode(t or "")), len(count.encode(after)), len(after))
-    assert got[1]["n_edits"] == 2 and got[5]["encoded_again"] < 1000
-    edits = spark.createDataFrame([(4, 0, 2, "so"), (4, 3, 4, "")], "id long, start long, end long, text string")
-    joined = token_counts.with_edits(docs.select("doc_id", "text"), edits)
-    assert {r["id"]: r["chars_after"] for r in token_counts.counted(joined, F.col("edits")).collect()}[4] == 3
-    assert token_counts.counted(frame(spark, []), token_counts.scrub(F.col("text"))).count() == 0
+    size = lambda t: len(count.encode(t))
+    token_counts.trees(docs).write.parquet(str(tmp_path / "one"))
+    kept = spark.read.parquet(str(tmp_path / "one"))
+    first = token_counts.edited(kept, token_counts.scrub(token_counts.text_of()))
+    first.write.parquet(str(tmp_path / "two"))
+    first = spark.read.parquet(str(tmp_path / "two"))
+    got = Counter(map(tuple, token_counts.counted(first).select("id", "n_tokens", "n_edits", "tokens_after", "chars_after").collect()))
+    after = [(i, t or "", *re.subn(token_counts.SCRUB, "<private>", t or "")) for i, t, _ in rows]
+    assert got == Counter((i, size(t), n, size(x), len(x)) for i, t, x, n in after)
+    assert {r["id"]: r["encoded_again"] for r in first.collect()}[5] < 1000
+    # a second round over the trees as they were kept: only what it touches is encoded
+    edits = spark.createDataFrame([(4, 0, 2, "so"), (4, 3, 4, ""), (None, 0, 2, "one"), (5, 10, 12, "yes "), (5, 99_990, 99_992, None)], "id long, start long, end long, text string")
+    second = token_counts.edited(token_counts.with_edits(first, edits), F.col("edits"))
+    now = {r["id"]: (token_counts.Tree.kept(r["leaves"], r["chars"], r["tokens"], count).text, r["tokens"][1], r["encoded_again"]) for r in second.collect()}
+    long = next(x for i, _, x, _ in after if i == 5)
+    long = long[:10] + "yes " + long[12:99_990] + long[99_992:]
+    assert now[5][:2] == (long, size(long)) and now[5][2] < 1000
+    assert now[4][:2] == ("son", size("son")) and now[None][0] == "one id <private>" and now[1][2] == 0
+    with pytest.raises(ValueError, match="column edits"):
+        token_counts.with_edits(kept.withColumn("edits", F.lit(1)), edits)
+    assert token_counts.counted(token_counts.edited(token_counts.trees(frame(spark, [])), F.lit(None).cast("array<struct<start:long,end:long,text:string>>"))).count() == 0
 
 
 # Chat
@@ -587,6 +602,50 @@ def brute_counts(text):
     return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
 
 
+def brute_probability(text, model):
+    """The model's probability by plain arithmetic over the text's grams, words and word pairs."""
+    mask, shift, score = (1 << 32) - 1, 32 - quality.BITS, model.intercept
+    b = (text or "").encode()
+    chars = [(int.from_bytes(b[i : i + 4], "little") * 0x9E3779B1 & mask) >> shift for i in range(len(b) - 3)]
+    hashes = []
+    for w in WORDS.findall(b):
+        h = sum((c + 1) * 2654435761 & mask ^ 0x5BD1E995 for c in w) & mask
+        for k in range(3):
+            h = (h * 31 + (w[k] if k < len(w) else 0)) & mask
+            h = (h * 37 + (w[-1 - k] if k < len(w) else 0)) & mask
+        hashes.append(h * 0x85EBCA6B & mask)
+    pairs = [(x ^ y >> 7) * 0xC2B2AE35 & mask for x, y in zip(hashes, hashes[1:])]
+    words = [quality.FEATURES + (h >> shift) for h in hashes + pairs]
+    for grams in (chars, words):
+        if grams:
+            score += quality.SCALE * sum(float(model.weights[g]) for g in grams) / len(grams)
+    return 1 / (1 + np.exp(-np.clip(model.slope * score + model.offset, -40, 40)))
+
+
+def test_quality_verdict(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").unionByName(frame(spark, corpus(13)).select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).collect()
+    model = quality.train(docs, labels.unionByName(labels.limit(5)))
+    got = {(r["doc_id"], r["text"]): r["judged"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        c, p = brute_counts(t), brute_probability(t, model)
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        g = got[i, t]
+        assert g["base_failed"] == failed and abs(g["probability"] - p) < 1e-4
+        assert g["kept"] == (not failed and p >= quality.KEEP_FROM) or abs(p - quality.KEEP_FROM) < 1e-4
+    assert {g["kept"] for g in got.values()} == {True, False}
+
+
+def test_repeated_and_conflicting_labels(spark):
+    docs = frame(spark, corpus(11)).select("doc_id", "text")
+    labels = [(i, int(i % 2), None) for i in range(40)] + [(i, 0, None) for i in range(0, 40, 4)] + [(7, None, None), (None, 1, None)]
+    one = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    two = quality.train(docs, spark.createDataFrame(labels[::-1] * 2, "doc_id long, quality int, toxic int"))
+    assert np.allclose(one.weights, two.weights, atol=1e-3) and abs(one.intercept - two.intercept) < 1e-3
+    high = [(i, 1, None) for i in range(40)] + [(i, 0, None) for i in range(40)]
+    assert quality.train(docs, spark.createDataFrame(high, "doc_id long, quality int, toxic int")) is None  # the lower label counts, so one class is left
+
+
 def test_quality(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = {r["id"]: r for r in quality.assess(docs, labels).collect()}
