@@ -22,9 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, stored, texts
+from .common import begin, forget, stored, texts
 from .components import components
-from .substrings import parts_of
+from .substrings import drop_parts, parts_of
 
 #: Edits allowed at most, and characters for each allowed edit: shorter lines allow fewer.
 EDITS, CHARS_AN_EDIT = 2, 10
@@ -310,8 +310,8 @@ def links(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) that connect all different lines within the edits that the shorter one allows, and each linked
     line's number of such lines (n, links). A line's name is struct(id, line, part, at), the place that stands for all
     equal ones, so that the least name of a class is its first line; until lines are compared, part and at alone."""
-    named = stored(_with_names(parts, lines).select("part", "ats"), "names")
-    named = parts.join(named, "part")
+    names = stored(_with_names(parts, lines).select("part", "ats"), "names")
+    named = parts.join(names, "part")
     index = stored(_keys(named, False).select("key", "number", "part", "at"), "line_index")
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("number").alias("number"))
     hot = stored(sizes.where(F.col("n") > HOT).select(F.col("key").alias("hot_key"), "number", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "line_hot")
@@ -361,6 +361,7 @@ def links(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = blocks.groupBy("key", "block", "other").applyInArrow(_compare, f"{fields}, links long")
     name = lambda x: F.struct(*[F.col(f"{x}{k}").alias(k) for k, _ in _PLACE]).alias(x)
     blocks = stored(blocks.select(name("u"), name("v"), "links"), "line_block_links")
+    forget(names, index, hot, met, pairs, probes, sides, text)
     one = F.lit(1).cast("long").alias("links")
     degree = single.select(F.col("u").alias("n"), one).unionByName(single.select(F.col("v").alias("n"), one)).unionByName(blocks.where("links > 0").select(F.col("u").alias("n"), "links"))
     return single.unionByName(blocks.where("links = 0").select("u", "v")), degree.groupBy("n").agg(F.sum("links").alias("links"))
@@ -374,7 +375,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     characters have copies alone. Null and empty texts have no lines; lines of a null id come first.
     """
     parts = parts_of(texts(docs, id_col, text_col))
-    return _classes(parts)[0].select("id", "line", "copies", "class_id", "class_line", "links")
+    found = _classes(parts)[0].select("id", "line", "copies", "class_id", "class_line", "links")
+    drop_parts(parts)
+    return found
 
 
 def _classes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:

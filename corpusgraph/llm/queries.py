@@ -58,9 +58,8 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after its personal data and secrets are marked."""
-    docs = table(spark, sf_dir, "documents")
-    found = token_counts.counted(docs, token_counts.scrub(F.col("text")))
-    return found.withColumnRenamed("id", "doc_id")
+    kept = stored(token_counts.trees(table(spark, sf_dir, "documents")), "trees")
+    return token_counts.counted(token_counts.edited(kept, token_counts.scrub(token_counts.text_of()))).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}

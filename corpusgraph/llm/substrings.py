@@ -9,6 +9,7 @@ shuffled and no group of copies is gathered whole:
    more than one document go back to their parts.
 3. An anchor's context is all bytes that a window around it may cover. Each part tells each context's smallest document
    once; a context that a smaller document also has is repeated throughout.
+   Strings are told apart by 128 bits of hash.
 4. What is left are the ends of repeated passages. Their contexts meet by gram, and a Burrows-Wheeler transform of them
    is extended backwards, all intervals at once and by one byte each time, up to `length`; intervals in which one
    document alone is left are dropped. Windows of grams that very many places share go by their hash as in 3 instead, so
@@ -29,16 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, texts
+from .common import begin as new_task
+from .common import forget, shared_dir, stored, texts
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a part, about; a longer document is a part of its own.
 PART = 4 << 20
+#: Bytes of text for each bucket in which what parts tell meets.
+BUCKET = 16 << 20
 #: A gram that so many places share goes by the hashes of its windows.
 COMMON = 600
 #: Bytes of a long document that are hashed at once.
 PIECE = 2 << 20
-_A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+_A, _B, _C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x165667B19E3779F9)
 
 
 def _words(raw: np.ndarray, n: int) -> np.ndarray:
@@ -102,16 +106,19 @@ class Texts:
         place = np.concatenate(places)
         return np.searchsorted(self.starts, place, "right") - 1, place, np.concatenate(hashes)
 
-    def hashed(self, begin: np.ndarray, size: int) -> np.ndarray:
-        """A hash of the `size` bytes from each place."""
-        h = np.full(len(begin), _A)
+    def hashed(self, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of the `size` bytes from each place: together 128 bits, so that among 10^13 strings
+        no two different ones are expected to be taken for one."""
+        h, g = np.full(len(begin), _A), np.full(len(begin), _C)
         at = [*range(0, size - 7, 8)] + ([size - 8] if size % 8 else [])
         for o in at:
             word = np.zeros(len(begin), np.uint64)
             for k in range(8):
                 word |= self.buffer[begin + (o + k)].astype(np.uint64) << np.uint64(8 * k)
             h = _mix(h, word)
-        return _mix(h, h >> np.uint64(17))
+            g = (g ^ (word * _D)) * _A
+            g ^= g >> np.uint64(29)
+        return _mix(h, h >> np.uint64(17)), (g ^ (g >> np.uint64(32))) * _B
 
 
 def _pack_texts(rows: list[bytes]) -> bytes:
@@ -139,7 +146,17 @@ def parts_of(docs: DataFrame, part_bytes: int = PART) -> DataFrame:
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"parts_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, "part long, ids array<long>, sizes array<long>, body binary")
     made.write.bucketBy(buckets, "part").option("path", f"{shared_dir(spark)}/corpusgraph/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._parts_table = name
+    return out
+
+
+def drop_parts(parts: DataFrame) -> None:
+    """Deletes what parts_of() wrote, once nothing that is still to be computed reads it."""
+    spark, name = parts.sparkSession, parts._parts_table
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusgraph/{name}")
+    spark.sql(f"DROP TABLE {name}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _texts(row: dict) -> tuple[Texts, np.ndarray]:
@@ -165,49 +182,54 @@ def _dealt(bucket: np.ndarray, part: int, columns: list[np.ndarray], schema: pa.
 
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-_REPLY = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+_CHECKED = pa.schema([*_BLOBS, ("c", pa.binary())])
 
 
-def _gather(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, a, b) of all items in a bucket's blobs."""
-    a = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
-    b = [np.frombuffer(x, kind) for x in table.column("b").to_pylist()]
-    parts = np.repeat(np.array(table.column("part").to_pylist(), np.int64), [len(x) for x in a])
-    return parts, np.concatenate(a), np.concatenate(b)
+def _gather(table: pa.Table, *kinds) -> list[np.ndarray]:
+    """[part, a, b, ...] of all items in a bucket's blobs."""
+    columns = [[np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in zip("abc", kinds)]
+    parts = np.repeat(np.array(table.column("part").to_pylist(), np.int64), [len(x) for x in columns[0]])
+    return [parts, *map(np.concatenate, columns)]
 
 
-def _reply(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    order = np.lexsort((a, parts))
-    parts, a, b = parts[order], a[order], b[order]
+def _reply(parts: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    order = np.lexsort((columns[0], parts))
+    parts, columns = parts[order], [x[order] for x in columns]
     cut = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else np.empty(0, np.int64)
     ends = [*cut[1:].tolist(), len(parts)]
-    return pa.table([pa.array(parts[cut], pa.int64()), *[pa.array([x[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary()) for x in (a, b)]], schema=_REPLY)
+    made = [pa.array([x[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary()) for x in columns]
+    return pa.table([pa.array(parts[cut], pa.int64()), *made], schema=pa.schema([("part", pa.int64()), *((n, pa.binary()) for n, _ in zip("abc", columns))]))
 
 
 def _counted(table: pa.Table) -> pa.Table:
     """Keys that more than one place has, with their number of places, to each part that has them."""
-    parts, keys, n = _gather(table, "<u2")
+    parts, keys, n = _gather(table, "<u8", "<u2")
     uniq, inv = np.unique(keys, return_inverse=True)
     total = np.bincount(inv, n, len(uniq)).astype("<u4")[inv]
     keep = total > 1
     return _reply(parts[keep], keys[keep], total[keep])
 
 
+def _firsts(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where another key or check begins, in sorted ones."""
+    return np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])] if len(keys) else np.empty(0, bool)
+
+
 def _least(table: pa.Table) -> pa.Table:
-    """Each key's smallest document, to each part in which the smallest is larger."""
-    parts, keys, doc = _gather(table, "<i8")
-    order = np.lexsort((doc, keys))
-    first = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.empty(0, bool)
+    """The smallest document of each string, by key and check, to each part in which the smallest is larger."""
+    parts, keys, doc, checks = _gather(table, "<u8", "<i8", "<u8")
+    order = np.lexsort((doc, checks, keys))
+    first = _firsts(keys[order], checks[order])
     least = np.empty(len(keys), np.int64)
     least[order] = doc[order][first][np.cumsum(first) - 1]
     keep = least < doc
-    return _reply(parts[keep], keys[keep], least[keep])
+    return _reply(parts[keep], keys[keep], least[keep], checks[keep])
 
 
-def _meet(dealt: DataFrame, how, what: str) -> DataFrame:
+def _meet(dealt: DataFrame, how, what: str, columns: str = "ab") -> DataFrame:
     """The blobs of each bucket together, and the replies as one row for each part."""
-    replies = dealt.groupBy("bucket").applyInArrow(how, "part long, a binary, b binary")
-    return stored(replies.groupBy("part").agg(F.collect_list(F.struct("a", "b")).alias("got")), what)
+    replies = dealt.groupBy("bucket").applyInArrow(how, "part long, " + ", ".join(f"{c} binary" for c in columns))
+    return stored(replies.groupBy("part").agg(F.collect_list(F.struct(*columns)).alias("got")), what)
 
 
 def _lookup(got: list[dict] | None, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -227,10 +249,33 @@ def _found(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray], other) -> np.
     return np.where(a[at] == keys, b[at], other)
 
 
-def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((docs, keys))
-    first = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.empty(0, bool)
-    return keys[order][first], docs[order][first]
+def _joined(got: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, checks, documents) from a part's replies, in order."""
+    a, b, c = (np.concatenate([np.frombuffer(x[n], k) for x in got or ()] or [np.empty(0, k)]) for n, k in (("a", "<u8"), ("b", "<i8"), ("c", "<u8")))
+    order = np.lexsort((c, a))
+    return a[order], c[order], b[order]
+
+
+def _known(keys: np.ndarray, checks: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The document that the table has for each key and check, or the largest number."""
+    a, c, b = table
+    out, at, open_ = np.full(len(keys), np.iinfo(np.int64).max), np.searchsorted(a, keys), np.arange(len(keys))
+    while len(open_):
+        open_ = open_[at[open_] < len(a)]
+        open_ = open_[a[at[open_]] == keys[open_]]
+        hit = c[at[open_]] == checks[open_]
+        out[open_[hit]] = b[at[open_[hit]]]
+        open_ = open_[~hit]
+        at[open_] += 1
+    return out
+
+
+def _smallest(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, checks, documents): each string once with its smallest document."""
+    order = np.lexsort((docs, checks, keys))
+    keys, checks, docs = keys[order], checks[order], docs[order]
+    first = _firsts(keys, checks)
+    return keys[first], checks[first], docs[first]
 
 
 def _contexts(t: Texts, place: np.ndarray) -> np.ndarray:
@@ -291,7 +336,7 @@ def expand(rows: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray,
     return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
-_KINDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_KINDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 _SPANS = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -346,6 +391,7 @@ def _spans(parts: DataFrame, buckets: int) -> DataFrame:
     """(part, got): the removed stretches of each part."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         for r in _rows(batches):
             _, _, gram = _texts(r)[0].anchors()
             keys, n = np.unique(gram, return_counts=True)
@@ -359,23 +405,22 @@ def _spans(parts: DataFrame, buckets: int) -> DataFrame:
         times = _found(gram, _lookup(got, "<u4"), 0)
         keep = times > 1
         doc, place, gram, times = doc[keep], place[keep], gram[keep], times[keep]
-        return t, ids, doc, place, gram, times, _mix(gram, t.hashed(_contexts(t, place), 2 * LENGTH - GRAM))
+        return t, ids, doc, place, gram, times, *t.hashed(_contexts(t, place), 2 * LENGTH - GRAM)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            _, ids, doc, _, _, _, context = matched(r, r["got"])
-            keys, least = _smallest(context, ids[doc])
-            yield from _dealt((keys % np.uint64(buckets)).astype(np.int64), r["part"], [keys, least], _BLOBS)
+            _, ids, doc, _, _, _, context, check = matched(r, r["got"])
+            keys, checks, least = _smallest(context, check, ids[doc])
+            yield from _dealt((keys % np.uint64(buckets)).astype(np.int64), r["part"], [keys, least, checks], _CHECKED)
 
     shown = parts.join(known, "part")
-    least = _meet(shown.mapInArrow(contexts, "bucket int, part long, a binary, b binary"), _least, "contexts")
+    least = _meet(shown.mapInArrow(contexts, "bucket int, part long, a binary, b binary, c binary"), _least, "contexts", "abc")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            t, ids, doc, place, gram, times, context = matched(r, r["got"])
+            t, ids, doc, place, gram, times, context, check = matched(r, r["got"])
             mine = ids[doc]
-            keys, local = _smallest(context, mine)
-            best = np.minimum(_found(context, (keys, local), np.iinfo(np.int64).max), _found(context, _lookup(r["least"], "<i8"), np.iinfo(np.int64).max))
+            best = np.minimum(_known(context, check, _smallest(context, check, mine)), _known(context, check, _joined(r["least"])))
             begin, here = _contexts(t, place), t.starts[doc]
             before = np.maximum(here - begin, 0)
             after = np.maximum(begin + 2 * LENGTH - GRAM - here - t.sizes[doc], 0)
@@ -398,37 +443,38 @@ def _spans(parts: DataFrame, buckets: int) -> DataFrame:
                 d = np.searchsorted(t.starts, start, "right") - 1
                 fits = (d >= 0) & (start + LENGTH <= (t.starts + t.sizes)[d])
                 start, d = start[fits], d[fits]
-                yield _kind(2, 0, r["part"], t.hashed(start, LENGTH), ids[d], d, start - t.starts[d])
+                h, g = t.hashed(start, LENGTH)
+                yield _kind(2, 0, r["part"], h, ids[d], d, start - t.starts[d], g)
 
     seen = shown.join(least.withColumnRenamed("got", "least"), "part", "left")
-    kinds = stored(seen.mapInArrow(decided, "kind int, bucket int, part long, a binary, b binary, c binary, d binary"), "decided", ["kind"])
+    kinds = stored(seen.mapInArrow(decided, "kind int, bucket int, part long, a binary, b binary, c binary, d binary, e binary"), "decided", ["kind"])
     sure = kinds.where("kind = 0").select("part", "a", "b")
     ends = kinds.where("kind = 1").select("bucket", "part", "a", "b", "c", "d").groupBy("bucket").applyInArrow(_spans_of_contexts, "part long, a binary, b binary")
-    windows = kinds.where("kind = 2").select("part", "a", "b", "c", "d")
+    windows = kinds.where("kind = 2").select("part", "a", "b", "c", "d", "e")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            keys, docs = _smallest(np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i8"))
-            yield from _dealt((keys % np.uint64(buckets)).astype(np.int64), r["part"], [keys, docs], _BLOBS)
+            keys, checks, docs = _smallest(*(np.frombuffer(r[k], t) for k, t in (("a", "<u8"), ("e", "<u8"), ("b", "<i8"))))
+            yield from _dealt((keys % np.uint64(buckets)).astype(np.int64), r["part"], [keys, docs, checks], _CHECKED)
 
-    answers = _meet(windows.mapInArrow(told, "bucket int, part long, a binary, b binary"), _least, "windows")
+    answers = _meet(windows.mapInArrow(told, "bucket int, part long, a binary, b binary, c binary"), _least, "windows", "abc")
 
     def heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            keys, docs, row, begin = (np.frombuffer(r[k], t) for k, t in (("a", "<u8"), ("b", "<i8"), ("c", "<i8"), ("d", "<i8")))
-            most = np.iinfo(np.int64).max
-            best = np.minimum(_found(keys, _smallest(keys, docs), most), _found(keys, _lookup(r["got"], "<i8"), most))
-            sure = best < docs
+            keys, docs, row, begin, checks = (np.frombuffer(r[k], t) for k, t in (("a", "<u8"), ("b", "<i8"), ("c", "<i8"), ("d", "<i8"), ("e", "<u8")))
+            sure = np.minimum(_known(keys, checks, _smallest(keys, checks, docs)), _known(keys, checks, _joined(r["got"]))) < docs
             key, reach = _merged(row[sure], begin[sure], begin[sure] + LENGTH)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["part"], key.tobytes(), reach.tobytes()), _SPANS.types)], schema=_SPANS)
 
     common = windows.join(answers, "part", "left").mapInArrow(heard, "part long, a binary, b binary")
     every = sure.unionByName(ends).unionByName(common)
-    return stored(every.groupBy("part").agg(F.collect_list(F.struct("a", "b")).alias("got")), "spans")
+    out = stored(every.groupBy("part").agg(F.collect_list(F.struct("a", "b")).alias("got")), "spans")
+    forget(known, least, kinds, answers)
+    return out
 
 
 def _kind(kind: int, bucket: int, part: int, *blobs: np.ndarray) -> pa.RecordBatch:
-    row = (kind, bucket, part, *[np.ascontiguousarray(x).tobytes() for x in blobs], *[b""] * (4 - len(blobs)))
+    row = (kind, bucket, part, *[np.ascontiguousarray(x).tobytes() for x in blobs], *[b""] * (5 - len(blobs)))
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _KINDS.types)], schema=_KINDS)
 
 
@@ -445,10 +491,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark: SparkSession = docs.sparkSession
     parts = parts_of(texts(docs, id_col, text_col))
-    spans = _spans(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
+    # a bucket's blobs are one table in memory, so there are as many as the texts' bytes ask for
+    spans = _spans(parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET))
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         for r in _rows(batches):
             t, _ = _texts(r)
             keys = [np.frombuffer(x["a"], "<i8") for x in r["got"] or ()]

@@ -2,7 +2,8 @@
 
 A document is cut into leaves of whole pre-token runs, and a segment tree keeps the sums of their characters and tokens.
 An edit finds the leaves it touches by the character sums, joins them with the neighbours that its ends need as context,
-encodes that region alone and updates the sums on the way to the root.
+encodes that region alone and updates the sums on the way to the root. Trees are rows of a table, so they are kept between
+rounds of edits and no text is encoded anew.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, texts
 from .token_ids import pieces
 
 #: Pieces (words, mostly) of a leaf.
@@ -75,6 +76,13 @@ class Tree:
             self.chars[i], self.tokens[i] = (x[2 * i] + x[2 * i + 1] for x in (self.chars, self.tokens))
         self.encoded = 0
 
+    @classmethod
+    def kept(cls, leaves: list[str], chars: list[int], tokens: list[int], count: Counter) -> Tree:
+        """A tree as a row of trees() has it."""
+        tree = cls.__new__(cls)
+        tree.count, tree.leaves, tree.chars, tree.tokens, tree.size, tree.encoded = count, leaves, chars, tokens, len(chars) // 2, 0
+        return tree
+
     def at(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character (the last for the text's end), and the place of the leaf's first."""
         i, first = 1, 0
@@ -139,38 +147,71 @@ class Tree:
         return "".join(self.leaves)
 
 
-def counted(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """(id, n_tokens, n_edits, tokens_after, chars_after, encoded_again): token counts of each text before and after
-    its edits, and the characters encoded again for them.
+_TREE = [("id", pa.int64()), ("leaves", pa.list_(pa.string())), ("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
+_FIELDS = "id long, leaves array<string>, chars array<long>, tokens array<long>"
+
+
+def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
+    """(id, leaves, chars, tokens) of each text: its leaves in order, and the sums of their characters and tokens as a tree
+    in an array: the root at 1, the children of i at 2i and 2i + 1. A null text is the empty one; equal rows give equal
+    rows; null ids stay null; no rows give none; other columns, whatever their names, play no part."""
+    path, schema = ranks or default_ranks(), pa.schema(_TREE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [Tree(x, count) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([getattr(t, n) for t in made], k) for n, k in _TREE[1:])], schema=schema)
+
+    return texts(docs, id_col, text_col).mapInArrow(run, _FIELDS)
+
+
+def text_of() -> Column:
+    """The text of a row of trees()."""
+    return F.array_join("leaves", "")
+
 
-    edits: array<struct<start, end, text>> on docs, places in the text before any edit, in order and apart; null and
-    the empty array leave a text as it is. A null text is the empty one; equal rows give equal rows.
+def edited(kept: DataFrame, edits: Column, ranks: str | None = None) -> DataFrame:
+    """Rows of trees() after their edits, to be kept for the next ones, with n_tokens (before), n_edits and encoded_again,
+    the characters that were encoded for them.
+
+    edits: array<struct<start, end, text>> on kept, places in the text before any edit, in order and apart; null and the
+    empty array leave a text as it is.
     """
     path = ranks or default_ranks()
-    schema = pa.schema([("id", pa.int64()), *((x, pa.int64()) for x in ("n_tokens", "n_edits", "tokens_after", "chars_after", "encoded_again"))])
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
+    schema = pa.schema([*_TREE, *((x, pa.int64()) for x in ("n_tokens", "n_edits", "encoded_again"))])
+    rows = kept.select("id", "leaves", "chars", "tokens", edits.alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            out = []
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 64):
-                for i, text, changes in zip(ids[at : at + 64], batch.column(1).slice(at, 64).to_pylist(), batch.column(2).slice(at, 64).to_pylist()):
-                    tree, changes = Tree(text, count), changes or []
+            for at in range(0, batch.num_rows, 64):
+                part, out = batch.slice(at, 64), []
+                for leaves, chars, tokens, changes in zip(*(part.column(k).to_pylist() for k in range(1, 5))):
+                    tree, changes = Tree.kept(leaves, chars, tokens, count), changes or []
                     before = tree.n_tokens
                     for c in reversed(changes):  # from the end, so that places hold
-                        tree.edit(c["start"], c["end"], c["text"])
-                    out.append((i, before, len(changes), tree.n_tokens, tree.n_chars, tree.encoded))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+                        tree.edit(c["start"], c["end"], c["text"] or "")
+                    out.append((tree.leaves, tree.chars, tree.tokens, before, len(changes), tree.encoded))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*out), schema.types[1:]))], schema=schema)
+
+    return rows.mapInArrow(run, f"{_FIELDS}, n_tokens long, n_edits long, encoded_again long")
+
 
-    return rows.mapInArrow(run, "id long, n_tokens long, n_edits long, tokens_after long, chars_after long, encoded_again long")
+def counted(after: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_edits, tokens_after, chars_after, encoded_again) of rows of edited(): counts before and after."""
+    return after.select("id", "n_tokens", "n_edits", F.get("tokens", F.lit(1)).alias("tokens_after"), F.get("chars", F.lit(1)).alias("chars_after"), "encoded_again")
 
 
-def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with a column `edits` from a table edits(id, start, end, text)."""
-    each = edits.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("edits"))
-    return docs.join(each, docs[id_col] == each["__id"], "left").drop("__id")
+def with_edits(kept: DataFrame, edits: DataFrame, id_col: str = "id", column: str = "edits") -> DataFrame:
+    """kept with a column of edits from a table edits(id, start, end, text), in order; edits of a null id go to rows of a
+    null id. ValueError if kept has such a column."""
+    if column in kept.columns:
+        raise ValueError(f"there is a column {column} already; name another")
+    each = edits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("edits"))
+    return kept.alias("k").join(each.alias("e"), F.col(f"k.{id_col}").eqNullSafe(F.col("e.id")), "left").select("k.*", F.col("e.edits").alias(column))
 
 
 def scrub(text: Column, pattern: str = SCRUB, mark: str = "<private>") -> Column:
