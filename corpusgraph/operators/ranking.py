@@ -79,16 +79,29 @@ def char_budget_sample(docs: DataFrame, key: str, text: str, cap: int, most: int
     return rows.where(F.col("__ahead") <= most).select(docs.columns)
 
 
-def ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """(by, order, ema): the moving average of each run without its bias towards zero at the start."""
-    runs = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("r"))
-    start = F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<double>)").alias("out"))
+def ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9, width: int = 256) -> DataFrame:
+    """(by, order, ema): the moving average of each run without its bias towards zero at the start. A run is cut into
+    blocks of its numeric order; each is folded on its own, and only a row for each block is folded over the run."""
+    row = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    blocks = df.groupBy(by, F.floor(F.col(order) / width).alias("b")).agg(F.sort_array(F.collect_list(row)).alias("r"))
 
     def step(acc, x):
         s = beta * acc["s"] + (1 - beta) * x["v"]
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s / (1 - F.pow(F.lit(beta), F.size(acc["out"]) + 1)))).alias("out"))
+        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
 
-    return runs.select(by, F.explode(F.arrays_zip(F.col("r.o").alias("o"), F.aggregate("r", start, step)["out"].alias("e"))).alias("x")).select(by, F.col("x.o").alias(order), F.col("x.e").alias("ema"))
+    start = F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<double>)").alias("out"))
+    blocks = blocks.select(by, "b", F.col("r.o").alias("o"), F.aggregate("r", start, step)["out"].alias("e"))
+
+    def carry(acc, x):
+        now = F.struct(x["b"].alias("b"), acc["s"].alias("s"), acc["n"].alias("n"))
+        return F.struct((F.pow(F.lit(beta), x["n"]) * acc["s"] + x["s"]).alias("s"), (acc["n"] + x["n"]).alias("n"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    ends = blocks.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("b", F.size("e").alias("n"), F.element_at("e", -1).alias("s")))).alias("x"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<b:bigint,s:double,n:int>>)").alias("out"))
+    before = ends.select(F.col(by).alias("run"), F.inline(F.aggregate("x", zero, carry)["out"])).toDF("run", "block", "s", "n")
+    rows = blocks.join(before, F.col(by).eqNullSafe(F.col("run")) & (F.col("b") == F.col("block"))).select(by, "s", "n", F.posexplode(F.arrays_zip("o", "e")).alias("i", "x"))
+    i = F.col("i") + 1
+    return rows.select(by, F.col("x.o").alias(order), ((F.col("x.e") + F.pow(F.lit(beta), i) * F.col("s")) / (1 - F.pow(F.lit(beta), F.col("n") + i))).alias("ema"))
 
 
 def seeded(seed: int, *columns: str) -> Column:

@@ -192,3 +192,15 @@ def test_mixture_is_seeded(spark):
     t = spark.range(20).select(F.col("id").alias("idx"))
     a, b, c = ([r["idx"] for r in mixture([t, t], seed).orderBy("place").collect()] for seed in (1, 1, 2))
     assert a == b != c
+
+
+def test_moving_average_in_blocks(spark):
+    from corpusgraph.operators.ranking import ema
+
+    rows = [(r, 3 * k + r, float((k * 7 + r) % 11)) for r in (1, 2) for k in range(40)]
+    got = {(r["run"], r["step"]): r["ema"] for r in ema(spark.createDataFrame(rows, "run int, step int, v double"), "run", "step", "v", 0.8, width=10).collect()}
+    for run in (1, 2):
+        s = 0.0
+        for n, (_, step, v) in enumerate([r for r in rows if r[0] == run], 1):
+            s = 0.8 * s + 0.2 * v
+            assert abs(got[run, step] - s / (1 - 0.8**n)) < 1e-9
