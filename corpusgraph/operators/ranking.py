@@ -98,10 +98,10 @@ def ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9, width
 
     ends = blocks.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("b", F.size("e").alias("n"), F.element_at("e", -1).alias("s")))).alias("x"))
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<b:bigint,s:double,n:int>>)").alias("out"))
-    before = ends.select(F.col(by).alias("run"), F.inline(F.aggregate("x", zero, carry)["out"])).toDF("run", "block", "s", "n")
-    rows = blocks.join(before, F.col(by).eqNullSafe(F.col("run")) & (F.col("b") == F.col("block"))).select(by, "s", "n", F.posexplode(F.arrays_zip("o", "e")).alias("i", "x"))
+    before = ends.select(F.col(by).alias("__run"), F.inline(F.aggregate("x", zero, carry)["out"])).toDF("__run", "__block", "__s", "__n")
+    rows = blocks.join(before, F.col(by).eqNullSafe(F.col("__run")) & (F.col("b") == F.col("__block"))).select(by, "__s", "__n", F.posexplode(F.arrays_zip("o", "e")).alias("i", "x"))
     i = F.col("i") + 1
-    return rows.select(by, F.col("x.o").alias(order), ((F.col("x.e") + F.pow(F.lit(beta), i) * F.col("s")) / (1 - F.pow(F.lit(beta), F.col("n") + i))).alias("ema"))
+    return rows.select(by, F.col("x.o").alias(order), ((F.col("x.e") + F.pow(F.lit(beta), i) * F.col("__s")) / (1 - F.pow(F.lit(beta), F.col("__n") + i))).alias("ema"))
 
 
 def seeded(seed: int, *columns: str) -> Column:
