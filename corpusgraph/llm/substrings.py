@@ -111,10 +111,9 @@ class Texts:
         no two different ones are expected to be taken for one."""
         h, g = np.full(len(begin), _A), np.full(len(begin), _C)
         at = [*range(0, size - 7, 8)] + ([size - 8] if size % 8 else [])
+        eight = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer.data, 0, (1,))  # the 8 bytes from each place, as a view
         for o in at:
-            word = np.zeros(len(begin), np.uint64)
-            for k in range(8):
-                word |= self.buffer[begin + (o + k)].astype(np.uint64) << np.uint64(8 * k)
+            word = eight[begin + o]
             h = _mix(h, word)
             g = (g ^ (word * _D)) * _A
             g ^= g >> np.uint64(29)
