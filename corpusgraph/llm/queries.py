@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_dedup, mixing, quality, simhash, substrings, token_counts, token_ids
+from . import chat, decontaminate, html_extract, line_dedup, mixing, prefix_tree, quality, simhash, substrings, token_counts, token_ids
 from .common import stored, table
 
 
@@ -62,7 +62,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(token_counts.edited(kept, token_counts.scrub(token_counts.text_of()))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts)}
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_tree.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts, op11_ngram_join)}
 
 #: Escaping of control strings, as in chat.escape, and the length that the template adds to a turn.
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '(\\*)(" + chat.CONTROL + r")', '\1\1\\\2', 'g')"
