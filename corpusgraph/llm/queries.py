@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_dedup, mixing, prefix_tree, quality, simhash, substrings, token_counts, token_ids
+from . import chat, decontaminate, hard_negatives, html_extract, line_dedup, mixing, prefix_tree, quality, simhash, substrings, token_counts, token_ids
 from .common import stored, table
 
 
@@ -67,7 +67,13 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts, op11_ngram_join)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.prepared(moved), F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts, op11_ngram_join, op12_hard_negatives)}
 
 #: Escaping of control strings, as in chat.escape, and the length that the template adds to a turn.
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '(\\*)(" + chat.CONTROL + r")', '\1\1\\\2', 'g')"
@@ -83,4 +89,12 @@ p AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(h, '
 t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM p)
 SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM t"""
 
-ORACLES = {"op4_chat": _OP4, "op7_html": _OP7}
+#: Components that aren't finite are told by their difference from themselves.
+_OP12 = """WITH r AS (SELECT row_number() OVER () AS uid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.uid AS anchor, a.id AS anchor_id, b.uid, b.id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM r a, r b WHERE a.id % 50 = 0 AND a.uid <> b.uid),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, uid) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.id, n.uid) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor = n.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3"""
+
+ORACLES = {"op4_chat": _OP4, "op7_html": _OP7, "op12_hard_negatives": _OP12}

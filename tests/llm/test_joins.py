@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_operators import WORDS, corpus, frame
 
-from corpusgraph.llm import prefix_tree
+from corpusgraph.llm import hard_negatives, prefix_tree
 from corpusgraph.llm.common import ship
 
 
@@ -92,3 +92,72 @@ def test_prefix_tree_finds_a_spanning_forest(probes):
         assert {tuple(sorted(x, reverse=True)) for x in got} <= set(near)
         parts = lambda links: least_reached(list(range(25)), list(range(25)), lambda a, b: (a, b) in links)
         assert parts({tuple(sorted(x, reverse=True)) for x in got}) == parts(set(near)) and len(got) == 25 - len(set(parts(set(near))))
+
+
+# Hard negatives
+
+
+def brute_negatives(rows, is_anchor, positives=5, negatives=3, low=50, high=95):
+    ok = [(k, i, lab, [int(np.floor(256 * float(x))) for x in v]) for k, (i, v, lab) in enumerate(rows) if lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    key = lambda s, i: (-s, i is None, i or 0)
+    out = []
+    for k, i, lab, v in ok:
+        if i is None or not is_anchor(i):
+            continue
+        score = [(sum(a * b for a, b in zip(v, w)), j, other) for m, j, other, w in ok if m != k]
+        best = sorted(((s, j) for s, j, other in score if other == lab), key=lambda x: key(*x))[:positives]
+        for ps, pj in best:
+            fit = sorted(((s, j) for s, j, other in score if other != lab and low * ps <= 100 * s <= high * ps), key=lambda x: key(*x))[:negatives]
+            out += [(i, pj, r, j, ps, s) for r, (s, j) in enumerate(fit, 1)]
+    return sorted(out, key=repr)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, uid string, id string, v string, number string"
+
+
+def vectors(rng, n=400, dims=12):
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        v = [x + rng.gauss(0, 0.3) for x in rng.choice(centres)]
+        v = [x * rng.choice([0.2, 1, 3]) for x in v] if i % 3 else [float(round(x)) for x in v]
+        rows.append((i, v, rng.randrange(4)))
+    same = [1.0] * dims
+    rows += [(n + i, same, i % 2) for i in range(60)]  # one very common vector, so ties by id
+    nan, inf = float("nan"), float("inf")
+    rows += [(900, None, 1), (910, [nan] * dims, 1), (920, [inf] + [0.0] * (dims - 1), 1), (930, [None] + [0.0] * (dims - 1), 1), (940, same, None), (None, same, 2), (950, [], 1), (960, [0.0] * dims, 2), (970, [2.0], 1), (980, [-9.0] * dims, 3)]
+    return rows + [rows[20], rows[0], (None, rows[20][1], 1)]
+
+
+def test_hard_negatives(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "PACK", 50)
+    monkeypatch.setattr(hard_negatives, "BUCKET", 16)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 7)
+    rows = vectors(random.Random(8))
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], VECTORS)
+    got = hard_negatives.mine(hard_negatives.prepared(df), hard_negatives.F.col("id") % 10 == 0)
+    got = sorted(map(tuple, got.collect()), key=repr)
+    want = brute_negatives(rows, lambda i: i % 10 == 0)
+    assert got == want and len(want) > 300
+    assert hard_negatives.mine(hard_negatives.prepared(df.limit(0)), hard_negatives.F.col("id") % 10 == 0).count() == 0
+
+
+def test_coordinate_ranges_lose_no_row():
+    rng, used = np.random.default_rng(9), 0
+    rows = rng.normal(0, 1, (600, 8))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1, keepdims=True) * rng.choice([1, 4], (600, 1))).astype(np.int32)
+    rows = rows[np.argsort(-(rows.astype(float) ** 2).sum(1), kind="stable")]
+    buckets, ids = hard_negatives.buckets_of(rows, 64), np.arange(600)
+    for a in (rows[::7] // 2).astype(np.int32):
+        score = rows.astype(np.int64) @ a.astype(np.int64)
+        for cosine in (0.3, 0.7, 0.9, 0.99):
+            unit = a / np.linalg.norm(a)
+            for b in buckets:
+                some = b.candidates(unit, np.argsort(-np.abs(unit))[:4], cosine)
+                near = np.flatnonzero(b.rows @ unit >= cosine * b.lengths)
+                used += some is not None
+                assert some is None or set(near) <= set(some)
+        lo = int(100 * np.sort(score)[-40])
+        want = sorted((-int(s), int(i), int(i)) for i, s in enumerate(score) if 100 * s >= lo)[:6]
+        assert hard_negatives.search(a, -1, [(lo, 1 << 62)], 6, buckets, ids, ids)[0] == want
+    assert used > 1000
