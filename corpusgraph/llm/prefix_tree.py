@@ -1,11 +1,12 @@
 """Operator 11: n-gram Jaccard join by prefix trees.
 
-A document is its set of word shingles; two sets link at a Jaccard similarity of `percent` or more. Two such sets share a
-shingle among the first n - ceil(percent n) + 1 of each in any order that holds for all sets (Chaudhuri et al., 2006); rare
-shingles come first. Sets that share one are dealt into blocks of a bounded size by the most shared of these, and a block
-is joined by a prefix tree: its sets, in order, are the paths of a trie, which is walked once with all sets of the block at
-a time. Where paths run together, so do the partial overlaps with every other set; a set leaves a subtree when what both
-have left can't make up the overlap that is missing. Overlaps are exact, so no pair is verified again.
+A document is its set of word shingles; two sets link at a Jaccard similarity of `percent` or more. Two such sets share l
+shingles among the first n - ceil(percent n) + l of each in any order that holds for all sets (Wang et al., 2012); rare
+shingles come first. l grows with n, and sets that share too few with others have no partner. The others are dealt into
+blocks of a bounded size by the most shared of these, and a block is joined by a prefix tree: its sets, in order, are the
+paths of a trie, which is walked once with all sets of the block at a time. Where paths run together, so do the partial
+overlaps with every other set; a set leaves a subtree when what both have left can't make up the overlap that is missing.
+Overlaps are exact, so no pair is verified again.
 
 Only components are asked for, so a set of thousands of near copies makes no pairs: a block gives the links of a
 spanning forest. Blocks are drawn twice, with another dealing; blocks are then joined with each other only where a shared
@@ -51,12 +52,32 @@ def set_name(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def spare(n: int, percent: int) -> int:
+    """How many shingles of a set of n a partner can do without."""
+    return n + -percent * n // 100
+
+
+def shared_at_least(n: int, percent: int) -> int:
+    """l of a set of n: one for each four shingles that it can spare, and one."""
+    return 1 + (spare(n, percent) + 1) // 4
+
+
 def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(percent n / 100) + 1 shingles of a set of n, in the order of (counter, hash)."""
+    """The first shingles of a set, in the order of (counter, hash), of which each partner has l at least."""
     n = len(shingles)
     if not n:
         return shingles
-    return shingles[np.lexsort((shingles, counts[_counter(shingles)]))[: n + -percent * n // 100 + 1]]
+    return shingles[np.lexsort((shingles, counts[_counter(shingles)]))[: spare(n, percent) + shared_at_least(n, percent)]]
+
+
+def _with_partners(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The rows of shared(key, fp) whose set has as many shared keys as its smallest partner asks for, where the key is
+    still one of several; sizes(fp, n) of all sets."""
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    asked = 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
+    enough = shared.groupBy("fp").agg(F.count("*").alias("keys")).join(sizes, "fp").where(F.col("keys") >= asked).select("fp", "n")
+    kept = shared.select("key", "fp").join(enough, "fp")
+    return kept.join(kept.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key").select("key", "fp", "n")
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -264,11 +285,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     part.
     """
     rows = texts(docs, id_col, text_col)
-    each = stored(_facts(rows, words, percent), "tree_facts")
-    distinct = stored(each.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "tree_distinct")
-    placed = distinct.select("fp", "n", F.explode("prefix").alias("key"))
-    several = placed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key")
-    shared = stored(placed.join(several, "key").select("key", "fp", "n", F.col("fp").alias("root")), "tree_shared")
+    facts = stored(_facts(rows, words, percent), "tree_facts")
+    distinct = stored(facts.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "tree_distinct")
+    each = stored(facts.select("id", "fp", "n"), "tree_each")
+    forget(facts)
+    placed = distinct.select("fp", F.explode("prefix").alias("key"))
+    several = placed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    shared, sizes = stored(placed.join(several, "key").select("key", "fp"), "tree_shared"), distinct.select("fp", "n")
+    for _ in range(2):
+        old, shared = shared, stored(_with_partners(shared, sizes, percent), "tree_shared")
+        forget(old)
     wanted = shared.select("fp").distinct()
     some = stored(each.select("id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("some")).select("some").distinct(), "tree_some")
     schema = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -281,7 +307,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # rows of one id may differ, so the sets go by their own names; one that comes twice in a block counts once there
     sets = rows.join(some, F.col("id").eqNullSafe(F.col("some")), "left_semi").select("text").mapInArrow(run, "fp long, shingles array<long>")
     sets = stored(sets.join(wanted, "fp", "left_semi"), "tree_sets")
-    links = still_apart(shared, sets, percent)
+    links = still_apart(shared.withColumn("root", F.col("fp")), sets, percent)
     forget(shared, some, sets)
     name = F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("name")  # so that a root is its component's least id
     names = distinct.select("fp", name)
