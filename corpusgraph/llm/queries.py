@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hard_negatives, html_extract, line_dedup, mixing, prefix_tree, quality, simhash, substrings, token_counts, token_ids
+from . import alignment, chat, decontaminate, hard_negatives, html_extract, line_dedup, mixing, prefix_tree, quality, simhash, substrings, token_counts, token_ids
 from .common import stored, table
 
 
@@ -73,7 +73,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.prepared(moved), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts, op11_ngram_join, op12_hard_negatives)}
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.align(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lines, op3_token_ids, op4_chat, op5_simhash, op6_substrings, op7_html, op8_quality, op9_mix, op10_token_counts, op11_ngram_join, op12_hard_negatives, op13_align)}
 
 #: Escaping of control strings, as in chat.escape, and the length that the template adds to a turn.
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '(\\*)(" + chat.CONTROL + r")', '\1\1\\\2', 'g')"

@@ -1,12 +1,14 @@
 """The n-gram join, hard negatives and cross-tokenizer alignment against brute force."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from test_operators import WORDS, corpus, frame
 
-from corpusgraph.llm import hard_negatives, prefix_tree
+from corpusgraph.llm import alignment, hard_negatives, prefix_tree
 from corpusgraph.llm.common import ship
 
 
@@ -161,3 +163,74 @@ def test_coordinate_ranges_lose_no_row():
         want = sorted((-int(s), int(i), int(i)) for i, s in enumerate(score) if 100 * s >= lo)[:6]
         assert hard_negatives.search(a, -1, [(lo, 1 << 62)], 6, buckets, ids, ids)[0] == want
     assert used > 1000
+
+
+# Alignment of two tokenizers
+
+
+def brute_alignment(texts):
+    """Whole texts encoded at once, groups by sets of ends, links by all pairs of tokens."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    byte = alignment._unbyte()
+    made = []
+    for text in texts:
+        a, b = one.encode(" " + (text or ""), add_special_tokens=False).ids, two.encode(text or "")
+        xs = [bytes(byte[c] for c in one.id_to_token(k)) for k in a]
+        ys = [bytes([int(p[3:5], 16)]) if two.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in zip(b, map(two.id_to_piece, b))]
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(xs) != raw or b"".join(ys) != raw:
+            made.append(None)
+            continue
+        ea, eb = np.cumsum([*map(len, xs)]), np.cumsum([*map(len, ys)])
+        cuts = np.intersect1d(ea, eb)
+        ga, gb = np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)
+        said = ";".join(f"{','.join(str(k) for k, g in zip(a, ga) if g == c)}|{','.join(str(k) for k, g in zip(b, gb) if g == c)}" for c in range(len(cuts)))
+        links = [(a[i], b[j]) for i in range(len(a)) for j in range(len(b)) if max(ea[i] - len(xs[i]), eb[j] - len(ys[j])) < min(ea[i], eb[j])]
+        made.append((len(a), len(b), len(cuts), links, said))
+    count = Counter(p for m in made if m for p in set(m[3]))
+    most = {}
+    for (x, _), n in count.items():
+        most[x] = max(most.get(x, 0), n)
+    return [(0, 0, 0, 0, 0, 0, "") if m is None else (*m[:3], len(m[3]), sum(count[p] == most[p[0]] for p in m[3]), sum(count[p] for p in m[3]), hashlib.sha256(m[4].encode()).hexdigest()) for m in made]
+
+
+ODD = ["\u2581x", "a\u2581b c", "  two  spaces ", "tab\tand\r\nline\n\nfeeds \n x", "na\u00efve fa\u00e7ade \u65e5\u672c\u8a9e \U0001f600 \u0e2a\u0e27\u0e31", "<|endoftext|> <s> </s> <unk> <0x0A>", "\x00 \x1c \xa0 \u3000 x", "'s don't I'LL 123456789 3.14", "e\u0301 \u0301x y", " ", "\n", "x" * 3000, "a" + " " * 50 + "b", "\ufb01 \u00bd \u2028 z"]
+
+
+def test_alignment(spark, monkeypatch):
+    rows = [r for r in corpus(10) if len(r[1] or "") < 5000] + [(100 + k, x, "a") for k, x in enumerate(ODD)]
+    rows += [(None, "no id", "a"), rows[1], (300, "word " * 400 + "end", "a")]
+    want = Counter((i, *w) for (i, _, _), w in zip(rows, brute_alignment([r[1] for r in rows])))
+    for hot in (100_000, 7, 0):  # all pairs hot, most of them joined, all joined
+        monkeypatch.setattr(alignment, "HOT", hot)
+        assert Counter(map(tuple, alignment.align(frame(spark, rows))[0].collect())) == want
+    found, pairs = alignment.align(frame(spark, []))
+    assert found.count() == pairs.count() == 0
+
+
+def test_alignment_forgets_parts_and_reads_whole_texts():
+    pair = alignment.Pair(*alignment.default_tokenizers(), keep=5)
+    whole = alignment.Pair(*alignment.default_tokenizers())
+    whole.in_parts = False
+    docs = [x[1] or "" for x in corpus(11) if len(x[1] or "") < 5000] + ODD
+    for at in range(0, len(docs), 9):
+        some = docs[at : at + 9]
+        for text, got, want in zip(some, pair.documents(some), whole.documents(some)):
+            assert got[:5] == want[:5] and (got[5] == want[5]).all() and (got[6] == want[6]).all(), text
+
+
+def test_groups_by_divide_and_conquer():
+    rng = random.Random(12)
+    for _ in range(300):
+        end = rng.randint(1, 60)
+        a, b = (sorted({*rng.sample(range(1, end + 1), rng.randint(0, end)), end}) for _ in range(2))
+        cuts, groups = sorted(set(a) & set(b)), alignment.groups_of(a, b)
+        assert [a[x[1] - 1] for x in groups] == [b[x[3] - 1] for x in groups] == cuts
+        assert [x[0] for x in groups] == [0, *(x[1] for x in groups[:-1])] and [x[2] for x in groups] == [0, *(x[3] for x in groups[:-1])]
+    assert alignment.groups_of([], []) == []
