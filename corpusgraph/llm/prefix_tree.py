@@ -189,9 +189,9 @@ def tree_links(sets: list[np.ndarray], roots: list[int], percent: int, probes: i
     return found
 
 
-def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
-    """(u, v) from cells(cell, probe, fp, root, shingles): the links of a spanning forest of each cell; probe says that a
-    row is of the first of two blocks, and is null where a cell is one block."""
+def _cell_links(cells: DataFrame, percent: int, words: int) -> DataFrame:
+    """(u, v) from cells(cell, probe, fp, root, text): the links of a spanning forest of each cell; probe says that a row is
+    of the first of two blocks, and is null where a cell is one block. Texts move, which are smaller than their sets."""
 
     def links_of(fps: list[int], roots: list[int], sets: list[np.ndarray], probe: list) -> list[tuple[int, int]]:
         if len(set(roots)) < 2:
@@ -213,25 +213,22 @@ def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            cs, probe, fps, roots = (batch.column(k).to_pylist() for k in range(4))
-            sets = batch.column(4)
-            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-            for k, c in enumerate(cs):
+            for c, probe, fp, root, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if c != cell:
                     yield from done()
                     cell, rows = c, {}
-                rows[fps[k]] = (roots[k], values[ends[k] : ends[k + 1]].copy(), probe[k])
+                rows[fp] = (root, shingle_set(text, words), probe)
         yield from done()
 
-    dealt = cells.select("cell", "probe", "fp", "root", "shingles").repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.select("cell", "probe", "fp", "root", "text").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def still_apart(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int, rounds: int = 2) -> DataFrame:
     """Links (u, v) that, with those behind `root`, join all sets that reach the similarity.
 
     shared(key, fp, n, root): sets at each shingle of their prefixes that several have, with the component that they are
-    known to be in (fp at first). sets(fp, shingles array<long>): each of these sets. Both are tables.
+    known to be in (fp at first). picked(fp, text): a text of each of these sets. Both are tables.
     """
     links, rows, gone = None, shared, []
     for turn in range(rounds + 1):
@@ -258,7 +255,7 @@ def still_apart(shared: DataFrame, sets: DataFrame, percent: int, rounds: int =
             sides = pairs.select("cell", F.col("x").alias("block"), F.lit(True).alias("probe")).unionByName(pairs.select("cell", F.col("y").alias("block"), F.lit(False).alias("probe")))
             whole = home.select("fp", "root", F.col("block").alias("cell"), F.lit(None).cast("boolean").alias("probe"))
             cells = home.join(sides, "block").select("fp", "root", "cell", "probe").unionByName(whole)
-        fresh = stored(_cell_links(cells.join(sets, "fp"), percent), "tree_links")
+        fresh = stored(_cell_links(cells.join(picked, "fp"), percent, words), "tree_links")
         gone.append(fresh)
         links = fresh if links is None else links.unionByName(fresh)
         if turn < rounds:
@@ -297,18 +294,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         forget(old)
     wanted = shared.select("fp").distinct()
     some = stored(each.select("id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("some")).select("some").distinct(), "tree_some")
-    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (text,) in _slices(batches, 100):
-            found = [shingle_set(x, words) for x in text]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), pa.array(found, schema.types[1])], schema=schema)
-
-    # rows of one id may differ, so the sets go by their own names; one that comes twice in a block counts once there
-    sets = rows.join(some, F.col("id").eqNullSafe(F.col("some")), "left_semi").select("text").mapInArrow(run, "fp long, shingles array<long>")
-    sets = stored(sets.join(wanted, "fp", "left_semi"), "tree_sets")
-    links = still_apart(shared.withColumn("root", F.col("fp")), sets, percent)
-    forget(shared, some, sets)
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(shingle_set(x, words)) for x in text], pa.int64()), pa.array(text, pa.string())], ["fp", "text"])
+
+    # rows of one id may differ, so texts go by their sets' names; one that comes twice in a block counts once there
+    picked = stored(rows.join(some, F.col("id").eqNullSafe(F.col("some")), "left_semi").select("text").mapInArrow(name_of, "fp long, text string"), "tree_texts")
+    links = still_apart(shared.withColumn("root", F.col("fp")), picked, percent, words)
+    forget(shared, some, picked)
     name = F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("name")  # so that a root is its component's least id
     names = distinct.select("fp", name)
     named = links.join(names.toDF("u", "un"), "u").join(names.toDF("v", "vn"), "v").select(F.col("un").alias("u"), F.col("vn").alias("v"))
