@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once for a row, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_text(c: Column) -> Column:
     """NULs to spaces, runs of spaces and tabs to one space, three or more line feeds to two, stripped."""
     c = F.translate(c, "\0", " ")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def truncate_chars(c: Column, n: int) -> Column:
@@ -36,7 +41,8 @@ def words(c: Column) -> Column:
 
 def truncate_words(c: Column, n: int) -> Column:
     """At most n words joined by single spaces; a text within the limit is only stripped."""
-    return F.when(F.size(words(c)) <= n, strip(c)).otherwise(F.array_join(F.slice(words(c), 1, n), " "))
+    cut = let(words(c), lambda w: F.when(F.size(w) <= n, strip(c)).otherwise(F.array_join(F.slice(w, 1, n), " ")))
+    return F.when(F.length(c) < 2 * n, strip(c)).otherwise(cut)  # too short for more words
 
 
 def word_count(c: Column) -> Column:
