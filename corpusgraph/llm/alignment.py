@@ -13,6 +13,7 @@ the HOT most frequent pairs, a number that doesn't grow, go to all tasks, and th
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -33,9 +34,9 @@ from .token_ids import pieces
 #: Pairs whose counts go to all tasks.
 HOT = 100_000
 _SPACE = "▁"
-_WORD, _MARKS = r"[^\W\d_]+", r"[.,;:!?*#$%&|]+"
-#: A part of words, each with marks after it, on lines of their own, and what it falls apart into.
-_SEVERAL, _PIECE = re.compile(rf" ?{_WORD}(?:{_MARKS})?(?:\n{_WORD}(?:{_MARKS})?)*"), re.compile(rf" ?{_WORD}|{_MARKS}|\n")
+#: A space beside other white space; a text's first character is one too, as it follows the space that is put ahead.
+_ODD_SPACE = re.compile(r" \s|\s |^\s")
+_MARK = r"[.,;:!?*#$%&|]"
 
 
 def groups_of(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -104,13 +105,20 @@ class Pair:
             self.a_bytes[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace(_SPACE, " ").encode() for k, x in enumerate(names)]
+        self.a_size, self.b_size = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
         made = json.loads(self.a.to_str())
         cut = made.get("pre_tokenizer") or {}
         self.in_parts = made["model"]["type"] == "BPE" and not made.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         # no piece goes on after a space that follows a word, so B cuts before such a space; likewise between words and marks
         plain = [x for k, x in enumerate(names) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
         self.in_parts &= not any(_SPACE in x.lstrip(_SPACE) for x in plain)
-        self.in_pieces = self.in_parts and not any("\n" in x or re.search(rf"{_WORD}[.,;:!?*#$%&|]|[.,;:!?*#$%&|]{_WORD}", x) for x in plain)
+        # parts of a text of lone spaces: words, marks and line feeds that end where both cut, else all to the next space;
+        # letters that some piece of B joins with a mark are in no such word
+        joined = {x for p in plain for m in re.finditer(rf"(?=(\w){_MARK}|{_MARK}(\w))", p) for x in m.groups() if x}
+        letter = rf"[^\W_{''.join(map(re.escape, sorted(joined)))}]"
+        self.words = None
+        if self.in_parts and not any("\n" in p for p in plain):
+            self.words = re.compile(rf" ?{letter}+(?=[ \n]|{_MARK}|$)|{_MARK}+(?={letter}|[ \n]|$)|(?<=\S)\n(?=\S)| ?[^ ]+")
         self.keep, self.keep_chars = keep, keep_chars
         self.clear()
 
@@ -124,17 +132,22 @@ class Pair:
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int], str, bytes] | None:
         """((tokens of A, of B, groups), the groups as text, the pairs of linked ids as 64-bit numbers), or None where the
         bytes of either aren't the text's."""
-        raw, xs, ys = text.encode(), [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(xs) != raw or b"".join(ys) != raw:
+        raw = text.encode()
+        if b"".join([self.a_bytes[k] for k in a]) != raw or b"".join([self.b_bytes[k] for k in b]) != raw:
             return None
-        if len(a) == 1 or len(b) == 1:
-            found, keys = [(0, len(a), 0, len(b))], [i << 32 | j for i in a for j in b]
-        else:
-            ends_a, ends_b = list(accumulate(map(len, xs))), list(accumulate(map(len, ys)))
-            found = groups_of(ends_a, ends_b)
-            keys = [a[i] << 32 | b[j] for g in found for i, j in links_of(*g, ends_a, ends_b)]
-        said = ";".join([f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}" for a0, a1, b0, b1 in found])
-        return (len(a), len(b), len(found)), said, array("q", keys).tobytes()
+        n, m, name = len(a), len(b), str
+        if n == 1 or m == 1:  # one token is all of it
+            return (n, m, 1), f"{','.join(map(name, a))}|{','.join(map(name, b))}", array("q", [i << 32 | j for i in a for j in b]).tobytes()
+        ends_a, ends_b = list(accumulate([self.a_size[k] for k in a])), list(accumulate([self.b_size[k] for k in b]))
+        said, keys, found = [], [], groups_of(ends_a, ends_b)
+        for a0, a1, b0, b1 in found:
+            if a1 - a0 == 1 == b1 - b0:
+                said.append(f"{a[a0]}|{b[b0]}")
+                keys.append(a[a0] << 32 | b[b0])
+            else:
+                said.append(f"{','.join(map(name, a[a0:a1]))}|{','.join(map(name, b[b0:b1]))}")
+                keys += [a[i] << 32 | b[j] for i, j in links_of(a0, a1, b0, b1, ends_a, ends_b)]
+        return (n, m, len(found)), ";".join(said), array("q", keys).tobytes()
 
     def encoded(self, parts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
         """B adds a space to what it is given, so it is given parts without theirs, and those that have none after a line
@@ -145,43 +158,34 @@ class Pair:
             yield from zip(some, [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], [x if p[0] == " " else x[2:] for p, x in zip(some, ids)])
 
     def learn(self, parts: set[str]) -> None:
-        new, several = [], []
-        for p in parts:
-            if p not in self.code:
-                split = _PIECE.findall(p) if self.in_pieces and len(p) < 1_000 and _SEVERAL.fullmatch(p) else ()
-                (several if len(split) > 1 else new).append((p, split))
-        wanted = dict.fromkeys([p for p, _ in new] + [x for _, split in several for x in split if x not in self.code])
         facts = []
-
-        def put(part: str, got: tuple | None) -> None:
+        for part, a, b in self.encoded([p for p in parts if p not in self.code]):
+            got = self.aligned(part, a, b)
             self.code[part] = -1 if got is None else len(self.text)
             if got is not None:
                 self.chars += len(part)
                 facts.append(got[0])
                 self.text.append(got[1])
                 self.keys.append(got[2])
-
-        def flush() -> None:
+        if facts:
             known = len(self.text) - len(facts)
             if len(self.text) > len(self.facts):
                 self.facts = np.concatenate([self.facts[:known], np.zeros((known + 2 * len(facts), 3), np.int64)])
-            if facts:
-                self.facts[known : len(self.text)] = facts
-                facts.clear()
-
-        for part, a, b in self.encoded(list(wanted)):
-            put(part, self.aligned(part, a, b))
-        flush()
-        for part, split in several:
-            at = [self.code[x] for x in split]
-            put(part, None if min(at) < 0 else (self.facts[at].sum(0), ";".join([self.text[k] for k in at]), b"".join([self.keys[k] for k in at])))
-        flush()
+            self.facts[known : len(self.text)] = facts
+
+    def parts(self, text: str) -> list[str]:
+        """A space and the text, in parts that both tokenizers encode alone as they do in their place."""
+        if not self.in_parts:
+            return [" " + text]
+        lone = bool(text) and text[-1] != " " and not _ODD_SPACE.search(text)
+        return self.words.findall(" " + text) if lone and self.words else pieces(" " + text)
 
     def documents(self, docs: list[str]) -> list[tuple]:
         """(tokens of A, of B, groups, links, digest of the groups, different pairs, their times) of each text."""
+        gc.disable()  # what is known is large, and nothing here makes cycles
         if len(self.code) > self.keep or self.chars > self.keep_chars:
             self.clear()
-        split = [[" " + x for x in t.split(" ")] if _plain(t) else pieces(" " + t) if self.in_parts else [" " + t] for t in docs]
+        split = [self.parts(t) for t in docs]
         self.learn({p for t, ps in zip(docs, split) if t for p in ps})
         out, facts = [], self.facts
         for text, parts in zip(docs, split):
@@ -201,11 +205,6 @@ class Pair:
         return out
 
 
-def _plain(text: str) -> bool:
-    """Whether spaces stand alone, each between two words, and are all the white space."""
-    return bool(text) and text[0] != " " and text[-1] != " " and "  " not in text and " ".join(text.split()) == text
-
-
 def default_tokenizers() -> tuple[str, str]:
     import public_tokenizers
 

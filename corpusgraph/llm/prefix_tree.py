@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import begin, forget, stored, texts
@@ -70,16 +70,26 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndar
     return shingles[np.lexsort((shingles, counts[_counter(shingles)]))[: spare(n, percent) + shared_at_least(n, percent)]]
 
 
+def _asked(percent: int) -> Column:
+    """l of the smallest set that a set of n can be linked with."""
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    return 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
+
+
 def _with_partners(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The rows of shared(key, fp) whose set has as many shared keys as its smallest partner asks for, where the key is
     still one of several; sizes(fp, n) of all sets."""
-    least = F.ceil(F.col("n") * percent / 100).cast("long")
-    asked = 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
-    enough = shared.groupBy("fp").agg(F.count("*").alias("keys")).join(sizes, "fp").where(F.col("keys") >= asked).select("fp", "n")
+    enough = shared.groupBy("fp").agg(F.count("*").alias("keys")).join(sizes, "fp").where(F.col("keys") >= _asked(percent)).select("fp", "n")
     kept = shared.select("key", "fp").join(enough, "fp")
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key").select("key", "fp", "n")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows(key, fp, n, root) at keys that have sets of several components, with how many and how large they are."""
+    counted = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many"), F.sum("n").alias("total"))
+    return rows.select("key", "fp", "n", "root").join(counted.where("a <> b").select("key", "many", "total"), "key")
+
+
 def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
@@ -232,9 +242,13 @@ def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int,
     """
     links, rows, gone = None, shared, []
     for turn in range(rounds + 1):
-        counted = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many"), F.sum("n").alias("total"))
-        mixed = counted.where("a <> b").select("key", "many", "total")
-        now = stored(rows.select("key", "fp", "n", "root").join(mixed, "key"), "tree_rows")
+        now = _mixed(rows)
+        if turn:  # what has too few keys with others has no partner among them
+            few = stored(now, "tree_mixed")
+            gone.append(few)
+            enough = few.groupBy("fp").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= _asked(percent)).select("fp")
+            now = _mixed(few.join(enough, "fp", "left_semi"))
+        now = stored(now, "tree_rows")
         gone.append(now)
         if now.isEmpty():
             break
