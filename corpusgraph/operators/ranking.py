@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 
 def similar_edges(neighbours: DataFrame) -> DataFrame:
     """neighbours(id, neighbours array) -> SIMILAR edges whose strength falls by 0.1 for each place."""
@@ -55,12 +57,14 @@ def recent_ids(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     return df.select(key).orderBy(F.desc(key)).limit(n)
 
 
-def recent_history(turns: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """The last n messages of each group in their order, as "ROLE: message" lines."""
-    w = Window.partitionBy(*by).orderBy(F.desc(order))
+def recent_history(turns: DataFrame, by: list[str], order: str | list[str], n: int) -> DataFrame:
+    """The last n messages of each group in their order, as "ROLE: message" lines; order names the columns that tell
+    which comes later, the time and then, for equal times, the log's id."""
+    order = [order] if isinstance(order, str) else order
+    w = Window.partitionBy(*by).orderBy(*map(F.desc, order))
     last = turns.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
     line = F.concat(F.upper("role"), F.lit(": "), "text")
-    return last.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias("history"))
+    return last.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n").alias("history"))
 
 
 def advantages(rewards: DataFrame) -> DataFrame:
@@ -68,15 +72,40 @@ def advantages(rewards: DataFrame) -> DataFrame:
     return rewards.withColumn("advantage", F.col("reward") - F.avg("reward").over(Window.partitionBy("item")))
 
 
-def char_budget_sample(docs: DataFrame, key: str, text: str, cap: int, most: int, block: int = 1024) -> DataFrame:
-    """Rows in order of key, texts cut at cap characters, up to and with the row that passes `most` characters. Running
-    sums come in two steps, within blocks of keys and over the blocks' totals, so no window spans all rows."""
-    d = docs.withColumn(text, F.substring(text, 1, cap)).withColumn("__n", F.coalesce(F.length(text), F.lit(0))).withColumn("__b", F.floor(F.col(key) / block))
-    totals = d.groupBy("__b").agg(F.sum("__n").alias("__t"))
-    before = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")).where(F.col("__before") <= most)
-    w = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = d.join(before, "__b").withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return rows.where(F.col("__ahead") <= most).select(docs.columns)
+def ranged(df: DataFrame, order: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, ranges): df cut into ranges of its order, whatever its type, as a table (order, value, range), and for each
+    range its first sum: (range, before), the sum of value in all ranges ahead. Ranges are even in rows however sparse
+    or clustered the keys are; only the ranges' totals, one for each task, meet in one window."""
+    path = scratch(df.sparkSession, "ranges")
+    cut = df.select(*order, F.col(value).cast("long").alias(value)).repartitionByRange(*order)
+    cut.withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    totals = rows.groupBy("__range").agg(F.sum(value).alias("__t"))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, totals.select("__range", "__t", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__before"))
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """(order, value, name): the sum of value in all rows that stand ahead of each one; of equal rows any comes first."""
+    rows, ranges = ranged(df, order, value)
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("__own", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return own.join(ranges, "__range").select(*order, value, (F.col("__before") + F.col("__own")).alias(name))
+
+
+def char_budget_sample(docs: DataFrame, key: str, text: str, cap: int, most: int) -> DataFrame:
+    """Rows in order of key, texts cut at cap characters, up to and with the row that passes `most` characters; rows of
+    that one's key all come. Only keys and lengths are put in order, and only the range in which the budget ends is summed
+    row by row."""
+    cut = F.substring(text, 1, cap)
+    sizes = docs.select(key, F.coalesce(F.length(cut), F.lit(0)).alias("__n"))
+    rows, ranges = ranged(sizes, [key], "__n")
+    last = ranges.where((F.col("__before") <= most) & (F.col("__before") + F.col("__t") > most))
+    w = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    passed = rows.join(F.broadcast(last), "__range").withColumn("__sum", F.col("__before") + F.sum("__n").over(w)).where(F.col("__sum") > most)  # last is one row
+    end = passed.agg(F.min(F.struct("__sum", key)).alias("e")).select(F.col(f"e.{key}").alias("__end"))
+    kept = docs.join(F.broadcast(end), F.col("__end").isNull() | F.col(key).isNull() | (F.col(key) <= F.col("__end")))  # one row, null if all fit
+    return kept.withColumn(text, cut).select(docs.columns)
 
 
 def ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9, width: int = 256) -> DataFrame:

@@ -363,7 +363,7 @@ def advantages(spark, sf_dir):
 @query("WITH s AS (SELECT doc_id, substring(text, 1, 2000) AS text FROM documents), c AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM s) SELECT doc_id, length(text) AS n FROM c WHERE ahead <= 150000")
 def char_budget_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return K.char_budget_sample(d, "doc_id", "text", 2000, 150_000, 100).select("doc_id", F.length("text").cast("long").alias("n"))
+    return K.char_budget_sample(d, "doc_id", "text", 2000, 150_000).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH RECURSIVE v AS (SELECT c_nationkey AS run, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS step, c_custkey, c_acctbal AS x FROM customer), e AS (SELECT run, step, c_custkey, 0.1 * x AS s FROM v WHERE step = 1 UNION ALL SELECT v.run, v.step, v.c_custkey, 0.9 * e.s + 0.1 * v.x FROM e JOIN v ON v.run = e.run AND v.step = e.step + 1)
