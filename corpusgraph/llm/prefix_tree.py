@@ -9,8 +9,9 @@ overlaps with every other set; a set leaves a subtree when what both have left c
 Overlaps are exact, so no pair is verified again.
 
 Only components are asked for, so a set of thousands of near copies makes no pairs: a block gives the links of a
-spanning forest. Blocks are drawn twice, with another dealing; blocks are then joined with each other only where a shared
-shingle still has sets of different components. Nothing that reaches the similarity is lost.
+spanning forest. What is too large for one block is dealt out twice; blocks are then joined with each other only where
+shared shingles still have sets of different components, and by those sets that share enough with the other block. Nothing
+that reaches the similarity is lost.
 """
 
 from __future__ import annotations
@@ -84,10 +85,17 @@ def _with_partners(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFra
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key").select("key", "fp", "n")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """rows(key, fp, n, root) at keys that have sets of several components, with how many and how large they are."""
-    counted = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many"), F.sum("n").alias("total"))
-    return rows.select("key", "fp", "n", "root").join(counted.where("a <> b").select("key", "many", "total"), "key")
+def _unsettled(rows: DataFrame, percent: int, gone: list[DataFrame]) -> DataFrame:
+    """rows(key, fp, n, root, block) at keys that have sets of several components in several blocks, but for sets that
+    have fewer such keys than a partner asks for. Tables that it writes are added to gone."""
+    for _ in range(2):
+        ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("root", "block") for f in (F.min, F.max)]
+        mixed = rows.groupBy("key").agg(*ends).where("root_min <> root_max and block_min <> block_max").select("key")
+        rows = rows.join(mixed, "key")
+        enough = rows.groupBy("fp").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= _asked(percent)).select("fp")
+        rows = stored(rows.join(enough, "fp", "left_semi"), "tree_rows")
+        gone.append(rows)
+    return rows
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -234,54 +242,48 @@ def _cell_links(cells: DataFrame, percent: int, words: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int, rounds: int = 2) -> DataFrame:
+def _homes(rows: DataFrame, salt: int) -> DataFrame:
+    """(fp, root, block, parts): the block of each set is that of its most shared key; what is too much for a block is dealt
+    out to several by hash, another one for each salt."""
+    many = rows.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
+    home = rows.join(many, "key").groupBy("fp").agg(F.max(F.struct("many", "key", "total")).alias("home"), F.min("root").alias("root"))
+    parts = F.ceil(F.greatest(F.col("home.many") / BLOCK, F.col("home.total") / BLOCK_SHINGLES)).cast("long")
+    home = home.select("fp", "root", "home.key", parts.alias("parts"))
+    return home.select("fp", "root", F.xxhash64("key", F.pmod(F.xxhash64("fp", F.lit(salt)), F.col("parts"))).alias("block"), "parts")
+
+
+def _merged(rows: DataFrame, links: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """rows with the roots of components that the links join. Tables that it writes are added to gone."""
+    known = rows.select("fp", "root").distinct()
+    steps = links.join(known.toDF("u", "ur"), "u").join(known.toDF("v", "vr"), "v").select(F.col("ur").alias("u"), F.col("vr").alias("v"))
+    up = stored(components(steps), "tree_roots")
+    gone.append(up)
+    return rows.join(up, rows["root"] == up["node"], "left").select(*[c for c in rows.columns if c != "root"], F.coalesce(up["root"], rows["root"]).alias("root"))
+
+
+def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int) -> DataFrame:
     """Links (u, v) that, with those behind `root`, join all sets that reach the similarity.
 
     shared(key, fp, n, root): sets at each shingle of their prefixes that several have, with the component that they are
     known to be in (fp at first). picked(fp, text): a text of each of these sets. Both are tables.
     """
-    links, rows, gone = None, shared, []
-    for turn in range(rounds + 1):
-        now = _mixed(rows)
-        if turn:  # what has too few keys with others has no partner among them
-            few = stored(now, "tree_mixed")
-            gone.append(few)
-            enough = few.groupBy("fp").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= _asked(percent)).select("fp")
-            now = _mixed(few.join(enough, "fp", "left_semi"))
-        now = stored(now, "tree_rows")
-        gone.append(now)
-        if now.isEmpty():
-            break
-        # a set goes to the block of its most shared shingle; a large block is dealt out anew in each turn
-        home = now.groupBy("fp").agg(F.max(F.struct("many", "key", "total")).alias("home"), F.min("root").alias("root"))
-        parts = F.ceil(F.greatest(F.col("home.many") / BLOCK, F.col("home.total") / BLOCK_SHINGLES)).cast("long")
-        block = F.xxhash64("home.key", F.pmod(F.xxhash64("fp", F.lit(min(turn, rounds - 1))), parts))
-        home = stored(home.select("fp", "root", block.alias("block")), "tree_home")
-        gone.append(home)
-        if turn < rounds:
-            cells = home.select("fp", "root", F.col("block").alias("cell"), F.lit(None).cast("boolean").alias("probe"))
-        else:
-            # blocks with each other, and by themselves, as sets may have another home now
-            of_key = now.select("key", "fp").join(home.select("fp", "block"), "fp").select("key", "block").distinct()
-            pairs = of_key.select("key", F.col("block").alias("x")).join(of_key.select("key", F.col("block").alias("y")), "key").where("x < y").select("x", "y").distinct()
-            pairs = stored(pairs.select("x", "y", F.xxhash64("x", "y").alias("cell")), "tree_cells")
-            gone.append(pairs)
-            sides = pairs.select("cell", F.col("x").alias("block"), F.lit(True).alias("probe")).unionByName(pairs.select("cell", F.col("y").alias("block"), F.lit(False).alias("probe")))
-            whole = home.select("fp", "root", F.col("block").alias("cell"), F.lit(None).cast("boolean").alias("probe"))
-            cells = home.join(sides, "block").select("fp", "root", "cell", "probe").unionByName(whole)
-        fresh = stored(_cell_links(cells.join(picked, "fp"), percent, words), "tree_links")
-        gone.append(fresh)
-        links = fresh if links is None else links.unionByName(fresh)
-        if turn < rounds:
-            # roots of components are named by sets' roots, so links of later turns run between these
-            known = now.select("fp", "root").distinct()
-            steps = links.join(known.toDF("u", "ur"), "u").join(known.toDF("v", "vr"), "v").select(F.col("ur").alias("u"), F.col("vr").alias("v"))
-            up = stored(components(steps), "tree_roots")
-            gone.append(up)
-            rows = now.join(up, now["root"] == up["node"], "left").select("key", "fp", "n", F.coalesce(up["root"], now["root"]).alias("root"))
-    if links is None:
-        links = shared.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("false")
-    links = stored(links, "tree_all_links")
+    alone = F.lit(None).cast("boolean").alias("probe")
+    home = stored(_homes(shared, 0), "tree_home")
+    links = stored(_cell_links(home.select("fp", "root", F.col("block").alias("cell"), alone).join(picked, "fp"), percent, words), "tree_links")
+    gone = [home, links]
+    rows = _unsettled(_merged(shared.join(home.select("fp", "block"), "fp"), links, gone), percent, gone)
+    # large blocks are dealt anew, so that what lies across them comes together in few links
+    again = _homes(rows, 1).where("parts > 1").select("fp", "root", F.col("block").alias("cell"), alone)
+    more = stored(_cell_links(again.join(picked, "fp"), percent, words), "tree_links")
+    gone.append(more)
+    rows = _unsettled(_merged(rows, more, gone), percent, gone)
+    # a set meets another block if it shares as many keys with it as a partner there would ask for
+    of_key = rows.select("key", F.col("block").alias("other")).distinct()
+    met = rows.join(of_key, "key").where("block <> other").groupBy("fp", "block", "other").agg(F.count("*").alias("keys"), F.first("n").alias("n"), F.first("root").alias("root"))
+    met = met.where(F.col("keys") >= _asked(percent))
+    across = met.select("fp", "root", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") < F.col("other")).alias("probe"))
+    rest = _cell_links(across.join(picked, "fp"), percent, words)
+    links = stored(links.unionByName(more).unionByName(rest), "tree_all_links")
     forget(*gone)
     return links
 
