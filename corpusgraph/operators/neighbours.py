@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -29,25 +30,15 @@ def topk_query(df: DataFrame, vector: list[float], k: int, threshold: float = -1
     return rows.withColumn("score", score).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-def knn(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queries: DataFrame | None = None, blocks: int | None = None, threshold: float = -1.0) -> DataFrame:
-    """(key, neighbour, score, rank): the k nearest other rows of each row of queries (all by default) by cosine.
+def _nearest(k: int, threshold: float, by: list[str]):
+    """A function of groups of queries and rows, (by, id, v) each, that gives (by, id, neighbour, score): the k nearest of
+    each query and what is equal to the k-th, as ties go by id."""
 
-    Rows are cut into b blocks, and each pair of blocks meets as one matrix product in a task that keeps k for each
-    query and what is equal to the k-th, so that ties go by key; a window merges what the blocks found. A block has about
-    BLOCK_BYTES of vectors whatever the table's size. Rows without a vector have and are no neighbours.
-    """
-    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("v"))
-    asked = rows if queries is None else queries.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("v"))
-    if blocks is None:
-        found = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-        blocks = max(1, -(-found["n"] * (found["dim"] or 1) * 8 // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    base = rows.withColumn("b", block).withColumn("q", every)
-    ask = asked.withColumn("q", block).withColumn("b", every)
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.stack(x.to_numpy()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    def nearest(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda x: (m := np.stack(x.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             b, ids = unit(right["v"]), right["id"].to_numpy()
@@ -58,16 +49,113 @@ def knn(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queri
                 score[own[:, None] == ids[None, :]] = -np.inf
                 m = min(k, len(ids))
                 least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
-                row, best = np.nonzero(score >= least)  # with all that is equal to the k-th, as ties go by id
+                row, best = np.nonzero(score >= least)
                 out.append(pd.DataFrame({"id": own[row], "neighbour": ids[best], "score": score[row, best]}))
         got = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "score": []})
-        return got[np.isfinite(got["score"]) & (got["score"] >= threshold)]
+        got = got[np.isfinite(got["score"]) & (got["score"] >= threshold)]
+        return got.assign(**dict(zip(by, key)))[[*by, "id", "neighbour", "score"]]
 
-    found = ask.groupBy("q", "b").cogroup(base.groupBy("q", "b")).applyInPandas(nearest, "id long, neighbour long, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
+    return nearest
+
+
+def _first_k(found: DataFrame, k: int, by: list[str], key: str) -> DataFrame:
+    w = Window.partitionBy(*by, "id").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
+def knn(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queries: DataFrame | None = None, blocks: int | None = None, threshold: float = -1.0, by: list[str] | None = None) -> DataFrame:
+    """(by, key, neighbour, score, rank): the k nearest other rows of each row of queries (all by default) by cosine; with
+    `by`, among the rows that are alike in those columns, all groups in one plan.
+
+    Rows are cut into b blocks, and each pair of blocks meets as one matrix product in a task that keeps k for each
+    query and what is equal to the k-th, so that ties go by key; a window merges what the blocks found. A block has about
+    BLOCK_BYTES of vectors whatever the table's size. Rows without a vector have and are no neighbours.
+    """
+    by = by or []
+    vectors = lambda x: x.where(F.col(column).isNotNull()).select(*by, F.col(key).alias("id"), F.col(column).alias("v"))
+    rows = vectors(df)
+    asked = rows if queries is None else vectors(queries)
+    if blocks is None:
+        found = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+        blocks = max(1, -(-found["n"] * (found["dim"] or 1) * 8 // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    base = rows.withColumn("__b", block).withColumn("__q", every)
+    ask = asked.withColumn("__q", block).withColumn("__b", every)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema) + ", " if by else ""
+    nearest = _nearest(k, threshold, by)
+    other = [f"__{c}" for c in by]  # names of their own, as both may come from one table
+    base = base.select(*[F.col(c).alias(o) for c, o in zip(by, other)], F.col("__q").alias("__bq"), F.col("__b").alias("__bb"), "id", "v")
+    found = ask.groupBy(*by, "__q", "__b").cogroup(base.groupBy(*other, "__bq", "__bb")).applyInPandas(lambda g, a, b: nearest(g[: len(by)], a, b), f"{fields}id long, neighbour long, score double")
+    return _first_k(found, k, by, key)
+
+
+#: Rows of a bucket that meet as many queries in one task; larger buckets are cut into such parts.
+BUCKET = 4_096
+#: Bits of a query that may be flipped in a table: those it is nearest to flipping.
+FLIPS = 8
+
+
+def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng((seed, dim)).normal(size=(dim, tables * bits))
+
+
+def lsh_codes(v: np.ndarray, tables: int, bits: int, probes: int, seed: int = 7) -> np.ndarray:
+    """(rows, tables, probes): for each vector and table the buckets to look into, its own first. A bit says on which side
+    of a random plane through the origin a vector lies (Charikar, 2002); further buckets flip bits whose planes are near,
+    the least sum of squared distances first (Lv et al., 2007)."""
+    side = (v @ _planes(v.shape[1], tables, bits, seed)).reshape(len(v), tables, bits)
+    own = ((side > 0) << np.arange(bits)).sum(-1)
+    if probes == 1:
+        return own[..., None]
+    m = min(bits, FLIPS)
+    order = np.argsort(np.abs(side), axis=-1)[..., :m]
+    cost = np.take_along_axis(side, order, -1) ** 2
+    sets = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+    chosen = np.argsort(cost @ sets.T, axis=-1, kind="stable")[..., : min(probes, 1 << m)]
+    flipped = (sets[chosen] << order[..., None, :]).sum(-1)
+    return own[..., None] ^ flipped
+
+
+def lsh_index(df: DataFrame, key: str = "id", column: str = "embedding", tables: int = 12, bits: int = 8, probes: int = 1, seed: int = 7) -> DataFrame:
+    """(bucket, id, v): each vector in a bucket of each table, or in `probes` of them as a query. All rows are indexed;
+    copies are tables x probes, whatever the table's size. Write it once to search it often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                v = np.array(part.column(1).to_pylist(), np.float64)
+                codes = lsh_codes(v, tables, bits, probes, seed)
+                bucket = (codes + (np.arange(tables) << bits)[None, :, None]).reshape(len(v), -1)
+                rows = pa.array(np.repeat(np.arange(len(v)), bucket.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), part.column(0).take(rows), part.column(1).take(rows)], ["bucket", "id", "v"])
+
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
+    return rows.mapInArrow(run, "bucket long, id long, v array<float>")
+
+
+def knn_approx(df: DataFrame, k: int, key: str = "id", column: str = "embedding", queries: DataFrame | None = None, tables: int = 12, bits: int = 8, probes: int = 16, seed: int = 7, threshold: float = -1.0, index: DataFrame | None = None) -> DataFrame:
+    """(key, neighbour, score, rank): about the k nearest other rows of each row of queries (all by default) by cosine,
+    exact scores of the rows in the buckets that each looks into. More tables and probes find more; index, if given, is
+    what lsh_index() made of df with the same tables, bits and seed.
+
+    A bucket of more than BUCKET rows or queries is cut into parts, each of which meets each, so nothing in it is left out
+    and no task holds it whole.
+    """
+    base = lsh_index(df, key, column, tables, bits, 1, seed) if index is None else index
+    ask = lsh_index(df if queries is None else queries, key, column, tables, bits, probes, seed)
+    parts = lambda x, name: x.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).alias(name))
+    hot = parts(base, "rows").join(parts(ask, "asks"), "bucket").where("rows > 1 or asks > 1")
+    cells = lambda x, own, other, mine, theirs: x.join(hot, "bucket", "left").select("bucket", "id", "v", F.pmod(F.xxhash64("id"), F.coalesce(mine, F.lit(1))).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(theirs, F.lit(1).cast("long")) - 1)).alias(other))
+    base = cells(base, "r", "a", F.col("rows"), F.col("asks"))
+    ask = cells(ask, "a", "r", F.col("asks"), F.col("rows"))
+    nearest = _nearest(k, threshold, [])
+    found = ask.groupBy("bucket", "r", "a").cogroup(base.groupBy("bucket", "r", "a")).applyInPandas(lambda _, a, b: nearest((), a, b), "id long, neighbour long, score double")
+    # the same pair may meet in several tables; its score is the same but for the last bits
+    return _first_k(found.groupBy("id", "neighbour").agg(F.max("score").alias("score")), k, [], key)
+
+
 def hybrid(df: DataFrame, query: str, vector: list[float], pool: int, k: int, threshold: float = -1.0, weight: float = 0.85) -> DataFrame:
     """The k best of the pool nearest rows by weight * cosine + (1 - weight) * share of the query's words in title and
     abstract; the cosine alone for a query without words."""
@@ -111,17 +199,12 @@ def fallback_chunks(papers: DataFrame, retrieved: DataFrame, max_chars: int = 80
 def rank_candidates(candidates: DataFrame, anchors: DataFrame, cited: DataFrame, k: int) -> DataFrame:
     """candidates(composition, model, id, embedding), anchors(id), cited(anchor, candidate) -> (composition, model, anchor,
     candidate, score, rank, is_cited): of each composition and model the k candidates nearest to each anchor, itself not
-    among them. One search for each pair of names, of which there are few."""
-    out = None
-    for c in candidates.select("composition", "model").distinct().collect():
-        rows = candidates.where(F.col("composition").eqNullSafe(F.lit(c["composition"])) & F.col("model").eqNullSafe(F.lit(c["model"])))
-        one = knn(rows, k, queries=rows.join(anchors.select("id"), "id", "left_semi"))
-        one = one.select(F.lit(c["composition"]).alias("composition"), F.lit(c["model"]).alias("model"), F.col("id").alias("anchor"), F.col("neighbour").alias("candidate"), "score", "rank")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no candidates")
+    among them, all in one search."""
+    by = ["composition", "model"]
+    found = knn(candidates, k, queries=candidates.join(anchors.select(F.col("id").alias("__anchor")).distinct(), F.col("id") == F.col("__anchor"), "left_semi"), by=by)
+    found = found.select(*by, F.col("id").alias("anchor"), F.col("neighbour").alias("candidate"), "score", "rank")
     marks = cited.select("anchor", "candidate").distinct().withColumn("m", F.lit(True))
-    return out.join(marks, ["anchor", "candidate"], "left").withColumn("is_cited", F.coalesce("m", F.lit(False))).drop("m")
+    return found.join(marks, ["anchor", "candidate"], "left").withColumn("is_cited", F.coalesce("m", F.lit(False))).drop("m")
 
 
 def hash_embed(df: DataFrame, text: str, dim: int = 64, column: str = "embedding", encoder=None) -> DataFrame:

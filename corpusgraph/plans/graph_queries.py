@@ -131,6 +131,12 @@ def related_update(spark, sf_dir):
     return N.related(*_cache(spark, sf_dir), 5, 0.1, refresh=True)[1].select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
+@query()
+def knn_approx(spark, sf_dir):
+    """Neighbours by hashed buckets; a test holds the share of true ones that it finds."""
+    return N.knn_approx(_vectors(spark, sf_dir), 10, bits=6, tables=16, probes=12).select("id", "neighbour", F.col("rank").cast("long").alias("rank"), _r("score", 5).alias("score"))
+
+
 _HYBRID = f"""WITH {PAPERS}, {_V}, q AS (SELECT e FROM v ORDER BY id LIMIT 1), c AS (SELECT b.id, list_cosine_similarity(q.e, b.e) AS score FROM q, v b JOIN papers USING (id) ORDER BY score DESC, b.id LIMIT 100)
 SELECT c.id, round(0.85 * score + 0.15 * len(list_intersect(['the', 'ention', 'and'], list_distinct(regexp_extract_all(lower(concat_ws(' ', title, abstract)), '[a-z0-9]{{3,}}')))) / 3.0, 4) AS score FROM c JOIN papers USING (id) ORDER BY 2 DESC LIMIT 20"""
 
