@@ -13,7 +13,6 @@ the HOT most frequent pairs, a number that doesn't grow, go to all tasks, and th
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -91,7 +90,7 @@ def _unbyte() -> dict[str, int]:
 class Pair:
     """A byte-level tokenizer A and a piece model B, which adds a space, with what is known of parts of texts."""
 
-    def __init__(self, a_path: str, b_path: str, keep: int = 600_000, keep_chars: int = 24_000_000):
+    def __init__(self, a_path: str, b_path: str, keep: int = 350_000, keep_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -182,7 +181,6 @@ class Pair:
 
     def documents(self, docs: list[str]) -> list[tuple]:
         """(tokens of A, of B, groups, links, digest of the groups, different pairs, their times) of each text."""
-        gc.disable()  # what is known is large, and nothing here makes cycles
         if len(self.code) > self.keep or self.chars > self.keep_chars:
             self.clear()
         split = [self.parts(t) for t in docs]
