@@ -27,6 +27,8 @@ MIN_CHARS = 24
 BLOCK_CHARS = 1_000_000
 #: Characters of documents that are searched at once; a longer document is searched in overlapping parts.
 PART = 1 << 20
+#: Places of an item's grams in a document that are expanded at once.
+HITS = 1 << 20
 _ASCII = bytes(x + 32 if 65 <= x <= 90 else x if x > 127 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
 
 
@@ -150,19 +152,26 @@ def _search(index: Index, parts: list[tuple[int, int, np.ndarray]]):
     if not len(at):
         return
     times = index.first[where + 1] - index.first[where]
-    hit = np.repeat(index.first[where], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    item, place, at = index.item[hit], index.place[hit], np.repeat(at, times)
-    part = np.searchsorted(begins, at, "right") - 1
-    step = index.k[item] + 1
-    diagonal = at - begins[part] - place + index.most
-    band = diagonal // step
     # bands are two steps wide and one apart, so diagonals up to a step apart share one
     spread = (PART + 4 * index.most + 4 * q + 64) + 2
-    key = (part * len(index.n) + item) * spread + band
-    keys, n = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    # a repeated gram meets each of an item's repeats, so places are taken by slices of HITS; bands of slices add up
+    cuts = np.searchsorted(np.cumsum(times), np.arange(0, int(times.sum()), HITS), "left")
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        if a == b:
+            continue
+        t, w = times[a:b], where[a:b]
+        hit = np.repeat(index.first[w], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        item, place, x = index.item[hit], index.place[hit], np.repeat(at[a:b], t)
+        part = np.searchsorted(begins, x, "right") - 1
+        band = (x - begins[part] - place + index.most) // (index.k[item] + 1)
+        key = (part * len(index.n) + item) * spread + band
+        some, m = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+        keys, of = np.unique(np.concatenate((keys, some)), return_inverse=True)
+        n = np.bincount(of, np.concatenate((n, m)), len(keys)).astype(np.int64)
+    keep = n >= index.bound[keys // spread % len(index.n)]
+    keys = keys[keep]
     pair, band = np.divmod(keys, spread)
-    keep = n >= index.bound[pair % len(index.n)]
-    pair, band = pair[keep], band[keep]
     part, item = np.divmod(pair, len(index.n))
     step = index.k[item] + 1
     low = band * step - index.most

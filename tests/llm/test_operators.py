@@ -677,3 +677,20 @@ def test_quality_odd_tables(spark):
     want = [t for _, t, _ in rows if (c := brute_counts(t))[0] >= 50 and 100 * c[4] <= 50 * c[0]]
     assert Counter(r["text"] for r in kept.collect()) == Counter(want)
     assert quality.assess(docs.limit(0), none).count() == 0
+
+
+def test_decontamination_of_repetitive_text_is_bounded(monkeypatch):
+    """A long text of one repeated word against an item of its repeats: every gram meets every repeat."""
+    import tracemalloc
+
+    index = decontaminate.Index([(7, decontaminate.normal("lorem " * 200))])
+    text = decontaminate.normal("ipsum " + "lorem " * 25_000)
+    tracemalloc.start()
+    got = decontaminate.search(index, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i, e) for d, i, _, e in got] == [(0, 0, 0)] and peak < 300e6
+    some = [decontaminate.normal(x) for x in ("a b c d e f g h " * 40, "lorem " * 230, "nothing of it", "x " + "lorem " * 190 + "y")]
+    want = decontaminate.search(index, some)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert decontaminate.search(index, some) == want and {d for d, *_ in want} == {1, 3}
