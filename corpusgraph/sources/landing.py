@@ -36,6 +36,11 @@ def land(new: DataFrame, bronze: DataFrame, key: str = "entry_id") -> DataFrame:
     return new.dropDuplicates([key]).join(bronze.select(key), key, "left_anti")
 
 
+def stamped(rows: DataFrame, key: str = "entry_id") -> DataFrame:
+    """rows with ingestion_id, a hash of the key that a replay gives again, and ingested_at, the time of the load."""
+    return rows.withColumn("ingestion_id", F.xxhash64(key)).withColumn("ingested_at", F.current_timestamp())
+
+
 def land_status(new: DataFrame, bronze: DataFrame, seq: str = "seq") -> DataFrame:
     """new with `status`: skipped_no_id without an id in entry_id, skipped_dupe if bronze or an earlier row of new has
     its entry_id or its ss_paper_id, else inserted. Two equi joins, not one with OR."""

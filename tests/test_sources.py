@@ -92,3 +92,41 @@ def test_stream_history(spark, tmp_path):
     q = I.stream_history(turns, 2).writeStream.format("memory").queryName("history").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("history").collect()] == [(1, "USER: 2\nUSER: 3")]
+
+
+def _papers(path, name, rows):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("\n".join(json.dumps(r) for r in rows))
+
+
+def test_papers_without_arxiv_id_survive_and_histories_compact(spark, tmp_path):
+    """Batches one by one: papers known by ss_id alone stay apart, one gets its arxiv_id later and is one paper still."""
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    run = lambda: I.stream_pipeline(spark, str(raw), out, str(tmp_path / "cp"), ("papers", "edges")).awaitTermination()
+    _papers(raw, "a.json", [{"id": 1, "arxiv_id": "a1", "title": "one"}, {"id": 2, "ss_id": "s2", "title": "two"}, {"id": 3, "ss_id": "s3", "title": "three"}, {"id": 4, "title": "no ids"}])
+    run()
+    assert sorted(r["id"] for r in I.current_papers(spark, out).collect()) == [1, 2, 3, 4]
+    _papers(raw, "b.json", [{"id": 20, "arxiv_id": "a2", "ss_id": "s2", "title": "two again"}, {"id": 5, "arxiv_id": "a5", "ss_id": "s5", "refs": [{"ss_paper_id": "s2"}, {"ss_paper_id": "s3"}, {"arxiv_id": "a1"}]}])
+    run()
+    for n in range(8):  # enough batches for a snapshot
+        _papers(raw, f"c{n}.json", [{"id": 3, "ss_id": "s3", "title": f"three {n}"}, {"id": 100 + n, "ss_id": f"x{n}"}])
+        run()
+    now = {r["id"]: (r["arxiv_id"], r["ss_id"], r["title"]) for r in I.current_papers(spark, out).collect()}
+    assert now == {1: ("a1", None, "one"), 2: ("a2", "s2", "two again"), 3: (None, "s3", "three 7"), 4: (None, None, "no ids"), 5: ("a5", "s5", None)} | {100 + n: (None, f"x{n}", None) for n in range(8)}
+    snapshot, since = I.paper_history(spark, out).parts()
+    assert snapshot == [7] and since == [8, 9]
+    assert I.paper_history(spark, out).parts(before=5) == ([], [0, 1, 2, 3, 4])
+    edges = I.current(spark, out + "/edges", ["source_id", "target_id", "kind"])
+    assert {(r["source_id"], r["target_id"]) for r in edges.collect()} == {(5, 2), (5, 3), (5, 1)}
+
+
+def test_landing_knows_keys_after_a_restart_and_what_stood_there(spark, tmp_path):
+    raw, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    I.stamped(spark.read.schema(I.RAW).json(spark.sparkContext.parallelize([json.dumps({"entry_id": "e1", "id": 1})]))).write.parquet(f"{bronze}/batch=-1")
+    run = lambda: I.stream_land(spark, str(raw), bronze, str(tmp_path / "cp")).awaitTermination()
+    for name, rows in (("a.json", [1, 2]), ("b.json", [2, 3]), ("c.json", [3, 1, 4, 4])):
+        _records(raw, name, rows)
+        run()
+    got = spark.read.parquet(bronze)
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4] and got.where("ingestion_id is null or ingested_at is null").count() == 0
+    assert (tmp_path / "cp" / "state").exists() and "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
