@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,14 +51,22 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, column: str = "embedding", key
     return KMeans(k=n, seed=seed, predictionCol="cluster_id").fit(rows).transform(rows).select(key, "cluster_id")
 
 
-#: Frequent English words that name no topic.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "been", "have", "has", "had", "not", "but", "its", "our", "their", "which", "can", "will", "these", "those", "into", "than", "then", "also", "such"]
+def stop_words() -> list[str]:
+    """Frequent English words that name no topic: Spark's list, cut at apostrophes as texts are."""
+    from pyspark.ml.feature import StopWordsRemover
 
+    return sorted({part for w in StopWordsRemover.loadDefaultStopWords("english") for part in w.split("'") if len(part) > 2})
 
-def cluster_keywords(members: DataFrame, k: int = 3, vocabulary: int = 1000) -> DataFrame:
+
+def terms_of(text: Column) -> Column:
+    """The lower-cased words of three or more letters a-z; a word with other letters, digits or _ in it is none."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.rlike(w, F.lit("^[a-z]{3,}$")))
+
+
+def cluster_keywords(members: DataFrame, k: int = 3, vocabulary: int = 1000, stop: list[str] | None = None) -> DataFrame:
     """members(cluster_id, text) -> (cluster_id, keywords): the k terms of greatest tf * idf of each cluster, idf as
-    ln((1 + n) / (1 + df)) + 1, over the most frequent terms."""
-    terms = members.select("cluster_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
+    ln((1 + n) / (1 + df)) + 1, over the most frequent terms but for stop words (stop_words() by default)."""
+    terms = members.select("cluster_id", F.explode(terms_of(F.col("text"))).alias("term")).where(~F.col("term").isin(stop_words() if stop is None else stop))
     tf = terms.groupBy("cluster_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(vocabulary)
     n = members.select("cluster_id").distinct().agg(F.count("*").alias("n"))

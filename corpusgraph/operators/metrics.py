@@ -13,8 +13,13 @@ from ..functions.vectors import cosine, dot, l2_normalize
 
 
 def run_stats(status: DataFrame) -> DataFrame:
-    """status(status, sections, chunks, error) -> one row of counters with the first ten errors."""
-    return status.agg(F.count_if(F.col("status") == "done").alias("processed"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.sum("sections").alias("sections"), F.sum("chunks").alias("chunks"), F.avg((F.col("status") == "done").cast("double")).alias("success_rate"), F.array_join(F.slice(F.array_sort(F.collect_set("error")), 1, 10), "; ").alias("errors"))
+    """status(status, sections, chunks, error) -> one row of counters with the first ten different errors by name; only
+    those ten leave their tasks."""
+    done = F.col("status") == "done"
+    counts = status.agg(F.count_if(done).alias("processed"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.sum("sections").alias("sections"), F.sum("chunks").alias("chunks"), F.avg(done.cast("double")).alias("success_rate"))
+    first = status.where("error is not null").select("error").distinct().orderBy("error").limit(10)
+    errors = first.agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
+    return counts.crossJoin(errors)  # one row each
 
 
 def cluster_summary(nodes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 
-def pack(df: DataFrame, capacity: int, buffer: int = 1000, pad: int | None = None, key: str = "id", tokens: str = "tokens", mask: str | None = None, marker: int | None = None, shards: int = 8) -> DataFrame:
+def pack(df: DataFrame, capacity: int, buffer: int = 1000, pad: int | None = None, key: str = "id", tokens: str = "tokens", mask: str | None = None, marker: int | None = None, shards: int | None = None, shard_tokens: int = 1 << 20) -> DataFrame:
     """(shard, row, tokens, targets, parts): rows of exactly `capacity` tokens from tokenized documents, by best fit: the
     longest buffered document that fits goes next, the first of equals. When none fits, the shortest is cropped to fill
     the row (pad None), or the row is filled up with `pad` and nothing is lost; with pad, documents over the capacity come
@@ -21,8 +21,11 @@ def pack(df: DataFrame, capacity: int, buffer: int = 1000, pad: int | None = Non
 
     targets are the tokens that follow, -1 where `mask` is 0 and on padding. A marker is put before each document, so that
     every row begins with one. Shards are packed on their own, each with `buffer` documents in memory, in the order of
-    key; df's column shard names them, or the key's hash makes `shards` of them, so files and partitions decide nothing.
+    key; df's column shard names them, or the key's hash makes `shards` of them, by default one for each shard_tokens tokens,
+    so their size doesn't grow with the corpus and files and partitions decide nothing.
     """
+    if shards is None and "shard" not in df.columns:
+        shards = max(1, -(-(df.agg(F.sum(F.size(tokens))).first()[0] or 0) // shard_tokens))
     shard = F.col("shard") if "shard" in df.columns else F.pmod(F.xxhash64(key), F.lit(shards))
     kept = F.col(mask) if mask else F.transform(tokens, lambda x: F.lit(1))
     rows = df.select(shard.cast("int").alias("shard"), F.col(key).alias("id"), F.col(tokens).alias("tokens"), kept.alias("mask"))

@@ -242,8 +242,9 @@ def _members(spark, sf_dir):
     return p.select("cluster_id", "id", "title", F.concat_ws(" ", "title", "abstract").alias("text"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in G.STOP_WORDS)
-_KEYWORDS = f"""{PAPERS}, mem AS (SELECT e.label AS cluster_id, p.id, p.title, concat_ws(' ', p.title, p.abstract) AS text FROM papers p JOIN embeddings e ON e.vec_id = p.id), t AS (SELECT * FROM (SELECT cluster_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS term FROM mem) WHERE term NOT IN ({_STOP})), tf AS (SELECT cluster_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000),
+#: English stop words of three or more letters.
+_STOP = "about above after again against all and any are aren because been before being below between both but can cannot could couldn did didn does doesn doing don down during each few for from further had hadn has hasn have haven having her here hers herself him himself his how into isn its itself just let more most mustn myself nor not now off once only other ought our ours ourselves out over own same shan she should shouldn some such than that the their theirs them themselves then there these they this those through too under until very was wasn were weren what when where which while who whom why will with won would wouldn you your yours yourself yourselves"
+_KEYWORDS = rf"""{PAPERS}, mem AS (SELECT e.label AS cluster_id, p.id, p.title, concat_ws(' ', p.title, p.abstract) AS text FROM papers p JOIN embeddings e ON e.vec_id = p.id), t AS (SELECT * FROM (SELECT cluster_id, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS term FROM mem) WHERE regexp_full_match(term, '[a-z]{{3,}}') AND term NOT IN (SELECT unnest(string_split('{_STOP}', ' ')))), tf AS (SELECT cluster_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000),
 sc AS (SELECT cluster_id, term, round(tf * (ln((1 + (SELECT count(DISTINCT cluster_id) FROM mem)) / (1 + df)) + 1), 9) AS score FROM tf JOIN df USING (term)), rk AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS rn FROM sc), kw AS (SELECT cluster_id, string_agg(term, ', ' ORDER BY rn) AS keywords FROM rk WHERE rn <= 3 GROUP BY 1)"""
 
 
