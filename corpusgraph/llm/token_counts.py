@@ -1,8 +1,10 @@
 """Operator 10: token counts that follow edits.
 
-A document is cut into leaves of whole pre-token runs, and a segment tree keeps the sums of their characters and tokens.
-An edit finds the leaves it touches by the character sums, joins them with the neighbours that its ends need as context,
-encodes that region alone and updates the sums on the way to the root. Trees are rows of a table, so they are kept between
+A document is cut into leaves of pieces that are encoded alone as they are in their place, and a segment tree keeps the
+sums of their characters and tokens. A piece ends before a lone space; what is long is cut where pre-tokens end, and a long
+pre-token, such as a run of letters of a script without spaces, between two characters whose neighbouring bytes no token
+holds. An edit finds the leaves it touches by the character sums, joins them with neighbours until cutting the text anew
+around its ends gives cuts there too, encodes that region alone and updates the sums on the way to the root. Trees are rows of a table, so they are kept between
 rounds of edits and no text is encoded anew.
 """
 
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import held, texts
 from .token_ids import pieces
 
-#: Pieces (words, mostly) of a leaf.
-LEAF = 32
+#: Pieces (words, mostly) of a leaf, and characters from which a piece is cut further and a leaf is full.
+LEAF, LONG, LEAF_CHARS = 32, 64, 256
+#: Characters on either side of a border, not all white space, that settle whether pre-tokens end there.
+AROUND = 8
 #: Personal data and secrets that scrub() replaces: e-mail addresses, network addresses, long numbers with separators.
 SCRUB = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+?\d[\d ().-]{7,}\d"
 
@@ -30,12 +34,50 @@ class Counter:
         import base64
 
         import public_tokenizers
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.seen, self.keep = {}, keep
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.joined = {pair for token in ranks for pair in zip(token, token[1:])}
+
+    def fine(self, text: str) -> Iterator[str]:
+        """Pre-tokens of a text that begins where one does, long ones of letters in parts that no token spans."""
+        for x in self.pattern.findall(text):
+            if len(x) <= LONG:
+                yield x
+                continue
+            raw, start, at = x.encode("utf-8", "surrogatepass"), 0, 0
+            for k, c in enumerate(x):
+                if k > start and (raw[at - 1], raw[at]) not in self.joined and x[k - 1].isalpha() and c.isalpha():
+                    yield x[start:k]
+                    start = k
+                at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            yield x[start:]
+
+    def cut(self, text: str) -> list[str]:
+        """The text in pieces that are encoded alone as they are in it."""
+        return [y for x in pieces(text) for y in ([x] if len(x) <= LONG else self.fine(x))]
+
+    def cuts_between(self, left: str, right: str) -> bool:
+        """Whether a leaf may end between the two, of which the left one begins where a pre-token does: after white space it
+        may not, as that is cut by what follows it."""
+        if left[-1].isspace():
+            return False
+        if right[:1] == " " and right[1:2].strip():
+            return True
+        at, whole = 0, left + right
+        for x in self.pattern.findall(whole):
+            at += len(x)
+            if at >= len(left):
+                break
+        if at == len(left):
+            return True
+        a, b = left[-1].encode("utf-8", "surrogatepass")[-1], right[0].encode("utf-8", "surrogatepass")[0]
+        return (a, b) not in self.joined and left[-1].isalpha() and right[0].isalpha()
 
     def __call__(self, ps: list[str]) -> int:
         seen, n = self.seen, 0
@@ -63,15 +105,21 @@ class Tree:
     """Leaves of a text with a segment tree over their characters and tokens."""
 
     def __init__(self, text: str, count: Counter, leaf: int = LEAF):
-        ps = pieces(text)
-        self.count = count
-        self.leaves = ["".join(ps[i : i + leaf]) for i in range(0, len(ps), leaf)] or [""]
+        self.count, groups, size = count, [[]], 0
+        for p in count.cut(text):
+            full = len(groups[-1]) >= leaf or size + len(p) > LEAF_CHARS
+            if groups[-1] and full and not groups[-1][-1][-1].isspace():  # white space is cut by what follows it
+                groups.append([])
+                size = 0
+            groups[-1].append(p)
+            size += len(p)
+        self.leaves = ["".join(g) for g in groups]
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, x in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(x), count(ps[i * leaf : (i + 1) * leaf])
+        for i, (x, g) in enumerate(zip(self.leaves, groups)):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(x), count(g)
         for i in range(self.size - 1, 0, -1):
             self.chars[i], self.tokens[i] = (x[2 * i] + x[2 * i + 1] for x in (self.chars, self.tokens))
         self.encoded = 0
@@ -97,16 +145,20 @@ class Tree:
     def _put(self, leaf: int, text: str) -> None:
         i = self.size + leaf
         self.leaves[leaf] = text
-        self.chars[i], self.tokens[i] = len(text), self.count(pieces(text)) if text else 0
+        self.chars[i], self.tokens[i] = len(text), self.count(self.count.cut(text)) if text else 0
         self.encoded += len(text)
         while i > 1:
             i //= 2
             self.chars[i], self.tokens[i] = (x[2 * i] + x[2 * i + 1] for x in (self.chars, self.tokens))
 
-    def _cut_holds(self, left: int, right: int) -> bool:
-        """Whether pre-tokens never join over the border between two leaves: a lone space before a word."""
-        a, b = self.leaves[left][-1:], self.leaves[right][:2]
-        return bool(a) and not a.isspace() and len(b) == 2 and b[0] == " " and not b[1].isspace()
+    def _around(self, leaves: range) -> str:
+        """The text of leaves, one after the other, until AROUND characters, not all white space, are there."""
+        out = ""
+        for i in leaves:
+            out = out + self.leaves[i] if leaves.step > 0 else self.leaves[i] + out
+            if len(out) >= AROUND and out.strip():
+                break
+        return out
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Puts new in the place of characters start to end (end not included), as they are now."""
@@ -116,17 +168,17 @@ class Tree:
         for i in lone:
             self.leaves[i] = ""
         top = len(self.leaves) - 1
-        # context: neighbours join the region until both its borders are ones that pre-tokens never cross
+        # context: neighbours join the region until pieces end at both its borders
         left, right = lo, hi
         while True:
-            before = next((i for i in range(left - 1, -1, -1) if self.leaves[i]), None)
-            after = next((i for i in range(right + 1, top + 1) if self.leaves[i]), None)
-            if before is not None and not (self.leaves[lo] and self._cut_holds(before, lo)):
-                self.leaves[lo] = self.leaves[before] + self.leaves[lo]
-                self.leaves[before], left = "", before
-            elif after is not None and not (self.leaves[lo] and self._cut_holds(lo, after)):
-                self.leaves[lo] += self.leaves[after]
-                self.leaves[after], right = "", after
+            before, after = self._around(range(left - 1, -1, -1)), self._around(range(right + 1, top + 1))
+            here = self.leaves[lo]
+            if before and not (here and self.count.cuts_between(before, here + after)):
+                left = next(i for i in range(left - 1, -1, -1) if self.leaves[i])
+                self.leaves[lo], self.leaves[left] = self.leaves[left] + here, ""
+            elif after and not (here and self.count.cuts_between(before + here, after)):
+                right = next(i for i in range(right + 1, top + 1) if self.leaves[i])
+                self.leaves[lo], self.leaves[right] = here + self.leaves[right], ""
             else:
                 break
         for i in range(left, right + 1):

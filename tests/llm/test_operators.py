@@ -694,3 +694,34 @@ def test_decontamination_of_repetitive_text_is_bounded(monkeypatch):
     want = decontaminate.search(index, some)
     monkeypatch.setattr(decontaminate, "HITS", 50)
     assert decontaminate.search(index, some) == want and {d for d, *_ in want} == {1, 3}
+
+
+SOME = [" word", "  ", "\n", "\n\n", "don't", "'ll", " 123", "\u65e5\u672c", "\u3002", "\u00e9", "\t", "ab", "X", "-", "\u2026", " ", "'"]
+
+
+def test_edits_anywhere_in_texts_of_any_kind():
+    count, rng = token_counts.Counter(token_counts.default_ranks()), random.Random(1)
+    mixed = lambda n: "".join(rng.choices(SOME, k=n))
+    for _ in range(60):
+        text = mixed(rng.randint(1, 160))
+        tree = token_counts.Tree(text, count)
+        for _ in range(12):
+            assert (tree.n_tokens, tree.n_chars) == (len(count.encode(text)), len(text))
+            at = rng.randrange(len(text) + 1)
+            end, new = min(len(text), at + rng.choice([0, 1, 3, 30])), mixed(rng.randint(0, 2))
+            text = text[:at] + new + text[end:]
+            tree.edit(at, end, new)
+            assert tree.text == text and tree.n_tokens == len(count.encode(text)), (text, at, new)
+
+
+@pytest.mark.parametrize("kind", ["lines", "tabs", "han"])
+def test_edits_encode_little_again_without_lone_spaces(kind):
+    count, rng = token_counts.Counter(token_counts.default_ranks()), random.Random(2)
+    text = {"lines": "\n".join(f"line{k}" for k in range(12_000)), "tabs": "\t".join(f"c{k}" for k in range(15_000)), "han": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))}[kind]
+    tree = token_counts.Tree(text, count)
+    for _ in range(20):
+        at = rng.randrange(len(text))
+        text = text[:at] + "new\n" + text[at + 2 :]
+        tree.edit(at, min(tree.n_chars, at + 2), "new\n")
+    assert tree.text == text and tree.n_tokens == len(count.encode(text))
+    assert tree.encoded < 20 * 1000 and max(map(len, tree.leaves)) < 2000
