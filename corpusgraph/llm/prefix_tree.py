@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import begin, forget, stored, texts
@@ -31,7 +31,7 @@ LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Counters of shingles, told apart by so many bits of their hash; they decide the order and so speed alone.
 COUNTER_BITS = 17
 #: Sets of a block, and their shingles, about.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 16
+BLOCK, BLOCK_SHINGLES = 1_024, 1 << 17
 
 
 def shingle_set(text: str, words: int = 3) -> np.ndarray:
@@ -79,25 +79,20 @@ def _asked(percent: int, several: bool = True) -> Column:
     return 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
 
 
-def _with_partners(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The rows of shared(key, fp) whose set has as many shared keys as its smallest partner asks for, where the key is
-    still one of several; sizes(fp, n) of all sets."""
-    enough = shared.groupBy("fp").agg(F.count("*").alias("keys")).join(sizes, "fp").where(F.col("keys") >= _asked(percent)).select("fp", "n")
-    kept = shared.select("key", "fp").join(enough, "fp")
-    return kept.join(kept.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key").select("key", "fp", "n")
+def _enough(rows: DataFrame, asked: Column) -> DataFrame:
+    """rows(key, fp, n, ...) of sets that have as many of these keys as asked; a set's keys are no more than its prefix."""
+    of_set = F.count("*").over(Window.partitionBy("fp"))
+    return rows.withColumn("keys", of_set).where(F.col("keys") >= asked).drop("keys")
 
 
 def _unsettled(rows: DataFrame, asked: Column, gone: list[DataFrame]) -> DataFrame:
     """rows(key, fp, n, root, block) at keys that have sets of several components in several blocks, but for sets that
-    have fewer such keys than a partner asks for. Tables that it writes are added to gone."""
-    for _ in range(2):
-        ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("root", "block") for f in (F.min, F.max)]
-        mixed = rows.groupBy("key").agg(*ends).where("root_min <> root_max and block_min <> block_max").select("key")
-        rows = rows.join(mixed, "key")
-        enough = rows.groupBy("fp").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where(F.col("keys") >= asked).select("fp")
-        rows = stored(rows.join(enough, "fp", "left_semi"), "tree_rows")
-        gone.append(rows)
-    return rows
+    have fewer such keys than a partner asks for. The table that it writes is added to gone."""
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("root", "block") for f in (F.min, F.max)]
+    mixed = rows.groupBy("key").agg(*ends).where("root_min <> root_max and block_min <> block_max").select("key")
+    out = stored(_enough(rows.join(mixed, "key"), asked), "tree_rows")
+    gone.append(out)
+    return out
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -305,12 +300,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     distinct = stored(facts.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "tree_distinct")
     each = stored(facts.select("id", "fp", "n"), "tree_each")
     forget(facts)
-    placed = distinct.select("fp", F.explode("prefix").alias("key"))
+    placed = distinct.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     several = placed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    shared, sizes = stored(placed.join(several, "key").select("key", "fp"), "tree_shared"), distinct.select("fp", "n")
-    for _ in range(2):
-        old, shared = shared, stored(_with_partners(shared, sizes, percent), "tree_shared")
-        forget(old)
+    shared = _enough(placed.join(several, "key").select("key", "fp", "n"), _asked(percent))
+    shared = stored(shared, "tree_shared")
     wanted = shared.select("fp").distinct()
     some = stored(each.select("id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("some")).select("some").distinct(), "tree_some")
 
