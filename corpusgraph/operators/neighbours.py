@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, norm
+from ..sources.scratch import ship
 from .ranking import budget_prefix
 from .tables import cached_neighbours
 
@@ -131,6 +132,7 @@ def lsh_index(df: DataFrame, key: str = "id", column: str = "embedding", tables:
                 rows = pa.array(np.repeat(np.arange(len(v)), bucket.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), part.column(0).take(rows), part.column(1).take(rows)], ["bucket", "id", "v"])
 
+    ship(df.sparkSession)
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
     return rows.mapInArrow(run, "bucket long, id long, v array<float>")
 
@@ -207,17 +209,35 @@ def rank_candidates(candidates: DataFrame, anchors: DataFrame, cited: DataFrame,
     return found.join(marks, ["anchor", "candidate"], "left").withColumn("is_cited", F.coalesce("m", F.lit(False))).drop("m")
 
 
-def hash_embed(df: DataFrame, text: str, dim: int = 64, column: str = "embedding", encoder=None) -> DataFrame:
-    """df with a vector for its text: by an encoder (list of texts -> list of vectors), once loaded in each worker, or
-    without one by feature hashing of words, normalized, in generated code alone."""
-    if encoder is None:
+_ready: dict = {}
+
+
+def loaded(load):
+    """The encoder that load() gives, made once in this Python worker and kept for all its tasks; load is a function of a
+    module, which names it."""
+    name = f"{load.__module__}.{load.__qualname__}"
+    if name not in _ready:
+        _ready[name] = load()
+    return _ready[name]
+
+
+def hash_embed(df: DataFrame, text: str, dim: int = 64, column: str = "embedding", load=None) -> DataFrame:
+    """df with a vector for its text, null for a null text: by the encoder (list of texts -> list of vectors) that load()
+    gives, which each worker loads once and calls with the texts of a batch in order of length, so that what it pads is
+    alike; or without one by feature hashing of words, normalized, in generated code alone, null texts as empty ones."""
+    if load is None:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
         hashed = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__counts").transform(df.withColumn("__words", words))
         return hashed.withColumn(column, l2_normalize(vector_to_array("__counts"))).drop("__words", "__counts")
+    ship(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = loaded(load)
         for x in batches:
-            yield pd.Series(list(np.asarray(encoder(x.tolist()), dtype=np.float32)))
+            given = x.dropna()
+            order = given.str.len().sort_values(kind="stable").index
+            vectors = pd.Series([np.asarray(v, dtype=np.float32) for v in encoder(given[order].tolist())], index=order, dtype=object) if len(order) else given
+            yield vectors.reindex(x.index).where(x.notna(), None)
 
     return df.withColumn(column, udf(F.col(text)))

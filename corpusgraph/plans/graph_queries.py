@@ -10,6 +10,7 @@ from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import neighbours as N
 from ..operators import tables as O
+from .encoders import load_letter_counts
 from .fixtures import EDGES_SQL, PAPERS, REFS, edges, papers, references
 from .metric_queries import _r
 from .registry import query, table
@@ -211,6 +212,13 @@ def embed(spark, sf_dir):
     return got.select("doc_id", F.size("embedding").alias("dim"), _r(V.norm(F.col("embedding")), 4).alias("length"))
 
 
+@query("SELECT doc_id, CAST(len(text) - len(replace(text, c, '')) AS BIGINT) AS n, pos FROM documents, (SELECT unnest(['a', 'e', 'i', 'o', 'u', ' ', '.', ',']) AS c, CAST(unnest(range(8)) AS INTEGER) AS pos) WHERE text IS NOT NULL")
+def embed_by_encoder(spark, sf_dir):
+    """Whole vectors of an encoder that each worker loads once."""
+    got = N.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", load=load_letter_counts)
+    return got.select("doc_id", F.posexplode("embedding").alias("pos", "n")).select("doc_id", F.col("n").cast("long").alias("n"), "pos")
+
+
 @query()
 def kmeans(spark, sf_dir):
     return G.kmeans(_vectors(spark, sf_dir), 8)
