@@ -193,6 +193,17 @@ def upsert_papers(target: DataFrame, source: DataFrame) -> DataFrame:
     return merged.select([rule(c) for c in names]).unionByName(added)
 
 
+def upsert_conflicts(target: DataFrame, source: DataFrame) -> DataFrame:
+    """(kind, arxiv_id, ss_id, id): what upsert_papers() can't settle by its keys: rows of source, by their two ids, that
+    match several rows of target ("two targets"), and rows of target that several different ones match ("two sources").
+    upsert_papers() takes the match by arxiv_id first; this is the side table to look at."""
+    s = source.select("arxiv_id", "ss_id").distinct()
+    match = lambda c: s.join(target.where(F.col(c).isNotNull()).select(F.col(c).alias("__key"), "id"), F.col(c) == F.col("__key")).select("arxiv_id", "ss_id", "id")
+    found = match("arxiv_id").unionByName(match("ss_id")).distinct()
+    several = lambda kind, *by: found.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where("__n > 1").select(F.lit(kind).alias("kind"), "arxiv_id", "ss_id", "id")
+    return several("two targets", "arxiv_id", "ss_id").unionByName(several("two sources", "id"))
+
+
 def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str], updated_at: Column | None = None) -> DataFrame:
     """Rows of source in the place of those of target with the same key, and the rest of both; updated_at, if given, is
     written to that column of the new rows."""

@@ -180,6 +180,18 @@ def upsert_papers_whole(spark, sf_dir):
     return O.upsert_papers(t, s)
 
 
+@query(f"""WITH {PAPERS}, s AS (SELECT arxiv_id, concat('ss', CAST(id + 1 AS VARCHAR)) AS ss_id FROM papers WHERE id % 10 = 1 UNION ALL SELECT arxiv_id, NULL FROM papers WHERE id % 10 = 6 UNION ALL SELECT NULL, ss_id FROM papers WHERE id % 10 IN (6, 7)),
+m AS (SELECT s.arxiv_id, s.ss_id, p.id FROM s JOIN papers p ON s.arxiv_id = p.arxiv_id UNION SELECT s.arxiv_id, s.ss_id, p.id FROM s JOIN papers p ON s.ss_id = p.ss_id)
+SELECT 'two targets' AS kind, arxiv_id, ss_id, id FROM (SELECT *, count(*) OVER (PARTITION BY arxiv_id, ss_id) AS n FROM m) WHERE n > 1 UNION ALL SELECT 'two sources', arxiv_id, ss_id, id FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM m) WHERE n > 1""")
+def upsert_conflicts(spark, sf_dir):
+    """Sources with the ids of two papers, and papers that two sources each name by one of their ids."""
+    p = papers(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    both = p.where("id % 10 = 1").select("arxiv_id", F.concat(F.lit("ss"), (F.col("id") + 1).cast("string")).alias("ss_id"))
+    apart = p.where("id % 10 = 6").select("arxiv_id", null.alias("ss_id")).unionByName(p.where("id % 10 IN (6, 7)").select(null.alias("arxiv_id"), "ss_id"))
+    return O.upsert_conflicts(p, both.unionByName(apart))
+
+
 _DEDUPED = "deduped AS (SELECT source_id, target_id, kind, strength, reason FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY strength DESC NULLS LAST, seq) AS rn FROM edges WHERE source_id <> target_id) WHERE rn = 1)"
 
 
