@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import blend
 from .metrics import graph_meta, mean_vector
-from .neighbours import topk_query
+from .neighbours import knn, topk_query
 from .ranking import recent_ids, similar_edges, with_fallback
 from .tables import dedupe_edges, edge_threshold, edges_from, keyword_filter, paper_nodes, resolve_citations
 
@@ -126,3 +126,16 @@ def graph_expand(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, edge
     others = papers.where((F.col("id") != id) & F.col("embedding").isNotNull())
     near = topk_query(others, list(row["embedding"]), k) if row["embedding"] is not None else others.limit(0)
     return _view(near.select("id"), papers, bronze, clusters, edges)
+
+
+def graph_expand_all(papers: DataFrame, bronze: DataFrame, clusters: DataFrame, edges: DataFrame, ids: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graph_expand() for all ids(id) in one plan: (nodes, links, meta), each with `query`, the id that it is of. No vector
+    passes through the driver; ids that are unknown or have no vector have no rows."""
+    asked = papers.join(ids.select(F.col("id").alias("__asked")).distinct(), F.col("id") == F.col("__asked"), "left_semi")
+    near = knn(papers, k, queries=asked).select(F.col("id").alias("query"), F.col("neighbour").alias("id"))
+    nodes = near.join(paper_nodes(papers, bronze, clusters, near.select("id").distinct()), "id").select("query", "id", "label", "short", "title", "authors", "year", "citations", "cluster_id")
+    of_source = near.select("query", F.col("id").alias("source_id"))
+    links = edge_threshold(edges).join(of_source, "source_id").select("query", "source_id", "target_id", "kind", "strength", "reason")
+    counts = links.groupBy("query").agg(F.count("*").alias("total_links"))
+    meta = near.groupBy("query").agg(F.count("*").alias("total_nodes")).join(counts, "query", "left").select("query", "total_nodes", F.coalesce("total_links", F.lit(0)).alias("total_links"))
+    return nodes, links, meta

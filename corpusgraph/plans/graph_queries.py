@@ -323,3 +323,14 @@ def graph_expand(spark, sf_dir):
     return _rows({"7": G.graph_expand(*_graph_tables(spark, sf_dir), 7)})
 
 
+@query(f"""WITH {PAPERS}, {EDGES_SQL}, {_V}, pv AS (SELECT v.* FROM v JOIN papers USING (id)), k AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS rank FROM pv a JOIN pv b ON a.id <> b.id WHERE a.id % 5 = 0), q AS (SELECT query, id FROM k WHERE rank <= 10), {_LINKS},
+s AS (SELECT query, count(*) AS c FROM q JOIN l ON l.source_id = q.id GROUP BY 1)
+SELECT query, 'node' AS what, p.id, CAST(NULL AS BIGINT) AS target_id, substring(coalesce(nullif(trim(p.title), ''), 'Untitled'), 1, 40) AS said FROM q JOIN papers p USING (id) UNION ALL SELECT query, 'link', l.source_id, l.target_id, l.kind FROM q JOIN l ON l.source_id = q.id
+UNION ALL SELECT q.query, 'meta', count(*), coalesce(max(s.c), 0), '' FROM q LEFT JOIN s USING (query) GROUP BY 1""")
+def graph_expand_all(spark, sf_dir):
+    """Every fifth paper's view, all in one plan."""
+    p, bronze, clusters, e = _graph_tables(spark, sf_dir)
+    nodes, links, meta = G.graph_expand_all(p, bronze, clusters, e, p.where("id % 5 = 0").select("id"))
+    null = F.lit(None).cast("long").alias("target_id")
+    rows = (nodes.select("query", F.lit("node").alias("what"), "id", null, F.col("label").alias("said")), links.select("query", F.lit("link").alias("what"), F.col("source_id").alias("id"), "target_id", F.col("kind").alias("said")), meta.select("query", F.lit("meta").alias("what"), F.col("total_nodes").alias("id"), F.col("total_links").alias("target_id"), F.lit("").alias("said")))
+    return O.union_edges(*rows)
