@@ -71,26 +71,24 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndar
     return shingles[np.lexsort((shingles, counts[_counter(shingles)]))[: spare(n, percent) + shared_at_least(n, percent)]]
 
 
-def _asked(percent: int, several: bool = True) -> Column:
-    """l of the smallest set that a set of n can be linked with; 1 where prefixes are made for one shared shingle."""
-    if not several:
-        return F.lit(1)
+def asked(percent: int) -> Column:
+    """l of the smallest set that a set of n can be linked with."""
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     return 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
 
 
-def _enough(rows: DataFrame, asked: Column) -> DataFrame:
-    """rows(key, fp, n, ...) of sets that have as many of these keys as asked; a set's keys are no more than its prefix."""
+def enough(rows: DataFrame, least: Column) -> DataFrame:
+    """rows(key, fp, n, ...) of sets that have as many of these keys as `least`; a set's keys are no more than its prefix."""
     of_set = F.count("*").over(Window.partitionBy("fp"))
-    return rows.withColumn("keys", of_set).where(F.col("keys") >= asked).drop("keys")
+    return rows.withColumn("keys", of_set).where(F.col("keys") >= least).drop("keys")
 
 
-def _unsettled(rows: DataFrame, asked: Column, gone: list[DataFrame]) -> DataFrame:
+def _unsettled(rows: DataFrame, least: Column, gone: list[DataFrame]) -> DataFrame:
     """rows(key, fp, n, root, block) at keys that have sets of several components in several blocks, but for sets that
     have fewer such keys than a partner asks for. The table that it writes is added to gone."""
     ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("root", "block") for f in (F.min, F.max)]
     mixed = rows.groupBy("key").agg(*ends).where("root_min <> root_max and block_min <> block_max").select("key")
-    out = stored(_enough(rows.join(mixed, "key"), asked), "tree_rows")
+    out = stored(enough(rows.join(mixed, "key"), least), "tree_rows")
     gone.append(out)
     return out
 
@@ -258,27 +256,26 @@ def _merged(rows: DataFrame, links: DataFrame, gone: list[DataFrame]) -> DataFra
     return rows.join(up, rows["root"] == up["node"], "left").select(*[c for c in rows.columns if c != "root"], F.coalesce(up["root"], rows["root"]).alias("root"))
 
 
-def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int, several: bool = True) -> DataFrame:
-    """Links (u, v) that, with those behind `root`, join all sets that reach the similarity. several: prefixes are those of
-    prefix_of(), of which partners share l; else ones of which they share one shingle.
+def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (u, v) that, with those behind `root`, join all sets that reach the similarity.
 
     shared(key, fp, n, root): sets at each shingle of their prefixes that several have, with the component that they are
     known to be in (fp at first). picked(fp, text): a text of each of these sets. Both are tables.
     """
-    alone, asked = F.lit(None).cast("boolean").alias("probe"), _asked(percent, several)
+    alone, least = F.lit(None).cast("boolean").alias("probe"), asked(percent)
     home = stored(_homes(shared, 0), "tree_home")
     links = stored(_cell_links(home.select("fp", "root", F.col("block").alias("cell"), alone).join(picked, "fp"), percent, words), "tree_links")
     gone = [home, links]
-    rows = _unsettled(_merged(shared.join(home.select("fp", "block"), "fp"), links, gone), asked, gone)
+    rows = _unsettled(_merged(shared.join(home.select("fp", "block"), "fp"), links, gone), least, gone)
     # large blocks are dealt anew, so that what lies across them comes together in few links
     again = _homes(rows, 1).where("parts > 1").select("fp", "root", F.col("block").alias("cell"), alone)
     more = stored(_cell_links(again.join(picked, "fp"), percent, words), "tree_links")
     gone.append(more)
-    rows = _unsettled(_merged(rows, more, gone), asked, gone)
+    rows = _unsettled(_merged(rows, more, gone), least, gone)
     # a set meets another block if it shares as many keys with it as a partner there would ask for
     of_key = rows.select("key", F.col("block").alias("other")).distinct()
     met = rows.join(of_key, "key").where("block <> other").groupBy("fp", "block", "other").agg(F.count("*").alias("keys"), F.first("n").alias("n"), F.first("root").alias("root"))
-    met = met.where(F.col("keys") >= asked)
+    met = met.where(F.col("keys") >= least)
     across = met.select("fp", "root", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") < F.col("other")).alias("probe"))
     rest = _cell_links(across.join(picked, "fp"), percent, words)
     links = stored(links.unionByName(more).unionByName(rest), "tree_all_links")
@@ -302,7 +299,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     forget(facts)
     placed = distinct.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     several = placed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    shared = _enough(placed.join(several, "key").select("key", "fp", "n"), _asked(percent))
+    shared = enough(placed.join(several, "key").select("key", "fp", "n"), asked(percent))
     shared = stored(shared, "tree_shared")
     wanted = shared.select("fp").distinct()
     some = stored(each.select("id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("some")).select("some").distinct(), "tree_some")
