@@ -11,3 +11,28 @@ def test_ids_of_more_digits_stay_whole(spark):
     assert [tuple(r) for r in rows.select(extract_paper_id(F.col("t")), extract_paper_id(F.col("t"), True)).collect()] == [("2308.108308", "2308.108308"), ("2308.108308", "2308.108308"), ("2308.1083", "2308.1083"), (None, None)]
     raw = spark.createDataFrame([('{"ids": {"arxiv": "https://arxiv.org/abs/2001.185092"}}',)], "raw string")
     assert normalize_payload(raw, "openindex").first()["entry_id"] == "https://arxiv.org/abs/2001.185092"
+
+
+def test_papers_that_share_an_entry_are_one_node_each(spark):
+    from corpusgraph.operators.tables import paper_nodes
+
+    papers = spark.createDataFrame([(1, "one", "2001.10000"), (90001, "two", "2001.10000")], "id long, title string, arxiv_id string")
+    clusters = spark.createDataFrame([(1, 7)], "paper_id long, cluster_id int")
+    bronze = spark.createDataFrame([(1, "https://arxiv.org/abs/2001.10000", '{"authors": ["a"]}'), (90001, "https://arxiv.org/abs/2001.10000", '{"authors": ["b"]}')], "id long, entry_id string, payload string")
+    nodes = lambda b: sorted((r["id"], r["authors"]) for r in paper_nodes(papers, b, clusters).collect())
+    assert nodes(bronze) == [(1, "a"), (90001, "b")]
+    assert nodes(bronze.drop("id")) == [(1, "b"), (90001, "b")]
+
+
+def test_ties_are_settled_in_any_order(spark):
+    from corpusgraph.operators.tables import dedupe_edges, link_details
+
+    tied = [(1, 2, "SUPPORT", 0.5, r, 10) for r in ("r9", None, "r1", "r5")]
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    got = set()
+    for order in (tied, tied[::-1], tied[2:] + tied[:2]):
+        e = spark.createDataFrame([*order, (1, 2, "SIMILAR", 0.5, None, 11)], "source_id long, target_id long, kind string, strength double, reason string, seq long").coalesce(1)
+        kept = {r["kind"]: r["reason"] for r in dedupe_edges(e).collect()}
+        said = {r["reason"] for r in link_details(e, nodes).where("kind = 'SIMILAR'").collect()}
+        got.add((kept["SUPPORT"], *said))
+    assert got == {("r9", "r1")}
