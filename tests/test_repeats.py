@@ -36,3 +36,26 @@ def test_ties_are_settled_in_any_order(spark):
         said = {r["reason"] for r in link_details(e, nodes).where("kind = 'SIMILAR'").collect()}
         got.add((kept["SUPPORT"], *said))
     assert got == {("r9", "r1")}
+
+
+def test_a_full_block_of_vectors_takes_bounded_memory():
+    """The largest block that knn() makes of vectors of 64 numbers, against fewer queries than it may meet."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from corpusgraph.operators.neighbours import BLOCK_BYTES, _nearest
+
+    n = BLOCK_BYTES // (64 * 8)
+    v = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    block = pd.DataFrame({"id": np.arange(n), "v": list(v)})
+    tracemalloc.start()
+    got = _nearest(5, -1.0, [])((), block.iloc[:2048], block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    score = unit[:3] @ unit.T
+    score[np.arange(3), np.arange(3)] = -1
+    assert [sorted(got.loc[got["id"] == i, "neighbour"]) for i in range(3)] == [sorted(np.argsort(-score[i])[:5]) for i in range(3)]
