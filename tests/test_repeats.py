@@ -59,3 +59,17 @@ def test_a_full_block_of_vectors_takes_bounded_memory():
     score = unit[:3] @ unit.T
     score[np.arange(3), np.arange(3)] = -1
     assert [sorted(got.loc[got["id"] == i, "neighbour"]) for i in range(3)] == [sorted(np.argsort(-score[i])[:5]) for i in range(3)]
+
+
+def test_citations_by_rule_are_asked_of_what_is_found(spark, sf):
+    from corpusgraph.operators.neighbours import rank_candidates
+    from corpusgraph.plans.catalog import QUERIES
+
+    v = spark.range(60).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), F.lit("c").alias("composition"), F.lit("m").alias("model"))
+    anchors = v.where("id % 10 = 0").select("id")
+    rule = (F.col("anchor") + F.col("candidate")) % 7 == 0
+    pairs = anchors.select(F.col("id").alias("anchor")).crossJoin(v.select(F.col("id").alias("candidate"))).where(rule)
+    got, want = (sorted(map(tuple, rank_candidates(v, anchors, c, 20).select("anchor", "candidate", "rank", "is_cited").collect())) for c in (rule, pairs))
+    assert got == want and {r[-1] for r in got} == {True, False}
+    plan = QUERIES["rank_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2  # the anchors' vectors of each composition; no table of cited pairs
