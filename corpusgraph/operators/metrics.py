@@ -130,11 +130,13 @@ def bridge_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 def win_rates(scores: DataFrame) -> DataFrame:
     """scores(item, method, score) -> avg_score, share of positive scores and win_rate of a method; methods that share
     the top score of an item share its win."""
-    top = F.max("score").over(Window.partitionBy("item"))
-    s = scores.withColumn("top", top)
-    tied = F.count_if(F.col("score") == F.col("top")).over(Window.partitionBy("item"))
+    w = Window.partitionBy("item")
+    before = w.orderBy("method")  # the first row of a method in an item counts the item, so one sort by item does it all
+    first = (F.row_number().over(before) == 1) | ~F.lag("method").over(before).eqNullSafe(F.col("method"))
+    s = scores.withColumn("first", first & F.col("item").isNotNull()).withColumn("top", F.max("score").over(w))
+    tied = F.count_if(F.col("score") == F.col("top")).over(w)
     s = s.withColumn("win", F.when(F.col("score") == F.col("top"), 1 / tied).otherwise(0.0))
-    return s.groupBy("method").agg(F.avg("score").alias("avg_score"), F.avg((F.col("score") > 0).cast("double")).alias("positive"), (F.sum("win") / F.count_distinct("item")).alias("win_rate"))
+    return s.groupBy("method").agg(F.avg("score").alias("avg_score"), F.avg((F.col("score") > 0).cast("double")).alias("positive"), (F.sum("win") / F.count_if("first")).alias("win_rate"))
 
 
 def centered(accuracy: Column, baseline: Column) -> Column:

@@ -73,3 +73,12 @@ def test_citations_by_rule_are_asked_of_what_is_found(spark, sf):
     assert got == want and {r[-1] for r in got} == {True, False}
     plan = QUERIES["rank_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 2  # the anchors' vectors of each composition; no table of cited pairs
+
+
+def test_win_rates_take_one_shuffle_of_the_scores(spark):
+    from corpusgraph.operators.metrics import win_rates
+
+    rows = [(1, "a", 2.0), (1, "a", 1.0), (1, "b", 2.0), (2, "b", 0.0), (2, "a", 3.0), (3, "b", 1.0), (3, "b", 1.0), (None, "a", 1.0)]
+    rates = win_rates(spark.createDataFrame(rows, "item long, method string, score double"))
+    assert {r["method"]: (r["avg_score"], r["positive"], r["win_rate"]) for r in rates.collect()} == {"a": (1.75, 1.0, 1.25), "b": (1.0, 0.75, 0.5)}
+    assert rates._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by item, and the methods' sums
