@@ -122,7 +122,8 @@ o AS (SELECT *, min(CASE WHEN upto > 350000 AND size > 0 THEN page END) OVER (PA
 k AS (SELECT *, CASE WHEN stop IS NULL OR page < stop THEN t WHEN page = stop AND 350000 - (upto - size) > 200 THEN CASE WHEN length(t) <= 350000 - (upto - size) THEN t ELSE trim(regexp_replace(substr(t, 1, CAST(350000 - (upto - size) AS BIGINT)), ' [^ ]*$', '')) END END AS kept FROM o)
 SELECT id, md5(coalesce(string_agg(nullif(kept, ''), chr(10) || chr(10) ORDER BY page), '')) AS digest, CASE WHEN count(nullif(kept, '')) > 0 THEN 'pdf' ELSE 'empty_pdf' END AS source, any_value(stop) IS NOT NULL AS truncated, count(*) FILTER (stop IS NULL OR page < stop) AS pages_processed FROM k GROUP BY 1""")
 def assemble_pages(spark, sf_dir):
-    pages = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("page"))
+    placed = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a text moves once, not with each page
+    pages = placed.select("id", "text", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("page"))
     pages = pages.select("id", "page", F.when(F.col("page") % 7 == 3, "  ").otherwise(F.concat("text", F.lit(" "), F.col("page").cast("string"))).alias("t"))
     return T.assemble_pages(pages, "id", "page", "t").select("id", F.md5("full_text").alias("digest"), "source", "truncated", "pages_processed")
 

@@ -80,5 +80,12 @@ def test_win_rates_take_one_shuffle_of_the_scores(spark):
 
     rows = [(1, "a", 2.0), (1, "a", 1.0), (1, "b", 2.0), (2, "b", 0.0), (2, "a", 3.0), (3, "b", 1.0), (3, "b", 1.0), (None, "a", 1.0)]
     rates = win_rates(spark.createDataFrame(rows, "item long, method string, score double"))
-    assert {r["method"]: (r["avg_score"], r["positive"], r["win_rate"]) for r in rates.collect()} == {"a": (1.75, 1.0, 1.25), "b": (1.0, 0.75, 0.5)}
     assert rates._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by item, and the methods' sums
+    assert {r["method"]: (r["avg_score"], r["positive"], r["win_rate"]) for r in rates.collect()} == {"a": (1.75, 1.0, 1.25), "b": (1.0, 0.75, 0.5)}
+
+
+def test_pages_of_placed_documents_are_not_shuffled_again(spark, sf):
+    from corpusgraph.plans.catalog import QUERIES
+
+    plan = QUERIES["assemble_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")  # below it: documents, not pages
