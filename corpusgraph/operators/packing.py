@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def pack(df: DataFrame, capacity: int, buffer: int = 1000, pad: int | None = None, key: str = "id", tokens: str = "tokens", mask: str | None = None, marker: int | None = None, shards: int | None = None, shard_tokens: int = 1 << 20) -> DataFrame:
@@ -113,7 +113,7 @@ def common_prefix(options: Column) -> Column:
 
 def common_suffix(options: Column) -> Column:
     """How many trailing items all arrays of an array share."""
-    return common_prefix(F.transform(options, F.reverse))
+    return let(F.transform(options, F.reverse), common_prefix)
 
 
 def answer_spans(options: Column, kind: str, most: int | None = None) -> Column:
@@ -123,9 +123,9 @@ def answer_spans(options: Column, kind: str, most: int | None = None) -> Column:
     if kind == "language":
         spans = F.array(F.struct(options[1].alias("tokens"), F.size(options[0]).alias("start")))
     elif kind == "choices":
-        spans = F.transform(options, lambda o: F.struct(o.alias("tokens"), common_prefix(options).alias("start")))
+        spans = let(options, lambda x: let(common_prefix(x), lambda n: F.transform(x, lambda o: F.struct(o.alias("tokens"), n.alias("start")))))
     elif kind == "schema":
-        spans = F.transform(options, lambda o: F.struct(o.alias("tokens"), (F.size(o) - common_suffix(options)).alias("start")))
+        spans = let(options, lambda x: let(common_suffix(x), lambda n: F.transform(x, lambda o: F.struct(o.alias("tokens"), (F.size(o) - n).alias("start")))))
     else:
         raise ValueError(f"unknown kind {kind}")
     cut = lambda s: left_truncate(s["tokens"], s["start"], most) if most is not None else s

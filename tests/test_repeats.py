@@ -89,3 +89,11 @@ def test_pages_of_placed_documents_are_not_shuffled_again(spark, sf):
 
     plan = QUERIES["assemble_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")  # below it: documents, not pages
+
+
+def test_options_are_turned_once_for_their_common_end(spark):
+    from corpusgraph.operators.packing import answer_spans
+
+    rows = spark.createDataFrame([([["a", "x", "y"], ["b", "c", "x", "y"]],)], "o array<array<string>>").select(answer_spans(F.col("o"), "schema").alias("s"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+    assert [(s["start"], s["end"]) for s in rows.first()["s"]] == [(1, 3), (2, 4)]
