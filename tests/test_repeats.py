@@ -97,3 +97,16 @@ def test_options_are_turned_once_for_their_common_end(spark):
     rows = spark.createDataFrame([([["a", "x", "y"], ["b", "c", "x", "y"]],)], "o array<array<string>>").select(answer_spans(F.col("o"), "schema").alias("s"))
     assert rows._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
     assert [(s["start"], s["end"]) for s in rows.first()["s"]] == [(1, 3), (2, 4)]
+
+
+def test_upserts_keep_papers_that_share_an_arxiv_id(spark):
+    from corpusgraph.operators.tables import upsert_papers
+
+    columns = "id long, arxiv_id string, ss_id string, full_text string, conclusion string, tldr string, full_text_source string"
+    table = lambda *rows: spark.createDataFrame([(*r, None, None, "x") for r in rows], columns)
+    merge = lambda t, s: sorted((r["id"] or 0, r["arxiv_id"], r["ss_id"], r["full_text"]) for r in upsert_papers(table(*t), table(*s)).collect())
+    none = (99, "z", None, "z")
+    assert merge([none], [(1, "a", None, "one"), (90001, "a", None, "two")]) == [(1, "a", None, "one"), (*none,), (90001, "a", None, "two")]
+    assert merge([(1, "a", "s1", "t1"), (2, "a", "s2", "t2")], [(None, "a", "s1", "one"), (None, "a", "s2", "twice")]) == [(1, "a", "s1", "one"), (2, "a", "s2", "twice")]
+    assert merge([(1, "a", None, "t")], [(1, "a", None, "one"), (2, "a", None, "two"), (None, "b", "s3", "3"), (None, "b", "s4", "4")]) == [(0, "b", "s3", "3"), (0, "b", "s4", "4"), (1, "a", None, "one"), (2, "a", None, "two")]
+    assert merge([(1, "a", None, "t"), (2, None, "s2", "u")], [(None, "a", "s9", "new"), (7, "c", "s2", "by ss")]) == [(1, "a", "s9", "new"), (2, "c", "s2", "by ss")]
