@@ -73,17 +73,17 @@ _INDEX = "kind string, value string, pid string, id long"
 
 
 def paper_key() -> Column:
-    """What names a paper: its arxiv_id, else its ss_id, else its id."""
-    return F.coalesce(F.concat(F.lit("a"), "arxiv_id"), F.concat(F.lit("s"), "ss_id"), F.concat(F.lit("i"), F.col("id").cast("string")))
+    """What names a paper: its id, else its arxiv_id, else its ss_id. Papers may share an arxiv_id, but no id."""
+    return F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.concat(F.lit("a"), "arxiv_id"), F.concat(F.lit("s"), "ss_id"))
 
 
 class History:
-    """The newest row of each key, as a snapshot and the batches since, all in buckets by key: a reader of some keys reads
+    """The newest row of each key (and of each of `per` for it), as a snapshot and the batches since, all in buckets by key: a reader of some keys reads
     their buckets alone, and batches are merged into a new snapshot when there are `every` of them, so reads don't grow
     with the number of batches. A batch's folder is overwritten when it is replayed, and what it reads ends before it."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64, every: int = 8):
-        self.spark, self.path, self.schema, self.keys, self.buckets, self.every = spark, path, schema, keys, buckets, every
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], per: tuple[str, ...] = (), buckets: int = 64, every: int = 8):
+        self.spark, self.path, self.schema, self.keys, self.per, self.buckets, self.every = spark, path, schema, keys, per, buckets, every
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -113,13 +113,13 @@ class History:
             wanted = wanted.select(self.keys).distinct()
             rows = rows.where(F.col("bucket").isin([r[0] for r in wanted.select(self.bucket()).distinct().collect()])).join(wanted, self.keys, "left_semi")
         names = [f.name for f in rows.schema if f.name not in ("batch", "bucket")]
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "batch").alias("r")).select("r.*")
+        return rows.groupBy(*self.keys, *self.per).agg(F.max_by(F.struct(*names), "batch").alias("r")).select("r.*")
 
     def _write(self, rows: DataFrame, kind: str, n: int) -> None:
         rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={n}")
 
     def add(self, rows: DataFrame, n: int) -> None:
-        """Rows of batch n, one for each key."""
+        """Rows of batch n, one for each key and what is kept for it."""
         self._write(rows, "delta", n)
         if len(self.parts()[1]) >= self.every:
             self._write(self.read(), "snapshot", n)
@@ -136,9 +136,9 @@ def current_papers(spark: SparkSession, out: str) -> DataFrame:
 
 def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str, stages: tuple[str, ...] = ("papers", "chunks", "edges")) -> StreamingQuery:
     """Papers, their chunks and their edges, batch by batch, under out; stages left out are skipped. A batch writes the
-    papers it changes, merged with what was known of them by arxiv_id, else by ss_id, and their chunks and edges, each in a
-    folder of its own, so a replayed batch overwrites itself. A paper that was known by ss_id alone is superseded when its
-    arxiv_id comes. What is known is a History of papers and one of the ids that find them, of which a batch reads the
+    papers it changes, merged with what was known of them by id, else by arxiv_id, else by ss_id, and their chunks and edges,
+    each in a folder of its own, so a replayed batch overwrites itself. A paper that was known without an id is superseded
+    when its id comes. What is known is a History of papers and one of the ids that find them, of which a batch reads the
     buckets of its own ids; current_papers() and current() read the newest rows."""
     raw = spark.readStream.schema(PAPERS).json(source)
 
@@ -149,7 +149,7 @@ def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str,
 
     def write(batch: DataFrame, n: int) -> None:
         session, save = batch.sparkSession, lambda df, what: df.write.mode("overwrite").parquet(f"{out}/{what}/batch={n}")
-        papers, index = paper_history(session, out), History(session, f"{out}/ids", _INDEX, ["kind", "value"])
+        papers, index = paper_history(session, out), History(session, f"{out}/ids", _INDEX, ["kind", "value"], ("pid",))
         new = batch.select(_COLUMNS)
         if "papers" in stages:
             found = index.read(n, ids_of(new.select("arxiv_id", "ss_id", F.lit(None).cast("string").alias("doi"))))
@@ -159,7 +159,7 @@ def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str,
             left = old.join(rows.select("pid"), "pid", "left_anti").withColumn("deleted", F.lit(True))
             papers.add(rows.unionByName(left.select(rows.columns)), n)
             new = session.read.schema(f"{_STATE}, bucket int").parquet(f"{out}/papers/delta/batch={n}").where("not deleted").select("pid", *_COLUMNS)
-            index.add(ids_of(new).dropDuplicates(["kind", "value"]).select("kind", "value", "pid", "id"), n)
+            index.add(ids_of(new).select("kind", "value", "pid", "id"), n)
         if "chunks" in stages:
             save(chunk_corpus(new), "chunks")
         if "edges" in stages:
@@ -168,7 +168,7 @@ def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str,
             if "papers" in stages:
                 asked = ids_of(cited.select("arxiv_id", F.col("ss_paper_id").alias("ss_id"), "doi"))
                 one = lambda kind, c: F.when(F.col("kind") == kind, F.col("value")).alias(c)
-                every = index.read(n + 1, asked).select("id", one("arxiv", "arxiv_id"), one("ss", "ss_id"), one("doi", "doi"))
+                every = index.read(n + 1, asked).where("id is not null").select("id", one("arxiv", "arxiv_id"), one("ss", "ss_id"), one("doi", "doi"))
             save(build_edges(every, cited, batch.where("neighbours is not null").select("id", "neighbours")), "edges")
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -110,3 +110,18 @@ def test_upserts_keep_papers_that_share_an_arxiv_id(spark):
     assert merge([(1, "a", "s1", "t1"), (2, "a", "s2", "t2")], [(None, "a", "s1", "one"), (None, "a", "s2", "twice")]) == [(1, "a", "s1", "one"), (2, "a", "s2", "twice")]
     assert merge([(1, "a", None, "t")], [(1, "a", None, "one"), (2, "a", None, "two"), (None, "b", "s3", "3"), (None, "b", "s4", "4")]) == [(0, "b", "s3", "3"), (0, "b", "s4", "4"), (1, "a", None, "one"), (2, "a", None, "two")]
     assert merge([(1, "a", None, "t"), (2, None, "s2", "u")], [(None, "a", "s9", "new"), (7, "c", "s2", "by ss")]) == [(1, "a", "s9", "new"), (2, "c", "s2", "by ss")]
+
+
+def test_streams_keep_papers_that_share_an_arxiv_id(spark, tmp_path):
+    import json
+
+    from corpusgraph.streaming import incremental as I
+
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    for name, rows in (("a", [(1, "x"), (2, "x"), (3, "y")]), ("b", [(1, "x"), (2, "x"), (4, "x")])):
+        (raw / f"{name}.json").write_text("\n".join(json.dumps({"id": i, "arxiv_id": a, "title": f"{name}{i}", "refs": [{"arxiv_id": "x"}]}) for i, a in rows))
+        I.stream_pipeline(spark, str(raw), out, str(tmp_path / "cp"), ("papers", "edges")).awaitTermination()
+    assert sorted((r["id"], r["title"]) for r in I.current_papers(spark, out).collect()) == [(1, "b1"), (2, "b2"), (3, "a3"), (4, "b4")]
+    edges = I.current(spark, out + "/edges", ["source_id", "target_id", "kind"]).collect()
+    assert sorted((r["source_id"], r["target_id"]) for r in edges) == [(1, 2), (1, 4), (2, 1), (2, 4), (3, 1), (3, 2), (4, 1), (4, 2)]
