@@ -125,3 +125,28 @@ def test_streams_keep_papers_that_share_an_arxiv_id(spark, tmp_path):
     assert sorted((r["id"], r["title"]) for r in I.current_papers(spark, out).collect()) == [(1, "b1"), (2, "b2"), (3, "a3"), (4, "b4")]
     edges = I.current(spark, out + "/edges", ["source_id", "target_id", "kind"]).collect()
     assert sorted((r["source_id"], r["target_id"]) for r in edges) == [(1, 2), (1, 4), (2, 1), (2, 4), (3, 1), (3, 2), (4, 1), (4, 2)]
+
+
+def test_many_buckets_are_met_in_blocks(spark):
+    """Wide searches find what a walk through the buckets finds, with few and with many candidates, without a copy for each
+    bucket."""
+    import numpy as np
+
+    from corpusgraph.operators import neighbours as N
+
+    v = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
+    v[200:210] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    score = unit @ unit.T
+    for tables, bits, probes in ((8, 3, 1), (2, 3, 4), (1, 2, 4)):
+        own, asked = N.lsh_codes(v.astype(np.float64), tables, bits, 1)[..., 0], N.lsh_codes(v.astype(np.float64), tables, bits, probes)
+        got = N.knn_approx(df, 7, tables=tables, bits=bits, probes=probes)
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+        found = {}
+        for r in got.collect():
+            found.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+        for i in range(400):
+            near = (asked[i][None] == own[:, :, None]).any((1, 2)) & (np.arange(400) != i)
+            want = sorted(np.nonzero(near)[0], key=lambda j: (-round(score[i, j], 9), j))[:7]
+            assert [n for _, n in sorted(found.get(i, []))] == want, (i, tables)
