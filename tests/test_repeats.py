@@ -150,3 +150,16 @@ def test_many_buckets_are_met_in_blocks(spark):
             near = (asked[i][None] == own[:, :, None]).any((1, 2)) & (np.arange(400) != i)
             want = sorted(np.nonzero(near)[0], key=lambda j: (-round(score[i, j], 9), j))[:7]
             assert [n for _, n in sorted(found.get(i, []))] == want, (i, tables)
+
+
+def test_conclusions_are_looked_for_once(spark):
+    from corpusgraph.functions.text import extract_conclusion, extract_conclusion_simple
+
+    para = "We have  shown\tthat the method works on\n all of the sets that were tried in this study."
+    text = f"Intro\n\n2 Conclusion\n{para}\n \n{para} $x$ and\r\nmore\n\n3. Appendix\nleft out"
+    rows = spark.createDataFrame([(text,)], "t string").select(extract_conclusion(F.col("t")).alias("a"), extract_conclusion_simple(F.col("t")).alias("b"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Bibliography") == 2  # once for each variant
+    assert plan.count("Concluding") == 3  # asked for and taken, and its place
+    flat = "We have shown that the method works on all of the sets that were tried in this study."
+    assert tuple(rows.first()) == (f"{flat}\n\n{flat} and more", f"Conclusion {flat} {flat} and more")
