@@ -163,3 +163,18 @@ def test_conclusions_are_looked_for_once(spark):
     assert plan.count("Concluding") == 3  # asked for and taken, and its place
     flat = "We have shown that the method works on all of the sets that were tried in this study."
     assert tuple(rows.first()) == (f"{flat}\n\n{flat} and more", f"Conclusion {flat} {flat} and more")
+
+
+def test_encoders_get_a_few_texts_of_a_batch_at_once(spark):
+    from corpusgraph.operators.neighbours import hash_embed
+
+    def load():
+        def wary(texts):  # what it is given fills its memory
+            assert 0 < len(texts) <= 256 and texts == sorted(texts, key=len)
+            return [[float(len(t))] for t in texts]
+
+        return wary
+
+    df = spark.range(0, 1500, 1, 1).select("id", F.when(F.col("id") % 5 != 0, F.expr("repeat('x', int(id % 37))")).alias("text"))
+    got = {r["id"]: r["embedding"] for r in hash_embed(df, "text", load=load).collect()}
+    assert got == {i: [float(i % 37)] if i % 5 else None for i in range(1500)}
