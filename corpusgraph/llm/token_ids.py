@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,8 @@ from .common import held, shared_dir, texts
 
 #: Ids of a block, and of a chunk about (a longer document has a chunk of its own).
 BLOCK, CHUNK = 16_384, 262_144
+#: Bytes of text that are encoded at once, about: the words that come again among them are looked up once.
+TEXT = 1 << 21
 CHUNKS = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block int, bits boolean, planes array<int>, payload binary"
 
 
@@ -48,6 +51,7 @@ class Encoder:
 
     MARKS = ".,;:!?*#$%&|"
     _SPACE = re.compile(r"[^\S \n]")
+    _WORD = re.compile(r" \S+")
 
     def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,11 +61,25 @@ class Encoder:
         self.in_parts = made["model"]["type"] == "BPE" and not made.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.special = [x["content"] for x in made.get("added_tokens", ())]
         self.young, self.old, self.keep = {}, {}, keep
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens whose first byte is a space
+        self.begins[[i for x, i in vocab.items() if x[:1] in ("\u0120", " ")]] = True
+        self.joins = self.in_parts and not any(c.isspace() for x in self.special for c in x)
         self.line_feed = self._ids(["\n"])[0]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """The same for parts that are a space and a word, which are encoded as one text: a word's ids begin with the one
+        token in it that begins with a space."""
+        raw = self._ids(["".join(words)])[0]
+        at = np.flatnonzero(self.begins[np.frombuffer(raw, np.uint32)])
+        if len(at) != len(words) or at[0]:
+            return self._ids(words)
+        ends = (4 * at).tolist() + [len(raw)]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of all parts, of which those not seen are encoded; the younger generation then holds them all."""
         young, old = self.young, self.old
@@ -70,11 +88,9 @@ class Encoder:
             self.old, self.young = young, {}
             young, old, new = self.young, self.old, parts
         fresh, split = [], []
-        for p in new:
-            got = old.get(p)
-            if got is not None:
-                young[p] = got
-                continue
+        again = [p for p in new if p in old] if old else []
+        young.update(zip(again, map(old.__getitem__, again)))
+        for p in new.difference(again):
             core = p.rstrip(self.MARKS)
             if core != p and core and core[-1] <= "\u024f" and core[-1].isalpha():
                 split.append((p, core))
@@ -82,9 +98,11 @@ class Encoder:
                 fresh.append(p)
         cores = {x for p, core in split for x in (core, p[len(core) :])}
         fresh += [x for x in cores if x not in young and x not in new]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            young.update(zip(some, self._ids(some)))
+        words = list(filter(self._WORD.fullmatch, fresh)) if self.joins else []
+        rest = list(set(fresh).difference(words))
+        for some, ids_of, most in ((words, self._ids_of_words, 2_000), (rest, self._ids, 20_000)):
+            for at in range(0, len(some), most):
+                young.update(zip(some[at : at + most], ids_of(some[at : at + most])))
         for p, core in split:
             young[p] = self._known(core) + self._known(p[len(core) :])
         return young
@@ -130,6 +148,15 @@ def encoder(path: str) -> Encoder:
     return held(f"encoder {path}", lambda: Encoder(path))
 
 
+def slices(text: pa.Array, most: int = TEXT) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows that follow one another, with about so many bytes of text together and one row at least."""
+    total, at = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(total):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def pack(ids: np.ndarray, block: int, bits: bool, level: int = 3) -> tuple[list[int], bytes]:
     """(length of each compressed plane, the planes): block by block, from the lowest plane."""
     squeeze, sizes, out = zstandard.ZstdCompressor(level=level), [], []
@@ -191,8 +218,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 64):
-                for i, made in zip(ids[at : at + 64], enc.encode(batch.column(1).slice(at, 64).to_pylist())):
+            for at, to in slices(batch.column(1)):
+                for i, made in zip(ids[at:to], enc.encode(batch.column(1).slice(at, to - at).to_pylist())):
                     held_ids.append(i)
                     held.append(made + end)
                     n += len(made) // 4 + 1

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -424,6 +425,21 @@ def test_planes():
             assert (token_ids.unpack(n, 64, bits, sizes, payload) == ids).all()
 
 
+def test_words_are_encoded_as_one_text():
+    """Words not seen before reach the tokenizer together; parts with other white space or marks keep their own ids."""
+    enc = token_ids.Encoder(token_ids.default_tokenizer())
+    whole, ask = enc._ids, []
+    enc._ids = lambda parts: ask.extend(parts) or whole(parts)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdxyzéß漢😀'19_-", k=rng.randint(1, 9)))
+    words = [word() for _ in range(9_000)]
+    texts = [" ".join(words), "x" + "".join(rng.choice((" ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000")) + w for w in words[:500]), "", " ", " a", "a ", " a\tb c", "\u0120 \u0120a"]
+    assert enc.encode(texts) == whole(texts)
+    assert len(ask) < 1_500
+    assert list(token_ids.slices(pa.array(["ab", None, "c" * 90, "", "d"]), 5)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(token_ids.slices(pa.array([], pa.string()))) == []
+
+
 def test_encoder_parts():
     rng = random.Random(5)
     enc = token_ids.Encoder(token_ids.default_tokenizer(), keep=60)
