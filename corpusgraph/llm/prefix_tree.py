@@ -77,6 +77,18 @@ def asked(percent: int) -> Column:
     return 1 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4)
 
 
+def beside(placed: DataFrame, percent: int) -> DataFrame:
+    """placed(key, fp, n, ...), a row for each key of a set's prefix, where the key has a set of a size that could be a
+    partner's; with `after`, the row of the next larger set of the key, if that could be one. Sets of one key stand in the
+    order of their sizes, so if neither neighbour could be a partner, none can. Keys are dealt out once."""
+    of_key = Window.partitionBy("key").orderBy("n", "fp")
+    row = F.struct(*[c for c in placed.columns if c != "key"])
+    with_next = placed.withColumn("after", F.lead(row).over(of_key)).withColumn("before", F.lag("n").over(of_key))
+    fits = 100 * F.col("n") >= percent * F.col("after.n")
+    with_next = with_next.where(fits | (100 * F.col("before") >= percent * F.col("n")))
+    return with_next.withColumn("after", F.when(fits, F.col("after"))).drop("before")
+
+
 def enough(rows: DataFrame, least: Column) -> DataFrame:
     """rows(key, fp, n, ...) of sets that have as many of these keys as `least`; a set's keys are no more than its prefix."""
     of_set = F.count("*").over(Window.partitionBy("fp"))
@@ -273,8 +285,10 @@ def still_apart(shared: DataFrame, picked: DataFrame, percent: int, words: int)
     gone.append(more)
     rows = _unsettled(_merged(rows, more, gone), least, gone)
     # a set meets another block if it shares as many keys with it as a partner there would ask for
-    of_key = rows.select("key", F.col("block").alias("other")).distinct()
-    met = rows.join(of_key, "key").where("block <> other").groupBy("fp", "block", "other").agg(F.count("*").alias("keys"), F.first("n").alias("n"), F.first("root").alias("root"))
+    # and if a set of the key there has a size that could be a partner's
+    of_key = rows.groupBy("key", F.col("block").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    met = rows.join(of_key, (rows["key"] == of_key["key"]) & (rows["block"] != of_key["other"]) & sizes).groupBy("fp", "block", "other").agg(F.count("*").alias("keys"), F.first("n").alias("n"), F.first("root").alias("root"))
     met = met.where(F.col("keys") >= least)
     across = met.select("fp", "root", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") < F.col("other")).alias("probe"))
     rest = _cell_links(across.join(picked, "fp"), percent, words)
@@ -298,8 +312,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     each = stored(facts.select("id", "fp", "n"), "tree_each")
     forget(facts)
     placed = distinct.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
-    several = placed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    shared = enough(placed.join(several, "key").select("key", "fp", "n"), asked(percent))
+    shared = enough(beside(placed, percent).select("key", "fp", "n"), asked(percent))
     shared = stored(shared, "tree_shared")
     wanted = shared.select("fp").distinct()
     some = stored(each.select("id", "fp").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("some")).select("some").distinct(), "tree_some")

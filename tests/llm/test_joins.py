@@ -79,6 +79,21 @@ def test_ngram_join_across_blocks(spark, monkeypatch):
     assert [got[k] for k in range(120)] == want and 1 < len(set(want)) < 120
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_keys_shared_by_sets_of_other_sizes_alone_are_left_out(spark, percent):
+    """A key whose sets can't be partners by their sizes makes no rows; those that can be are all kept, in one shuffle."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(60), fp, rng.choice((1, 9, 10, 11, 80, 100, 101, 125, 500))) for fp in range(150)]
+    placed = spark.createDataFrame(rows, "key long, fp long, n int")
+    fit = lambda a, b: 100 * min(a, b) >= percent * max(a, b)
+    want = {(k, f, n) for k, f, n in rows if any(k == k2 and f != f2 and fit(n, n2) for k2, f2, n2 in rows)}
+    made = prefix_tree.beside(placed, percent)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = made.collect()
+    assert {(r["key"], r["fp"], r["n"]) for r in got} == want and len(got) == len(want) < len(rows)
+    assert all(r["after"] is None or fit(r["n"], r["after"]["n"]) and (r["key"], r["after"]["fp"], r["after"]["n"]) in want for r in got)
+
+
 @pytest.mark.parametrize("probes", [None, 9])
 def test_prefix_tree_finds_a_spanning_forest(probes):
     rng = random.Random(7)
