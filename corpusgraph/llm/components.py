@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored
 
+#: Edges of a partition in the rounds, about.
+ROWS = 50_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Two sums that change when the set of edges does."""
@@ -15,7 +18,13 @@ def _mark(edges: DataFrame) -> tuple:
     return got["n"], got["s"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _fewer(rows: DataFrame, edges: int) -> DataFrame:
+    """rows in as many partitions as so many edges need: those of a shuffle suit the input, of which edges are a small part."""
+    parts = -(-edges // ROWS)
+    return rows.coalesce(parts) if 0 < parts < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # large: every neighbour above u is linked to the least of u and its neighbours; small: every one below u, and u
     near = both if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -25,7 +34,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return _fewer(_fewer(out.where("u <> v"), n).distinct(), n)
 
 
 def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,10 +45,13 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = stored(pairs.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(edges)
+    if (few := _fewer(edges, mark[0])) is not edges:  # each round reads them several times, so first their files become few
+        old, edges = edges, stored(few, "edges")
+        forget(old)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        old, edges = edges, stored(_star(_star(edges, True), False), "edges")
+        old, edges = edges, stored(_star(_star(edges, True, mark[0]), False, mark[0]), "edges")
         forget(old)
         now = _mark(edges)
         if now == mark:

@@ -160,6 +160,24 @@ def test_components(spark):
     assert got == {x: root[x] for x in linked}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("few edges", "")
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r["root"] for r in found.collect()} == {0} and found.count() == 301
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    status = spark.sparkContext.statusTracker()
+    stages = {i for job in status.getJobIdsForGroup("few edges") for i in status.getJobInfo(job).stageIds}
+    # the first table has a task for each partition of its shuffle; no round has
+    assert 40 <= sum(x.numCompletedTasks for i in stages if (x := status.getStageInfo(i))) < 200
+
+
 # Substrings
 
 
