@@ -30,7 +30,7 @@ from .common import held, shared_dir, texts
 #: Ids of a block, and of a chunk about (a longer document has a chunk of its own).
 BLOCK, CHUNK = 16_384, 262_144
 #: Bytes of text that are encoded at once, about: the words that come again among them are looked up once.
-TEXT = 1 << 21
+TEXT = 1 << 24
 CHUNKS = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block int, bits boolean, planes array<int>, payload binary"
 
 
@@ -87,24 +87,28 @@ class Encoder:
         if len(young) + len(new) > self.keep:
             self.old, self.young = young, {}
             young, old, new = self.young, self.old, parts
-        fresh, split = [], []
+        fresh, split, cores = [], [], []
         again = [p for p in new if p in old] if old else []
         young.update(zip(again, map(old.__getitem__, again)))
-        for p in new.difference(again):
+        for p in new.difference(again) if again else new:
             core = p.rstrip(self.MARKS)
             if core != p and core and core[-1] <= "\u024f" and core[-1].isalpha():
-                split.append((p, core))
+                split.append(p)
+                cores.append(core)
             else:
                 fresh.append(p)
-        cores = {x for p, core in split for x in (core, p[len(core) :])}
-        fresh += [x for x in cores if x not in young and x not in new]
-        words = list(filter(self._WORD.fullmatch, fresh)) if self.joins else []
-        rest = list(set(fresh).difference(words))
+        marks = [p[len(core) :] for p, core in zip(split, cores)]
+        fresh += [x for x in {*cores, *marks} if x not in young and x not in new]
+        words, rest = [], []
+        alone = self._WORD.fullmatch if self.joins else lambda p: None
+        for p in fresh:
+            (words if alone(p) else rest).append(p)
         for some, ids_of, most in ((words, self._ids_of_words, 2_000), (rest, self._ids, 20_000)):
             for at in range(0, len(some), most):
                 young.update(zip(some[at : at + most], ids_of(some[at : at + most])))
-        for p, core in split:
-            young[p] = self._known(core) + self._known(p[len(core) :])
+        get, known = young.get, self._known
+        for p, core, mark in zip(split, cores, marks):
+            young[p] = (get(core) or known(core)) + (get(mark) or known(mark))
         return young
 
     def _known(self, part: str) -> bytes:
@@ -124,11 +128,32 @@ class Encoder:
             whole = [any(s in x for s in self.special) for x in texts]
             rest = iter(self.encode([x for x, w in zip(texts, whole) if not w]))
             return [self._ids([x])[0] if w else next(rest) for x, w in zip(texts, whole)]
-        # a line's first word has no space before it; the others get theirs from the marked split
-        split = [[line.replace(" ", "\0 ").split("\0") for line in x.split("\n")] if "\0" not in x and self.plain(x) else [pieces(x)] for x in texts]
-        known = self._learn(set(chain.from_iterable(line for lines in split for line in lines)))
-        get = known.__getitem__
-        return [self.line_feed.join([b"".join(map(get, line)) for line in lines]) for lines in split]
+        plain = ["\0" not in x and self.plain(x) for x in texts]
+        rest = [None if p else pieces(x) for x, p in zip(texts, plain)]
+        get = self._learn(set(chain.from_iterable(filter(None, rest)))).__getitem__
+        rest = [None if x is None else b"".join(map(get, x)) for x in rest]
+        made = self._ids_of_plain([x for x, p in zip(texts, plain) if p])
+        return [next(made) if x is None else x for x in rest]
+
+    def _ids_of_plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts without NUL that are plain(). Parts become numbers in Arrow, so each different one is looked up
+        once. A line's first word has no space before it; the others get theirs from the marked split; a line feed is a
+        part of its own."""
+        if not texts:
+            return
+        marked = "\0".join(texts).replace("\n", "\0\n\0").replace(" ", "\0 ")
+        parts = pc.split_pattern(pa.array([marked], pa.large_string()), "\0").values.dictionary_encode()
+        different, of = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        known = list(map(self._learn(set(different)).__getitem__, different))
+        ids = np.frombuffer(b"".join(known), np.uint32)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        n = lengths[of]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat((np.cumsum(lengths) - lengths)[of] - (ends - n), n) + np.arange(ends[-1])]
+        at = 0
+        for last in np.cumsum([1 + x.count(" ") + 2 * x.count("\n") for x in texts]) - 1:
+            yield ids[at : ends[last]].tobytes()
+            at = ends[last]
 
 
 def pieces(text: str) -> list[str]:

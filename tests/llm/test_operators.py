@@ -407,6 +407,19 @@ def test_mixing(spark):
 # Token ids
 
 
+def test_token_ids_of_plain_texts_among_others():
+    made = token_ids.Encoder(token_ids.default_tokenizer(), keep=50)
+    rng = random.Random(8)
+    words = ["a", "of", "ofenaning.", "Edin***", "\u00e9tre", "\u4f60\u597d", "x1y2", "don't", "7", ".", "\U0001f600", "onder###", "A.,"]
+    plain = ["\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    odd = ["", " ", "a  b", "a\0b of", "\0", "a\tb of", " of", "of ", "a\n\nb", "</s> of", "<|endoftext|>", "a\u00a0b of"]
+    mixed = plain + odd + plain[:20]
+    rng.shuffle(mixed)
+    want = [made._ids([x])[0] for x in mixed]
+    assert made.encode(mixed) == want and made.encode(mixed) == want and made.encode([]) == []
+    assert list(made._ids_of_plain(plain)) == [made._ids([x])[0] for x in plain] and list(made._ids_of_plain([])) == []
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_token_ids(spark, bits):
     from tokenizers import Tokenizer
