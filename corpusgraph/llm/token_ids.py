@@ -30,7 +30,7 @@ from .common import held, shared_dir, texts
 #: Ids of a block, and of a chunk about (a longer document has a chunk of its own).
 BLOCK, CHUNK = 16_384, 262_144
 #: Bytes of text that are encoded at once, about: the words that come again among them are looked up once.
-TEXT = 1 << 24
+TEXT = 1 << 23
 CHUNKS = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block int, bits boolean, planes array<int>, payload binary"
 
 
@@ -147,13 +147,17 @@ class Encoder:
         known = list(map(self._learn(set(different)).__getitem__, different))
         ids = np.frombuffer(b"".join(known), np.uint32)
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        n = lengths[of]
-        ends = np.cumsum(n)
-        ids = ids[np.repeat((np.cumsum(lengths) - lengths)[of] - (ends - n), n) + np.arange(ends[-1])]
-        at = 0
-        for last in np.cumsum([1 + x.count(" ") + 2 * x.count("\n") for x in texts]) - 1:
-            yield ids[at : ends[last]].tobytes()
-            at = ends[last]
+        starts = np.cumsum(lengths) - lengths
+        first = np.cumsum([0] + [1 + x.count(" ") + 2 * x.count("\n") for x in texts])
+        for k in range(0, len(texts), 100):  # so that what is as long as the ids stays small
+            part = first[k : k + 101]
+            mine = of[part[0] : part[-1]]
+            n = lengths[mine]
+            ends = np.cumsum(n)
+            some = ids[np.repeat(starts[mine] - (ends - n), n) + np.arange(ends[-1])]
+            cuts = ends[part[1:] - part[0] - 1].tolist()
+            for at, to in zip([0, *cuts], cuts):
+                yield some[at:to].tobytes()
 
 
 def pieces(text: str) -> list[str]:
