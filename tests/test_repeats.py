@@ -38,6 +38,20 @@ def test_ties_are_settled_in_any_order(spark):
     assert got == {("r9", "r1")}
 
 
+def test_tied_reasons_are_taken_as_they_stand_in_the_table(spark, sf, tmp_path):
+    from compare import compare
+    from corpusgraph.plans.catalog import ORACLES, QUERIES
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("false")
+    rows = [(1, 2, s, 1, 1.0, 1.0, 0.1, 0.0, "R", "O", None) for s in (9, 1, 5)] + [(1, 2, 0, 2, 1.0, 1.0, 0.1, 0.0, "A", "F", None)]
+    spark.createDataFrame(rows, lines.schema).coalesce(1).write.parquet(str(tmp_path / "few"))
+    next((tmp_path / "few").glob("part-*")).rename(tmp_path / "lineitem.parquet")
+    (tmp_path / "documents.parquet").symlink_to(f"{sf}/documents.parquet")
+    got = QUERIES["link_details"](spark, str(tmp_path)).where("kind = 'SIMILAR'").collect()
+    assert [r["reason"] for r in got] == ["r9"]
+    compare(spark, "link_details", QUERIES["link_details"], ORACLES["link_details"], str(tmp_path))
+
+
 def test_a_full_block_of_vectors_takes_bounded_memory():
     """The largest block that knn() makes of vectors of 64 numbers, against fewer queries than it may meet."""
     import tracemalloc
