@@ -7,7 +7,8 @@ coordinate, widest where the anchor is small. The ranges at its largest coordina
 sorted lists and intersected, and what is left is scored exactly. A bucket that is too short for t ends the pack.
 
 Blocks of anchors meet packs, so no row goes with every anchor through a shuffle: packs move once, anchors once for each
-pack. t is the least score that an anchor can still use: the k-th best of the pack so far, or the lower end of a window.
+pack that they search. t is the least score that an anchor can still use: the k-th best of the pack so far, or the lower
+end of a window.
 """
 
 from __future__ import annotations
@@ -153,18 +154,15 @@ def _packs(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(run, _PACKED_DDL)
 
 
-def _numbered(packs: DataFrame) -> DataFrame:
-    """Packs with a number from 0; a window over their keys alone, one for thousands of rows."""
-    keys = packs.select("key").withColumn("number", F.row_number().over(Window.orderBy("key")) - 1)
-    return stored(packs.join(keys, "key"), "negatives_packs")
-
-
 def _searched(blocks: DataFrame, packs: DataFrame, met: Column, k: int) -> DataFrame:
-    """(anchor, slot, score, id, uid): the first k rows of each pack that `met` lets a block b see (p), for each window."""
-    many = packs.count()
-    spread = blocks.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))) if many else blocks.withColumn("number", F.lit(0))
-    both = spread.alias("b").join(packs.alias("p"), "number").where(met)
-    both = both.select("b.dims", "b.uids", "b.matrix", "b.lo", "b.hi", F.col("p.key").alias("pack"), F.col("p.dims").alias("p_dims"), F.col("p.uids").alias("p_uids"), F.col("p.ids").alias("p_ids"), F.col("p.matrix").alias("p_matrix"))
+    """(anchor, slot, score, id, uid): the first k rows of each pack that `met` lets a block b see (p), for each window.
+    Keys and labels of packs alone go to all tasks, one for thousands of rows. Packs and blocks move to where they meet:
+    files of like vectors are much smaller than the vectors, so a small file doesn't say that a table fits the driver."""
+    named = F.broadcast(packs.select("key", "label")).alias("p")
+    spread = blocks.alias("b").join(named, met).select("b.dims", "b.uids", "b.matrix", "b.lo", "b.hi", F.col("p.key").alias("pack"))
+    spread = spread.repartition(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pack")
+    there = packs.select(F.col("key").alias("pack"), *[F.col(c).alias(f"p_{c}") for c in ("dims", "uids", "ids", "matrix")])
+    both = spread.join(there.hint("merge"), "pack").select("dims", "uids", "matrix", "lo", "hi", "pack", "p_dims", "p_uids", "p_ids", "p_matrix")
     schema = pa.schema([("anchor", pa.int64()), ("slot", pa.int32()), ("score", pa.int64()), ("id", pa.int64()), ("uid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +201,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     """
     rows = stored(rows, "negatives_rows")
     none = F.array(F.lit(-FAR)), F.array(F.lit(FAR))
-    packs = _numbered(_packs(rows.select("*", F.array().cast("array<long>").alias("lo"), F.array().cast("array<long>").alias("hi")), PACK))
+    packs = stored(_packs(rows.select("*", F.array().cast("array<long>").alias("lo"), F.array().cast("array<long>").alias("hi")), PACK), "negatives_packs")
     chosen = rows.where(anchors)
     blocks = _packs(chosen.select("*", none[0].alias("lo"), none[1].alias("hi")), ANCHORS)
     good = stored(_searched(blocks, packs, F.col("b.label") == F.col("p.label"), positives).select("anchor", F.col("id").alias("positive"), F.col("score").alias("positive_score")), "negatives_good")

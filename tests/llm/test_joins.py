@@ -146,6 +146,15 @@ def vectors(rng, n=400, dims=12):
     return rows + [rows[20], rows[0], (None, rows[20][1], 1)]
 
 
+def test_vectors_that_compress_well_are_not_broadcast(spark):
+    """Copies make small files of many vectors; these move to where blocks meet them, not through the driver."""
+    rows = spark.range(3_000).selectExpr("id as vec_id", "array_repeat(float(0.5 + id % 7 / 10), 64) as embedding", "int(id % 3) as label")
+    found = hard_negatives.mine(hard_negatives.prepared(rows), hard_negatives.F.col("id") % 50 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join [pack" in line or "Join [number" in line)
+    assert "SortMergeJoin" in join and found.count() > 0
+
+
 def test_hard_negatives(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "PACK", 50)
     monkeypatch.setattr(hard_negatives, "BUCKET", 16)
