@@ -1,5 +1,7 @@
 """Larger tables: ids of more digits, keys that repeat, ties, blocks that are full."""
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -105,6 +107,17 @@ def test_pages_of_placed_documents_are_not_shuffled_again(spark, sf):
     assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")  # below it: documents, not pages
 
 
+def test_texts_without_anything_to_replace_are_only_searched(spark):
+    from corpusgraph.functions.text import normalize_text
+
+    rows = ["a b\nc", " a\t\tb  c\n\n\n\nd\0e \n", "\0\0x\t", "\x0bx y\x0c", "a\n \n\n\n b", "", "\n", None, "\u00a0x\u00a0", "x\n\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", normalize_text(F.col("t")).alias("n"))
+    plain = lambda t: None if t is None else re.sub("\n{3,}", "\n\n", re.sub(r"[ \t]{2,}|\t", " ", t.replace("\0", " "))).strip(" \t\n\x0b\f\r")
+    assert [r["n"] for r in df.orderBy("i").collect()] == [plain(t) for t in rows]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert all(plan.count(f) == plan.count(f"THEN {f}") == 1 for f in ("translate(", "btrim(")) and plan.count("THEN regexp_replace(") == plan.count("regexp_replace(") == 2
+
+
 def test_options_are_turned_once_for_their_common_end(spark):
     from corpusgraph.operators.packing import answer_spans
 
