@@ -118,7 +118,7 @@ def _streamed(spark, sf_dir):
     refs = references(p).groupBy(F.col("paper_id").alias("id")).agg(F.collect_list(F.struct("ss_paper_id", "arxiv_id", "doi")).alias("refs"))
     rows = p.select(*_PAPER_ROW, F.lit("api").alias("full_text_source")).join(refs, "id").withColumn("neighbours", F.array(F.col("id") + 1, F.col("id") + 2))
     for step in (rows.where("id % 2 = 0"), rows.withColumn("title", F.concat(F.lit("new "), "title"))):
-        step.write.mode("append").json(f"{path}/raw")
+        step.write.mode("append").option("compression", "gzip").json(f"{path}/raw")
         I.stream_pipeline(spark, f"{path}/raw", f"{path}/out", f"{path}/cp").awaitTermination()
     return f"{path}/out"
 

@@ -115,11 +115,16 @@ class History:
         names = [f.name for f in rows.schema if f.name not in ("batch", "bucket")]
         return rows.groupBy(*self.keys, *self.per).agg(F.max_by(F.struct(*names), "batch").alias("r")).select("r.*")
 
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with their bucket, those of one together."""
+        return rows.withColumn("bucket", self.bucket()).repartition("bucket")
+
     def _write(self, rows: DataFrame, kind: str, n: int) -> None:
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={n}")
+        rows = rows if "bucket" in rows.columns else self.placed(rows)
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={n}")
 
     def add(self, rows: DataFrame, n: int) -> None:
-        """Rows of batch n, one for each key and what is kept for it."""
+        """Rows of batch n, one for each key and what is kept for it; placed() or not."""
         self._write(rows, "delta", n)
         if len(self.parts()[1]) >= self.every:
             self._write(self.read(), "snapshot", n)
@@ -148,16 +153,16 @@ def stream_pipeline(spark: SparkSession, source: str, out: str, checkpoint: str,
         return papers.select(*[c for c in ("pid", "id") if c in papers.columns], F.inline(each)).where("value is not null")
 
     def write(batch: DataFrame, n: int) -> None:
-        session, save = batch.sparkSession, lambda df, what: df.write.mode("overwrite").parquet(f"{out}/{what}/batch={n}")
+        session, save = batch.sparkSession, lambda df, what: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{what}/batch={n}")
         papers, index = paper_history(session, out), History(session, f"{out}/ids", _INDEX, ["kind", "value"], ("pid",))
         new = batch.select(_COLUMNS)
         if "papers" in stages:
             found = index.read(n, ids_of(new.select("arxiv_id", "ss_id", F.lit(None).cast("string").alias("doi"))))
             old = papers.read(n, found.select("pid").unionByName(new.select(paper_key().alias("pid")))).where("not deleted")
-            merged = upsert_papers(old.select(_COLUMNS), new).withColumn("pid", paper_key())
-            rows = merged.withColumn("deleted", F.lit(False)).dropDuplicates(["pid"])
-            left = old.join(rows.select("pid"), "pid", "left_anti").withColumn("deleted", F.lit(True))
-            papers.add(rows.unionByName(left.select(rows.columns)), n)
+            merged = upsert_papers(old.select(_COLUMNS), new).withColumn("pid", paper_key()).withColumn("deleted", F.lit(False))
+            rows = papers.placed(merged).dropDuplicates(["bucket", "pid"])  # where they are written, so texts move once
+            left = old.select("pid").join(merged.select("pid"), "pid", "left_anti").withColumn("deleted", F.lit(True))  # no more of them is read
+            papers.add(rows.unionByName(papers.placed(left), allowMissingColumns=True), n)
             new = session.read.schema(f"{_STATE}, bucket int").parquet(f"{out}/papers/delta/batch={n}").where("not deleted").select("pid", *_COLUMNS)
             index.add(ids_of(new).select("kind", "value", "pid", "id"), n)
         if "chunks" in stages:
