@@ -139,6 +139,24 @@ def test_upserts_keep_papers_that_share_an_arxiv_id(spark):
     assert merge([(1, "a", None, "t"), (2, None, "s2", "u")], [(None, "a", "s9", "new"), (7, "c", "s2", "by ss")]) == [(1, "a", "s9", "new"), (2, "c", "s2", "by ss")]
 
 
+def test_upserts_move_texts_once(spark):
+    """Source rows are dealt out once by what names them and read by both that need them; ids alone go through the steps."""
+    from corpusgraph.operators.tables import upsert_papers
+
+    columns = "id long, arxiv_id string, ss_id string, full_text string, conclusion string, tldr string, full_text_source string"
+    table = lambda *rows: spark.createDataFrame([(*r, None, None, "x") for r in rows], columns)
+    found = upsert_papers(table((1, "a", "s1", "t")), table((2, None, "s1", "u"), (2, None, "s1", "u"), (None, None, None, "v"), (None, None, None, "v")))
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    moved = [n for n in nodes(found._jdf.queryExecution().executedPlan().initialPlan()) if n.nodeName() == "Exchange" and "full_text" in n.output().toString()]
+    assert len(moved) <= 2, len(moved)
+    assert sorted((r["id"] or 0, r["full_text"]) for r in found.collect()) == [(0, "v"), (0, "v"), (1, "u")]
+
+
 def test_upserts_of_repeated_arxiv_ids_give_the_rows_of_the_sql(spark, sf, tmp_path):
     from compare import compare, database
     from corpusgraph.operators.tables import upsert_papers
